@@ -9,6 +9,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factweave.llm.pii import find
+
+    found, _ = find(_table(spark, sf_dir, "documents"))
+    return found
+
+
 def op5_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factweave.llm.decision_list import quality_report
 
@@ -24,9 +31,17 @@ def op8_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factweave.llm.minhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 QUERIES = {
+    "op2_weak_supervision": op2_weak_supervision,
     "op5_decision_list": op5_decision_list,
     "op8_water_filling": op8_water_filling,
+    "op10_tensored_minhash": op10_tensored_minhash,
 }
 
 ORACLE_SQL = {
