@@ -25,6 +25,12 @@ def op5_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factweave.llm.packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"))
+
+
 def op8_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factweave.llm.water_filling import mix
 
@@ -40,6 +46,7 @@ def op10_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_weak_supervision": op2_weak_supervision,
     "op5_decision_list": op5_decision_list,
+    "op7_residual_packing": op7_residual_packing,
     "op8_water_filling": op8_water_filling,
     "op10_tensored_minhash": op10_tensored_minhash,
 }
