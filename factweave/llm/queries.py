@@ -16,6 +16,12 @@ def op2_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
+def op3_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factweave.llm.weighted_sampling import fingerprints
+
+    return fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op5_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factweave.llm.decision_list import quality_report
 
@@ -45,6 +51,7 @@ def op10_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_weak_supervision": op2_weak_supervision,
+    "op3_weighted_sampling": op3_weighted_sampling,
     "op5_decision_list": op5_decision_list,
     "op7_residual_packing": op7_residual_packing,
     "op8_water_filling": op8_water_filling,
