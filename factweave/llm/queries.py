@@ -22,6 +22,12 @@ def op3_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op4_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factweave.llm.warc import round_trip
+
+    return round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op5_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factweave.llm.decision_list import quality_report
 
@@ -31,6 +37,12 @@ def op5_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factweave.llm.line_blocks import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op7_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factweave.llm.packing import pack
 
@@ -52,7 +64,9 @@ def op10_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_weak_supervision": op2_weak_supervision,
     "op3_weighted_sampling": op3_weighted_sampling,
+    "op4_revisit_resolution": op4_revisit_resolution,
     "op5_decision_list": op5_decision_list,
+    "op6_line_blocks": op6_line_blocks,
     "op7_residual_packing": op7_residual_packing,
     "op8_water_filling": op8_water_filling,
     "op10_tensored_minhash": op10_tensored_minhash,
