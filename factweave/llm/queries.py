@@ -9,6 +9,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factweave.llm.tool_calls import format_messages
+
+    return format_messages(_table(spark, sf_dir, "conversations"))
+
+
 def op2_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factweave.llm.pii import find
 
@@ -62,6 +68,7 @@ def op10_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_tool_calls": op1_tool_calls,
     "op2_weak_supervision": op2_weak_supervision,
     "op3_weighted_sampling": op3_weighted_sampling,
     "op4_revisit_resolution": op4_revisit_resolution,
