@@ -61,6 +61,12 @@ def op8_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_log_suffix_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factweave.llm.suffix_dedup import repeated_spans
+
+    return repeated_spans(_table(spark, sf_dir, "documents")).drop("removed")
+
+
 def op10_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factweave.llm.minhash import near_duplicates
 
@@ -76,6 +82,7 @@ QUERIES = {
     "op6_line_blocks": op6_line_blocks,
     "op7_residual_packing": op7_residual_packing,
     "op8_water_filling": op8_water_filling,
+    "op9_log_suffix_index": op9_log_suffix_index,
     "op10_tensored_minhash": op10_tensored_minhash,
 }
 
