@@ -62,12 +62,13 @@ def source_targets(
     )
 
 
-def mix(docs: DataFrame, *, seed: int = 8, **options) -> DataFrame:
-    """Per row of ``docs``: doc_id, source, size, source_size, target, repeats, taken."""
-    sizes = docs.select(
-        "doc_id", "source", n_words(F.col("text")).alias("size"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("draw"),
-    )
+def _draw(seed: int):
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+
+
+def _drawn(docs: DataFrame, seed: int, **options) -> DataFrame:
+    """Per row: its size and draw, its source's whole repeats, and whether it is taken once more."""
+    sizes = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), _draw(seed).alias("draw"))
     sizes = written(sizes.withColumn("slice", F.substring("draw", 1, SLICE_DIGITS)), "sizes")
     targets = source_targets(sizes, **options)
     per_slice = sizes.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
@@ -89,7 +90,35 @@ def mix(docs: DataFrame, *, seed: int = 8, **options) -> DataFrame:
     part = F.col("target") - whole * size
     end = F.col("slice_start") + F.col("slice_end")
     extra = (F.col("size") > 0) & (end * 2 - F.col("size") <= part * 2)
-    repeats = (whole + extra.cast("long")).cast("long")
     return joined.select(
+        "doc_id", "source", "size", "source_size", "target", "draw", whole.cast("long").alias("whole"), extra.alias("extra")
+    )
+
+
+def mix(docs: DataFrame, *, seed: int = 8, **options) -> DataFrame:
+    """Per row of ``docs``: doc_id, source, size, source_size, target, repeats, taken."""
+    repeats = F.col("whole") + F.col("extra").cast("long")
+    return _drawn(docs, seed, **options).select(
         "doc_id", "source", "size", "source_size", "target", repeats.alias("repeats"), (F.col("size") * repeats).alias("taken")
     )
+
+
+def resample(docs: DataFrame, *, seed: int = 8, **options) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it; own columns.
+
+    Along the draw, the documents taken once more come first, so one cutoff a
+    source tells them.  The table of cutoffs has a row per source; Spark
+    broadcasts it if its size is known to be small, and joins by source else.
+    Rows alike in id, source and size are taken alike.
+    """
+    place = F.struct("draw", "doc_id", "size")
+    cutoffs = written(
+        _drawn(docs, seed, **options).groupBy("source").agg(F.max("whole").alias("__whole"), F.max(F.when(F.col("extra"), place)).alias("__last"))
+        .withColumnRenamed("source", "__source"),
+        "cutoffs",
+    )
+    own = docs.withColumn("__place", F.struct(_draw(seed).alias("draw"), F.col("doc_id"), n_words(F.col("text")).alias("size")))
+    joined = own.join(cutoffs, own["source"].eqNullSafe(cutoffs["__source"]))
+    extra = (F.col("__place.size") > 0) & F.coalesce(F.col("__place") <= F.col("__last"), F.lit(False))
+    repeats = F.when(F.col("__place.size") > 0, F.col("__whole") + extra.cast("long")).otherwise(0).cast("int")
+    return joined.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), repeats)).alias("__copy")).select(*docs.columns)
