@@ -86,7 +86,8 @@ def compared(records: DataFrame, registry: Registry, plan: ReportPlan) -> DataFr
                                  by_metric(lambda m: m.title).alias("title"), by_metric(lambda m: m.formula).alias("formula"),
                                  by_metric(lambda m: m.n_obs_field).alias("n_obs_field"), by_metric(lambda m: m.numerator_field).alias("numerator_field"),
                                  by_metric(lambda m: m.denominator_field or "").alias("denominator_field"))
-    overall = out.where(F.col("cut_dim").isNull()).select(F.col("metric_id").alias("o_metric"), F.col("week.wow_delta").alias("overall_delta"))
+    of = lambda p: F.max(F.when(F.col("period_label") == p.label, F.col("value"))) if p else F.lit(None).cast("double")
+    overall = records.where(F.col("cut_dim").isNull()).groupBy(F.col("metric_id").alias("o_metric")).agg((of(w) - of(prior)).alias("overall_delta"))
     joined = out.join(overall, F.col("metric_id") == F.col("o_metric"), "left").drop("o_metric")
     share = F.when(F.col("cut_dim").isNotNull() & ~F.col("is_ratio"), S.contribution_share(F.col("week.wow_delta"), F.col("overall_delta")))
     return joined.withColumn("share", share)

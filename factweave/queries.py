@@ -11,6 +11,7 @@ from factweave.functions import dates as D
 from factweave.functions import numbers as N
 from factweave.functions import stats as S
 from factweave.operators import audit, binding, facts as FA, records as R, shortlist as SL
+from factweave.operators.tables import written
 from factweave.plans.calendar import build_plan
 from factweave.plans.run import build_factbook
 from factweave.plans.spec import shop_registry
@@ -168,7 +169,7 @@ def shortlist(spark, sf_dir):
 
 
 def pack(spark, sf_dir):
-    wide = _wide(spark, sf_dir).persist()
+    wide = written(_wide(spark, sf_dir), "series")
     return SL.pack(FA.facts(wide, PLAN), SL.shortlist(wide, REGISTRY, PLAN)).select("id", "display", "unit", F.concat_ws(",", "flags").alias("flags"), "rank", "pos")
 
 
@@ -221,10 +222,10 @@ def _planted_drafts(packed: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def _validated(spark, sf_dir):
-    wide = _wide(spark, sf_dir)
-    facts = FA.facts(wide, PLAN).persist()
-    chosen = SL.shortlist(wide, REGISTRY, PLAN).persist()
-    packed = SL.pack(facts, chosen).persist()
+    wide = written(_wide(spark, sf_dir), "series")
+    facts = written(FA.facts(wide, PLAN), "facts")
+    chosen = written(SL.shortlist(wide, REGISTRY, PLAN), "shortlist")
+    packed = written(SL.pack(facts, chosen), "pack")
     return binding.validate(_planted_drafts(packed, facts), facts, packed, chosen, REGISTRY, PLAN)
 
 
@@ -239,13 +240,13 @@ def draft_violations(spark, sf_dir):
 
 
 def provenance_closure(spark, sf_dir):
-    facts = FA.facts(_wide(spark, sf_dir), PLAN).persist()
+    facts = written(FA.facts(_wide(spark, sf_dir), PLAN), "facts")
     roots = facts.where("statistic_key IN ('contribution_share_pct', 'vs_slice_pct')").select("id")
     return audit.provenance_closure(facts, roots).groupBy("root").agg(F.count("*").alias("n"), F.max("depth").cast("long").alias("deepest"))
 
 
 def unresolved_inputs(spark, sf_dir):
-    return audit.unresolved_inputs(FA.facts(_wide(spark, sf_dir), PLAN).persist())
+    return audit.unresolved_inputs(written(FA.facts(_wide(spark, sf_dir), PLAN), "facts"))
 
 
 QUERIES = {f.__name__: f for f in (
