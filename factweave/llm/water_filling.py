@@ -97,7 +97,7 @@ def _drawn(docs: DataFrame, seed: int, **options) -> DataFrame:
 
 def mix(docs: DataFrame, *, seed: int = 8, **options) -> DataFrame:
     """Per row of ``docs``: doc_id, source, size, source_size, target, repeats, taken."""
-    repeats = F.col("whole") + F.col("extra").cast("long")
+    repeats = F.when(F.col("size") > 0, F.col("whole") + F.col("extra").cast("long")).otherwise(F.lit(0).cast("long"))
     return _drawn(docs, seed, **options).select(
         "doc_id", "source", "size", "source_size", "target", repeats.alias("repeats"), (F.col("size") * repeats).alias("taken")
     )
