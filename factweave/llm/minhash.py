@@ -9,9 +9,10 @@ Texts with equal shingle sets form one class, which is one node.  A sub-key
 that only one class has can't be half of a shared table key, so it is left
 out before keys are combined.  In each table bucket members are compared
 with a leader only, and linked members fall into one component; the next
-rounds lead by the best linked member, and what is left at the end (members
-of one bucket in different components) is compared in full.  Links are
-confirmed on full sets.  Nothing is capped.
+rounds lead by the best linked member.  What is left at the end (members of
+buckets in which components met but did not merge) goes through tougher
+tables and sketches, and every pair that these can't rule out is compared.
+Links are confirmed on full sets.  Nothing is capped.
 
 Defined results: documents without words (null, empty, blank texts) have an
 empty set, no links and are their own component; repeated rows are copies of
@@ -104,81 +105,128 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+#: The last round's tables: 75 of 12 minhashes; a pair of similarity 0.85 shares none with probability 1e-5.
+LAST_TABLES, LAST_ROWS = 75, 12
+SKETCH_BITS, SKETCH_DEVIATIONS = 2048, 4.5
+
+
+def _close_pairs(crowded: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of nodes with different roots that a sharper sketch can't tell from linked ones.
+
+    ``crowded`` holds the nodes of buckets in which components met but didn't
+    merge: mostly copies edited a little too much.  Pairs of them share first
+    tables too easily, so they must share one of tougher tables (the first that
+    they share gives the pair) and agree on one-bit sketches to within
+    SKETCH_DEVIATIONS of what links do.  Shingles that no other of these nodes
+    has can't be shared, which bounds the similarity of a node, and of a pair,
+    exactly.
+    """
+    own = crowded.join(sets, "node")
+    once = own.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
+    private = once.groupBy("node").agg(F.count("*").cast("int").alias("private"))
+    own = own.join(private, "node", "left").select(
+        "node", "root", "shingles", F.size("shingles").alias("n"), (F.size("shingles") - F.coalesce("private", F.lit(0))).alias("common")
+    ).where(F.col("common") * 100 >= F.col("n") * percent)
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        factors, offsets = odd_factors(SKETCH_BITS, 21), odd_factors(SKETCH_BITS, 22)
+        for batch in batches:
+            keys, bits = [], []
+            for value in batch.column(2):
+                mins = _minhashes(value.values.to_numpy().view(np.uint64), factors, offsets)
+                bits.append(np.packbits((mins & np.uint32(1)).astype(np.uint8)).view(np.int64))
+                rows = mins[: LAST_TABLES * LAST_ROWS].reshape(LAST_TABLES, LAST_ROWS)
+                keys.append([
+                    int.from_bytes(hashlib.blake2b(r.tobytes(), digest_size=8, key=i.to_bytes(2, "big")).digest(), "big", signed=True)
+                    for i, r in enumerate(rows)
+                ])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(i) for i in (0, 1, 3, 4)), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
+                names=["node", "root", "n", "common", "keys", "bits"],
+            )
+
+    sketched = written(
+        own.mapInArrow(sketch, "node long, root long, n int, common int, keys array<long>, bits array<long>"), "sketches"
+    )
+    tables = sketched.select("node", "root", F.posexplode("keys").alias("place", "key"))
+    mixed_keys = tables.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    short = sketched.withColumn("keys", F.transform("keys", lambda k: k.bitwiseAND(0xFFFFFFFF)))
+    short = short.withColumn("keys", F.transform("keys", lambda k: F.when(k > 0x7FFFFFFF, k - 0x100000000).otherwise(k).cast("int")))
+    left = tables.join(mixed_keys, "key").select("key", "place", "node").join(short, "node")
+    right = left.select(
+        "key", F.col("node").alias("b"), F.col("root").alias("other_root"), F.col("bits").alias("other_bits"),
+        F.col("n").alias("other_n"), F.col("common").alias("other_common"), F.col("keys").alias("other_keys"),
+    )
+    share = (1 - percent / 100) / 2  # of bits that differ at the threshold
+    most = SKETCH_BITS * share + SKETCH_DEVIATIONS * (SKETCH_BITS * share * (1 - share)) ** 0.5
+    differ = sum((F.bit_count(F.get("bits", i).bitwiseXOR(F.get("other_bits", i))) for i in range(SKETCH_BITS // 64)), F.lit(0))
+    room = F.least("common", "other_common") * (100 + percent) >= (F.col("n") + F.col("other_n")) * percent
+    earlier = F.exists(F.sequence(F.lit(0), F.col("place")), lambda j: (j < F.col("place")) & (F.get("keys", j) == F.get("other_keys", j)))
+    close = (F.col("root") != F.col("other_root")) & (F.col("node") < F.col("b")) & room & (differ <= most) & ~earlier
+    return left.join(right, (left["key"] == right["key"]) & close).select(F.col("node").alias("a"), "b")
+
+
 def _set_rows(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(node, shingles) of the wanted classes, from the text of one document each."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, sets = [], []
-            for node, text in zip(batch.column(0), batch.column(1)):
+            for node, digest, text in zip(batch.column(0), batch.column(1), batch.column(2)):
                 s = shingle_set(text.as_py(), width)
-                if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == node.as_py():
+                if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == digest.as_py():
                     nodes.append(node.as_py())
                     sets.append(s.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"]
+                [pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"]
             )
 
     texts = docs.select(F.col("doc_id").alias("first_id"), "text")
-    found = wanted.join(texts, wanted["first_id"].eqNullSafe(texts["first_id"])).select("node", "text")
-    return found.mapInArrow(read, "node binary, shingles array<long>").dropDuplicates(["node"])
+    found = wanted.join(texts, wanted["first_id"].eqNullSafe(texts["first_id"])).select("node", "digest", "text")
+    return found.mapInArrow(read, "node long, shingles array<long>").dropDuplicates(["node"])
 
 
 def near_duplicates(
-    docs: DataFrame, *, percent: int = 85, per_side: int = 10, width: int = 5, hub_rounds: int = 2
+    docs: DataFrame, *, percent: int = 85, per_side: int = 10, width: int = 5, hub_rounds: int = 1
 ) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, digest, class_id, n_links (of its class), component_id, kept."""
     signed = written(signatures(docs, per_side=per_side, width=width), "signatures")
     classes = written(
-        signed.where(F.col("digest").isNotNull()).groupBy(F.col("digest").alias("node")).agg(
-            F.min("doc_id").alias("first_id"), F.first("minhashes").alias("minhashes")
-        ),
+        signed.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.first("minhashes").alias("minhashes"))
+        .withColumn("node", F.monotonically_increasing_id()),
         "classes",
     )
-    members = written(table_keys(classes, per_side=per_side), "tables")
+    members = table_keys(classes, per_side=per_side)
     buckets = members.groupBy("table_key").agg(F.count("*").alias("n")).where("n > 1").select("table_key")
     members = written(members.join(buckets, "table_key"), "tables")
-    wanted = members.select("node").distinct().join(classes.select("node", "first_id"), "node")
-    sets = written(_set_rows(docs, wanted, width), "sets")
+    nodes = written(members.select("node").distinct(), "nodes")
+    sets = written(_set_rows(docs, nodes.join(classes.select("node", "digest", "first_id"), "node"), width), "sets")
 
-    links = None
-    roots = members.select("node").distinct().select("node", F.col("node").alias("root"))
-    degrees = None
+    links, roots, degrees = None, nodes.withColumn("root", F.col("node")), nodes.select("node", F.lit(0).alias("d"))
     for turn in range(hub_rounds + 2):
-        last = turn == hub_rounds + 1
-        # Members of buckets that still hold more than one component.
         at = members.join(roots, "node") if turn else members.withColumn("root", F.col("node"))
-        if turn:
-            open_keys = at.groupBy("table_key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
-            at = at.join(open_keys.select("table_key"), "table_key")
-            at = written(at, "open")
+        if turn:  # buckets that hold one component are settled for good
+            open_keys = at.groupBy("table_key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("table_key")
+            at = written(at.join(open_keys, "table_key"), "open")
+            members = at.select("table_key", "node")
             if at.isEmpty():
                 break
-        if last:
-            other = at.select("table_key", F.col("node").alias("b"), F.col("root").alias("other_root"))
-            pairs = at.select("table_key", F.col("node").alias("a"), "root").join(other, "table_key")
-            pairs = pairs.where((F.col("root") != F.col("other_root")) & (F.col("a") < F.col("b")))
+        if turn > hub_rounds:
+            pairs = _close_pairs(at.select("node", "root").distinct(), sets, percent)
         else:
-            if turn:
-                at = at.join(degrees, "node", "left").withColumn("d", F.coalesce("d", F.lit(0)))
-            else:
-                at = at.withColumn("d", F.lit(0))
-            best = at.groupBy("table_key").agg(F.max(F.struct("d", "node", "root")).alias("lead"))
-            pairs = at.join(best, "table_key").where(F.col("root") != F.col("lead.root"))
-            pairs = pairs.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
+            best = at.join(degrees, "node").groupBy("table_key").agg(F.max(F.struct("d", "node", "root")).alias("lead"))
+            pairs = at.join(best, "table_key").where(F.col("root") != F.col("lead.root")).select(
+                F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
         new = written(_confirmed(pairs.select("a", "b").distinct(), sets, percent), "links")
         links = new if links is None else links.union(new).distinct()
-        settled = components(links)
-        roots = written(
-            members.select("node").distinct().join(settled, "node", "left")
-            .select("node", F.coalesce("root", "node").alias("root")), "roots")
-        degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("d"))
-
-    degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    placed = classes.select("node", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").cast("int").alias("d"))
+        degrees = nodes.join(degrees, "node", "left").select("node", F.coalesce("d", F.lit(0)).alias("d"))
+        roots = written(nodes.join(components(links), "node", "left").select("node", F.coalesce("root", "node").alias("root")), "roots")
+
+    placed = classes.select("digest", "node", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
     placed = placed.join(first, "root").join(degrees, "node", "left").select(
-        F.col("node").alias("digest"), F.col("first_id").alias("class_id"), "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")
+        "digest", F.col("first_id").alias("class_id"), "component_id", F.coalesce("d", F.lit(0)).alias("n_links")
     )
     out = signed.select("doc_id", "n_shingles", "digest").join(placed, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
