@@ -68,6 +68,8 @@ def build_factbook(cells: DataFrame, registry: Registry, spec: SourceSpec, plan:
     rows = kept(records_op.records(cells, usable if usable.metrics else registry, spec, plan).where(F.lit(bool(fine))), "records")
     wide = facts_op.compared(rows, registry, plan)
     found = kept(facts_op.facts(wide, plan), "facts")
+    if folder is not None:
+        found.write.mode("overwrite").json(f"{folder}/facts_json")
     chosen = kept(shortlist_op.shortlist(wide, registry, plan), "shortlist")
     return FactBook(plan, status, found, chosen, kept(shortlist_op.pack(found, chosen), "pack"))
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from factweave.functions import dates as D
 from factweave.plans import calendar as cal
-from factweave.plans.spec import RegistryError, SourceSpec, parse_registry, shop_registry
+from factweave.plans.spec import RegistryError, SourceSpec, load_registry, parse_registry, shop_registry
 
 
 def test_weeks_open_on_sunday():
@@ -64,3 +64,14 @@ def test_registry():
             parse_registry(raw)
     with pytest.raises(RegistryError):
         shop_registry("nowhere").check(SourceSpec(dims=("country",)))
+
+
+def test_example_registry(tmp_path):
+    from pathlib import Path
+
+    found = load_registry(Path(__file__).parent.parent / "examples" / "shop.toml")
+    assert found.metrics == shop_registry("country", "channel").metrics and len(found.sha256) == 64
+    (tmp_path / "bad.toml").write_text("schema_version = ")
+    for path in (tmp_path / "bad.toml", tmp_path / "none.toml"):
+        with pytest.raises(RegistryError):
+            load_registry(path)

@@ -126,3 +126,13 @@ def test_stream_gives_the_batch_cells(spark, tmp_path):
     got = {(r.day, r.bucket, r.part): (r.sessions, r.orders, r.gmv) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     want = {(r.day, r.bucket, r.part): (r.sessions, r.orders, r.gmv) for r in cells_from_events(events).collect()}
     assert got and all(want[k] == v for k, v in got.items()) and len(want) - len(got) <= 48
+
+
+def test_command_line(spark, tmp_path):
+    from factweave.cli import main
+
+    cells = str(tmp_path / "cells")
+    assert main(["generate", "--out", cells, "--days", "80", "--as-of", "2024-08-15"]) == 0
+    registry = str(__import__("pathlib").Path(__file__).parent.parent / "examples" / "shop.toml")
+    assert main(["run", "--source", cells, "--out", str(tmp_path / "o"), "--as-of", "2024-08-15", "--registry", registry]) == OK
+    assert main(["run", "--source", str(tmp_path / "none"), "--out", str(tmp_path / "p")]) == 1
