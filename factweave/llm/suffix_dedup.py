@@ -46,7 +46,7 @@ LENGTH, GRAM = 50, 24
 LAST = np.iinfo(np.int64).max
 PLACE_BITS = np.uint64(20)
 PLACES = np.uint64((1 << 20) - 1)
-STEP = 1 << 19
+STEP = 1 << 16
 
 ANSWER = "shard int, kind string, body binary"
 _ANSWER = pa.schema([("shard", pa.int32()), ("kind", pa.string()), ("body", pa.binary())])
@@ -64,52 +64,83 @@ def _powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Runs:
-    """Anchors of a text and the window starts that belong to each: key, context, first and last start."""
-
-    def __init__(self, data: bytes, length: int = LENGTH, gram: int = GRAM):
-        self.length = length
-        parts = []
-        for at in range(0, max(len(data) - length + 1, 0), STEP):
-            parts.append(self._part(data[at : at + STEP + length - 1], at, gram))
-        empty = np.empty(0, np.uint64)
-        self.key, self.context, first, last = (
-            (np.concatenate(x) for x in zip(*parts)) if parts else (empty, empty, empty, empty)
-        )
-        self.first, self.last = first.astype(np.int64), last.astype(np.int64)
-        self._data = data
-
-    def _sums(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-        values, grow, shrink = _powers()
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(values[np.frombuffer(data, np.uint8)] * grow[: len(data)], out=sums[1:])
-        return sums, shrink
-
-    def _part(self, data: bytes, at: int, gram: int) -> tuple[np.ndarray, ...]:
-        sums, shrink = self._sums(data)
-        count = len(data) - gram + 1
-        grams = mixed((sums[gram:] - sums[:count]) * shrink[:count])
+    """Anchors of a shard's texts and the window starts that belong to each.
+
+    Arrays, one entry a run: place of the document, key, context, first and
+    last start.  Texts are read in buffers of about STEP bytes, whatever their
+    lengths; windows don't cross texts.
+    """
+
+    def __init__(self, texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
+        self.length, self.gram = length, gram
+        found = [self._buffer(b) for b in self._buffers(texts)]
+        empty = (np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
+        self.doc, self.key, self.context, self.first, self.last = (np.concatenate(x) for x in zip(empty, *found))
+
+    def _buffers(self, texts: list[bytes]):
+        """Lists of (document, start in it, bytes) of STEP bytes or little more; long texts come in overlapping parts."""
+        pieces, size = [], 0
+        for i, data in enumerate(texts):
+            for at in range(0, len(data) - self.length + 1, STEP):
+                part = data if len(data) <= STEP else data[at : at + STEP + self.length - 1]
+                if size and size + len(part) > STEP:
+                    yield pieces
+                    pieces, size = [], 0
+                pieces.append((i, at, part))
+                size += len(part)
+                if part is data:
+                    break
+        if pieces:
+            yield pieces
+
+    def _buffer(self, pieces: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, ...]:
+        data = b"".join(p[2] for p in pieces)
+        offsets = np.cumsum([0, *(len(p[2]) for p in pieces)])
+        sums, shrink = _sums(data)
+        count = len(data) - self.gram + 1
+        grams = mixed((sums[self.gram :] - sums[:count]) * shrink[:count])
         least = (grams & ~PLACES) | np.arange(count, dtype=np.uint64)
-        need, have = self.length - gram + 1, 1
+        need, have = self.length - self.gram + 1, 1
         while 2 * have <= need:
             least = np.minimum(least[:-have], least[have:])
             have *= 2
         if have < need:
             least = np.minimum(least[: have - need], least[need - have :])
-        place = (least & PLACES).astype(np.int64)
+        inside = np.ones(len(least), bool)
+        for end in offsets[1:-1]:
+            inside[end - self.length + 1 : end] = False
+        starts = np.flatnonzero(inside)
+        place = (least[starts] & PLACES).astype(np.int64)
         edges = np.flatnonzero(place[1:] != place[:-1]) + 1
-        first = np.concatenate([[0], edges])
-        last = np.concatenate([edges, [len(place)]]) - 1
-        own = place[first]
-        inside = (sums[last + self.length] - sums[first]) * shrink[first]
+        begins, ends = np.concatenate([[0], edges]), np.concatenate([edges, [len(place)]]) - 1
+        own, first, last = place[begins], starts[begins], starts[ends]
+        covered = (sums[last + self.length] - sums[first]) * shrink[first]
         shape = ((own - first) * 256 + (last - first)).astype(np.uint64)
-        return grams[own], mixed(inside + shape * np.uint64(0xD6E8FEB86659FD93)), first + at, last + at
+        piece = np.searchsorted(offsets, first, side="right") - 1
+        shift = np.array([p[1] for p in pieces]) - offsets[:-1]
+        return (
+            np.array([p[0] for p in pieces])[piece], grams[own], mixed(covered + shape * np.uint64(0xD6E8FEB86659FD93)),
+            first + shift[piece], last + shift[piece],
+        )
+
 
-    def windows(self, run: int) -> np.ndarray:
-        """Hashes of the windows of one run."""
-        lo, hi = self.first[run], self.last[run]
-        sums, shrink = self._sums(self._data[lo : hi + self.length])
-        n = hi - lo + 1
-        return mixed((sums[self.length : self.length + n] - sums[:n]) * shrink[:n])
+def _sums(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of byte values times powers; a stretch's hash is its difference times the inverse power."""
+    values, grow, shrink = _powers()
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(values[np.frombuffer(data, np.uint8)] * grow[: len(data)], out=sums[1:])
+    return sums, shrink
+
+
+def window_hashes(data: bytes, starts: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the windows at the given ascending starts."""
+    out = []
+    for at in range(0, len(data), STEP):
+        own = starts[np.searchsorted(starts, at) : np.searchsorted(starts, at + STEP)] - at
+        if len(own):
+            sums, shrink = _sums(data[at : at + STEP + length - 1])
+            out.append(mixed((sums[own + length] - sums[own]) * shrink[own]))
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
 def _texts(table: pa.Table) -> list[tuple[int, bytes]]:
@@ -124,32 +155,55 @@ def _least(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct keys in order and the least of each value per key."""
     if not len(keys):
         return (keys, *values)
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     return (keys[starts], *(np.minimum.reduceat(v[order], starts) for v in values))
 
 
+#: A first test of membership by as many bits of a key.
+SIEVE_BITS = 22
+
+
+def _sieved(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Places of keys that may be in ``known``: all that are, few others."""
+    shift = np.uint64(64 - SIEVE_BITS)
+    sieve = np.zeros(1 << SIEVE_BITS, bool)
+    sieve[known >> shift] = True
+    return np.flatnonzero(sieve[keys >> shift])
+
+
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    keys = np.sort(keys)
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+
+
 def _among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
     """Which keys are in the sorted ``known``."""
-    if not len(known):
-        return np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-    return known[at] == keys
+    out = np.zeros(len(keys), bool)
+    if len(known):
+        maybe = _sieved(keys, known)
+        own = keys[maybe]
+        out[maybe] = known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own
+    return out
 
 
 def _looked_up(keys: np.ndarray, known: np.ndarray, values: np.ndarray, other: int) -> np.ndarray:
-    if not len(known):
-        return np.full(len(keys), other, np.int64)
-    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-    return np.where(known[at] == keys, values[at], other)
+    """Values of keys by the sorted ``known``."""
+    out = np.full(len(keys), other, np.int64)
+    if len(known):
+        maybe = _sieved(keys, known)
+        own = keys[maybe]
+        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+        out[maybe] = np.where(known[at] == own, values[at], other)
+    return out
 
 
 def _asked(kind: str, shard: int, buckets: int, keys: np.ndarray, *columns: np.ndarray) -> list[tuple]:
     """Rows of _QUESTION: sorted keys split by bucket, each column as eight bytes a value."""
     bucket = (keys >> np.uint64(32)) % np.uint64(buckets)
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    order = np.argsort(bucket)
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
     sorted_columns = [c[order].view(np.uint64) for c in (keys, *columns)]
     return [
         (kind, b, shard, np.concatenate([c[cuts[b] : cuts[b + 1]] for c in sorted_columns]).tobytes())
@@ -169,7 +223,7 @@ def _of_kind(answers: pa.Table, kind: str, n: int) -> np.ndarray:
     """All columns of one kind of answer; sorted by key."""
     found = [_columns(b, n) for k, b in zip(answers.column("kind").to_pylist(), answers.column("body").to_pylist()) if k == kind]
     whole = np.concatenate(found, axis=1) if found else np.empty((n, 0), np.uint64)
-    return whole[:, np.argsort(whole[0], kind="stable")]
+    return whole[:, np.argsort(whole[0])]
 
 
 # Levels: rows (bucket, keys, shards), keys sorted and stored as differences, which compress.
@@ -179,7 +233,7 @@ _LEVEL = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("shards", pa
 
 
 def _level_row(bucket: int, keys: np.ndarray, shards: np.ndarray) -> pa.Table:
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, shards = keys[order], shards[order].astype(np.uint32)
     return _table([(bucket, np.diff(keys, prepend=np.uint64(0)).tobytes(), shards.tobytes())], _LEVEL)
 
@@ -192,16 +246,16 @@ def _level_arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 def _seeds(keys: np.ndarray, shards: np.ndarray) -> pa.Table:
     """Answers 'seed': for each shard, its keys that another shard of the two arrays holds."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, shards = keys[order], shards[order]
     same = keys[1:] == keys[:-1]
     twin = np.concatenate([same, [False]]) | np.concatenate([[False], same])
     keys, shards = keys[twin], shards[twin]
-    order = np.argsort(shards, kind="stable")
+    order = np.argsort(shards)
     keys, shards = keys[order], shards[order]
     own, starts = np.unique(shards, return_index=True)
     ends = [*starts[1:], len(keys)]
-    return _table([(int(s), "seed", np.unique(keys[a:b]).tobytes()) for s, a, b in zip(own, starts, ends)], _ANSWER)
+    return _table([(int(s), "seed", _distinct(keys[a:b]).tobytes()) for s, a, b in zip(own, starts, ends)], _ANSWER)
 
 
 class LogIndex:
@@ -272,7 +326,10 @@ def _least_answers(kinds: dict[str, Callable]) -> Callable:
 
 
 def _least_owner(kind: str) -> Callable:
-    """For each shard, the keys of which another has a smaller id, with the smallest."""
+    """For each shard, the keys that it has under a larger id than the smallest anywhere, with the smallest.
+
+    A shard that has its keys under several ids asks as -1 - shard.
+    """
 
     def of(shards: list[int], bodies: list[bytes]) -> pa.Table:
         columns = [_columns(b, 2) for b in bodies]
@@ -280,9 +337,9 @@ def _least_owner(kind: str) -> Callable:
         rows = []
         for shard, (own, least) in zip(shards, columns):
             best = _looked_up(own, keys, ids, LAST)
-            less = best < least.view(np.int64)
+            less = (best < least.view(np.int64)) | (shard < 0)
             if less.any():
-                rows.append((shard, kind, np.concatenate([own[less], best[less].view(np.uint64)]).tobytes()))
+                rows.append((max(shard, -1 - shard), kind, np.concatenate([own[less], best[less].view(np.uint64)]).tobytes()))
         return _table(rows, _ANSWER)
 
     return of
@@ -314,79 +371,78 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, b
     ).option("compression", "zstd").saveAsTable(f"{name}_texts")
     texts = spark.table(f"{name}_texts")
 
-    def runs_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Key, context and id of every run of a shard."""
-        found = [(r.key, r.context, np.full(len(r.key), d, np.int64)) for d, data in _texts(table) for r in [Runs(data, length, gram)]]
-        return tuple(np.concatenate(x) for x in zip(*found))
+    def read(table: pa.Table) -> tuple[np.ndarray, list[bytes], Runs]:
+        """Ids, bytes and runs of a shard."""
+        ids, data = zip(*_texts(table))
+        return np.array(ids, np.int64), list(data), Runs(list(data), length, gram)
 
     def arrays(key: tuple, table: pa.Table) -> pa.Table:
-        keys, _, _ = runs_of(table)
-        return _table(_asked("array", key[0].as_py(), buckets, np.unique(keys)), _QUESTION)
+        return _table(_asked("array", key[0].as_py(), buckets, _distinct(read(table)[2].key)), _QUESTION)
 
-    def contexts(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
-        keys, own, ids = runs_of(table)
+    def bounds(kind: str, shard: int, keys: np.ndarray, ids: np.ndarray) -> list[tuple]:
+        """Questions for the smallest id of each key, with the shard's own; apart for keys of several ids."""
         distinct, least, most = _least(keys, ids, -1 - ids)
+        one = least == -1 - most
+        return _asked(kind, shard, buckets, distinct[one], least[one]) + _asked(kind, -1 - shard, buckets, distinct[~one], least[~one])
+
+    def contexts(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+        ids, _, r = read(table)
+        ids = ids[r.doc]
+        distinct, least, most = _least(r.key, ids, -1 - ids)
         shared = distinct[least != -1 - most]  # by several ids of this shard
-        wanted = _among(keys, np.union1d(shared, _of_kind(answers, "seed", 1)[0]))
-        keys, own, ids = keys[wanted], own[wanted], ids[wanted]
-        shard = key[0].as_py()
+        wanted = _among(r.key, _distinct(np.concatenate([shared, _of_kind(answers, "seed", 1)[0]])))
+        keys, own, ids = r.key[wanted], r.context[wanted], ids[wanted]
         low = _least(keys, own, ~own)
-        return _table(
-            _asked("owner", shard, buckets, *_least(own, ids)) + _asked("several", shard, buckets, low[0], low[1], ~low[2]),
-            _QUESTION,
-        )
+        shard = key[0].as_py()
+        return _table(bounds("owner", shard, own, ids) + _asked("several", shard, buckets, low[0], low[1], ~low[2]), _QUESTION)
 
     def judged(table: pa.Table, answers: pa.Table):
-        """Per document: id, bytes, runs, which runs are repeated whole, which must ask window by window."""
-        docs_here = _texts(table)
-        all_runs = [Runs(data, length, gram) for _, data in docs_here]
-        ids = np.concatenate([np.full(len(r.key), d, np.int64) for (d, _), r in zip(docs_here, all_runs)])
-        contexts_here, least = _least(np.concatenate([r.context for r in all_runs]), ids)
+        """Ids, bytes, runs, which runs are repeated whole, and (document, starts) that must be asked window by window."""
+        ids, data, r = read(table)
         owners = _of_kind(answers, "owner", 2)
-        least = np.minimum(least, _looked_up(contexts_here, owners[0], owners[1].view(np.int64), LAST))
-        several = _of_kind(answers, "several", 1)[0]
-        for (d, data), r in zip(docs_here, all_runs):
-            whole = _looked_up(r.context, contexts_here, least, LAST) < d
-            yield d, data, r, whole, ~whole & _among(r.key, several)
+        whole = _looked_up(r.context, owners[0], owners[1].view(np.int64), LAST) < ids[r.doc]
+        ask = np.flatnonzero(~whole & _among(r.key, _of_kind(answers, "several", 1)[0]))
+        asked = []
+        for part in np.split(ask, np.flatnonzero(np.diff(r.doc[ask])) + 1) if len(ask) else ():
+            sizes = r.last[part] - r.first[part] + 1
+            within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            asked.append((int(r.doc[part[0]]), np.repeat(r.first[part], sizes) + within))
+        return ids, data, r, whole, asked
 
     def windows(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
-        hashes, ids = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-        for d, _, r, _, ask in judged(table, answers):
-            for i in np.flatnonzero(ask):
-                h = r.windows(i)
-                hashes.append(h)
-                ids.append(np.full(len(h), d, np.int64))
-        return _table(_asked("window", key[0].as_py(), buckets, *_least(np.concatenate(hashes), np.concatenate(ids))), _QUESTION)
+        ids, data, _, _, asked = judged(table, answers)
+        hashes = np.concatenate([np.empty(0, np.uint64), *(window_hashes(data[j], s, length) for j, s in asked)])
+        owners = np.concatenate([np.empty(0, np.int64), *(np.full(len(s), ids[j], np.int64) for j, s in asked)])
+        return _table(bounds("window", key[0].as_py(), hashes, owners), _QUESTION)
 
     def removed(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+        ids, data, r, whole, asked = judged(table, answers)
         known = _of_kind(answers, "window", 2)
-        rows = list(judged(table, answers))
-        asked = [(j, i, r.windows(i)) for j, (_, _, r, _, ask) in enumerate(rows) for i in np.flatnonzero(ask)]
-        here = _least(
-            np.concatenate([np.empty(0, np.uint64), *(h for _, _, h in asked)]),
-            np.concatenate([np.empty(0, np.int64), *(np.full(len(h), rows[j][0], np.int64) for j, _, h in asked)]),
-        )
-        starts: dict[int, list[np.ndarray]] = {}
-        for j, i, h in asked:
-            least = np.minimum(_looked_up(h, *here, LAST), _looked_up(h, known[0], known[1].view(np.int64), LAST))
-            starts.setdefault(j, []).append(rows[j][2].first[i] + np.flatnonzero(least < rows[j][0]))
+        runs_at = np.searchsorted(r.doc, np.arange(len(data) + 1))
+        hashes = [window_hashes(data[j], s, length) for j, s in asked]
+        least = _looked_up(np.concatenate([np.empty(0, np.uint64), *hashes]), known[0], known[1].view(np.int64), LAST)
+        cuts = np.cumsum([len(h) for h in hashes])[:-1] if hashes else []
+        single = {j: s[own < ids[j]] for (j, s), own in zip(asked, np.split(least, cuts))}
         out = []
-        for j, (d, data, r, whole, _) in enumerate(rows):
-            change = np.zeros(len(data) + 1, np.int64)
-            np.add.at(change, r.first[whole], 1)
-            np.add.at(change, r.last[whole] + length, -1)
-            for s in starts.get(j, ()):
-                np.add.at(change, s, 1)
-                np.add.at(change, s + length, -1)
-            covered = np.concatenate([[False], np.cumsum(change[:-1]) > 0, [False]])
-            edges = np.flatnonzero(covered[1:] != covered[:-1])
-            spans = list(zip(edges[::2].tolist(), edges[1::2].tolist()))
+        for j, text in enumerate(data):
+            own = slice(runs_at[j], runs_at[j + 1])
+            hit = whole[own]
+            begins, ends = r.first[own][hit], r.last[own][hit] + length
+            if j in single:
+                begins, ends = np.concatenate([begins, single[j]]), np.concatenate([ends, single[j] + length])
+            spans: list[tuple[int, int]] = []
+            if len(begins):
+                change = np.bincount(begins, minlength=len(text) + 1) - np.bincount(ends, minlength=len(text) + 1)
+                covered = np.concatenate([[False], np.cumsum(change[:-1]) > 0, [False]])
+                edges = np.flatnonzero(covered[1:] != covered[:-1])
+                spans = list(zip(edges[::2].tolist(), edges[1::2].tolist()))
             digest, at = hashlib.sha256(), 0
             for a, b in spans:
-                digest.update(data[at:a])
+                digest.update(text[at:a])
                 at = b
-            digest.update(data[at:])
-            out.append((None if d == LAST else d, len(data), sum(b - a for a, b in spans), len(spans), digest.hexdigest(), [{"start": a, "end": b} for a, b in spans]))
+            digest.update(text[at:])
+            doc = None if ids[j] == LAST else int(ids[j])
+            out.append((doc, len(text), sum(b - a for a, b in spans), len(spans), digest.hexdigest(), [{"start": a, "end": b} for a, b in spans]))
         return _table(out, _RESULT)
 
     questions = "kind string, bucket int, shard int, body binary"
