@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from factweave.operators.binding import CAUSAL, MAGNITUDE
-from factweave.queries import PLAN, REGISTRY
+from factweave.queries import LONG_PLAN, PLAN, REGISTRY
 
 
 def _day(d) -> str:
@@ -93,6 +93,21 @@ def _sparse_week() -> str:
 
 _MONEY = "CASE WHEN v < 0 THEN '-' ELSE '' END || '$' || format('{:,.%df}', abs(v))"
 
+_SHORTLIST = f"""{_WEEK}, sized AS (
+  SELECT *, coalesce(abs(z), 0) AS az, coalesce(abs(CASE WHEN statistic IN ('rate', 'mean') THEN wow_pct ELSE share END), 0) AS impact FROM shared
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY metric_id, cut_dim ORDER BY az DESC, cut) AS zp, row_number() OVER (PARTITION BY metric_id, cut_dim ORDER BY impact DESC, cut) AS ip FROM sized WHERE cut_dim IS NOT NULL
+), chosen AS (
+  SELECT *, concat_ws(',', CASE WHEN ip <= 2 AND impact > 0 AND statistic IN ('count', 'sum') THEN 'contribution_share_pct' END, CASE WHEN gone THEN 'disappeared' END,
+            CASE WHEN fresh AND NOT gone THEN 'newly_appeared' END, CASE WHEN zp <= 2 AND az > 0 THEN 'screening_z' END,
+            CASE WHEN ip <= 2 AND impact > 0 AND statistic IN ('rate', 'mean') THEN 'wow_pct' END) AS channels FROM placed
+), kept AS (
+  SELECT *, row_number() OVER (PARTITION BY metric_id, cut_dim ORDER BY length(channels) - length(replace(channels, ',', '')) DESC, az DESC, cut) AS place FROM chosen WHERE channels <> ''
+), listed AS (
+  SELECT metric_ord, 0 AS dim_ord, 0 AS place, metric_id, cut, 'overall' AS channels FROM week WHERE cut = 'overall'
+  UNION ALL SELECT metric_ord, CASE cut_dim WHEN 'region' THEN 1 ELSE 2 END, place, metric_id, cut, channels FROM kept WHERE place <= 4
+)"""
+
 ORACLE_SQL = {
     "daily_cells": f"WITH {_CELLS} SELECT day, region, priority, sessions, orders, {_six('gmv', 'gmv')} FROM cells",
     "source_summary": f"WITH {_CELLS} SELECT min(day) AS first_day, max(day) AS last_day, count(*) AS n_rows FROM cells",
@@ -148,21 +163,26 @@ SELECT o_orderkey, {_MONEY % 0} AS usd0, format('{{:,.2f}}', v) AS plain2, forma
        CASE WHEN v < 0 THEN '-' ELSE '+' END || format('{{:,.1f}}', abs(v)) || 'pp' AS points1, replace(format('{{:,.2f}}', v), ',', '') AS digits FROM rows""",
     "severity": f"{_WEEK} SELECT metric_id, cut, CASE WHEN abs(wow_pct) >= 20 OR coalesce(abs(z) >= 3, FALSE) THEN 'high' WHEN abs(wow_pct) >= 8 OR coalesce(abs(z) >= 2, FALSE) THEN 'medium' ELSE 'low' END AS severity FROM week",
     "dismissal_reasons": f"{_WEEK} SELECT metric_id, cut, CASE WHEN flags LIKE '%no_exposure%' THEN 'data-quality' WHEN abs(wow_pct) < 8 THEN 'within-baseline-variation' ELSE 'small-absolute-impact' END AS reason FROM week",
-    "shortlist": f"""{_WEEK}, sized AS (
-  SELECT *, coalesce(abs(z), 0) AS az, coalesce(abs(CASE WHEN statistic IN ('rate', 'mean') THEN wow_pct ELSE share END), 0) AS impact FROM shared
-), placed AS (
-  SELECT *, row_number() OVER (PARTITION BY metric_id, cut_dim ORDER BY az DESC, cut) AS zp, row_number() OVER (PARTITION BY metric_id, cut_dim ORDER BY impact DESC, cut) AS ip FROM sized WHERE cut_dim IS NOT NULL
-), chosen AS (
-  SELECT *, concat_ws(',', CASE WHEN ip <= 2 AND impact > 0 AND statistic IN ('count', 'sum') THEN 'contribution_share_pct' END, CASE WHEN gone THEN 'disappeared' END,
-            CASE WHEN fresh AND NOT gone THEN 'newly_appeared' END, CASE WHEN zp <= 2 AND az > 0 THEN 'screening_z' END,
-            CASE WHEN ip <= 2 AND impact > 0 AND statistic IN ('rate', 'mean') THEN 'wow_pct' END) AS channels FROM placed
-), kept AS (
-  SELECT *, row_number() OVER (PARTITION BY metric_id, cut_dim ORDER BY length(channels) - length(replace(channels, ',', '')) DESC, az DESC, cut) AS place FROM chosen WHERE channels <> ''
-), listed AS (
-  SELECT metric_ord, 0 AS dim_ord, 0 AS place, metric_id, cut, 'overall' AS channels FROM week WHERE cut = 'overall'
-  UNION ALL SELECT metric_ord, CASE cut_dim WHEN 'region' THEN 1 ELSE 2 END, place, metric_id, cut, channels FROM kept WHERE place <= 4
+    "shortlist": f"{_SHORTLIST} SELECT CAST(row_number() OVER (ORDER BY metric_ord, dim_ord, place) AS INT) AS rank, metric_id, cut, channels FROM listed",
+    "claim_binding": f"""{_SHORTLIST}, drafts AS (
+  SELECT w.metric_id || '/' || w.cut AS draft_id, w.value, old.value AS old FROM listed JOIN week w USING (metric_id, cut)
+  JOIN rec old ON old.metric_id = w.metric_id AND old.cut = w.cut AND old.label = '{PLAN.week_baselines[-1].label}' WHERE w.value IS NOT NULL
+)
+SELECT draft_id, 0 AS claim, draft_id || '/{PLAN.week.label}/value' AS fact_id, 'bound' AS status, {_six('value', 'claimed')}, {_six('value', 'computed')} FROM drafts
+UNION ALL SELECT draft_id, 1, draft_id || '/{PLAN.week.label}/value', 'mismatch', {_six('value * 2 + 7', 'claimed')}, {_six('value', 'computed')} FROM drafts
+UNION ALL SELECT draft_id, 2, 'none/overall/x/value', 'dangling', 1.0, NULL FROM drafts
+UNION ALL SELECT draft_id, 3, draft_id || '/{PLAN.week_baselines[-1].label}/value', 'not_in_pack', 0.0, {_six('old', 'computed')} FROM drafts""",
+    "draft_violations": f"""{_SHORTLIST}, drafts AS (
+  SELECT w.metric_id || '/' || w.cut AS draft_id, w.metric_id IN ('orders', 'sessions') AND w.value = 12 AS is_twelve FROM listed JOIN week w USING (metric_id, cut) WHERE w.value IS NOT NULL
 )
-SELECT CAST(row_number() OVER (ORDER BY metric_ord, dim_ord, place) AS INT) AS rank, metric_id, cut, channels FROM listed""",
+SELECT draft_id, code, CAST(1 AS BIGINT) AS n FROM drafts, (VALUES ('E010'), ('E011'), ('E012'), ('E020'), ('E030')) AS c(code) WHERE NOT (code = 'E020' AND is_twelve)""",
+    "provenance_closure": f"""{_WEEK}
+SELECT metric_id || '/' || cut || '/{PLAN.week.label}/contribution_share_pct' AS root, CAST(7 AS BIGINT) AS n, CAST(2 AS BIGINT) AS deepest FROM week WHERE cut_dim IS NOT NULL AND statistic IN ('count', 'sum')
+UNION ALL SELECT metric_id || '/' || cut || '/{PLAN.partial.label}/vs_slice_pct', {2 + len(PLAN.partial_baselines)}, 1 FROM week""",
+    "coverage_days_missing": f"SELECT day FROM {_values([_day(d) for d in LONG_PLAN.expected_days()])} AS t(day) WHERE day NOT IN (SELECT CAST(o_orderdate AS DATE) FROM orders)",
+    "weekly_history": f"""WITH {_CELLS}, weeks AS (SELECT day - CAST(dayofweek(day) AS INT) AS week, sum(sessions) AS sessions, sum(orders) AS orders FROM cells GROUP BY ALL),
+ near AS (SELECT *, lag(sessions) OVER w AS prior, avg(sessions) OVER (w ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS base FROM weeks WINDOW w AS (ORDER BY week))
+SELECT week, sessions, orders, sessions - prior AS wow_delta, {_six('(sessions - prior) / nullif(abs(prior), 0) * 100', 'wow_pct')}, {_six('base', 'baseline_mean')} FROM near""",
     "trailing_windows": f"""WITH {_CELLS}, days AS (SELECT day, sum(sessions) AS sessions FROM cells GROUP BY day), joined AS (
   SELECT a.day, a.sessions, count(b.day) AS n, median(b.sessions) AS m, mad(b.sessions) AS mad
   FROM days a LEFT JOIN days b ON b.day BETWEEN a.day - 56 AND a.day - 7 AND (a.day - b.day) % 7 = 0 GROUP BY ALL

@@ -19,6 +19,8 @@ from factweave.sources import cells as C
 
 AS_OF = date(1997, 10, 23)
 PLAN = build_plan(AS_OF)
+#: A plan long enough to meet days without orders where the tables are small.
+LONG_PLAN = build_plan(date(2001, 7, 26), 330, 8)
 REGISTRY = shop_registry(*C.ORDERS.dims)
 
 
@@ -89,8 +91,7 @@ def coverage(spark, sf_dir):
 
 
 def coverage_days_missing(spark, sf_dir):
-    late = build_plan(date(2000, 10, 19), 20, 8)
-    return R.missing_days(C.cells_from_orders(spark, sf_dir), late).select("day")
+    return R.missing_days(C.cells_from_orders(spark, sf_dir), LONG_PLAN).select("day")
 
 
 def source_summary(spark, sf_dir):
@@ -192,6 +193,14 @@ def trailing_windows(spark, sf_dir):
     return rows.select("day", "sessions", F.col("r.n").cast("long").alias("n"), _six(F.col("r.median"), "weekday_median"), _six(F.col("r.scale"), "robust_scale"), _six(F.col("r.score"), "robust_score"))
 
 
+def weekly_history(spark, sf_dir):
+    """Every week of history against the week before and the mean of the four before, by row frames."""
+    weeks = C.cells_from_orders(spark, sf_dir).groupBy(D.week_start(F.col("day")).alias("week")).agg(F.sum("sessions").alias("sessions"), F.sum("orders").alias("orders"))
+    w = Window.partitionBy(F.lit(1)).orderBy("week")
+    prior, base = F.lag("sessions", 1).over(w), F.avg("sessions").over(w.rowsBetween(-4, -1))
+    return weeks.select("week", "sessions", "orders", S.delta(F.col("sessions"), prior).alias("wow_delta"), _six(S.pct_change(F.col("sessions"), prior), "wow_pct"), _six(base, "baseline_mean"))
+
+
 def prose_numbers(spark, sf_dir):
     """Figures in documents; rows only, as the grammar needs look-behind."""
     texts = _read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("draft_id"), F.to_json(F.struct(F.array(F.struct(
@@ -252,5 +261,5 @@ def unresolved_inputs(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     flagship, daily_cells, source_dq, source_summary, calendar_columns, week_totals, segment_universe, period_grid, coverage, coverage_days_missing, wow,
     baseline_compare, rate_adequacy, rate_z, contribution, daily_robust, partial_slice, appeared_disappeared, facts_long, fact_ids, display_format, shortlist,
-    pack, severity, dismissal_reasons, trailing_windows, prose_numbers, prose_dates, prose_lexicons, claim_binding, draft_violations, provenance_closure, unresolved_inputs,
+    pack, severity, dismissal_reasons, trailing_windows, weekly_history, prose_numbers, prose_dates, prose_lexicons, claim_binding, draft_violations, provenance_closure, unresolved_inputs,
 )}
