@@ -8,9 +8,9 @@ roots where underfull bins are too many for one task.  Only numbers travel
 (32 bytes a piece); texts are read once and never shuffled.
 
 Token ids are those of the public byte-level BPE; its vocabulary file is a
-parameter.  Splits of the BPE's pattern always fall before a single space
-between two visible characters, so chunks between such spaces are encoded
-apart and remembered.
+parameter.  Splits of the BPE's pattern always fall before a single space and
+around a single line end between two visible characters, so the chunks
+between them are encoded apart and remembered.
 
 Defined results: a null text is empty, so its document is id 0 alone; null
 ids and repeated rows are packed like others; equal lengths are ordered by
@@ -35,8 +35,8 @@ from factweave.llm.common import written
 CHUNKS_KEPT = 1 << 19
 PIECE = np.dtype([("doc", "<i8"), ("none", "?"), ("piece", "<i4"), ("start", "<i8"), ("length", "<i4"), ("crc", "<u4")])
 BINS = "bin long, size int, members binary"
-#: A space that is not between two visible characters.
-_ODD_SPACE = re.compile(r"(?:^|\s) | (?:\s|$)")
+#: A space or line end that is not between two visible characters.
+_ODD_SPACE = re.compile(r"\s[ \n]|[ \n]\s|\A[ \n]|[ \n]\Z")
 
 _encoders: dict[str, "_Encoder"] = {}
 
@@ -52,7 +52,9 @@ class _Encoder(dict):
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.at_start: dict[str, bytes] = {}
         self._bpe = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self._line_end = self.plain("\n")
 
     def plain(self, text: str) -> bytes:
         return np.array(self._bpe.encode_ordinary(text), "<u4").tobytes()
@@ -62,12 +64,19 @@ class _Encoder(dict):
         return ids
 
     def ids(self, text: str) -> bytes:
-        if len(self) > CHUNKS_KEPT:
+        if len(self) + len(self.at_start) > CHUNKS_KEPT:
             self.clear()
+            self.at_start.clear()
         if _ODD_SPACE.search(text):
             return self.plain(text)
-        first, *rest = text.split(" ")
-        return self.plain(first) + b"".join(map(self.__getitem__, rest))
+        return self._line_end.join(map(self._line, text.split("\n")))
+
+    def _line(self, line: str) -> bytes:
+        first, *rest = line.split(" ")
+        ids = self.at_start.get(first)
+        if ids is None:
+            ids = self.at_start[first] = self.plain(first)
+        return ids + b"".join(map(self.__getitem__, rest))
 
 
 def encoder(path: str) -> _Encoder:
