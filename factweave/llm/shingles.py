@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 
 #: Words remembered per Python worker; the memory is emptied beyond it.
-WORDS_KEPT = 1 << 19
+WORDS_KEPT = 1 << 17
 
 
 class _WordHashes(dict):
