@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from factweave.llm.common import written
 
 #: Chunks remembered per Python worker; the memory is emptied beyond it.
-CHUNKS_KEPT = 1 << 17
+CHUNKS_KEPT = 1 << 18
 PIECE = np.dtype([("doc", "<i8"), ("none", "?"), ("piece", "<i4"), ("start", "<i8"), ("length", "<i4"), ("crc", "<u4")])
 BINS = "bin long, size int, members binary"
 #: A space or line end that is not between two visible characters.
