@@ -2,8 +2,9 @@ r"""MinHash near-duplicates with tensored banding and exact confirmation.
 
 A table's key is a pair (i, j) of sub-keys from two small collections of
 ``per_side`` sub-keys, each of two minhashes: ``per_side``\ :sup:`2` tables of
-four minhashes from 4 * per_side minhashes.  With the default, a pair of
-similarity 0.85 shares no table with probability about 5e-6.
+four minhashes from 4 * per_side minhashes.  ``per_side`` follows from the
+threshold, so that a pair at it shares no table with probability 1e-5 at most
+(10 and 5e-6 at 0.85, 12 and 9e-6 at 0.80).
 
 Texts with equal shingle sets form one class, which is one node.  A sub-key
 that only one class has can't be half of a shared table key, so it is left
@@ -25,6 +26,7 @@ columns can't clash.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -105,11 +107,20 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-#: The last round's tables: 75 of 12 minhashes; a pair of similarity 0.85 shares none with probability 1e-5.
-LAST_TABLES, LAST_ROWS = 75, 12
 SKETCH_BITS, SKETCH_DEVIATIONS = 2048, 4.5
 
 
+def first_tables(percent: int) -> int:
+    """Sub-keys per side: a pair at the threshold shares none on one of the sides with probability 1e-5 at most."""
+    return max(1, math.ceil(math.log(5e-6) / math.log1p(-min(0.999, (percent / 100) ** 2))))
+
+
+def last_tables(percent: int) -> tuple[int, int]:
+    """The last round's tables and minhashes in each: a pair at the threshold shares none with probability 1.1e-5 at most."""
+    rows = max(r for r in range(1, 25) if r == 1 or (percent / 100) ** r >= 0.13)
+    return max(1, math.ceil(math.log(1.1e-5) / math.log1p(-min(0.999, (percent / 100) ** rows)))), rows
+
+
 def _close_pairs(crowded: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of nodes with different roots that a sharper sketch can't tell from linked ones.
 
@@ -128,6 +139,8 @@ def _close_pairs(crowded: DataFrame, sets: DataFrame, percent: int) -> DataFrame
         "node", "root", "shingles", F.size("shingles").alias("n"), (F.size("shingles") - F.coalesce("private", F.lit(0))).alias("common")
     ).where(F.col("common") * 100 >= F.col("n") * percent)
 
+    n_tables, n_rows = last_tables(percent)
+
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors, offsets = odd_factors(SKETCH_BITS, 21), odd_factors(SKETCH_BITS, 22)
         for batch in batches:
@@ -135,7 +148,7 @@ def _close_pairs(crowded: DataFrame, sets: DataFrame, percent: int) -> DataFrame
             for value in batch.column(2):
                 mins = _minhashes(value.values.to_numpy().view(np.uint64), factors, offsets)
                 bits.append(np.packbits((mins & np.uint32(1)).astype(np.uint8)).view(np.int64))
-                rows = mins[: LAST_TABLES * LAST_ROWS].reshape(LAST_TABLES, LAST_ROWS)
+                rows = mins[: n_tables * n_rows].reshape(n_tables, n_rows)
                 keys.append([
                     int.from_bytes(hashlib.blake2b(r.tobytes(), digest_size=8, key=i.to_bytes(2, "big")).digest(), "big", signed=True)
                     for i, r in enumerate(rows)
@@ -187,9 +200,10 @@ def _set_rows(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, *, percent: int = 85, per_side: int = 10, width: int = 5, hub_rounds: int = 1
+    docs: DataFrame, *, percent: int = 85, per_side: int | None = None, width: int = 5, hub_rounds: int = 1
 ) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, digest, class_id, n_links (of its class), component_id, kept."""
+    per_side = per_side or first_tables(percent)
     signed = written(signatures(docs, per_side=per_side, width=width), "signatures")
     classes = written(
         signed.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.first("minhashes").alias("minhashes"))
