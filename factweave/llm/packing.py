@@ -10,7 +10,9 @@ roots where underfull bins are too many for one task.  Only numbers travel
 Token ids are those of the public byte-level BPE; its vocabulary file is a
 parameter.  Splits of the BPE's pattern always fall before a single space and
 around a single line end between two visible characters, so the chunks
-between them are encoded apart and remembered.
+between them are encoded apart and remembered.  The vocabulary's added token
+(``<|endoftext|>``, the id after the last rank) is cut out of the texts first
+and gives its one id, as ``tokenizers`` does.
 
 Defined results: a null text is empty, so its document is id 0 alone; null
 ids and repeated rows are packed like others; equal lengths are ordered by
@@ -34,6 +36,7 @@ from factweave.llm.common import written
 #: Chunks remembered per Python worker; the memory is emptied beyond it.
 CHUNKS_KEPT = 1 << 18
 PIECE = np.dtype([("doc", "<i8"), ("none", "?"), ("piece", "<i4"), ("start", "<i8"), ("length", "<i4"), ("crc", "<u4")])
+ADDED_TOKEN = "<|endoftext|>"
 BINS = "bin long, size int, members binary"
 #: A space or line end that is not between two visible characters.
 _ODD_SPACE = re.compile(r"\s[ \n]|[ \n]\s|\A[ \n]|[ \n]\Z")
@@ -55,6 +58,7 @@ class _Encoder(dict):
         self.at_start: dict[str, bytes] = {}
         self._bpe = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._line_end = self.plain("\n")
+        self._added = np.array([max(ranks.values()) + 1], "<u4").tobytes()
 
     def plain(self, text: str) -> bytes:
         return np.array(self._bpe.encode_ordinary(text), "<u4").tobytes()
@@ -71,6 +75,12 @@ class _Encoder(dict):
             return self.plain(text)
         return self._line_end.join(map(self._line, text.split("\n")))
 
+    def ids_with_added(self, text: str) -> bytes:
+        """Like ``ids``, but the added token is one id and what lies around it is encoded apart."""
+        if ADDED_TOKEN not in text:
+            return self.ids(text)
+        return self._added.join(self.ids(part) if part else b"" for part in text.split(ADDED_TOKEN))
+
     def _line(self, line: str) -> bytes:
         first, *rest = line.split(" ")
         ids = self.at_start.get(first)
@@ -150,7 +160,7 @@ def pack(
     end = np.array([end_id], "<u4").tobytes()
 
     def first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = encoder(path).ids
+        ids_of = encoder(path).ids_with_added
         items = []
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
