@@ -3,7 +3,10 @@ r"""Personal data by weak supervision: labelers vote, EM weighs them, a classifi
 Base spans (email, ip, card, phone) are fixed grammars and always stay.
 Candidates that the grammars leave (local phone numbers, national ids,
 names, secrets) get votes of five labelers: pattern (is the strict form
-met), gazetteer, context cues, boundary and shape.  The counts of vote
+met), gazetteer, context cues, boundary and shape.  Every pair of capitalised
+words is tried as a name, also where pairs overlap, and is a candidate where
+pattern (a title before it), gazetteer or context speaks for it; a secret's
+keyword may stand anywhere in an identifier, in any case.  The counts of vote
 patterns over all rows are grouped by Spark; a kind has at most
 3^5 patterns x 4 lengths, so the table that reaches the driver is bounded
 however large the corpus is.  Expectation-maximisation on that table
@@ -11,8 +14,8 @@ estimates each labeler's reliability per kind, and a logistic regression on
 votes, kind and length is fitted to the posteriors.
 
 Defined results: a null text counts as empty; offsets are code points, end
-exclusive; spans of one kind don't overlap, candidates that touch a base span
-or an earlier candidate are dropped; repeated rows repeat; without candidates
+exclusive; candidates that touch a base span are dropped, and of accepted ones
+that overlap the likeliest stays (of equals the first); repeated rows repeat; without candidates
 no classifier is trained and base spans remain.
 """
 
@@ -20,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -47,8 +51,13 @@ _NOT_DIGIT = re.compile(r"[^0-9]+")
 
 _LOCAL_PHONE = re.compile(r"(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])")
 _NATIONAL_ID = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])")
-_NAME = re.compile(r"\b([A-Z][a-z]{1,20}) [A-Z][a-z]{1,20}\b")
-_SECRET = re.compile(r"\b(?:token|secret|password|passwd|api_key|apikey|access_key)\b[\"']?\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9_+/=-]{16,})")
+_NAME = re.compile(r"\b(?=([A-Z][a-z]{1,20} [A-Z][a-z]{1,20})\b)")
+_TITLE = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof)\.? \Z")
+# An identifier is tried at its start only.
+_SECRET = re.compile(
+    r"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]*?(?ai:token|secret|password|passwd|api[_-]?key|access[_-]?key))[A-Za-z0-9_-]++"
+    r"[\"']?\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9_+/=-]{16,})"
+)
 
 FIRST_NAMES = frozenset(
     "James Mary Robert Patricia John Jennifer Michael Linda David Elizabeth William Barbara Richard Susan Joseph "
@@ -115,22 +124,25 @@ def _votes(kind: str, text: str, start: int, end: int) -> str:
     cues, counter = _CUE_WORDS[kind]
     digits = sum(c.isdigit() for c in span)
     if kind == "local_phone":
-        pattern, listed = 10 == digits, span[-8:-5] == "555"
+        area, exchange = [c for c in span if c.isdigit()][0:4:3]  # neither begins with 0 or 1
+        pattern, listed = area > "1" and exchange > "1", span[-8:-5] == "555"
         shape = span[0] == "(" or span[3] in "-."
     elif kind == "national_id":
         pattern, listed = span[:3] not in ("000", "666") and span[0] != "9" and span[4:6] != "00" and span[7:] != "0000", False
         shape = len(set(span)) > 3
     elif kind == "name":
         first, second = span.split(" ")
-        pattern, listed = first in FIRST_NAMES, first in FIRST_NAMES and second not in FIRST_NAMES
+        cue = first.lower() in cues or first == "Prof"
+        pattern = 1 if _TITLE.search(text, max(0, start - 6), start) else -1 if cue else 0
+        listed = 1 if first in FIRST_NAMES else -1 if second in FIRST_NAMES or second.lower() in counter else 0
         shape = len(second) > 2
     else:
         pattern = len(span) >= 20
         listed = len(span) in (20, 32, 36, 40, 64)
         shape = digits * 10 >= len(span) and digits < len(span)
     vote = {
-        "pattern": 1 if pattern else -1,
-        "gazetteer": 1 if listed else 0,
+        "pattern": pattern if kind == "name" else 1 if pattern else -1,
+        "gazetteer": int(listed),
         "context": 1 if before & cues else -1 if before & counter else 0,
         "boundary": -1 if (start and text[start - 1].isalnum()) or (end < len(text) and text[end].isalnum()) else 1,
         "shape": 1 if shape else -1,
@@ -139,24 +151,25 @@ def _votes(kind: str, text: str, start: int, end: int) -> str:
 
 
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str]]:
-    """(start, kind, end, votes and length class) that overlap neither ``taken`` nor each other, leftmost first."""
+    """(start, kind, end, votes and length class) that overlap none of ``taken``, leftmost first; they may overlap each other."""
     found = []
     if _DIGIT.search(text):
         found += [(m.start(), 4, m.end()) for m in _LOCAL_PHONE.finditer(text)]
         found += [(m.start(), 5, m.end()) for m in _NATIONAL_ID.finditer(text)]
-    found += [(m.start(), 6, m.end()) for m in _NAME.finditer(text) if m.group(1) in FIRST_NAMES]
+    found += [(m.start(1), 6, m.end(1)) for m in _NAME.finditer(text)]
     if "=" in text or ":" in text:
         found += [(m.start(1), 7, m.end(1)) for m in _SECRET.finditer(text)]
-    out, at, i = [], 0, 0
+    out, i = [], 0
     bounds = sorted((a, b) for a, _, b in taken)
     for start, kind, end in sorted(found):
         while i < len(bounds) and bounds[i][1] <= start:
             i += 1
-        if start < at or (i < len(bounds) and bounds[i][0] < end):
+        if i < len(bounds) and bounds[i][0] < end:
+            continue
+        votes = _votes(KINDS[kind], text, start, end)
+        if kind == 6 and "+" not in votes[:3]:  # neither pattern nor gazetteer nor context speaks for a name
             continue
-        at = end
-        size = min(3, (end - start) // 12)
-        out.append((start, kind, end, f"{_votes(KINDS[kind], text, start, end)}{size}"))
+        out.append((start, kind, end, f"{votes}{min(3, (end - start) // 12)}"))
     return out
 
 
@@ -174,6 +187,17 @@ class SpanModel:
     def accepts(self, kind: int, key: str, least: float = 0.5) -> bool:
         return self.probability.get((kind, key), 0.0) >= least
 
+    def chosen(self, found: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int]]:
+        """(start, kind, end) of accepted candidates; of those that overlap the likeliest, of equals the first."""
+        out: list[tuple[int, int, int]] = []
+        for start, kind, end, key in sorted(found, key=lambda c: (-self.probability.get((c[1], c[3]), 0.0), c)):
+            if not self.accepts(kind, key):
+                break
+            at = bisect(out, (start, kind, end))
+            if (not at or out[at - 1][2] <= start) and (at == len(out) or end <= out[at][0]):
+                out.insert(at, (start, kind, end))
+        return out
+
 
 def _em(votes: np.ndarray, weight: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
     """Posteriors, and P(vote | class) as [class, labeler, vote + 1], by MAP-EM with a prior that labelers beat chance."""
@@ -263,22 +287,22 @@ def find(docs: DataFrame) -> tuple[DataFrame, SpanModel]:
     """Per row: doc_id, counts, base_sha256 and the string of all spans; and the model."""
     scanned = written(scan(docs), "spans")
     model = train(_pattern_counts(scanned))
-    good = [F.struct(F.lit(k).alias("kind"), F.lit(key).alias("key")) for (k, key) in sorted(model.probability) if model.accepts(k, key)]
-    own = F.col("base")
-    if good:
-        added = F.filter("candidates", lambda c: F.array_contains(F.array(*good), F.struct(c["kind"].alias("kind"), c["key"].alias("key"))))
-        own = F.concat("base", F.transform(added, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"))))
-    kinds = F.array(*[F.lit(k) for k in KINDS])
-    said = F.transform(F.array_sort(own), lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"], s["end"]))
-    return scanned.select(
-        "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", F.concat_ws(",", said).alias("spans")
-    ), model
+
+    def say(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            said = [
+                joined([*((b["start"], b["kind"], b["end"]) for b in base), *model.chosen([(c["start"], c["kind"], c["end"], c["key"]) for c in found])])
+                for base, found in zip(batch.column(6).to_pylist(), batch.column(7).to_pylist())
+            ]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(said, pa.string())], names=[*batch.schema.names[:6], "spans"])
+
+    return scanned.mapInArrow(say, SCAN[: SCAN.index("base array")] + "spans string"), model
 
 
 def redact_text(text: str, model: SpanModel) -> str:
     """The text with each span replaced by its kind in brackets; overlapping spans become one, named by the first."""
     base = base_spans(text)
-    spans = base + [(a, k, b) for a, k, b, key in candidates(text, base) if model.accepts(k, key)]
+    spans = base + model.chosen(candidates(text, base))
     out, at = [], 0
     for start, kind, end in sorted(spans):
         if start >= at:
