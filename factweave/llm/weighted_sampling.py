@@ -5,8 +5,11 @@ shorter text is one term), each weighted by how often it occurs.  For every
 sample, gamma variates r and c and a uniform b, drawn from a hash of the
 term, give t = floor(ln w / r + b) and ln a = ln c - r (t - b + 1); the
 sample is the (term, t) of the least a.  Two texts agree on a sample with
-probability equal to their generalised Jaccard similarity.  The variates come
-from tables of quantiles; 16 bits of each sample are kept.
+probability equal to their generalised Jaccard similarity.  The variates are
+exact inverses of 40 to 48 random bits each.  The first 16 or 8 bits of each
+choose among intervals, which bound ln a from below by tables; the variates
+are worked out for every term whose bound doesn't exceed the least value
+found, so that the least one is exact.  16 bits of each sample are kept.
 
 ``fingerprints`` also compares each document with the next one in descending
 order of id (after the last: the first) and with its own edited text, whose
@@ -35,28 +38,36 @@ from pyspark.sql import functions as F
 from factweave.llm.common import written
 from factweave.llm.shingles import mixed, odd_factors, shingle_hashes, word_hashes
 
-#: The upper 16 bits of a draw choose c among as many quantiles; the lower 16 bits choose r and b among 256 each.
+#: The upper 16 bits of a draw choose c's interval among as many of equal share; the lower 16 bits choose r's and b's among 256 each.
 C_LEVELS, R_LEVELS, B_LEVELS = 1 << 16, 1 << 8, 1 << 8
 BLOCK = 1024
+#: More than what 32-bit sums of the bounds can be off by.
+MARGIN = 1e-4
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 _tables: list[np.ndarray] = []
 
 
-def _gamma_quantiles(levels: int) -> np.ndarray:
-    """Gamma(2, 1) at the middles of equal shares."""
-    share = (np.arange(levels) + 0.5) / levels
-    x = np.maximum(np.sqrt(2 * share), -np.log1p(-share))
-    for _ in range(60):  # Newton on F(x) = 1 - (1 + x) exp(-x)
-        x = np.maximum(x - (1 - (1 + x) * np.exp(-x) - share) / (x * np.exp(-x)), x / 4)
-    return x
+def gamma_quantile(share: np.ndarray) -> np.ndarray:
+    """Gamma(2, 1) below which ``share`` (0 <= share < 1) lies."""
+    m = -np.log1p(-share)
+    s = np.sqrt(2 * share)
+    x = np.sqrt(2 * m) + m * (2 / 3)
+    near_zero = share < 1e-6
+    x[near_zero] = 1.0
+    for _ in range(5):  # Newton on x - ln(1 + x) = m
+        x += (np.log1p(x) - x + m) * (1 + x) / x
+    return np.where(near_zero, s + s * s / 3 + s**3 * (11 / 72), x)
 
 
-def variates() -> list[np.ndarray]:
-    """ln c by the upper half of a draw; r, b and r (1 - b) by the lower half."""
+def bounds() -> list[np.ndarray]:
+    """Least ln c by the upper half of a draw; greatest r (1 - b) and r by the lower half, the last interval of r aside."""
     if not _tables:
-        r = np.repeat(_gamma_quantiles(R_LEVELS), B_LEVELS)
-        b = np.tile((np.arange(B_LEVELS) + 0.5) / B_LEVELS, R_LEVELS)
-        _tables.extend(x.astype(np.float32) for x in (np.log(_gamma_quantiles(C_LEVELS)), r, b, r * (1 - b)))
+        with np.errstate(divide="ignore"):
+            ln_c = np.log(gamma_quantile(np.arange(C_LEVELS) / C_LEVELS)) - MARGIN
+        r = np.repeat(gamma_quantile(np.minimum(np.arange(1, R_LEVELS + 1), R_LEVELS - 0.5) / R_LEVELS), B_LEVELS)
+        b = np.tile(np.arange(B_LEVELS) / B_LEVELS, R_LEVELS)
+        _tables.extend(x.astype(np.float32) for x in (ln_c, r * (1 - b), r))
     return _tables
 
 
@@ -66,6 +77,7 @@ class Sampler:
     def __init__(self, samples: int = 64, seed: int = 3):
         self.samples = samples
         self.factors = (odd_factors(samples, seed)[:, None] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+        self.fine = odd_factors(samples, seed + 1)
         self.rows = np.arange(samples)
 
     def _draws(self, terms: np.ndarray) -> np.ndarray:
@@ -75,33 +87,48 @@ class Sampler:
         z ^= z >> np.uint32(12)
         return z
 
+    def exact(self, sample: np.ndarray, terms: np.ndarray, draws: np.ndarray, ln_w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ln a and t of each term in one sample each."""
+        more = mixed(terms * self.fine[sample])
+        last = mixed(more + GOLDEN)
+        c = gamma_quantile(((draws >> np.uint32(16)) + ((more >> np.uint64(32)) + 0.5) / 2**32) / C_LEVELS)
+        r = gamma_quantile(((draws >> np.uint32(8) & np.uint32(0xFF)) + ((more & np.uint64(0xFFFFFFFF)) + 0.5) / 2**32) / R_LEVELS)
+        b = ((draws & np.uint32(0xFF)) + (last >> np.uint64(20)) / 2**44) / B_LEVELS
+        t = np.floor(ln_w / r + b)
+        return np.log(c) - r * (t - b + 1), t
+
     def signature(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """``terms``: distinct uint64; ``weights``: positive."""
         if not len(terms):
             return np.empty(0, np.uint16)
-        ln_c, r, b, r_rest = variates()
-        best = np.full(self.samples, np.inf, np.float32)
+        ln_c, r_rest, r = bounds()
+        best = np.full(self.samples, np.inf)
         chosen = np.zeros(self.samples, np.uint64)
+
+        def try_terms(sample: np.ndarray, at: np.ndarray) -> None:
+            value, t = self.exact(sample, x[at], z[sample, at], ln_w[at])
+            order = np.lexsort((value, sample))
+            order = order[np.flatnonzero(np.diff(sample[order], prepend=-1))]  # the least of each sample
+            order = order[value[order] < best[sample[order]]]
+            best[sample[order]] = value[order]
+            chosen[sample[order]] = x[at[order]] + t[order].astype(np.int64).astype(np.uint64) * GOLDEN
+
         once = weights == 1
         for single, own in ((True, once), (False, ~once)):
             own_terms, own_weights = (terms, weights) if own.all() else (terms[own], weights[own])
-            for at in range(0, len(own_terms), BLOCK):
-                x = own_terms[at : at + BLOCK]
+            for start in range(0, len(own_terms), BLOCK):
+                x = own_terms[start : start + BLOCK]
+                ln_w = np.log(own_weights[start : start + BLOCK])
                 z = self._draws(x)
-                ln_a = ln_c.take(z >> np.uint32(16), mode="clip")
+                least = ln_c.take(z >> np.uint32(16), mode="clip")
                 low = z & np.uint32(0xFFFF)
                 if single:  # ln w = 0, so t = 0
-                    ln_a -= r_rest.take(low, mode="clip")
-                else:
-                    own_r, own_b = r.take(low, mode="clip"), b.take(low, mode="clip")
-                    t = np.floor(np.log(own_weights[at : at + BLOCK]).astype(np.float32) / own_r + own_b)
-                    ln_a -= own_r * (t - own_b + 1)
-                least = ln_a.argmin(axis=1)
-                value, key = ln_a[self.rows, least], x[least]
-                if not single:
-                    key = key + t[self.rows, least].astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                better = value < best
-                best[better], chosen[better] = value[better], key[better]
+                    least -= r_rest.take(low, mode="clip")
+                else:  # r (t - b + 1) is at most ln w + r
+                    least -= r.take(low, mode="clip") + ln_w.astype(np.float32)
+                try_terms(self.rows, least.argmin(axis=1))
+                # Nothing bounds r in its last interval, so terms there are all tried.
+                try_terms(*np.nonzero((least <= best[:, None].astype(np.float32)) | (low >= np.uint32(0xFF00))))
         return (mixed(chosen) >> np.uint64(48)).astype(np.uint16)
 
     def of_text(self, text: str, width: int = 5) -> np.ndarray:
