@@ -7,9 +7,13 @@ comments) become gaps of ``WINDOW`` empty lines, and so do the edges of
 article and main elements.  The distribution sums text lengths over sliding
 windows of lines; it surges where a window's sum rises from nothing and dives
 where it falls back to nothing, and text lies between.  Regions inside an
-article or main element are taken if the page has one with text; else the
-regions whose text is not mostly links and is a tenth of the largest's or
-more.
+article or main element are taken if the page has one with text; else all
+regions, however short, without their link lines: lines that are mostly link
+text, end without punctuation and are several links or stand beside other
+such lines.  Parts of hyphenated class names count, unless the name tells a
+state (has-sidebar, no-comments).  Without an article element, an element that
+holds most of the page's text is not skipped for its class, id or role (but
+hidden ones and reader comments are), nor is such a form.
 
 Defined results: a null or empty page has the empty text; repeated rows
 repeat; character references are decoded once; white space inside a block
@@ -29,8 +33,7 @@ from pyspark.sql import DataFrame
 WINDOW = 3
 #: A link line is one with at least this share of its characters in links.
 LINK_SHARE = 0.5
-#: Without an article element, regions lighter than this share of the heaviest are left out.
-LIGHT = 0.1
+ENDS = tuple(".!?:;…。！？\"'”’»)")
 
 #: HTML elements that never hold article text.
 DROPPED = frozenset(
@@ -61,6 +64,8 @@ _TAG = re.compile(
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _UNSEEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
 _WORD = re.compile(r"[a-z]+")
+#: Class names that tell what a page has or lacks, not what the element is.
+_STATE = re.compile(r"(?:has|have|no|not|non|with|without|is|hide|show|enable|disable)[-_]|.*[-_](?:enabled|disabled|open|closed|visible|active|on|off|none)\Z")
 
 
 def _dropped(name: str, attributes: str, in_main: bool) -> str | None:
@@ -72,41 +77,64 @@ def _dropped(name: str, attributes: str, in_main: bool) -> str | None:
     if _UNSEEN.search(attributes):
         return "hidden"
     for found in _NAMES.findall(attributes):
-        for word in _WORD.findall("".join(found).lower()):
-            if word in BOILERPLATE and not (in_main and word in ("header", "banner")):
-                return word
+        for token in "".join(found).lower().split():
+            if _STATE.match(token):
+                continue
+            for word in _WORD.findall(token):
+                if word in BOILERPLATE and not (in_main and word in ("header", "banner")):
+                    return word
     return None
 
 
-def lines_of(page: str) -> list[tuple[str, bool, int]]:
-    """(text, inside article or main, characters in links) of each block; gaps are empty lines."""
-    lines: list[tuple[str, bool, int]] = []
+Line = tuple[str, bool, int, int]
+
+
+def lines_of(page: str) -> list[Line]:
+    """(text, inside article or main, characters in links, links) of each block; gaps are empty lines."""
+    opened: set[int] = set()
+    while True:
+        lines, skipped = _lines(page, opened)
+        if any(text and inside for text, inside, *_ in lines):
+            return lines
+        half = (sum(len(line[0]) for line in lines) + sum(n for _, n, _ in skipped)) / 2
+        most = [at for at, n, may_open in skipped if may_open and n > half]
+        if not most:
+            return lines
+        opened.update(most)
+
+
+def _lines(page: str, opened: set[int]) -> tuple[list[Line], list[tuple[int, int, bool]]]:
+    """The lines, and (place, characters of text, whether it may be opened) of each skipped element."""
+    lines: list[Line] = []
+    skipped: list[tuple[int, int, bool]] = []
     parts: list[str] = []
-    linked = mains = links = 0
+    linked = mains = links = anchors = 0
     skip, depth, reason = "", 0, ""
     at, end = 0, len(page)
 
     def close() -> None:
-        nonlocal linked
+        nonlocal linked, anchors
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                lines.append((text, mains > 0, linked))
+                lines.append((text, mains > 0, linked, max(anchors, int(links > 0))))
             parts.clear()
-        linked = 0
+        linked = anchors = 0
 
     def gap() -> None:
         close()
-        lines.extend([("", False, 0)] * WINDOW)
+        lines.extend([("", False, 0, 0)] * WINDOW)
 
     while at < end:
         m = _TAG.search(page, at)
-        if not skip:
-            text = page[at : m.start() if m else end]
-            if text:
-                parts.append(text)
-                if links:
-                    linked += len(text)
+        text = page[at : m.start() if m else end]
+        if skip:
+            place, held, may_open = skipped[-1]
+            skipped[-1] = place, held + len(" ".join(text.split())), may_open
+        elif text:
+            parts.append(text)
+            if links:
+                linked += len(text)
         if not m:
             break
         at = m.end()
@@ -123,11 +151,16 @@ def lines_of(page: str) -> list[tuple[str, bool, int]]:
                 skip = ""  # an element that was never closed ends where the article begins
             elif name == "body" and skip == "head":
                 skip = ""
+            elif name in RAW and not closing and not whole:  # what it holds is no text
+                ended = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, at)
+                at = ended.end() if ended else at
             if skip or name not in MAIN or closing:
                 continue
-        if not closing and not whole and (reason := _dropped(name, m.group(3), mains > 0) or ""):
+        if not closing and not whole and m.start() not in opened and (reason := _dropped(name, m.group(3), mains > 0) or ""):
             gap()
             skip, depth = name, 1
+            may_open = name == "form" or (name not in DROPPED and reason not in _CLOSED and reason != "hidden")
+            skipped.append((m.start(), 0, may_open))
             if name in RAW:
                 ended = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, at)
                 at, skip = (ended.end(), "") if ended else (end, "")
@@ -137,10 +170,22 @@ def lines_of(page: str) -> list[tuple[str, bool, int]]:
             mains = max(0, mains + (-1 if closing else 1))
         elif name == "a":
             links = max(0, links + (-1 if closing else 1))
+            anchors += not closing
         elif name not in INLINE:
             close()
     close()
-    return lines
+    return lines, skipped
+
+
+def _link_lines(lines: list[Line]) -> list[bool]:
+    """Lines of menus: mostly link text, no sentence, and several links or beside another line that is mostly link text."""
+    mostly = [bool(text) and linked >= LINK_SHARE * len(text) for text, _, linked, _ in lines]
+    return [
+        own and not lines[i][0].endswith(ENDS)
+        and (lines[i][3] > 1 or not ((i and lines[i - 1][0]) or (i + 1 < len(lines) and lines[i + 1][0]))
+             or (i > 0 and mostly[i - 1]) or (i + 1 < len(lines) and mostly[i + 1]))
+        for i, own in enumerate(mostly)
+    ]
 
 
 def regions(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
@@ -160,14 +205,10 @@ def regions(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
 
 def main_text(page: str | None) -> str:
     lines = lines_of(page or "")
-    in_main = any(text and inside for text, inside, _ in lines)
-    own = [
-        len(text) if (inside if in_main else linked < LINK_SHARE * len(text)) else 0 for text, inside, linked in lines
-    ]
+    in_main = any(text and inside for text, inside, *_ in lines)
+    out = [not inside for _, inside, *_ in lines] if in_main else _link_lines(lines)
+    own = [0 if left_out else len(line[0]) for line, left_out in zip(lines, out)]
     ranges = regions(own)
-    if not in_main and ranges:
-        most = max(sum(own[a:b]) for a, b in ranges)
-        ranges = [(a, b) for a, b in ranges if sum(own[a:b]) >= LIGHT * most]
     return "\n".join(lines[i][0] for a, b in ranges for i in range(a, b) if own[i])
 
 
