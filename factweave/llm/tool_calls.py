@@ -7,7 +7,12 @@ conversation and identifier.  A call depends on another where its arguments
 hold ``{"$ref": "<id>"}``; ranks follow the dependencies in rounds of joins,
 so that no task holds a conversation, however many messages it has.
 Arguments are checked against a subset of JSON Schema (type, enum,
-properties, required, additionalProperties, items).
+properties, required, additionalProperties, items).  The schemas are a given
+registry, where a call of any other tool is invalid; or, without one, those
+that system messages define in ``<tools>`` blocks (a JSON list, or one
+definition a line, plain or as ``{"function": ...}``), joined with calls by
+conversation and name, where a call without schema is not checked and
+counted apart.
 
 Defined results: a null text is empty; text outside calls stays content; a
 block that isn't a JSON object with a name is kept as content and counted as
@@ -17,7 +22,8 @@ repeat link every call with every result that names it, one row each in
 ``unanswered``, results without call ``orphan``; calls in a cycle, or
 depending on one, have a null rank and come last; references to unknown ids
 are ignored; null conversation ids form one conversation; a message
-of null turn is written without its calls.  JSON has sorted
+of null turn is written without its calls; of several definitions of a name
+in a conversation the first by turn holds, unusable schemas count as none.  JSON has sorted
 keys, no spaces and non-ASCII as it is.  Other columns are not read.
 """
 
@@ -34,16 +40,19 @@ from pyspark.sql import functions as F
 from factweave.llm.common import written
 
 _CALL = re.compile(r"<tool_call>(.*?)</tool_call>", re.DOTALL)
+_TOOLS = re.compile(r"<tools>(.*?)</tools>", re.DOTALL)
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 PARSED = (
     "conv_id long, turn long, role string, content string, malformed int, result_id string, "
-    "calls array<struct<ordinal:int,call_id:string,name:string,arguments:string,refs:array<string>,errors:array<string>>>"
+    "calls array<struct<ordinal:int,call_id:string,name:string,arguments:string,refs:array<string>,errors:array<string>>>, "
+    "tools array<struct<name:string,schema:string>>"
 )
 _CALL_TYPE = pa.struct([
     ("ordinal", pa.int32()), ("call_id", pa.string()), ("name", pa.string()), ("arguments", pa.string()),
     ("refs", pa.list_(pa.string())), ("errors", pa.list_(pa.string())),
 ])
+_TOOL_TYPE = pa.struct([("name", pa.string()), ("schema", pa.string())])
 
 
 def canonical(value) -> str:
@@ -98,7 +107,25 @@ def _object(text: str) -> dict | None:
     return value if isinstance(value, dict) else None
 
 
-def parse_message(turn: int | None, role: str | None, text: str, schemas: dict[str, dict]) -> tuple[str, int, str | None, list[dict]]:
+def tools_of(role: str | None, text: str) -> list[dict[str, str]]:
+    """Names and schemas that a system message defines."""
+    if role != "system" or "<tools>" not in text:
+        return []
+    found = []
+    for m in _TOOLS.finditer(text):
+        try:
+            listed = json.loads(m.group(1))
+        except (ValueError, RecursionError):
+            listed = [_object(line) for line in m.group(1).splitlines()]
+        for tool in listed if isinstance(listed, list) else [listed]:
+            if isinstance(tool, dict) and isinstance(tool.get("function"), dict):
+                tool = tool["function"]
+            if isinstance(tool, dict) and isinstance(tool.get("name"), str) and isinstance(schema := tool.get("parameters", {}), dict):
+                found.append({"name": tool["name"], "schema": canonical(schema)})
+    return found
+
+
+def parse_message(turn: int | None, role: str | None, text: str, schemas: dict[str, dict] | None) -> tuple[str, int, str | None, list[dict]]:
     """(content, malformed, result id, calls) of one message."""
     if role == "tool":
         body = _object(text)
@@ -117,8 +144,8 @@ def parse_message(turn: int | None, role: str | None, text: str, schemas: dict[s
         own_id, arguments = body.get("id"), body.get("arguments", {})
         if isinstance(arguments, str):
             arguments = _object(arguments) if _object(arguments) is not None else arguments
-        schema = schemas.get(body["name"])
-        errors = ["unknown tool"] if schema is None else schema_errors(arguments, schema)
+        schema = (schemas or {}).get(body["name"])
+        errors = None if schemas is None else ["unknown tool"] if schema is None else schema_errors(arguments, schema)
         calls.append({
             "ordinal": len(calls), "call_id": own_id if isinstance(own_id, str) else f"{turn}.{len(calls)}", "name": body["name"],
             "arguments": canonical(arguments), "refs": sorted(set(_refs(arguments))), "errors": errors,
@@ -126,16 +153,18 @@ def parse_message(turn: int | None, role: str | None, text: str, schemas: dict[s
     return "".join([*rest, text[at:]]).strip() if calls else text, malformed, None, calls
 
 
-def parsed(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
+def parsed(messages: DataFrame, schemas: dict[str, dict] | None) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             turns, roles = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            rows = [parse_message(t, r, v.as_py() or "", schemas) for t, r, v in zip(turns, roles, batch.column(3))]
+            texts = [v.as_py() or "" for v in batch.column(3)]
+            rows = [parse_message(*row, schemas) for row in zip(turns, roles, texts)]
+            tools = [tools_of(*row) for row in zip(roles, texts)]
             contents, malformed, results, calls = zip(*rows) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.int64()), batch.column(2).cast(pa.string()), pa.array(contents, pa.string()),
-                 pa.array(malformed, pa.int32()), pa.array(results, pa.string()), pa.array(calls, pa.list_(_CALL_TYPE))],
-                names=["conv_id", "turn", "role", "content", "malformed", "result_id", "calls"],
+                 pa.array(malformed, pa.int32()), pa.array(results, pa.string()), pa.array(calls, pa.list_(_CALL_TYPE)), pa.array(tools, pa.list_(_TOOL_TYPE))],
+                names=["conv_id", "turn", "role", "content", "malformed", "result_id", "calls", "tools"],
             )
 
     return messages.select("conv_id", "turn", "role", "text").mapInArrow(read, PARSED)
@@ -146,20 +175,42 @@ def _conv() -> "F.Column":
     return F.coalesce(F.col("conv_id").cast("string"), F.lit("none")).alias("conv")
 
 
-def links(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
-    """One row per call and result: conv, call_id, name, turns, status, valid, errors, rank."""
-    return _linked(written(parsed(messages, schemas), "messages"))
+def links(messages: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame:
+    """One row per call and result: conv, call_id, name, turns, status, valid and errors (null if not checked), rank."""
+    return _linked(written(parsed(messages, schemas), "messages"), schemas is None)
+
+
+def _checked(calls: DataFrame, rows: DataFrame) -> DataFrame:
+    """The calls with errors by the schemas that their conversations define; null where there is none."""
+    tools = rows.select(_conv(), "turn", F.posexplode("tools").alias("place", "t")).groupBy("conv", F.col("t.name").alias("name")).agg(
+        F.min(F.struct(F.col("turn").isNull(), "turn", "place", "t.schema"))["schema"].alias("schema"))
+    asked = calls.select("conv", "name", "arguments").distinct().join(tools, ["conv", "name"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            errors = []
+            for arguments, schema in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                try:
+                    errors.append(schema_errors(json.loads(arguments), json.loads(schema)))
+                except (ValueError, TypeError, AttributeError, OverflowError, RecursionError):
+                    errors.append(None)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(errors, pa.list_(pa.string()))], names=["conv", "name", "arguments", "errors"])
+
+    errors = asked.mapInArrow(check, "conv string, name string, arguments string, errors array<string>")
+    return calls.drop("errors").join(errors, ["conv", "name", "arguments"], "left")
 
 
-def _linked(rows: DataFrame) -> DataFrame:
+def _linked(rows: DataFrame, from_data: bool) -> DataFrame:
     calls = rows.select(_conv(), "turn", F.explode("calls").alias("c")).select("conv", "turn", "c.*")
+    if from_data:
+        calls = written(_checked(calls, rows), "calls")
     results = rows.where(F.col("result_id").isNotNull()).select(_conv(), F.col("result_id").alias("call_id"), F.col("turn").alias("result_turn"))
     joined = calls.join(results, ["conv", "call_id"], "full_outer")
     ranks = _ranks(calls)
     status = F.when(F.col("name").isNull(), "orphan").when(F.col("result_turn").isNull(), "unanswered").otherwise("linked")
     return joined.join(ranks, ["conv", "call_id"], "left").select(
         "conv", "call_id", "name", "turn", "ordinal", "result_turn", status.alias("status"),
-        (F.size("errors") == 0).alias("valid"), "errors", "arguments", "rank",
+        F.when(F.col("errors").isNotNull(), F.size("errors") == 0).alias("valid"), "errors", "arguments", "rank",
     )
 
 
@@ -183,15 +234,16 @@ def _ranks(calls: DataFrame) -> DataFrame:
 
 
 def format_messages(messages: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame:
-    """Per message: conv_id, turn, role, n_calls, n_linked, n_invalid, malformed, json."""
-    rows = written(parsed(messages, schemas or {}), "messages")
-    found = _linked(rows)
+    """Per message: conv_id, turn, role, n_calls, n_linked, n_invalid, n_unknown (without schema), malformed, answers, ranks (as calls are in the JSON), json."""
+    rows = written(parsed(messages, schemas), "messages")
+    found = _linked(rows, schemas is None)
     of_call = found.where(F.col("name").isNotNull()).groupBy("conv", "turn", "ordinal").agg(
         F.max("rank").alias("rank"), F.first("call_id").alias("call_id"), F.first("name").alias("name"), F.first("arguments").alias("arguments"),
         F.max(F.col("status") == "linked").alias("linked"), F.min("valid").alias("valid"),
+        F.max(F.col("errors").isNull() | F.array_contains("errors", "unknown tool")).alias("unknown"),
     )
     per_message = of_call.groupBy("conv", "turn").agg(
-        F.sort_array(F.collect_list(F.struct(F.col("rank").isNull().alias("late"), "rank", "ordinal", "call_id", "name", "arguments", "linked", "valid"))).alias("own")
+        F.sort_array(F.collect_list(F.struct(F.col("rank").isNull().alias("late"), "rank", "ordinal", "call_id", "name", "arguments", "linked", "valid", "unknown"))).alias("own")
     )
     answered = found.where(F.col("name").isNotNull() & F.col("result_turn").isNotNull()).select(
         "conv", F.col("result_turn").alias("turn")).distinct().withColumn("answers", F.lit(True))
@@ -211,7 +263,8 @@ def format_messages(messages: DataFrame, schemas: dict[str, dict] | None = None)
     return joined.select(
         "conv_id", "turn", "role", F.size(own).cast("long").alias("n_calls"),
         F.size(F.filter(own, lambda c: c["linked"])).cast("long").alias("n_linked"),
-        F.size(F.filter(own, lambda c: ~c["valid"])).cast("long").alias("n_invalid"), F.col("malformed").cast("long").alias("malformed"),
+        F.size(F.filter(own, lambda c: ~c["valid"])).cast("long").alias("n_invalid"),
+        F.size(F.filter(own, lambda c: c["unknown"])).cast("long").alias("n_unknown"), F.col("malformed").cast("long").alias("malformed"),
         (F.col("result_id").isNotNull() & F.coalesce("answers", F.lit(False))).alias("answers"),
-        F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias("json"),
+        F.transform(own, lambda c: c["rank"]).alias("ranks"), F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias("json"),
     )
