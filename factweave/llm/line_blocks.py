@@ -1,23 +1,34 @@
 r"""Main text of web pages by line-block distribution.
 
-Markup is stripped to lines, one for each block.  Elements that are no
-article text by their name or by the words of their class, id or role (menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader
-comments) become gaps of ``WINDOW`` empty lines, and so do the edges of
-article and main elements.  The distribution sums text lengths over sliding
-windows of lines; it surges where a window's sum rises from nothing and dives
-where it falls back to nothing, and text lies between.  Regions inside an
-article or main element are taken if the page has one with text; else all
-regions, however short, without their link lines: lines that are mostly link
-text, end without punctuation and are several links or stand beside other
-such lines.  Parts of hyphenated class names count, unless the name tells a
-state (has-sidebar, no-comments).  Without an article element, an element that
-holds most of the page's text is not skipped for its class, id or role (but
-hidden ones and reader comments are), nor is such a form.
+Markup is stripped to lines, one for each block, and each line weighs its
+characters.  What is no article text by its element (menus, footers, asides,
+forms, scripts, styles) or by a whole word of its class, id or role leaves one
+empty line.  The distribution sums weights over sliding windows of ``WINDOW``
+lines.  It surges at the first weighty line, dives where a whole window weighs
+nothing, and text lies between.
+
+The sums decide what names can't:
+
+- A menu without a name is two link lines or more side by side, or one line
+  of several links; it weighs nothing, so it ends a region or leaves a hole.
+  A single link line weighs nothing either, but stays where text around it
+  keeps the windows filled.
+- An element whose name holds a doubtful word in a compound (``related-work``,
+  ``social-history``) stays if its own windows reach ``SURGE`` characters that
+  are no links, and goes if they don't.
+- A region whose windows never reach ``SURGE`` (or the page's highest sum, if
+  that is less) stays only for a paragraph or heading in it; bare scraps such
+  as a date or a label between menus go.
+
+If the page has an article or main element with text, lines outside have no
+weight.  Without one, an element that holds most of the page's text is not
+taken out for its class, id or role (but hidden ones and reader comments are),
+nor is such a form.
 
 Defined results: a null or empty page has the empty text; repeated rows
 repeat; character references are decoded once; white space inside a block
 becomes one space; blocks are joined by one newline.  Null ids stay null.
+Malformed tags are text, and any page takes time in proportion to its length.
 Only the three columns are read.
 """
 
@@ -26,14 +37,19 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 WINDOW = 3
+#: Characters of a window in which body text stands: about a line and a half of print.
+SURGE = 80
 #: A link line is one with at least this share of its characters in links.
 LINK_SHARE = 0.5
 ENDS = tuple(".!?:;…。！？\"'”’»)")
+#: Rounds of opening elements that hold most of a page's text, before names count for nothing.
+OPENINGS = 6
 
 #: HTML elements that never hold article text.
 DROPPED = frozenset(
@@ -48,168 +64,271 @@ INLINE = frozenset(
     "span strike strong sub sup time tt u var wbr input".split()
 )
 MAIN = frozenset(("article", "main"))
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption dd".split())
+#: Words that tell boilerplate, alone or in a compound name.
 BOILERPLATE = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation "
-    "menu menubar breadcrumb breadcrumbs sidebar footer header masthead cookie cookies consent notice gdpr popup modal "
-    "overlay newsletter subscribe subscription signup share sharing social related recommended comment comments respond "
-    "disqus reply replies pagination pager widget toolbar login search hidden complementary contentinfo".split()
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored nav navbar navigation menubar breadcrumb "
+    "breadcrumbs sidebar footer masthead cookie cookies consent gdpr popup modal newsletter subscribe signup comments "
+    "disqus pagination pager login complementary contentinfo".split()
+)
+#: Words that tell boilerplate alone; in a compound the distribution decides.
+DOUBTFUL = frozenset(
+    "promo promotion banner menu header notice overlay subscription share sharing social related recommended comment "
+    "respond reply replies widget toolbar search hidden".split()
 )
-#: Words that end with the article: comments hold articles of their own in some pages.
+#: Words that stay shut where an article begins in them or most text lies in them: comments hold articles of their own in some pages.
 _CLOSED = frozenset("comment comments respond disqus reply replies related recommended".split())
 
+# Quoted values are taken whole, but no attempt runs on: pieces and lengths are bounded, and what is odder ends at the next bracket.
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*?)(/?)>",
+    r"<!--.*?(?:-->|\Z)|<[!?][^<>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)"
+    r"((?>(?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+'|\"[^\"]{0,2000}+\"|'[^']{0,2000}+'|[\"']){0,400}+(?=>)|[^<>]*+))>",
     re.DOTALL,
 )
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
-_UNSEEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
-_WORD = re.compile(r"[a-z]+")
+_ATTRIBUTE = re.compile(r"([^\s=\"'<>/]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'<>]++)))?")
+_PARTS = re.compile(r"[a-z]+")
 #: Class names that tell what a page has or lacks, not what the element is.
 _STATE = re.compile(r"(?:has|have|no|not|non|with|without|is|hide|show|enable|disable)[-_]|.*[-_](?:enabled|disabled|open|closed|visible|active|on|off|none)\Z")
+_TITLED = frozenset("article entry post story content page title".split())
+_UNSEEN = re.compile(r"display\s*:\s*none")
+
+
+class Line(NamedTuple):
+    text: str
+    linked: int = 0
+    anchors: int = 0
+    tag: str = ""
+    inside: bool = False
+    doubt: int = 0
+
+
+EMPTY = Line("")
 
 
-def _dropped(name: str, attributes: str, in_main: bool) -> str | None:
-    """Why an element holds no article text: a word, or None."""
+def judged(name: str, attributes: str, in_main: bool) -> tuple[str | None, bool]:
+    """(word that speaks against an element, or None; whether it is only doubtful)."""
     if name in DROPPED or (name == "header" and not in_main):
-        return name
+        return name, False
     if not attributes or name in ("html", "body", "article", "main") or name in VOID:
-        return None
-    if _UNSEEN.search(attributes):
-        return "hidden"
-    for found in _NAMES.findall(attributes):
-        for token in "".join(found).lower().split():
+        return None, False
+    doubtful = None
+    for m in _ATTRIBUTE.finditer(attributes.lower()):
+        key, value = m.group(1), m.group(2) or m.group(3) or m.group(4) or ""
+        if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and _UNSEEN.search(value)):
+            return "hidden", False
+        if key not in ("class", "id", "role"):
+            continue
+        for token in value.split():
             if _STATE.match(token):
                 continue
-            for word in _WORD.findall(token):
-                if word in BOILERPLATE and not (in_main and word in ("header", "banner")):
-                    return word
-    return None
+            parts = _PARTS.findall(token)
+            for word in parts:
+                if word in BOILERPLATE:
+                    return word, False
+                if word in DOUBTFUL and not (word in ("header", "banner") and (in_main or _TITLED.intersection(parts))):
+                    if token == word:
+                        return word, False
+                    doubtful = word
+    return doubtful, True
+
+
+class _Page:
+    """The lines of a page, and of each element taken out its place, its characters of text and whether it may be opened."""
+
+    def __init__(self, page: str, opened: set[int], by_name: bool):
+        self.lines: list[Line] = []
+        self.out: list[tuple[int, int, bool]] = []
+        self.parts: list[str] = []
+        self.tag, self.linked, self.anchors, self.links, self.mains = "", 0, 0, 0, 0
+        self.doubts, self.doubt, self.doubt_tag, self.doubt_depth = 0, 0, "", 0
+        self.no_end: set[str] = set()
+        self.read(page, opened, by_name)
 
+    def close(self) -> None:
+        if self.parts:
+            text = " ".join(entities.unescape("".join(self.parts)).split())
+            if text:
+                self.lines.append(Line(text, self.linked, max(self.anchors, int(self.links > 0)), self.tag, self.mains > 0, self.doubt))
+            self.parts.clear()
+        self.linked = self.anchors = 0
+        self.tag = ""
+
+    def gap(self) -> None:
+        """One empty line, however many elements are taken out side by side."""
+        self.close()
+        if self.lines and self.lines[-1].text:
+            self.lines.append(EMPTY)
 
-Line = tuple[str, bool, int, int]
+    def after_raw(self, page: str, name: str, at: int) -> int:
+        """Behind the end tag of an element without markup, or 0 if there is none."""
+        if name in self.no_end:
+            return 0
+        ended = re.compile(rf"</{name}(?=[\s/>])[^<>]*+>", re.IGNORECASE).search(page, at)
+        if not ended:
+            self.no_end.add(name)
+            return 0
+        return ended.end()
+
+    def read(self, page: str, opened: set[int], by_name: bool) -> None:
+        skip, depth, reason, at, end = "", 0, "", 0, len(page)
+        while at < end:
+            m = _TAG.search(page, at)
+            text = page[at : m.start() if m else end]
+            if skip:
+                place, held, may_open = self.out[-1]
+                self.out[-1] = place, held + len(" ".join(text.split())), may_open
+            elif text:
+                self.parts.append(text)
+                if self.links:
+                    self.linked += len(text)
+            if not m:
+                break
+            at = m.end()
+            name = (m.group(2) or "").lower()
+            if not name:
+                continue
+            closing, attributes = bool(m.group(1)), m.group(3)
+            whole = name in VOID or attributes.endswith("/")
+            if skip:
+                if name == skip and not whole:
+                    depth += -1 if closing else 1
+                    if depth <= 0:
+                        skip = ""
+                elif name in MAIN and not closing and reason not in _CLOSED:
+                    skip = ""  # an element that was never closed ends where the article begins
+                elif name == "body" and skip == "head":
+                    skip = ""
+                elif name in RAW and not closing and not whole:  # what it holds is no text
+                    at = self.after_raw(page, name, at) or at
+                if skip or name not in MAIN or closing:
+                    continue
+            if not closing and not whole and m.start() not in opened:
+                word, doubtful = judged(name, attributes, self.mains > 0)
+                if word and not by_name and name not in DROPPED and word != "hidden" and word not in _CLOSED:
+                    word = None
+                if word and doubtful:
+                    if not self.doubt:
+                        self.gap()
+                        self.doubts += 1
+                        self.doubt, self.doubt_tag, self.doubt_depth = self.doubts, name, 0
+                elif word:
+                    self.gap()
+                    skip, depth, reason = name, 1, word
+                    may_open = name == "form" or (name not in DROPPED and word not in _CLOSED and word != "hidden")
+                    self.out.append((m.start(), 0, may_open))
+                    if name in RAW:
+                        at, skip = self.after_raw(page, name, at) or end, ""
+                    continue
+            if self.doubt and name == self.doubt_tag and not whole:
+                self.doubt_depth += -1 if closing else 1
+                if self.doubt_depth <= 0:
+                    self.gap()
+                    self.doubt = 0
+            if name in MAIN:
+                self.gap()
+                self.mains = max(0, self.mains + (-1 if closing else 1))
+            elif name == "a":
+                self.links = max(0, self.links + (-1 if closing else 1))
+                self.anchors += not closing
+            elif name not in INLINE:
+                self.close()
+                self.tag = "" if closing else name
+        self.close()
 
 
 def lines_of(page: str) -> list[Line]:
-    """(text, inside article or main, characters in links, links) of each block; gaps are empty lines."""
+    """The lines of a page; elements that hold most of its text are opened."""
     opened: set[int] = set()
-    while True:
-        lines, skipped = _lines(page, opened)
-        if any(text and inside for text, inside, *_ in lines):
-            return lines
-        half = (sum(len(line[0]) for line in lines) + sum(n for _, n, _ in skipped)) / 2
-        most = [at for at, n, may_open in skipped if may_open and n > half]
+    for turn in range(OPENINGS + 1):
+        read = _Page(page, opened, turn < OPENINGS)
+        if any(line.inside for line in read.lines):
+            break
+        half = (sum(len(line.text) for line in read.lines) + sum(n for _, n, _ in read.out)) / 2
+        most = [at for at, n, may_open in read.out if may_open and n > half]
         if not most:
-            return lines
+            break
         opened.update(most)
+    return read.lines
 
 
-def _lines(page: str, opened: set[int]) -> tuple[list[Line], list[tuple[int, int, bool]]]:
-    """The lines, and (place, characters of text, whether it may be opened) of each skipped element."""
-    lines: list[Line] = []
-    skipped: list[tuple[int, int, bool]] = []
-    parts: list[str] = []
-    linked = mains = links = anchors = 0
-    skip, depth, reason = "", 0, ""
-    at, end = 0, len(page)
+def _link_line(line: Line) -> bool:
+    """Mostly link text, no sentence, and no paragraph or heading that is one link."""
+    return bool(
+        line.text and line.linked >= LINK_SHARE * len(line.text) and not line.text.endswith(ENDS)
+        and not (line.tag in PROSE and line.anchors == 1)
+    )
 
-    def close() -> None:
-        nonlocal linked, anchors
-        if parts:
-            text = " ".join(entities.unescape("".join(parts)).split())
-            if text:
-                lines.append((text, mains > 0, linked, max(anchors, int(links > 0))))
-            parts.clear()
-        linked = anchors = 0
-
-    def gap() -> None:
-        close()
-        lines.extend([("", False, 0, 0)] * WINDOW)
-
-    while at < end:
-        m = _TAG.search(page, at)
-        text = page[at : m.start() if m else end]
-        if skip:
-            place, held, may_open = skipped[-1]
-            skipped[-1] = place, held + len(" ".join(text.split())), may_open
-        elif text:
-            parts.append(text)
-            if links:
-                linked += len(text)
-        if not m:
-            break
-        at = m.end()
-        name = (m.group(2) or "").lower()
-        if not name:
-            continue
-        closing, whole = bool(m.group(1)), bool(m.group(4)) or name in VOID
-        if skip:
-            if name == skip and not whole:
-                depth += -1 if closing else 1
-                if depth <= 0:
-                    skip = ""
-            elif name in MAIN and not closing and reason not in _CLOSED:
-                skip = ""  # an element that was never closed ends where the article begins
-            elif name == "body" and skip == "head":
-                skip = ""
-            elif name in RAW and not closing and not whole:  # what it holds is no text
-                ended = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, at)
-                at = ended.end() if ended else at
-            if skip or name not in MAIN or closing:
-                continue
-        if not closing and not whole and m.start() not in opened and (reason := _dropped(name, m.group(3), mains > 0) or ""):
-            gap()
-            skip, depth = name, 1
-            may_open = name == "form" or (name not in DROPPED and reason not in _CLOSED and reason != "hidden")
-            skipped.append((m.start(), 0, may_open))
-            if name in RAW:
-                ended = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, at)
-                at, skip = (ended.end(), "") if ended else (end, "")
-            continue
-        if name in MAIN:
-            gap()
-            mains = max(0, mains + (-1 if closing else 1))
-        elif name == "a":
-            links = max(0, links + (-1 if closing else 1))
-            anchors += not closing
-        elif name not in INLINE:
-            close()
-    close()
-    return lines, skipped
-
-
-def _link_lines(lines: list[Line]) -> list[bool]:
-    """Lines of menus: mostly link text, no sentence, and several links or beside another line that is mostly link text."""
-    mostly = [bool(text) and linked >= LINK_SHARE * len(text) for text, _, linked, _ in lines]
+
+def menus(lines: list[Line]) -> list[bool]:
+    """Lines of menus: link lines of several links, or beside another link line."""
+    link = [_link_line(line) for line in lines]
     return [
-        own and not lines[i][0].endswith(ENDS)
-        and (lines[i][3] > 1 or not ((i and lines[i - 1][0]) or (i + 1 < len(lines) and lines[i + 1][0]))
-             or (i > 0 and mostly[i - 1]) or (i + 1 < len(lines) and mostly[i + 1]))
-        for i, own in enumerate(mostly)
+        own and (lines[i].anchors > 1 or (i > 0 and link[i - 1]) or (i + 1 < len(link) and link[i + 1]))
+        for i, own in enumerate(link)
     ]
 
 
-def regions(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
-    """Line ranges between surge (a window's sum leaves zero) and dive (it is zero again)."""
-    found, start, total = [], None, sum(lengths[:window])
-    for i in range(len(lengths)):
-        if total and start is None:
+def window_sums(weights: list[int], window: int = WINDOW) -> list[int]:
+    """The sum of each line and the ``window`` - 1 after it."""
+    sums, total = [], sum(weights[:window])
+    for i, w in enumerate(weights):
+        sums.append(total)
+        total += (weights[i + window] if i + window < len(weights) else 0) - w
+    return sums
+
+
+def regions(weights: list[int], window: int = WINDOW) -> list[tuple[int, int, int]]:
+    """(first line, end, highest window sum) between each surge and the dive after it."""
+    found: list[tuple[int, int, int]] = []
+    start = None
+    sums = window_sums(weights, window)
+    for i, w in enumerate(weights):
+        if start is None and w:
             start = i
-        if not total and start is not None:
-            found.append((start, i))
+        elif start is not None and not sums[i]:
+            found.append((start, i, max(sums[start:i])))
             start = None
-        total += (lengths[i + window] if i + window < len(lengths) else 0) - lengths[i]
     if start is not None:
-        found.append((start, len(lengths)))
+        found.append((start, len(weights), max(sums[start:])))
     return found
 
 
+def _settled(lines: list[Line]) -> list[Line]:
+    """Doubtful elements by their own distribution: those whose windows reach SURGE stay, of others one empty line is left."""
+    out: list[Line] = []
+    i = 0
+    while i < len(lines):
+        if not lines[i].doubt:
+            out.append(lines[i])
+            i += 1
+            continue
+        j = i
+        while j < len(lines) and (lines[j].doubt == lines[i].doubt or not lines[j].text):
+            j += 1
+        own = lines[i:j]
+        weights = [0 if menu else len(line.text) - min(line.linked, len(line.text)) for line, menu in zip(own, menus(own))]
+        out += own if max(window_sums(weights)) >= SURGE else [EMPTY]
+        i = j
+    return out
+
+
 def main_text(page: str | None) -> str:
-    lines = lines_of(page or "")
-    in_main = any(text and inside for text, inside, *_ in lines)
-    out = [not inside for _, inside, *_ in lines] if in_main else _link_lines(lines)
-    own = [0 if left_out else len(line[0]) for line, left_out in zip(lines, out)]
-    ranges = regions(own)
-    return "\n".join(lines[i][0] for a, b in ranges for i in range(a, b) if own[i])
+    lines = _settled(lines_of(page or ""))
+    if any(line.inside for line in lines):
+        text = [line.inside for line in lines]
+        weights = [len(line.text) if line.inside else 0 for line in lines]
+        prose = text
+    else:
+        menu = menus(lines)
+        text = [bool(line.text) and not m for line, m in zip(lines, menu)]
+        weights = [0 if m or _link_line(line) else len(line.text) for line, m in zip(lines, menu)]
+        prose = [line.tag in PROSE or line.text.endswith(ENDS) for line in lines]
+    found = regions(weights)
+    surge = min([SURGE, *([max(peak for _, _, peak in found)] if found else [])])
+    return "\n".join(
+        lines[i].text for a, b, peak in found if peak >= surge or any(prose[i] and weights[i] for i in range(a, b))
+        for i in range(a, b) if text[i]
+    )
 
 
 def extract(pages: DataFrame) -> DataFrame:
