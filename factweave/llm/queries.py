@@ -3,16 +3,55 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from factweave.llm.common import words_of
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The tools of the derived talk, and what their arguments must be.
+TALK_TOOLS = {
+    name: {
+        "type": "object", "required": ["query", "limit"], "additionalProperties": False,
+        "properties": {"query": {"type": "string"}, "limit": {"type": "integer"}, "after": {"type": "object"}},
+    }
+    for name in ("search", "count", "translate")
+}
+
+
+def as_tool_talk(conversations: DataFrame) -> DataFrame:
+    """Conversations whose assistants call tools, as the given tables hold no calls.
+
+    Every assistant message gets a call ``c<turn>`` with its first four words
+    and its number of words; from turn 3 on the call depends on the one of two
+    turns before.  By a hash of conversation and turn, of twelve calls one has
+    a limit that is no integer, one names an unlisted tool, one gets no result
+    and one a result under another identifier.  Results are messages of role
+    ``tool`` of the same turn.
+    """
+    chance = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(12))
+    words = words_of(F.col("text"))
+    limit = F.when(chance == 0, F.lit('"many"')).otherwise(F.size(words).cast("string"))
+    after = F.when(F.col("turn") >= 3, F.concat(F.lit(',"after":{"$ref":"c'), F.col("turn") - 2, F.lit('"}'))).otherwise("")
+    query = F.to_json(F.struct(F.array_join(F.slice(words, 1, 4), " ").alias("query")))
+    arguments = F.concat(F.expr("substring(query_json, 1, length(query_json) - 1)"), F.lit(',"limit":'), limit, after, F.lit("}"))
+    name = F.when(chance == 1, F.lit("unlisted")).otherwise(F.element_at(F.array(*map(F.lit, TALK_TOOLS)), (F.pmod(F.col("turn"), F.lit(3)) + 1).cast("int")))
+    call = F.concat(F.lit('\n<tool_call>{"arguments":'), arguments, F.lit(',"id":"c'), F.col("turn"), F.lit('","name":"'), name, F.lit('"}</tool_call>'))
+    asks = (F.col("role") == "assistant") & F.col("turn").isNotNull()
+    talk = conversations.select("conv_id", "turn", "role", "text").withColumn("query_json", query)
+    said = F.when(asks, F.concat(F.coalesce("text", F.lit("")), call)).otherwise(F.col("text"))
+    answer = F.concat(F.lit('{"content":'), F.size(words).cast("string"), F.lit(',"tool_call_id":"'), F.when(chance == 3, "x").otherwise("c"), F.col("turn"), F.lit('"}'))
+    messages = talk.select("conv_id", "turn", "role", said.alias("text"))
+    return messages.union(talk.where(asks & (chance != 2)).select("conv_id", "turn", F.lit("tool"), answer))
+
+
 def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factweave.llm.tool_calls import format_messages
 
-    return format_messages(_table(spark, sf_dir, "conversations"))
+    return format_messages(as_tool_talk(_table(spark, sf_dir, "conversations")), TALK_TOOLS)
 
 
 def op2_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,6 @@ import json
 
 from test_operators import call
 
-import __spark_entry__ as entry
 from factweave.llm import tool_calls
 
 ADD = {"name": "add", "parameters": {"type": "object", "properties": {"a": {"type": ["number", "object"]}}, "required": ["a"], "additionalProperties": False}}
@@ -21,7 +20,7 @@ def test_schemas_from_the_data(spark, tmp_path):
         (2, 2, "assistant", call("d1", "add", a=1)), (3, 0, "user", f"<tools>{json.dumps([ADD])}</tools>"), (3, 1, "assistant", call("e1", "add", a="x")),
     ]
     spark.createDataFrame(talk, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    out = {(r.conv_id, r.turn): r for r in entry.queries()["op1_tool_calls"](spark, str(tmp_path)).collect()}
+    out = {(r.conv_id, r.turn): r for r in tool_calls.format_messages(spark.read.parquet(f"{tmp_path}/conversations.parquet")).collect()}
     assert len(out) == len(talk)
     r = out[1, 1]
     assert (r.n_calls, r.n_linked, r.n_invalid, r.n_unknown) == (6, 1, 1, 2)
