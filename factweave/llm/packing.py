@@ -7,12 +7,12 @@ gets about ``task_items`` items at most, so that the tree has a forest of
 roots where underfull bins are too many for one task.  Only numbers travel
 (32 bytes a piece); texts are read once and never shuffled.
 
-Token ids are those of the public byte-level BPE; its vocabulary file is a
-parameter.  Splits of the BPE's pattern always fall before a single space and
-around a single line end between two visible characters, so the chunks
-between them are encoded apart and remembered.  The vocabulary's added token
-(``<|endoftext|>``, the id after the last rank) is cut out of the texts first
-and gives its one id, as ``tokenizers`` does.
+Token ids are those of ``tokenizers`` as it comes, from a public byte-level
+BPE whose file is a parameter.  Splits of its pattern always fall before a
+single space and around a single line end between two visible characters, so
+the chunks between them are given to the library apart and remembered.  A chunk of Latin letters, with a comma or full
+stop or without, is what the pattern leaves whole, so the library's model gets
+it without the passes that split and align.
 
 Defined results: a null text is empty, so its document is id 0 alone; null
 ids and repeated rows are packed like others; equal lengths are ordered by
@@ -21,8 +21,10 @@ id; an empty table gives an empty table.  Only id and text are read.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,60 +35,79 @@ from pyspark.sql import functions as F
 
 from factweave.llm.common import written
 
-#: Chunks remembered per Python worker; the memory is emptied beyond it.
+#: Chunks in each of the two generations that a Python worker remembers.
 CHUNKS_KEPT = 1 << 18
 PIECE = np.dtype([("doc", "<i8"), ("none", "?"), ("piece", "<i4"), ("start", "<i8"), ("length", "<i4"), ("crc", "<u4")])
-ADDED_TOKEN = "<|endoftext|>"
 BINS = "bin long, size int, members binary"
 #: A space or line end that is not between two visible characters.
 _ODD_SPACE = re.compile(r"\s[ \n]|[ \n]\s|\A[ \n]|[ \n]\Z")
 
+#: Letters of Latin-1, which every version of Unicode has, and a mark that ends them.
+_LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([,.]?)\Z")
+
 _encoders: dict[str, "_Encoder"] = {}
 
 
-class _Encoder(dict):
-    """Little-endian 32-bit ids of a chunk that follows a space."""
+class _Memory(dict):
+    """Ids of chunks behind ``before``; what a whole generation didn't need is forgotten."""
 
-    def __init__(self, path: str):
-        import base64
+    def __init__(self, encode, before: str):
+        super().__init__()
+        self.encode, self.before, self.old = encode, before, {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.old.get(chunk)
+        if ids is None:
+            ids = self.encode(chunk, self.before)
+        self[chunk] = ids
+        return ids
+
+    def forget(self) -> None:
+        if len(self) > CHUNKS_KEPT:
+            self.old = dict(self)
+            self.clear()
 
-        import public_tokenizers
-        import tiktoken
 
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.at_start: dict[str, bytes] = {}
-        self._bpe = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+class _Encoder:
+    """Ids of texts, as the bytes of little-endian 32-bit numbers."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task a core
+        from tokenizers import Tokenizer
+
+        self._bpe = Tokenizer.from_file(path)
+        # Letters and the space as the vocabulary writes their bytes.
+        self._latin = str.maketrans({c: self._mapped(c) for c in map(chr, range(0xC0, 0x100))})
+        self._space = self._mapped(" a")[0]
+        self._model = self._bpe.model
+        self._marks = {"": b"", **{c: self.plain(c) for c in ",."}}
         self._line_end = self.plain("\n")
-        self._added = np.array([max(ranks.values()) + 1], "<u4").tobytes()
+        self._first, self._after = _Memory(self._chunk, ""), _Memory(self._chunk, " ")
+
+    def _mapped(self, letters: str) -> str:
+        return self._bpe.pre_tokenizer.pre_tokenize_str(letters)[0][0]
 
     def plain(self, text: str) -> bytes:
-        return np.array(self._bpe.encode_ordinary(text), "<u4").tobytes()
+        return array("I", self._bpe.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self[chunk] = self.plain(" " + chunk)
-        return ids
+    def _chunk(self, chunk: str, before: str) -> bytes:
+        m = _LETTERS.match(chunk)
+        if not m:
+            return self.plain(before + chunk)
+        letters = m.group(1).translate(self._latin)
+        ids = [t.id for t in self._model.tokenize(self._space + letters if before else letters)]
+        return array("I", ids).tobytes() + self._marks[m.group(2)]
 
     def ids(self, text: str) -> bytes:
-        if len(self) + len(self.at_start) > CHUNKS_KEPT:
-            self.clear()
-            self.at_start.clear()
+        self._first.forget()
+        self._after.forget()
         if _ODD_SPACE.search(text):
             return self.plain(text)
         return self._line_end.join(map(self._line, text.split("\n")))
 
-    def ids_with_added(self, text: str) -> bytes:
-        """Like ``ids``, but the added token is one id and what lies around it is encoded apart."""
-        if ADDED_TOKEN not in text:
-            return self.ids(text)
-        return self._added.join(self.ids(part) if part else b"" for part in text.split(ADDED_TOKEN))
-
     def _line(self, line: str) -> bytes:
         first, *rest = line.split(" ")
-        ids = self.at_start.get(first)
-        if ids is None:
-            ids = self.at_start[first] = self.plain(first)
-        return ids + b"".join(map(self.__getitem__, rest))
+        return self._first[first] + b"".join(map(self._after.__getitem__, rest))
 
 
 def encoder(path: str) -> _Encoder:
@@ -99,7 +120,7 @@ def encoder(path: str) -> _Encoder:
 def default_vocabulary() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def pieces_of(total: int, most: int) -> list[tuple[int, int]]:
@@ -160,7 +181,7 @@ def pack(
     end = np.array([end_id], "<u4").tobytes()
 
     def first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = encoder(path).ids_with_added
+        ids_of = encoder(path).ids
         items = []
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):

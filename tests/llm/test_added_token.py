@@ -15,8 +15,19 @@ def test_ids_with_the_added_token():
     bpe = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     own, rng = packing.encoder(packing.default_vocabulary()), random.Random(5)
     bits = [" ", "\n", "a", "the", "'s", "1", ".", "é", "\t", "漢", "<|endoftext|>", "<|endoftext|>", "<|endof", "text|>", "  "]
-    for t in ["", "<|endoftext|>", "a <|endoftext|> b", *("".join(rng.choices(bits, k=rng.randint(0, 12))) for _ in range(5000))]:
-        assert np.frombuffer(own.ids_with_added(t), "<u4").tolist() == bpe.encode(t, add_special_tokens=False).ids, t
+    texts = ["", "<|endoftext|>", "a <|endoftext|> b", *("".join(rng.choices(bits, k=rng.randint(0, 12))) for _ in range(20000))]
+    for t in texts:
+        assert np.frombuffer(own.ids(t), "<u4").tolist() == bpe.encode(t, add_special_tokens=False).ids, t
+
+
+def test_ids_of_letters_and_marks(monkeypatch):
+    monkeypatch.setattr(packing, "CHUNKS_KEPT", 50)
+    bpe, rng = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), random.Random(6)
+    own = packing._Encoder(packing.default_vocabulary())
+    letters = [chr(c) for c in (*range(32, 127), *range(0xA0, 0x180), 0x2019, 0x4E2D, 0x1F600, 9, 10, 13, 0x85, 0x2028)] + list("abcdefgh ,.,.  \n'") * 12
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 40))) for _ in range(6000)]
+    for t in texts:
+        assert np.frombuffer(own.ids(t), "<u4").tolist() == bpe.encode(t, add_special_tokens=False).ids, t
 
 
 def test_pieces_with_the_added_token(spark):
