@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from factweave.llm.common import written
 
 #: Chunks in each of the two generations that a Python worker remembers.
-CHUNKS_KEPT = 1 << 18
+CHUNKS_KEPT = 1 << 19
 PIECE = np.dtype([("doc", "<i8"), ("none", "?"), ("piece", "<i4"), ("start", "<i8"), ("length", "<i4"), ("crc", "<u4")])
 BINS = "bin long, size int, members binary"
 #: A space or line end that is not between two visible characters.
@@ -94,9 +94,10 @@ class _Encoder:
         m = _LETTERS.match(chunk)
         if not m:
             return self.plain(before + chunk)
-        letters = m.group(1).translate(self._latin)
-        ids = [t.id for t in self._model.tokenize(self._space + letters if before else letters)]
-        return array("I", ids).tobytes() + self._marks[m.group(2)]
+        if m.group(2):
+            return (self._after if before else self._first)[m.group(1)] + self._marks[m.group(2)]
+        letters = chunk.translate(self._latin)
+        return array("I", [t.id for t in self._model.tokenize(self._space + letters if before else letters)]).tobytes()
 
     def ids(self, text: str) -> bytes:
         self._first.forget()
