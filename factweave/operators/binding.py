@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from factweave.functions import numbers as N
 from factweave.functions import stats as S
+from factweave.operators.tables import written
 from factweave.plans.calendar import ReportPlan
 from factweave.plans.spec import Registry
 
@@ -113,12 +114,13 @@ def _read_prose(highlight: dict, row: dict) -> None:
             continue
         if _MARKUP.search(text):
             row["findings"].append(_finding("E040", f"{field} holds markup, a link or a list marker"))
-        row["tokens"] += [{"field": field, "raw": r, "digits": d, "kind": k} for r, d, k in N.number_tokens(text)]
+        prose = N.read_prose(text)
+        row["tokens"] += [{"field": field, "raw": f.raw, "digits": f.digits, "kind": f.kind} for f in prose.figures]
         if m := _MAGNITUDE.search(text):
             row["findings"].append(_finding("E024", f"{field} gives a quantity in words: {m.group()}"))
-        if stray := N.stray_numerals(text):
-            row["findings"].append(_finding("E022", f"{field} holds numerals outside any figure: {stray}"))
-        row["dates"] += [{"field": field, "date": d} for d in N.dates_in(text)]
+        if prose.strays:
+            row["findings"].append(_finding("E022", f"{field} holds numerals outside any figure: {prose.strays}"))
+        row["dates"] += [{"field": field, "date": d} for d in prose.dates]
         if field != "hypothesis" and (m := _CAUSAL.search(text)):
             row["findings"].append(_finding("E030", f"{field} tells why: {m.group()}"))
 
@@ -200,11 +202,10 @@ def bind_claims(parsed: DataFrame, facts: DataFrame, packed: DataFrame) -> DataF
 def validate(drafts: DataFrame, facts: DataFrame, packed: DataFrame, chosen: DataFrame, registry: Registry, plan: ReportPlan) -> tuple[DataFrame, DataFrame]:
     """(violations, bindings) of all drafts; a draft without violations passes.
 
-    Parsed drafts and bindings are read by several rules, so they are kept;
-    what memory can't hold goes to disk, and what is lost is read again.
+    Parsed drafts and bindings are read by several rules, so they are written.
     """
-    parsed = read_drafts(drafts).persist()
-    bindings = bind_claims(parsed, facts, packed).persist()
+    parsed = written(read_drafts(drafts), "drafts")
+    bindings = written(bind_claims(parsed, facts, packed), "bindings")
     bound = bindings.where(F.col("status") == "bound")
     none = F.lit(None)
 

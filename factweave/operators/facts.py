@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factweave.functions import numbers as N
 from factweave.functions import stats as S
-from factweave.plans.calendar import Period, ReportPlan
+from factweave.plans.calendar import ReportPlan, Span
 from factweave.plans.spec import Registry
 
 PCT_PRECISION, SCORE_PRECISION = 1, 2
@@ -30,8 +30,8 @@ def series(records: DataFrame) -> DataFrame:
     )
 
 
-def _at(period: Period | Column, field: str) -> Column:
-    label = F.lit(period.label) if isinstance(period, Period) else period
+def _at(period: Span | Column, field: str) -> Column:
+    label = F.lit(period.label) if isinstance(period, Span) else period
     return F.try_element_at(F.col("at"), label)[field]
 
 
@@ -42,7 +42,7 @@ def _values(periods) -> Column:
 def _day_table(plan: ReportPlan) -> Column:
     """Literal array of the week's days with the labels of their baselines."""
     return F.array(*[
-        F.struct(F.lit(d.label).alias("label"), F.lit(d.end).alias("day"), F.array(*[F.lit(b.label) for b in plan.day_baselines[d]]).alias("before"))
+        F.struct(F.lit(d.label).alias("label"), F.lit(d.end).alias("day"), F.array(*[F.lit(b.label) for b in d.earlier(plan.days_back)]).alias("before"))
         for d in plan.days
     ])
 
@@ -53,7 +53,7 @@ def compared(records: DataFrame, registry: Registry, plan: ReportPlan) -> DataFr
     Grouping records by series is the only shuffle; periods of a plan are few,
     so a series is one small row.
     """
-    w, prior = plan.week, plan.week_baselines[0] if plan.week_baselines else None
+    w, prior = plan.week, plan.earlier_weeks[0] if plan.earlier_weeks else None
     prior_of = lambda f: _at(prior, f) if prior else F.lit(None).cast("double")
     value, before = _at(w, "value"), prior_of("value")
     rate = F.col("statistic") == "rate"
@@ -61,12 +61,12 @@ def compared(records: DataFrame, registry: Registry, plan: ReportPlan) -> DataFr
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     num, den = _at(w, "numerator"), _at(w, "denominator")
     filled = lambda p: F.coalesce(_at(p, "provenance") == "zero_fill", F.lit(False))
-    all_filled = F.lit(bool(plan.week_baselines))
-    for p in plan.week_baselines:
+    all_filled = F.lit(bool(plan.earlier_weeks))
+    for p in plan.earlier_weeks:
         all_filled = all_filled & filled(p)
     week = F.struct(
         value.alias("value"), _at(w, "n_obs").alias("n_obs"), S.delta(value, before).alias("wow_delta"), S.pct_change(value, before).alias("wow_pct"),
-        S.compare_to_baseline(value, _values(plan.week_baselines)).alias("base"), num.alias("numerator"), den.alias("denominator"),
+        S.compare_to_baseline(value, _values(plan.earlier_weeks)).alias("base"), num.alias("numerator"), den.alias("denominator"),
         F.when(rate, S.rate_adequacy_flags(num, zero(den))).otherwise(F.array().cast(S.NO_FLAGS)).alias("adequacy"),
         F.when(rate & F.lit(prior is not None), S.two_proportion_z(num, zero(den), prior_of("numerator"), zero(prior_of("denominator")))).alias("rate_z"),
         filled(w).alias("disappeared"), (~filled(w) & all_filled).alias("newly_appeared"),
@@ -75,8 +75,8 @@ def compared(records: DataFrame, registry: Registry, plan: ReportPlan) -> DataFr
         d["label"].alias("label"), d["day"].alias("day"), _at(d["label"], "value").alias("value"), _at(d["label"], "flags").alias("flags"), d["before"].alias("before"),
         S.robust_score(_at(d["label"], "value"), F.transform(d["before"], lambda b: _at(b, "value")), F.col("metric_type")).alias("robust"),
     ))
-    if plan.partial:
-        part = F.struct(_at(plan.partial, "value").alias("value"), S.compare_to_baseline(_at(plan.partial, "value"), _values(plan.partial_baselines)).alias("base"))
+    if plan.running:
+        part = F.struct(_at(plan.running, "value").alias("value"), S.compare_to_baseline(_at(plan.running, "value"), _values(plan.earlier_slices)).alias("base"))
     else:
         part = F.lit(None).cast("struct<value:double>")
     units = {m.id: m for m in registry.metrics}
@@ -103,13 +103,13 @@ def _ids(periods) -> Column:
 
 
 def _fact(keep, statistic: str, period, value: Column, *, unit=None, precision=None, flags=None, computation=None, formula=None, inputs=None, note="") -> Column:
-    """Struct of one published number; ``period`` is a Period or a struct of label and day."""
-    fixed = isinstance(period, Period)
+    """Struct of one published number; ``period`` is a Span or a struct of label and day."""
+    fixed = isinstance(period, Span)
     label = F.lit(period.label) if fixed else period["label"]
     col = lambda x, default: default if x is None else F.lit(x) if isinstance(x, (str, int)) else x
     return F.struct(
         F.lit(keep).alias("keep") if isinstance(keep, bool) else keep.alias("keep"), F.lit(statistic).alias("statistic_key"),
-        label.alias("period_label"), F.lit(period.type if fixed else "daily").alias("period_type"),
+        label.alias("period_label"), (F.lit(period.phrase) if fixed else F.concat(F.lit("day "), period["day"].cast("string"))).alias("phrase"), F.lit(period.kind if fixed else "daily").alias("period_type"),
         (F.lit(period.start) if fixed else period["day"]).alias("period_start"), (F.lit(period.end) if fixed else period["day"]).alias("period_end"),
         value.cast("double").alias("value"), col(unit, F.col("unit")).alias("unit"), col(precision, F.col("precision")).cast("int").alias("display_precision"),
         F.coalesce(flags if flags is not None else F.lit(None).cast(S.NO_FLAGS), F.array().cast(S.NO_FLAGS)).alias("flags"),
@@ -118,14 +118,14 @@ def _fact(keep, statistic: str, period, value: Column, *, unit=None, precision=N
     )
 
 
-def _rows_of(period: Period) -> Column:
+def _rows_of(period: Span) -> Column:
     days = period.end.isoformat() if period.start == period.end else f"{period.start.isoformat()}..{period.end.isoformat()}"
     return F.array(F.lit(f"source_rows:{days}"))
 
 
 def facts(wide: DataFrame, plan: ReportPlan) -> DataFrame:
     """One row per published number, with id, display, flags and provenance."""
-    w, bases = plan.week, plan.week_baselines
+    w, bases = plan.week, plan.earlier_weeks
     own, base_ids = F.array(fact_id(w.label, "value")), _ids(bases)
     pair = F.concat(own, _ids(bases[:1]))
     base = F.col("week.base")
@@ -154,11 +154,11 @@ def facts(wide: DataFrame, plan: ReportPlan) -> DataFrame:
     blocks = [F.array(*weekly)]
     if plan.days:
         blocks.append(F.flatten(F.transform("days", lambda d: F.array(*_daily(d)))))
-        before = [p for p in sorted({p for b in plan.day_baselines.values() for p in b}) if p not in plan.days]
+        before = [p for p in sorted({p for d in plan.days for p in d.earlier(plan.days_back)}) if p not in plan.days]
         if before:
             blocks.append(F.array(*[_fact(True, "value", p, _at(p, "value"), flags=_at(p, "flags"), inputs=_rows_of(p)) for p in before]))
-    if plan.partial:
-        p, slices = plan.partial, plan.partial_baselines
+    if plan.running:
+        p, slices = plan.running, plan.earlier_slices
         part, ids = F.col("part.base"), _ids(slices)
         blocks.append(F.array(
             *[_fact(True, "value", s, _at(s, "value"), flags=_at(s, "flags"), inputs=_rows_of(s), note="the same days of an earlier week") for s in slices],
@@ -171,7 +171,7 @@ def facts(wide: DataFrame, plan: ReportPlan) -> DataFrame:
     f = long.select("metric_ord", "metric_id", "title", "cut", "cut_dim", "cut_value", "f.*").drop("keep")
     return f.select(
         fact_id(F.col("period_label"), F.col("statistic_key")).alias("id"), "metric_ord", "metric_id",
-        F.concat_ws(" | ", "title", "cut", "period_label", F.element_at(names, F.col("statistic_key"))).alias("label"),
+        F.concat_ws(" | ", "title", "cut", "phrase", F.element_at(names, F.col("statistic_key"))).alias("label"),
         "statistic_key", "cut", "cut_dim", "cut_value", "period_label", "period_type", "period_start", "period_end", "value", "unit", "display_precision",
         N.format_value(F.col("value"), F.col("unit"), F.col("display_precision")).alias("display"), "flags",
         F.struct("computation", "formula", "inputs", "note").alias("provenance"),

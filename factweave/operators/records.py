@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factweave.functions import stats as S
-from factweave.plans.calendar import ReportPlan, expected_days_frame, period_days_frame, periods_frame
+from factweave.plans.calendar import ReportPlan, days_frame, span_days_frame, spans_frame
 from factweave.plans.spec import Metric, Registry, SourceSpec
 from factweave.sources.cells import EXACT
 
 OVERALL = "overall"
 FRESHNESS_SLACK_DAYS = 1
+#: Stands for a null label in the name of its segment; no label of a source may hold it.
+NO_LABEL = "\\N"
 
 
 def day_segments(cells: DataFrame, spec: SourceSpec, plan: ReportPlan) -> DataFrame:
@@ -20,25 +22,22 @@ def day_segments(cells: DataFrame, spec: SourceSpec, plan: ReportPlan) -> DataFr
     Cells outside the plan are filtered before, so the filter reaches the
     scan; what leaves is a row per day and segment, whatever the cells are.
     """
-    start, end = plan.coverage_span()
+    start, end = plan.reach
     rows = cells.where(F.col("day").between(F.lit(start), F.lit(end)))
-    sets = ", ".join(["(day)", *(f"(day, `{d}`)" for d in spec.dims)])
-    view = f"cells_{abs(hash((id(cells), start, end)))}"
-    rows.createOrReplaceTempView(view)
-    sums = ", ".join(f"sum(CAST(`{m}` AS {EXACT.simpleString()})) AS `{m}`" for m in spec.measures)
-    level = ", ".join(f"grouping(`{d}`) AS g{i}" for i, d in enumerate(spec.dims))
-    grouped = cells.sparkSession.sql(f"SELECT day, {', '.join(f'`{d}`' for d in spec.dims)}, {level}, {sums} FROM {view} GROUP BY GROUPING SETS ({sets})")
+    sets = [["day"], *(["day", d] for d in spec.dims)]
+    grouped = rows.groupingSets(sets, "day", *spec.dims).agg(
+        *[F.grouping(d).alias(f"g{i}") for i, d in enumerate(spec.dims)], *[F.sum(F.col(m).cast(EXACT)).alias(m) for m in spec.measures])
     dim, value = F.lit(None).cast("string"), F.lit(None).cast("string")
     for i, d in enumerate(spec.dims):
         dim = F.when(F.col(f"g{i}") == 0, F.lit(d)).otherwise(dim)
-        value = F.when(F.col(f"g{i}") == 0, F.col(f"`{d}`")).otherwise(value)
-    cut = F.when(dim.isNull(), F.lit(OVERALL)).otherwise(F.concat(dim, F.lit("="), F.coalesce(value, F.lit(""))))
+        value = F.when(F.col(f"g{i}") == 0, F.col(d)).otherwise(value)
+    cut = F.when(dim.isNull(), F.lit(OVERALL)).otherwise(F.concat(dim, F.lit("="), F.coalesce(value, F.lit(NO_LABEL))))
     return grouped.select("day", dim.alias("cut_dim"), value.alias("cut_value"), cut.alias("cut"), *spec.measures)
 
 
 def period_sums(segments: DataFrame, spec: SourceSpec, plan: ReportPlan) -> DataFrame:
     """Sums per period and segment: days meet their periods by an equi-join with the plan's few hundred rows."""
-    days = F.broadcast(period_days_frame(segments.sparkSession, plan))
+    days = F.broadcast(span_days_frame(segments.sparkSession, plan))
     return segments.join(days, "day").groupBy("period_label", "cut", "cut_dim", "cut_value").agg(*[F.sum(m).alias(m) for m in spec.measures])
 
 
@@ -49,7 +48,7 @@ def segment_universe(segments: DataFrame) -> DataFrame:
 
 def grid_sums(sums: DataFrame, universe: DataFrame, spec: SourceSpec, plan: ReportPlan) -> DataFrame:
     """Every segment in every period; those without rows get zeros and ``filled``."""
-    periods = F.broadcast(periods_frame(sums.sparkSession, plan))
+    periods = F.broadcast(spans_frame(sums.sparkSession, plan))
     present = sums.select("period_label", "cut", *spec.measures, F.lit(True).alias("__present"))
     grid = universe.crossJoin(periods).join(present, ["period_label", "cut"], "left")
     return grid.select(
@@ -88,7 +87,7 @@ def records(cells: DataFrame, registry: Registry, spec: SourceSpec, plan: Report
 
 def missing_days(cells: DataFrame, plan: ReportPlan) -> DataFrame:
     """Planned days without any cell."""
-    return expected_days_frame(cells.sparkSession, plan).join(cells.select("day").distinct(), "day", "left_anti")
+    return days_frame(cells.sparkSession, plan).join(cells.select("day").distinct(), "day", "left_anti")
 
 
 def coverage(cells: DataFrame, registry: Registry, plan: ReportPlan) -> DataFrame:

@@ -27,9 +27,9 @@ def pack_ids(plan: ReportPlan):
         "contribution_share_pct": F.col("cut_dim").isNotNull() & ~F.col("is_ratio"),
     }
     ids = [F.when(exists.get(k, F.lit(True)), fact_id(w.label, k)) for k in WEEKLY_KEYS]
-    ids += [fact_id(p.label, "value") for p in plan.week_baselines[:1]]
-    if plan.partial:
-        ids += [fact_id(plan.partial.label, k) for k in PARTIAL_KEYS]
+    ids += [fact_id(p.label, "value") for p in plan.earlier_weeks[:1]]
+    if plan.running:
+        ids += [fact_id(plan.running.label, k) for k in PARTIAL_KEYS]
     notable = F.filter("days", lambda d: F.coalesce(F.abs(d["robust"]["score"]) >= DAY_SCORE, F.lit(False)) | F.array_contains(d["robust"]["flags"], "new_event"))
     daily = F.flatten(F.transform(notable, lambda d: F.array(*[fact_id(d["label"], k) for k in DAILY_KEYS])))
     return F.array_distinct(F.concat(F.array_compact(F.array(*ids)), daily))

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from factweave.operators.binding import CAUSAL, MAGNITUDE
-from factweave.queries import LONG_PLAN, PLAN, REGISTRY
+from dataclasses import dataclass
+from datetime import timedelta
+
+from factweave.operators.binding import CAUSAL, MAGNITUDE, MARKUP, REASONS, SEVERITIES
+from factweave.operators.facts import LABELS
+from factweave.plans.calendar import SUNDAY, ReportPlan
+from factweave.queries import BROKEN, EVENT_PLAN, GAPS, LONG_PLAN, PLAN, PLANTED, REGISTRY
 
 
 def _day(d) -> str:
@@ -14,6 +19,10 @@ def _values(rows: list[str]) -> str:
     return "(VALUES " + ", ".join(f"({r})" for r in rows) + ")"
 
 
+def _days_of(plan) -> str:
+    return _values([_day(SUNDAY + timedelta(n)) for n in plan.numbers()])
+
+
 _CELLS = """
 cells AS (
   SELECT CAST(o_orderdate AS DATE) AS day, r_name AS region, o_orderpriority AS priority, CAST(count(*) AS DOUBLE) AS sessions,
@@ -22,35 +31,49 @@ cells AS (
   GROUP BY ALL
 )"""
 
-_PERIODS = "periods AS (SELECT * FROM " + _values(
-    [f"'{p.label}', '{p.type}', {_day(p.start)}, {_day(p.end)}" for p in PLAN.all_periods()]
-) + " AS t(label, kind, first_day, last_day))"
+_EVENT_CELLS = """
+cells AS (
+  SELECT CAST(ts AS DATE) AS day, 'u' || user_id % 4 AS bucket, 'h' || CAST(hour(ts) // 6 AS INT) AS part, CAST(count(*) AS DOUBLE) AS sessions,
+         CAST(count(*) FILTER (event_type = 'purchase') AS DOUBLE) AS orders,
+         CAST(coalesce(sum(CAST(value AS DECIMAL(18,2))) FILTER (event_type = 'purchase'), 0) AS DOUBLE) AS gmv
+  FROM events GROUP BY ALL
+)"""
 
+_SPARSE = """
+cells AS (
+  SELECT CAST(o_orderdate AS DATE) AS day, 'n' || c_nationkey AS region, 'all' AS priority, CAST(count(*) AS DOUBLE) AS sessions,
+         CAST(count(*) FILTER (o_orderstatus = 'F') AS DOUBLE) AS orders, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS gmv
+  FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT' GROUP BY ALL
+)"""
 
-def _pairs(name: str, pairs: dict) -> str:
-    return f"{name} AS (SELECT * FROM " + _values([f"'{a.label}', '{b.label}'" for a, bs in pairs.items() for b in bs]) + " AS t(label, base))"
 
+@dataclass(frozen=True)
+class Source:
+    """Cells, two dimensions and a plan, from which the statements below are built."""
 
-def _metric(i: int, m) -> str:
-    if m.is_ratio:
-        value = f"{m.numerator_field} / nullif({m.denominator_field}, 0){' * 100.0' if m.statistic == 'rate' else ''}"
-        den, none = m.denominator_field, f"{m.denominator_field} = 0"
-    else:
-        value, den, none = m.numerator_field, "CAST(NULL AS DOUBLE)", "FALSE"
-    return (
-        f"SELECT '{m.id}' AS metric_id, {i} AS metric_ord, '{m.metric_type}' AS metric_type, '{m.statistic}' AS statistic, cut, cut_dim, label, {value} AS value, {m.numerator_field} AS numerator, {den} AS denominator, "
-        f"{m.n_obs_field} AS n_obs, filled, concat_ws(',', CASE WHEN {none} THEN 'no_exposure' END, CASE WHEN filled THEN 'zero_filled' END) AS flags FROM grid"
-    )
+    cells: str
+    plan: ReportPlan
+    dims: tuple[str, str]
 
+    def pairs(self, name: str, spans, count: int) -> str:
+        rows = [f"'{s.label}', '{b.label}'" for s in spans for b in s.earlier(count)]
+        return f"{name} AS (SELECT * FROM {_values(rows)} AS t(label, base))"
 
-def _records(cells: str = _CELLS) -> str:
-    return f"""WITH {cells}, {_PERIODS}, sums AS (
-  SELECT label, region, priority, grouping(region) AS g1, grouping(priority) AS g2, sum(CAST(sessions AS DECIMAL(30,6))) AS sessions,
+    @property
+    def periods(self) -> str:
+        rows = [f"'{s.label}', '{s.kind}', {_day(s.start)}, {_day(s.end)}, '{s.phrase}'" for s in self.plan.spans()]
+        return f"periods AS (SELECT * FROM {_values(rows)} AS t(label, kind, first_day, last_day, phrase))"
+
+    @property
+    def records(self) -> str:
+        x, y = self.dims
+        return f"""WITH {self.cells}, {self.periods}, sums AS (
+  SELECT label, {x}, {y}, grouping({x}) AS g1, grouping({y}) AS g2, sum(CAST(sessions AS DECIMAL(30,6))) AS sessions,
          sum(CAST(orders AS DECIMAL(30,6))) AS orders, sum(CAST(gmv AS DECIMAL(30,6))) AS gmv
-  FROM cells JOIN periods ON day BETWEEN first_day AND last_day GROUP BY GROUPING SETS ((label), (label, region), (label, priority))
+  FROM cells JOIN periods ON day BETWEEN first_day AND last_day GROUP BY GROUPING SETS ((label), (label, {x}), (label, {y}))
 ), seg AS (
-  SELECT label, CASE WHEN g1 = 0 THEN 'region' WHEN g2 = 0 THEN 'priority' END AS cut_dim, CASE WHEN g1 = 0 THEN region WHEN g2 = 0 THEN priority END AS cut_value,
-         CASE WHEN g1 = 0 THEN 'region=' || region WHEN g2 = 0 THEN 'priority=' || priority ELSE 'overall' END AS cut, sessions, orders, gmv FROM sums
+  SELECT label, CASE WHEN g1 = 0 THEN '{x}' WHEN g2 = 0 THEN '{y}' END AS cut_dim, CASE WHEN g1 = 0 THEN {x} WHEN g2 = 0 THEN {y} END AS cut_value,
+         CASE WHEN g1 = 0 THEN '{x}=' || {x} WHEN g2 = 0 THEN '{y}=' || {y} ELSE 'overall' END AS cut, sessions, orders, gmv FROM sums
 ), universe AS (SELECT DISTINCT cut, cut_dim, cut_value FROM seg
 ), grid AS (
   SELECT u.cut, u.cut_dim, u.cut_value, p.label, s.cut IS NULL AS filled, CAST(coalesce(s.sessions, 0) AS DOUBLE) AS sessions,
@@ -58,42 +81,86 @@ def _records(cells: str = _CELLS) -> str:
   FROM universe u CROSS JOIN periods p LEFT JOIN seg s ON s.cut = u.cut AND s.label = p.label
 ), rec AS ({" UNION ALL ".join(_metric(i, m) for i, m in enumerate(REGISTRY.metrics))})"""
 
-
-_WEEK = f"""{_records()}, {_pairs('week_pairs', {PLAN.week: PLAN.week_baselines})}, base AS (
+    @property
+    def week(self) -> str:
+        plan = self.plan
+        return f"""{self.records}, {self.pairs('week_pairs', [plan.week], plan.weeks_back)}, base AS (
   SELECT b.metric_id, b.cut, count(b.value) AS n, avg(b.value) AS mean,
          CASE WHEN count(b.value) > 1 THEN CASE WHEN max(b.value) = min(b.value) THEN 0 ELSE stddev_samp(b.value) END END AS sd, bool_and(b.filled) AS all_filled
   FROM week_pairs JOIN rec b ON b.label = base GROUP BY ALL
 ), week AS (
   SELECT c.*, p.value AS prior, p.numerator AS prior_num, p.denominator AS prior_den, c.value - p.value AS wow_delta, (c.value - p.value) / nullif(abs(p.value), 0) * 100 AS wow_pct,
          n, mean, sd, (c.value - mean) / nullif(abs(mean), 0) * 100 AS pct, (c.value - mean) / nullif(sd, 0) AS z, c.filled AS gone, NOT c.filled AND all_filled AS fresh,
+         {_BASE_FLAGS.format(value='c.value')} AS base_flags,
          CASE WHEN c.statistic = 'rate' THEN CASE WHEN c.denominator <= 0 THEN 'no_exposure' ELSE concat_ws(',', CASE WHEN c.denominator < 30 THEN 'small_denominator' END,
               CASE WHEN least(c.numerator, c.denominator - c.numerator) < 5 THEN 'small_cell' END) END ELSE '' END AS adequacy
-  FROM rec c JOIN base USING (metric_id, cut) JOIN rec p ON p.metric_id = c.metric_id AND p.cut = c.cut AND p.label = '{PLAN.week_baselines[0].label}'
-  WHERE c.label = '{PLAN.week.label}'
+  FROM rec c JOIN base USING (metric_id, cut) JOIN rec p ON p.metric_id = c.metric_id AND p.cut = c.cut AND p.label = '{plan.earlier_weeks[0].label}'
+  WHERE c.label = '{plan.week.label}'
 ), shared AS (
-  SELECT w.*, CASE WHEN w.cut_dim IS NOT NULL AND w.statistic IN ('count', 'sum') THEN w.wow_delta / nullif(o.wow_delta, 0) * 100 END AS share
+  SELECT w.*, CASE WHEN w.cut_dim IS NOT NULL AND w.statistic IN ('count', 'sum') THEN w.wow_delta / nullif(o.wow_delta, 0) * 100 END AS share, (w.numerator + w.prior_num) / nullif(w.denominator + w.prior_den, 0) AS pooled
   FROM week w JOIN week o ON o.metric_id = w.metric_id AND o.cut = 'overall'
+), rated AS (
+  SELECT *, CASE WHEN denominator > 0 AND prior_den > 0 AND pooled > 0 AND pooled < 1 THEN (numerator / denominator - prior_num / prior_den) / sqrt(pooled * (1 - pooled) * (1 / denominator + 1 / prior_den)) END AS rate_z FROM shared
 )"""
 
-
-def _six(x: str, name: str) -> str:
-    return f"round({x}, 6) + 0.0 AS {name}"
-
-
-_SPARSE = """cells AS (
-  SELECT CAST(o_orderdate AS DATE) AS day, 'n' || c_nationkey AS region, 'all' AS priority, CAST(count(*) AS DOUBLE) AS sessions,
-         CAST(count(*) FILTER (o_orderstatus = 'F') AS DOUBLE) AS orders, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS gmv
-  FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT' GROUP BY ALL
+    @property
+    def days(self) -> str:
+        return f"""{self.pairs('day_pairs', self.plan.days, self.plan.days_back)}, med AS (
+  SELECT label, b.metric_id, b.cut, count(b.value) AS n, median(b.value) AS m, mad(b.value) AS mad FROM day_pairs JOIN (SELECT metric_id, cut, label AS base, value FROM rec) b USING (base) GROUP BY ALL
+), sized_days AS (
+  SELECT r.*, p.last_day AS day, n, m, mad, m = 0 AND mad = 0 AS zero, mad * 1.4826 AS wide, CASE WHEN metric_type = 'count' THEN sqrt(greatest(m, 1)) ELSE abs(m) * 0.01 END AS floor
+  FROM med JOIN rec r USING (label, metric_id, cut) JOIN periods p USING (label)
+), scaled AS (
+  SELECT *, CASE WHEN NOT zero AND greatest(wide, floor) > 0 THEN greatest(wide, floor) END AS scale, CASE WHEN NOT zero AND greatest(wide, floor) > 0 THEN (value - m) / greatest(wide, floor) END AS score,
+       concat_ws(',', CASE WHEN n < 3 THEN 'thin_baseline' END, CASE WHEN n = 0 THEN 'no_baseline' END, CASE WHEN zero THEN 'all_zero_baseline' END, CASE WHEN zero AND value <> 0 THEN 'new_event' END,
+                 CASE WHEN NOT zero AND floor > wide THEN 'scale_floored' END, CASE WHEN NOT zero AND greatest(wide, floor) <= 0 THEN 'degenerate_scale' END,
+                 CASE WHEN NOT zero AND greatest(wide, floor) > 0 AND value IS NULL THEN 'no_current_value' END) AS day_flags
+  FROM sized_days
 )"""
 
+    @property
+    def slices(self) -> str:
+        return f"""{self.pairs('part_pairs', [self.plan.running], self.plan.weeks_back)}, slice_base AS (
+  SELECT b.metric_id, b.cut, count(b.value) AS n, avg(b.value) AS mean, CASE WHEN count(b.value) > 1 THEN CASE WHEN max(b.value) = min(b.value) THEN 0 ELSE stddev_samp(b.value) END END AS sd
+  FROM part_pairs JOIN rec b ON b.label = base GROUP BY ALL
+), slices AS (
+  SELECT rec.*, mean, (value - mean) / nullif(abs(mean), 0) * 100 AS pct, {_BASE_FLAGS.format(value='value')} AS base_flags FROM rec JOIN slice_base USING (metric_id, cut) WHERE label = '{self.plan.running.label}'
+)"""
 
-def _sparse_week() -> str:
-    return _WEEK.replace(_CELLS, _SPARSE)
-
-
-_MONEY = "CASE WHEN v < 0 THEN '-' ELSE '' END || '$' || format('{:,.%df}', abs(v))"
+    @property
+    def facts(self) -> str:
+        """All published numbers: series, k (statistic), label, value, unit, decimals, flags, inputs."""
+        plan = self.plan
+        week, part = f"'{plan.week.label}'", f"'{plan.running.label}'"
+        own = "metric_id || '/' || cut || '/'"
+        values = lambda spans: "[" + ", ".join(f"{own} || '{x.label}/value'" for x in spans) + "]"
+        now, before, both = values([plan.week]), values(plan.earlier_weeks), values([plan.week, *plan.earlier_weeks[:1]])
+        sliced, day_before = values(plan.earlier_slices), f"list_transform((SELECT list(base) FROM day_pairs d WHERE d.label = scaled.label), lambda b: {own} || b || '/value')"
+        day_own, points = f"[{own} || label || '/value']", "CASE WHEN unit = 'percent' THEN 'pp' ELSE unit END"
+        ratio, rate = "statistic IN ('rate', 'mean')", "statistic = 'rate'"
+        parts = [
+            ("rec JOIN periods USING (label)", "value", "label", "value", "unit", "decimals", "flags", "['source_rows:' || CASE WHEN first_day = last_day THEN '' ELSE first_day || '..' END || last_day]", "TRUE"),
+            ("rated", "n_obs", week, "n_obs", "'count'", "0", "''", "['source_rows:']", "TRUE"), ("rated", "wow_delta", week, "wow_delta", points, "decimals", "''", both, "TRUE"),
+            ("rated", "wow_pct", week, "wow_pct", "'percent'", "1", "''", both, "TRUE"), ("rated", "baseline_mean", week, "mean", "unit", "decimals", "base_flags", before, "TRUE"),
+            ("rated", "vs_baseline_pct", week, "pct", "'percent'", "1", "base_flags", f"{now} || {before}", "TRUE"), ("rated", "screening_z", week, "z", "'score'", "2", "base_flags", f"{now} || {before}", "TRUE"),
+            ("rated", "numerator", week, "numerator", "'count'", "0", "adequacy", "['source_rows:']", ratio), ("rated", "denominator", week, "denominator", "'count'", "0", "adequacy", "['source_rows:']", ratio),
+            ("rated", "rate_z", week, "rate_z", "'score'", "2", "adequacy", both, rate),
+            ("rated", "contribution_share_pct", week, "share", "'percent'", "1", "''", f"[{own} || {week} || '/wow_delta', metric_id || '/overall/' || {week} || '/wow_delta']", f"cut_dim IS NOT NULL AND NOT {ratio}"),
+            ("scaled", "weekday_median", "label", "m", "unit", "decimals", "day_flags", day_before, "TRUE"), ("scaled", "robust_scale", "label", "scale", "unit", "decimals", "day_flags", day_before, "TRUE"),
+            ("scaled", "robust_score", "label", "score", "'score'", "2", "day_flags", f"{day_own} || {day_before}", "TRUE"),
+            ("slices", "slice_baseline_mean", part, "mean", "unit", "decimals", "base_flags", sliced, "TRUE"),
+            ("slices", "vs_slice_pct", part, "pct", "'percent'", "1", "base_flags", f"{values([plan.running])} || {sliced}", "TRUE"),
+        ]
+        rows = " UNION ALL ".join(
+            f"SELECT metric_ord, metric_id, cut, cut_dim, cut_value, '{k}' AS k, {label} AS label, {v} AS v, {unit} AS unit, {decimals} AS decimals, {flags} AS flags, {inputs} AS inputs FROM {table} WHERE {keep}"
+            for table, k, label, v, unit, decimals, flags, inputs, keep in parts)
+        return f"""{self.week}, {self.days}, {self.slices}, plain_facts AS ({rows}), facts AS (
+  SELECT *, metric_id || '/' || cut || '/' || label || '/' || k AS id, {_DISPLAY} AS display FROM plain_facts
+)"""
 
-_SHORTLIST = f"""{_WEEK}, sized AS (
+    @property
+    def listed(self) -> str:
+        return f"""sized AS (
   SELECT *, coalesce(abs(z), 0) AS az, coalesce(abs(CASE WHEN statistic IN ('rate', 'mean') THEN wow_pct ELSE share END), 0) AS impact FROM shared
 ), placed AS (
   SELECT *, row_number() OVER (PARTITION BY metric_id, cut_dim ORDER BY az DESC, cut) AS zp, row_number() OVER (PARTITION BY metric_id, cut_dim ORDER BY impact DESC, cut) AS ip FROM sized WHERE cut_dim IS NOT NULL
@@ -103,11 +170,154 @@ _SHORTLIST = f"""{_WEEK}, sized AS (
             CASE WHEN ip <= 2 AND impact > 0 AND statistic IN ('rate', 'mean') THEN 'wow_pct' END) AS channels FROM placed
 ), kept AS (
   SELECT *, row_number() OVER (PARTITION BY metric_id, cut_dim ORDER BY length(channels) - length(replace(channels, ',', '')) DESC, az DESC, cut) AS place FROM chosen WHERE channels <> ''
-), listed AS (
+), in_order AS (
   SELECT metric_ord, 0 AS dim_ord, 0 AS place, metric_id, cut, 'overall' AS channels FROM week WHERE cut = 'overall'
-  UNION ALL SELECT metric_ord, CASE cut_dim WHEN 'region' THEN 1 ELSE 2 END, place, metric_id, cut, channels FROM kept WHERE place <= 4
+  UNION ALL SELECT metric_ord, CASE cut_dim WHEN '{self.dims[0]}' THEN 1 ELSE 2 END, place, metric_id, cut, channels FROM kept WHERE place <= 4
+), listed AS (SELECT *, CAST(row_number() OVER (ORDER BY metric_ord, dim_ord, place) AS INT) AS rank FROM in_order)"""
+
+    @property
+    def packed(self) -> str:
+        """The facts of listed series that travel, in order of mention."""
+        plan = self.plan
+        order = [f"'{k}', '{plan.week.label}', {i}" for i, k in enumerate(_WEEKLY)] + [f"'value', '{plan.earlier_weeks[0].label}', 50"]
+        order += [f"'{k}', '{plan.running.label}', {60 + i}" for i, k in enumerate(("value", "slice_baseline_mean", "vs_slice_pct"))]
+        daily = [f"'{k}', '{d.label}', {100 + 10 * i + j}" for i, d in enumerate(plan.days) for j, k in enumerate(("value", "weekday_median", "robust_scale", "robust_score"))]
+        return f"""travels AS (SELECT *, seq >= 100 AS daily FROM {_values(order + daily)} AS t(k, label, seq)), packed AS (
+  SELECT f.*, rank, CAST(row_number() OVER (PARTITION BY rank ORDER BY seq) - 1 AS INT) AS pos
+  FROM listed JOIN facts f USING (metric_id, cut) JOIN travels USING (k, label) LEFT JOIN scaled s ON s.metric_id = f.metric_id AND s.cut = f.cut AND s.label = f.label
+  WHERE NOT daily OR abs(score) >= 2.5 OR day_flags LIKE '%new_event%'
+)"""
+
+
+def _metric(i: int, m) -> str:
+    if m.is_ratio:
+        value = f"{m.numerator_field} / nullif({m.denominator_field}, 0){' * 100.0' if m.statistic == 'rate' else ''}"
+        den, none = m.denominator_field, f"{m.denominator_field} = 0"
+    else:
+        value, den, none = m.numerator_field, "CAST(NULL AS DOUBLE)", "FALSE"
+    return (
+        f"SELECT '{m.id}' AS metric_id, {i} AS metric_ord, '{m.metric_type}' AS metric_type, '{m.statistic}' AS statistic, '{m.unit}' AS unit, {m.display_precision} AS decimals, cut, cut_dim, cut_value, label, "
+        f"{value} AS value, {m.numerator_field} AS numerator, {den} AS denominator, "
+        f"{m.n_obs_field} AS n_obs, filled, concat_ws(',', CASE WHEN {none} THEN 'no_exposure' END, CASE WHEN filled THEN 'zero_filled' END) AS flags FROM grid"
+    )
+
+
+_BASE_FLAGS = """concat_ws(',', CASE WHEN n < 3 THEN 'thin_baseline' END, CASE WHEN n = 0 THEN 'no_baseline' END, CASE WHEN n > 0 AND {value} IS NULL THEN 'no_current_value' END,
+           CASE WHEN n > 0 AND {value} IS NOT NULL AND (sd IS NULL OR sd = 0) THEN 'degenerate_baseline_scale' END)"""
+_WEEKLY = ("value", "n_obs", "wow_delta", "wow_pct", "baseline_mean", "vs_baseline_pct", "screening_z", "numerator", "denominator", "rate_z", "contribution_share_pct")
+
+
+def _shown(x: str) -> str:
+    return f"CASE decimals WHEN 0 THEN format('{{:,.0f}}', {x}) WHEN 1 THEN format('{{:,.1f}}', {x}) ELSE format('{{:,.2f}}', {x}) END"
+
+
+_DISPLAY = f"""CASE WHEN v IS NULL THEN 'n/a' WHEN unit = 'usd' THEN CASE WHEN v < 0 THEN '-' ELSE '' END || '$' || {_shown('abs(v)')}
+  ELSE {_shown('v')} || CASE unit WHEN 'percent' THEN '%' WHEN 'pp' THEN 'pp' ELSE '' END END"""
+
+_SHOP = Source(_CELLS, PLAN, ("region", "priority"))
+_WEEK = _SHOP.week
+_SHORTLIST = f"{_WEEK}, {_SHOP.listed}"
+_FACTS = _SHOP.facts
+_EVENTS = Source(_EVENT_CELLS, EVENT_PLAN, ("bucket", "part"))
+
+#: A figure and the character before it, as this dialect has no look-behind; a space behind each percent sign parts neighbours.
+_RE2_FIGURE = r"(?:^|[^\p{L}\p{N}_.,])([-+−]?\$?(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.[0-9]+)?(?:%|pp)?)"
+_RE2_DIGITS = "regexp_replace(replace(replace(replace(replace(raw, '−', '-'), '$', ''), ',', ''), '+', ''), '(%|pp)$', '')"
+_RE2_KIND = "CASE WHEN raw LIKE '%pp' THEN 'pp' WHEN raw LIKE '%\\%' ESCAPE '\\' THEN 'percent' WHEN contains(raw, '$') THEN 'usd' ELSE 'bare' END"
+
+
+def _six(x: str, name: str) -> str:
+    return f"round({x}, 6) + 0.0 AS {name}"
+
+
+_MONEY = "CASE WHEN v < 0 THEN '-' ELSE '' END || '$' || format('{:,.%df}', abs(v))"
+
+
+def _text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _planted() -> str:
+    """Highlights and claims of the planted drafts, and every rule on them."""
+    said = lambda t: f"replace(replace({_text(t)}, '{{}}', display), '[]', {_RE2_DIGITS.replace('raw', 'display')})"
+    heads = [
+        f"SELECT draft_id, {i} AS h, {_text('nope') if i == 3 else 'metric_id'} AS metric_id, {_text('region=NOWHERE') if i == 4 else 'cut'} AS cut, {_text(severity)} AS severity, {_text(title)} AS title, {said(text)} AS narrative FROM drafts"
+        for i, (severity, title, text) in enumerate(PLANTED)
+    ] + ["SELECT draft_id, 11, 'gmv', 'overall', 'low', 't', 'n' FROM drafts"]
+    own = f"draft_id || '/{PLAN.week.label}/value'"
+    claims = [(h, 0, own, "v", "drafts") for h in (0, 1, 3, 4, 5, 8)] + [
+        (1, 1, own, "v * 2 + 7", "drafts"), (1, 2, "'none/overall/x/value'", "1", "drafts"), (1, 3, f"draft_id || '/{PLAN.earlier_weeks[-1].label}/value'", "0", "drafts"),
+        (6, 0, "p.id", "p.v", f"drafts d JOIN packed p USING (metric_id, cut) WHERE p.k = 'value' AND p.label = '{PLAN.earlier_weeks[0].label}'"),
+        (7, "row_number() OVER (PARTITION BY draft_id ORDER BY p.id) - 1", "p.id", "0", "drafts d JOIN packed p USING (metric_id, cut) WHERE p.v IS NULL"),
+    ]
+    kinds = "CASE WHEN unit IN ('usd', 'percent', 'pp') THEN unit ELSE 'bare' END"
+    figure = _RE2_FIGURE
+    return rf"""{_FACTS}, {_SHOP.listed}, {_SHOP.packed}, drafts AS (
+  SELECT metric_id || '/' || cut AS draft_id, metric_id, cut, v, display, p.rank FROM packed p WHERE k = 'value' AND label = '{PLAN.week.label}' AND v IS NOT NULL
+), heads AS ({" UNION ALL ".join(heads)}), claims AS (
+  {" UNION ALL ".join(f"SELECT draft_id, {h} AS h, CAST({c} AS INT) AS claim, {fact} AS fact_id, CAST({v} AS DOUBLE) AS claimed FROM {rows}" for h, c, fact, v, rows in claims)}
+), judged AS (
+  SELECT c.*, f.v AS computed, f.display, f.unit, f.label, CASE WHEN f.id IS NULL THEN 'E010' WHEN p.id IS NULL THEN 'E011' WHEN f.v IS NULL THEN 'E013' WHEN abs(claimed - f.v) > 0.5 * pow(10, -f.decimals) THEN 'E012'
+         WHEN f.metric_id <> h.metric_id OR f.cut <> h.cut THEN 'E014' END AS code
+  FROM claims c JOIN heads h USING (draft_id, h) LEFT JOIN facts f ON f.id = fact_id LEFT JOIN packed p ON p.id = fact_id
+), bound AS (SELECT j.*, first_day, last_day, {_RE2_DIGITS.replace('raw', 'display')} AS digits, {kinds} AS own_kind FROM judged j JOIN periods USING (label) WHERE code IS NULL
+), prose AS (SELECT draft_id, h, title AS t FROM heads UNION ALL SELECT draft_id, h, narrative FROM heads
+), apart AS (SELECT *, replace(regexp_replace(t, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}', ' ', 'g'), '%', '% ') AS a FROM prose
+), quoted AS (SELECT draft_id, h, unnest(regexp_extract_all(a, '{figure}', 1)) AS raw FROM apart
+), figures AS (SELECT row_number() OVER () AS n, draft_id, h, {_RE2_DIGITS} AS digits, {_RE2_KIND} AS kind FROM quoted
+), matched AS (SELECT n, f.draft_id, f.h, count(own_kind) AS hits, count(*) FILTER (own_kind = kind) AS same FROM figures f LEFT JOIN (SELECT DISTINCT draft_id, h, digits, own_kind FROM bound) b USING (draft_id, h, digits) GROUP BY ALL
+), quoted_days AS (SELECT draft_id, h, unnest(regexp_extract_all(t, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}')) AS day FROM prose
+), broken AS (
+  SELECT draft_id, h, code FROM judged WHERE code IS NOT NULL
+  UNION ALL SELECT draft_id, h, 'E002' FROM heads WHERE metric_id NOT IN ({", ".join(_text(m.id) for m in REGISTRY.metrics)})
+  UNION ALL SELECT draft_id, h, 'E003' FROM heads WHERE severity NOT IN ({", ".join(map(_text, SEVERITIES))})
+  UNION ALL SELECT draft_id, h, 'E004' FROM heads WHERE metric_id IN ({", ".join(_text(m.id) for m in REGISTRY.metrics)}) AND (metric_id, cut) NOT IN (SELECT (metric_id, cut) FROM packed)
+  UNION ALL SELECT draft_id, h, 'E015' FROM bound GROUP BY ALL HAVING NOT bool_or(last_day BETWEEN {_day(PLAN.week.start)} AND {_day(PLAN.latest)})
+  UNION ALL SELECT draft_id, h, CASE WHEN hits = 0 THEN 'E020' ELSE 'E023' END FROM matched WHERE same = 0
+  UNION ALL SELECT draft_id, h, 'E021' FROM quoted_days q WHERE NOT EXISTS (SELECT 1 FROM bound b WHERE b.draft_id = q.draft_id AND b.h = q.h AND q.day IN (CAST(first_day AS VARCHAR), CAST(last_day AS VARCHAR)))
+  UNION ALL SELECT draft_id, h, 'E022' FROM apart WHERE regexp_matches(regexp_replace(a, '(^|[^\p{{L}}\p{{N}}_.,])[-+−]?\$?(?:[0-9]{{1,3}}(?:,[0-9]{{3}})+|[0-9]+)(?:\.[0-9]+)?(?:%|pp)?', '\1', 'g'), '[0-9]')
+  UNION ALL SELECT draft_id, h, 'E024' FROM prose WHERE regexp_matches(t, '(?i)\b({MAGNITUDE})\b')
+  UNION ALL SELECT draft_id, h, 'E030' FROM prose WHERE regexp_matches(t, '(?i)\b({CAUSAL})\b')
+  UNION ALL SELECT draft_id, h, 'E040' FROM prose WHERE regexp_matches(t, '(?im){MARKUP}')
+  UNION ALL SELECT draft_id, unnest([9, 10, 11]), 'E001' FROM drafts
+  UNION ALL SELECT draft_id, NULL, 'E050' FROM drafts, (VALUES ('data-quality'), ('whatever'), ('small-absolute-impact')) AS t(reason) WHERE reason NOT IN ({", ".join(map(_text, REASONS))})
+  UNION ALL SELECT draft_id, NULL, 'E051' FROM (SELECT draft_id, unnest([999999, 1, rank]) AS named FROM drafts) WHERE named NOT IN (SELECT rank FROM listed)
 )"""
 
+
+def _broken_rows() -> str:
+    columns = {"date": "CAST(CAST(ts AS DATE) AS VARCHAR)", "bucket": "event_type", "sessions": "CAST(value AS VARCHAR)"}
+    for name, texts in BROKEN.items():
+        cases = " ".join(f"WHEN {k} THEN {'NULL' if t is None else _text(t)}" for k, t in texts.items())
+        columns[name] = f"CASE event_id % 40 {cases} ELSE {columns[name]} END"
+    return ", ".join(f"trim({c}) AS {n}" for n, c in columns.items())
+
+
+_NUMERIC = r"regexp_full_match(coalesce(sessions, ''), '(?i)[-+]?([0-9]+(\.[0-9]*)?|\.[0-9]+)(e[-+]?[0-9]+)?')"
+_ODD = "regexp_full_match(coalesce(sessions, ''), '(?i)[-+]?(nan|inf|infinity)')"
+_STALE = f"newest IS NULL OR newest < {_day(PLAN.as_of)} - 2"
+
+_BINDING: dict[str, str] = {
+    "claim_binding": f"""{_planted()} SELECT draft_id, h AS highlight, claim, fact_id, CASE code WHEN 'E010' THEN 'dangling' WHEN 'E011' THEN 'not_in_pack' WHEN 'E012' THEN 'mismatch' WHEN 'E013' THEN 'mismatch' WHEN 'E014' THEN 'off_subject' ELSE 'bound' END AS status,
+ {_six('claimed', 'claimed')}, {_six('computed', 'computed')} FROM judged""",
+    "draft_violations": f"{_planted()} SELECT draft_id, h AS highlight, code, count(*) AS n FROM broken GROUP BY ALL",
+    "source_dq_planted": f"""WITH rows AS (SELECT {_broken_rows()}, 'h' || event_id % 40 AS part FROM events), found AS (
+  SELECT 'date' AS rule, 'date' AS "column", count(*) AS n FROM rows WHERE date IS NULL OR NOT regexp_full_match(date, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') OR try_cast(date AS DATE) IS NULL
+  UNION ALL SELECT 'empty_label', 'bucket', count(*) FROM rows WHERE coalesce(bucket, '') = ''
+  UNION ALL SELECT 'reserved_label', 'bucket', count(*) FROM rows WHERE starts_with(bucket, '__')
+  UNION ALL SELECT 'label_vocabulary', 'bucket', count(*) FROM rows WHERE bucket <> '' AND NOT starts_with(bucket, '__') AND NOT regexp_full_match(bucket, '[A-Za-z0-9][A-Za-z0-9 ._:&+/-]{{0,63}}')
+  UNION ALL SELECT 'not_numeric', 'sessions', count(*) FROM rows WHERE NOT {_NUMERIC} AND NOT {_ODD}
+  UNION ALL SELECT 'not_finite', 'sessions', count(*) FROM rows WHERE {_ODD} OR ({_NUMERIC} AND NOT coalesce(isfinite(try_cast(sessions AS DOUBLE)), FALSE))
+  UNION ALL SELECT 'negative', 'sessions', count(*) FROM rows WHERE {_NUMERIC} AND starts_with(sessions, '-') AND coalesce(try_cast(sessions AS DOUBLE), -1) <> 0
+  UNION ALL SELECT 'duplicate_cell', '*', count(*) FROM (SELECT 1 FROM rows GROUP BY date, bucket, part HAVING count(*) > 1)
+) SELECT * FROM found WHERE n > 0""",
+    "coverage_cases": " UNION ALL ".join(f"""SELECT metric_id, CASE WHEN {_STALE} THEN 'stale' WHEN n > 0 THEN 'incomplete' ELSE 'ok' END AS status, required,
+       CASE WHEN {_STALE} THEN 'newest day is ' || coalesce(CAST(newest AS VARCHAR), 'missing') WHEN n > 0 THEN n || ' days missing, first ' || first ELSE '' END AS detail, '{case}' AS "case"
+FROM {_values([f"'{m.id}', {m.required}" for m in REGISTRY.metrics])} AS t(metric_id, required), (
+  WITH {_CELLS}, kept AS (SELECT day FROM cells WHERE NOT coalesce({gone}, FALSE)), days AS (SELECT CAST(d AS DATE) AS day FROM {_days_of(PLAN)} AS t(d))
+  SELECT (SELECT max(day) FROM kept) AS newest, count(*) AS n, min(day) AS first FROM days WHERE day NOT IN (SELECT day FROM kept))""" for case, gone in GAPS.items()),
+}
+
 ORACLE_SQL = {
     "daily_cells": f"WITH {_CELLS} SELECT day, region, priority, sessions, orders, {_six('gmv', 'gmv')} FROM cells",
     "source_summary": f"WITH {_CELLS} SELECT min(day) AS first_day, max(day) AS last_day, count(*) AS n_rows FROM cells",
@@ -123,39 +333,24 @@ SELECT day, day - CAST(dayofweek(day) AS INT) AS week_start, day - CAST(dayofwee
        CASE WHEN dayofweek(day) = 0 THEN day - 7 ELSE day - CAST(dayofweek(day) AS INT) - 7 END AS review_week_start,
        CASE WHEN dayofweek(day) <> 0 THEN day - CAST(dayofweek(day) AS INT) END AS partial_week_start, day - CAST(dayofweek(day) AS INT) - 28 AS fourth_prior_week
 FROM days""",
-    "week_totals": f"{_records()} SELECT label AS period_label, cut, CAST(sessions AS DOUBLE) AS sessions, CAST(orders AS DOUBLE) AS orders, {_six('CAST(gmv AS DOUBLE)', 'gmv')} FROM seg WHERE label LIKE 'complete_week%'",
-    "segment_universe": f"{_records()} SELECT cut, cut_dim, cut_value FROM universe",
-    "period_grid": f"{_records()} SELECT metric_id, cut, label AS period_label, {_six('value', 'value')}, {_six('numerator', 'numerator')}, {_six('denominator', 'denominator')}, n_obs, CASE WHEN filled THEN 'zero_fill' ELSE 'query' END AS provenance, flags FROM rec",
-    "coverage": f"""WITH {_CELLS}, days AS (SELECT DISTINCT CAST(d AS DATE) AS day FROM {_values([f"{_day(d)}" for d in PLAN.expected_days()])} AS t(d)),
+    "week_totals": f"{_SHOP.records} SELECT label AS period_label, cut, CAST(sessions AS DOUBLE) AS sessions, CAST(orders AS DOUBLE) AS orders, {_six('CAST(gmv AS DOUBLE)', 'gmv')} FROM seg WHERE label LIKE 'complete_week%'",
+    "segment_universe": f"{_SHOP.records} SELECT cut, cut_dim, cut_value FROM universe",
+    "period_grid": f"{_SHOP.records} SELECT metric_id, cut, label AS period_label, {_six('value', 'value')}, {_six('numerator', 'numerator')}, {_six('denominator', 'denominator')}, n_obs, CASE WHEN filled THEN 'zero_fill' ELSE 'query' END AS provenance, flags FROM rec",
+    "coverage": f"""WITH {_CELLS}, days AS (SELECT DISTINCT CAST(d AS DATE) AS day FROM {_days_of(PLAN)} AS t(d)),
  gaps AS (SELECT count(*) AS n, min(day) AS first FROM days WHERE day NOT IN (SELECT day FROM cells)), newest AS (SELECT max(day) AS newest FROM cells)
 SELECT metric_id, CASE WHEN newest < {_day(PLAN.as_of)} - 2 THEN 'stale' WHEN n > 0 THEN 'incomplete' ELSE 'ok' END AS status, required,
        CASE WHEN newest < {_day(PLAN.as_of)} - 2 THEN 'newest day is ' || newest WHEN n > 0 THEN n || ' days missing, first ' || first ELSE '' END AS detail
 FROM {_values([f"'{m.id}', {m.required}" for m in REGISTRY.metrics])} AS t(metric_id, required), gaps, newest""",
     "wow": f"{_WEEK} SELECT metric_id, cut, {_six('value', 'value')}, {_six('wow_delta', 'wow_delta')}, {_six('wow_pct', 'wow_pct')}, n_obs FROM week",
-    "baseline_compare": f"""{_WEEK} SELECT metric_id, cut, n, {_six('mean', 'baseline_mean')}, {_six('sd', 'baseline_sd')}, {_six('pct', 'vs_baseline_pct')}, {_six('z', 'screening_z')},
- concat_ws(',', CASE WHEN n < 3 THEN 'thin_baseline' END, CASE WHEN n = 0 THEN 'no_baseline' END, CASE WHEN n > 0 AND value IS NULL THEN 'no_current_value' END,
-           CASE WHEN n > 0 AND value IS NOT NULL AND (sd IS NULL OR sd = 0) THEN 'degenerate_baseline_scale' END) AS flags FROM week""",
+    "baseline_compare": f"{_WEEK} SELECT metric_id, cut, n, {_six('mean', 'baseline_mean')}, {_six('sd', 'baseline_sd')}, {_six('pct', 'vs_baseline_pct')}, {_six('z', 'screening_z')}, base_flags AS flags FROM week",
     "rate_adequacy": f"{_WEEK} SELECT cut, numerator, denominator, adequacy AS flags FROM week WHERE statistic = 'rate'",
-    "rate_z": f"""{_WEEK}, pooled AS (SELECT *, (numerator + prior_num) / nullif(denominator + prior_den, 0) AS p FROM week WHERE statistic = 'rate')
-SELECT cut, CASE WHEN denominator > 0 AND prior_den > 0 AND p > 0 AND p < 1 THEN round((numerator / denominator - prior_num / prior_den) / sqrt(p * (1 - p) * (1 / denominator + 1 / prior_den)), 6) + 0.0 END AS rate_z FROM pooled""",
+    "rate_z": f"{_WEEK} SELECT cut, {_six('rate_z', 'rate_z')} FROM rated WHERE statistic = 'rate'",
     "contribution": f"{_WEEK} SELECT metric_id, cut, {_six('share', 'contribution_share_pct')} FROM shared WHERE cut_dim IS NOT NULL AND statistic IN ('count', 'sum')",
-    "daily_robust": f"""{_records()}, {_pairs('day_pairs', PLAN.day_baselines)}, med AS (
-  SELECT label, b.metric_id, b.cut, count(b.value) AS n, median(b.value) AS m, mad(b.value) AS mad FROM day_pairs JOIN (SELECT metric_id, cut, label AS base, value FROM rec) b USING (base) GROUP BY ALL
-), scaled AS (
-  SELECT r.metric_id, r.cut, p.last_day AS day, r.value, n, m, mad, m = 0 AND mad = 0 AS zero, mad * 1.4826 AS wide, CASE WHEN metric_type = 'count' THEN sqrt(greatest(m, 1)) ELSE abs(m) * 0.01 END AS floor
-  FROM med JOIN rec r USING (label, metric_id, cut) JOIN periods p USING (label)
-)
-SELECT metric_id, cut, day, {_six('value', 'value')}, {_six('m', 'weekday_median')}, {_six('mad', 'mad')}, CASE WHEN NOT zero AND greatest(wide, floor) > 0 THEN round(greatest(wide, floor), 1) + 0.0 END AS robust_scale,
-       CASE WHEN NOT zero AND greatest(wide, floor) > 0 THEN round((value - m) / greatest(wide, floor), 6) + 0.0 END AS robust_score,
-       concat_ws(',', CASE WHEN n < 3 THEN 'thin_baseline' END, CASE WHEN n = 0 THEN 'no_baseline' END, CASE WHEN zero THEN 'all_zero_baseline' END, CASE WHEN zero AND value <> 0 THEN 'new_event' END,
-                 CASE WHEN NOT zero AND floor > wide THEN 'scale_floored' END, CASE WHEN NOT zero AND greatest(wide, floor) <= 0 THEN 'degenerate_scale' END,
-                 CASE WHEN NOT zero AND greatest(wide, floor) > 0 AND value IS NULL THEN 'no_current_value' END) AS flags
-FROM scaled""",
-    "partial_slice": f"""{_records()}, {_pairs('part_pairs', {PLAN.partial: PLAN.partial_baselines})}, slices AS (
-  SELECT b.metric_id, b.cut, avg(b.value) AS mean FROM part_pairs JOIN rec b ON b.label = base GROUP BY ALL
-) SELECT metric_id, cut, {_six('value', 'value')}, {_six('mean', 'slice_baseline_mean')}, {_six('(value - mean) / nullif(abs(mean), 0) * 100', 'vs_slice_pct')} FROM rec JOIN slices USING (metric_id, cut) WHERE label = '{PLAN.partial.label}'""",
-    "appeared_disappeared": f"{_sparse_week()} SELECT cut, value, gone AS disappeared, fresh AS newly_appeared FROM week WHERE metric_id = 'sessions' AND cut_dim = 'region'",
-    "fact_ids": f"""{_records()} SELECT metric_id || '/' || cut || '/' || label || '/value' AS id, first_day AS period_start, last_day AS period_end,
+    "daily_robust": f"""{_SHOP.records}, {_SHOP.days}
+SELECT metric_id, cut, day, {_six('value', 'value')}, {_six('m', 'weekday_median')}, {_six('mad', 'mad')}, round(scale, 1) + 0.0 AS robust_scale, {_six('score', 'robust_score')}, day_flags AS flags FROM scaled""",
+    "partial_slice": f"{_SHOP.records}, {_SHOP.slices} SELECT metric_id, cut, {_six('value', 'value')}, {_six('mean', 'slice_baseline_mean')}, {_six('pct', 'vs_slice_pct')} FROM slices",
+    "appeared_disappeared": f"{Source(_SPARSE, PLAN, ('region', 'priority')).week} SELECT cut, value, gone AS disappeared, fresh AS newly_appeared FROM week WHERE metric_id = 'sessions' AND cut_dim = 'region'",
+    "fact_ids": f"""{_SHOP.records} SELECT metric_id || '/' || cut || '/' || label || '/value' AS id, first_day AS period_start, last_day AS period_end,
  CASE metric_id WHEN 'gmv' THEN 'usd' WHEN 'aov' THEN 'usd' WHEN 'conversion_rate' THEN 'percent' ELSE 'count' END AS unit, CAST(CASE WHEN metric_id IN ('aov', 'conversion_rate') THEN 2 ELSE 0 END AS INT) AS display_precision
 FROM rec JOIN periods USING (label)""",
     "display_format": f"""WITH rows AS (SELECT o_orderkey, o_totalprice AS v FROM orders UNION ALL SELECT -c_custkey, c_acctbal FROM customer)
@@ -163,23 +358,27 @@ SELECT o_orderkey, {_MONEY % 0} AS usd0, format('{{:,.2f}}', v) AS plain2, forma
        CASE WHEN v < 0 THEN '-' ELSE '+' END || format('{{:,.1f}}', abs(v)) || 'pp' AS points1, replace(format('{{:,.2f}}', v), ',', '') AS digits FROM rows""",
     "severity": f"{_WEEK} SELECT metric_id, cut, CASE WHEN abs(wow_pct) >= 20 OR coalesce(abs(z) >= 3, FALSE) THEN 'high' WHEN abs(wow_pct) >= 8 OR coalesce(abs(z) >= 2, FALSE) THEN 'medium' ELSE 'low' END AS severity FROM week",
     "dismissal_reasons": f"{_WEEK} SELECT metric_id, cut, CASE WHEN flags LIKE '%no_exposure%' THEN 'data-quality' WHEN abs(wow_pct) < 8 THEN 'within-baseline-variation' ELSE 'small-absolute-impact' END AS reason FROM week",
-    "shortlist": f"{_SHORTLIST} SELECT CAST(row_number() OVER (ORDER BY metric_ord, dim_ord, place) AS INT) AS rank, metric_id, cut, channels FROM listed",
-    "claim_binding": f"""{_SHORTLIST}, drafts AS (
-  SELECT w.metric_id || '/' || w.cut AS draft_id, w.value, old.value AS old FROM listed JOIN week w USING (metric_id, cut)
-  JOIN rec old ON old.metric_id = w.metric_id AND old.cut = w.cut AND old.label = '{PLAN.week_baselines[-1].label}' WHERE w.value IS NOT NULL
-)
-SELECT draft_id, 0 AS claim, draft_id || '/{PLAN.week.label}/value' AS fact_id, 'bound' AS status, {_six('value', 'claimed')}, {_six('value', 'computed')} FROM drafts
-UNION ALL SELECT draft_id, 1, draft_id || '/{PLAN.week.label}/value', 'mismatch', {_six('value * 2 + 7', 'claimed')}, {_six('value', 'computed')} FROM drafts
-UNION ALL SELECT draft_id, 2, 'none/overall/x/value', 'dangling', 1.0, NULL FROM drafts
-UNION ALL SELECT draft_id, 3, draft_id || '/{PLAN.week_baselines[-1].label}/value', 'not_in_pack', 0.0, {_six('old', 'computed')} FROM drafts""",
-    "draft_violations": f"""{_SHORTLIST}, drafts AS (
-  SELECT w.metric_id || '/' || w.cut AS draft_id, w.metric_id IN ('orders', 'sessions') AND w.value = 12 AS is_twelve FROM listed JOIN week w USING (metric_id, cut) WHERE w.value IS NOT NULL
+    "shortlist": f"{_SHORTLIST} SELECT rank, metric_id, cut, channels FROM listed",
+    "facts_long": f"""{_FACTS} SELECT metric_id, k AS statistic_key, kind AS period_type, unit, count(*) AS n, count(v) AS n_value, count(DISTINCT id) AS n_ids,
+ round(CAST(sum(CAST(round(v, 4) AS DECIMAL(30,4))) AS DOUBLE), 6) + 0.0 AS total FROM facts JOIN periods USING (label) GROUP BY ALL""",
+    "all_facts": f"{_FACTS} SELECT id, unit, CAST(decimals AS INT) AS display_precision, {_six('v', 'value')}, display, flags FROM facts",
+    "flagship": f"""{_EVENTS.facts}, gaps AS (SELECT count(*) AS n FROM {_days_of(EVENT_PLAN)} AS t(day) WHERE day NOT IN (SELECT day FROM cells)), newest AS (SELECT max(day) AS newest FROM cells),
+ names AS (SELECT * FROM {_values([f"'{k}', '{v}'" for k, v in LABELS.items()])} AS t(k, name)), titles AS (SELECT * FROM {_values([f"'{m.id}', '{m.title}'" for m in REGISTRY.metrics])} AS t(metric_id, title))
+SELECT id, metric_id, concat_ws(' | ', title, cut, phrase, name) AS label, k AS statistic_key, cut, cut_dim, cut_value, label AS period_label, kind AS period_type, first_day AS period_start, last_day AS period_end,
+       {_six('v', 'value')}, unit, CAST(decimals AS INT) AS display_precision, display
+FROM facts JOIN periods USING (label) JOIN names USING (k) JOIN titles USING (metric_id), gaps, newest WHERE n = 0 AND newest >= {_day(EVENT_PLAN.as_of)} - 2""",
+    "pack": f"{_FACTS}, {_SHOP.listed}, {_SHOP.packed} SELECT id, display, unit, flags, rank, pos FROM packed",
+    "provenance_closure": f"""{_FACTS.replace('WITH', 'WITH RECURSIVE', 1)}, edges AS (SELECT id, unnest(inputs) AS input FROM facts), reached(root, id, depth) AS (
+  SELECT id, id, 0 FROM facts WHERE k IN ('contribution_share_pct', 'vs_slice_pct')
+  UNION SELECT root, input, depth + 1 FROM reached JOIN edges USING (id) WHERE depth < 2 AND NOT starts_with(input, 'source_rows:')
 )
-SELECT draft_id, code, CAST(1 AS BIGINT) AS n FROM drafts, (VALUES ('E010'), ('E011'), ('E012'), ('E020'), ('E030')) AS c(code) WHERE NOT (code = 'E020' AND is_twelve)""",
-    "provenance_closure": f"""{_WEEK}
-SELECT metric_id || '/' || cut || '/{PLAN.week.label}/contribution_share_pct' AS root, CAST(7 AS BIGINT) AS n, CAST(2 AS BIGINT) AS deepest FROM week WHERE cut_dim IS NOT NULL AND statistic IN ('count', 'sum')
-UNION ALL SELECT metric_id || '/' || cut || '/{PLAN.partial.label}/vs_slice_pct', {2 + len(PLAN.partial_baselines)}, 1 FROM week""",
-    "coverage_days_missing": f"SELECT day FROM {_values([_day(d) for d in LONG_PLAN.expected_days()])} AS t(day) WHERE day NOT IN (SELECT CAST(o_orderdate AS DATE) FROM orders)",
+SELECT root, count(*) AS n, CAST(max(depth) AS BIGINT) AS deepest FROM (SELECT root, id, min(depth) AS depth FROM reached GROUP BY ALL) GROUP BY root""",
+    "unresolved_inputs": f"{_FACTS}, edges AS (SELECT id, unnest(inputs) AS input FROM facts) SELECT input, id FROM edges WHERE NOT starts_with(input, 'source_rows:') AND input NOT IN (SELECT id FROM facts)",
+    "prose_numbers": rf"""WITH apart AS (SELECT doc_id, replace(regexp_replace(text, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}', ' ', 'g'), '%', '% ') AS t FROM documents),
+ found AS (SELECT doc_id, unnest(regexp_extract_all(t, '{_RE2_FIGURE}', 1)) AS raw FROM apart)
+SELECT doc_id, raw, {_RE2_DIGITS} AS digits, {_RE2_KIND} AS kind FROM found""",
+    **_BINDING,
+    "coverage_days_missing": f"SELECT day FROM {_days_of(LONG_PLAN)} AS t(day) WHERE day NOT IN (SELECT CAST(o_orderdate AS DATE) FROM orders)",
     "weekly_history": f"""WITH {_CELLS}, weeks AS (SELECT day - CAST(dayofweek(day) AS INT) AS week, sum(sessions) AS sessions, sum(orders) AS orders FROM cells GROUP BY ALL),
  near AS (SELECT *, lag(sessions) OVER w AS prior, avg(sessions) OVER (w ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS base FROM weeks WINDOW w AS (ORDER BY week))
 SELECT week, sessions, orders, sessions - prior AS wow_delta, {_six('(sessions - prior) / nullif(abs(prior), 0) * 100', 'wow_pct')}, {_six('base', 'baseline_mean')} FROM near""",

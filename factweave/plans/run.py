@@ -24,8 +24,8 @@ class RunConfig:
     out: str
     brief: str = ""
     max_retries: int = 2
-    baseline_weeks: int = 4
-    daily_baseline_days: int = 8
+    weeks_back: int = 4
+    days_back: int = 8
 
 
 @dataclass
@@ -113,7 +113,7 @@ def run(cells: DataFrame, registry: Registry, spec: SourceSpec, config: RunConfi
     """Write facts, pack, audit and report under ``config.out``; the exit code tells how it went."""
     registry.check(spec)
     provider = provider or narrate.DeterministicWriter()
-    plan = build_plan(config.as_of, config.baseline_weeks, config.daily_baseline_days)
+    plan = build_plan(config.as_of, config.weeks_back, config.days_back)
     out = Path(config.out)
     out.mkdir(parents=True, exist_ok=True)
     name = run_id(config.as_of, fingerprint(cells), registry.sha256)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,6 +22,8 @@ AS_OF = date(1997, 10, 23)
 PLAN = build_plan(AS_OF)
 #: A plan long enough to meet days without orders where the tables are small.
 LONG_PLAN = build_plan(date(2001, 7, 26), 330, 8)
+#: Days of events are complete at every scale.
+EVENT_PLAN = build_plan(date(2024, 1, 31), weeks_back=2, days_back=2)
 REGISTRY = shop_registry(*C.ORDERS.dims)
 
 
@@ -42,10 +45,9 @@ def _six(c, name: str):
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All facts of a weekly report on events, whose days are complete at every scale."""
-    plan = build_plan(date(2024, 1, 31), baseline_weeks=2, daily_baseline_days=2)
-    book = build_factbook(C.cells_from_events(_read(spark, sf_dir, "events")), shop_registry(*C.EVENTS.dims), C.EVENTS, plan)
-    return book.facts.drop("provenance", "flags", "metric_ord")
+    """All facts of a weekly report on events."""
+    book = build_factbook(C.cells_from_events(_read(spark, sf_dir, "events")), shop_registry(*C.EVENTS.dims), C.EVENTS, EVENT_PLAN)
+    return book.facts.drop("provenance", "flags", "metric_ord").withColumn("value", F.round("value", 6) + F.lit(0.0))
 
 
 def daily_cells(spark, sf_dir):
@@ -60,6 +62,25 @@ def source_dq(spark, sf_dir):
     return C.source_violations(rows, C.EVENTS)
 
 
+#: Text that stands in for an event's column, by event_id modulo 40.
+BROKEN = {
+    "date": {1: "01/08/2026", 2: "2026-02-30", 3: "2026-8-1", 4: None}, "bucket": {5: "", 6: "  ", 7: "__x", 8: "<b>", 9: None},
+    "sessions": {10: "nan", 11: "-inf", 12: "1_000", 13: "5d", 14: "-1", 15: "1e400", 16: " 5 ", 17: None, 18: "", 19: "Infinity"},
+}
+
+
+def source_dq_planted(spark, sf_dir):
+    """Cells that break each rule of the source in turn."""
+    k = F.col("event_id") % 40
+    columns = {"date": F.substring(F.col("ts").cast("string"), 1, 10), "bucket": F.col("event_type"), "sessions": F.col("value").cast("string")}
+    for name, texts in BROKEN.items():
+        for place, text in texts.items():
+            columns[name] = F.when(k == place, F.lit(text)).otherwise(columns[name])
+    rows = _read(spark, sf_dir, "events").select(
+        *[c.alias(n) for n, c in columns.items()], F.concat(F.lit("h"), k.cast("string")).alias("part"), F.col("user_id").cast("string").alias("orders"), F.lit("1").alias("gmv"))
+    return C.source_violations(rows, C.EVENTS)
+
+
 def calendar_columns(spark, sf_dir):
     d = F.to_date("o_orderdate")
     days = _read(spark, sf_dir, "orders").select(d.alias("day")).distinct()
@@ -90,6 +111,20 @@ def coverage(spark, sf_dir):
     return R.coverage(C.cells_from_orders(spark, sf_dir), REGISTRY, PLAN)
 
 
+#: Days that are taken away from the cells.
+GAPS = {
+    "whole": "day IS NULL", "gap": "day IN (DATE '1997-10-01', DATE '1997-09-15')", "ends_early": "day > DATE '1997-10-21'", "stale": "day > DATE '1997-10-09'",
+    "stale_with_gap": "day > DATE '1997-10-20' OR day = DATE '1997-09-15'", "no_rows": "day > DATE '1900-01-01'",
+}
+
+
+def coverage_cases(spark, sf_dir):
+    """Coverage of cells with gaps, of cells that end too early, and of none."""
+    cells = written(C.cells_from_orders(spark, sf_dir), "cells")
+    parts = [R.coverage(cells.where(~F.expr(gone)), REGISTRY, PLAN).withColumn("case", F.lit(case)) for case, gone in GAPS.items()]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def coverage_days_missing(spark, sf_dir):
     return R.missing_days(C.cells_from_orders(spark, sf_dir), LONG_PLAN).select("day")
 
@@ -152,6 +187,11 @@ def facts_long(spark, sf_dir):
         F.count("*").alias("n"), F.count("value").alias("n_value"), F.countDistinct("id").alias("n_ids"), _six(F.sum(F.round("value", 4).cast("decimal(30,4)")).cast("double"), "total"))
 
 
+def all_facts(spark, sf_dir):
+    """Every published number of the shop's report, with display and flags."""
+    return FA.facts(_wide(spark, sf_dir), PLAN).select("id", "unit", "display_precision", _six(F.col("value"), "value"), "display", F.concat_ws(",", "flags").alias("flags"))
+
+
 def fact_ids(spark, sf_dir):
     return FA.facts(_wide(spark, sf_dir), PLAN).where("statistic_key = 'value'").select("id", "period_start", "period_end", "unit", "display_precision")
 
@@ -202,11 +242,9 @@ def weekly_history(spark, sf_dir):
 
 
 def prose_numbers(spark, sf_dir):
-    """Figures in documents; rows only, as the grammar needs look-behind."""
-    texts = _read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("draft_id"), F.to_json(F.struct(F.array(F.struct(
-        F.lit("gmv").alias("metric_id"), F.lit("overall").alias("cut"), F.lit("low").alias("severity"), F.lit("").alias("title"), F.col("text").alias("narrative"), F.array().cast("array<string>").alias("claims"))).alias("highlights"))).alias("text"))
-    tokens = binding.read_drafts(texts).select("draft_id", F.explode("tokens").alias("t"))
-    return tokens.select(F.col("draft_id").cast("long").alias("doc_id"), "t.raw", "t.digits", "t.kind")
+    """Figures in documents."""
+    tokens = _read(spark, sf_dir, "documents").select("doc_id", F.explode(N.figures(F.col("text"))).alias("t"))
+    return tokens.select("doc_id", "t.raw", "t.digits", "t.kind")
 
 
 def prose_dates(spark, sf_dir):
@@ -220,14 +258,43 @@ def prose_lexicons(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", (binding.causal_word(t) != "").alias("causal"), (binding.magnitude_word(t) != "").alias("magnitude"))
 
 
-def _planted_drafts(packed: DataFrame, facts: DataFrame) -> DataFrame:
-    """One draft per shortlisted series: a true claim, a wrong value, an unknown id and a fact outside the pack."""
+#: What each highlight of a planted draft says; {} is the display of the series' value, [] its digits.
+PLANTED = (
+    ("low", "A title", "It stands at {} on 1997-10-18."), ("low", "A title", "It stands at {} because of 12 things on 1997-10-18."), ("huge", "A title", "It roughly moved in week32 to 7pp."),
+    ("low", "# Head", "It moved."), ("low", "A title", "It moved, see evil.com or <b>this</b>."), ("high", "A title", "It is []pp now."), ("low", "A title", "It moved."), ("medium", "A title", "It moved."),
+    ("low", "A title", "On 2020-01-01 it was so."),
+)
+
+
+def _planted_drafts(packed: DataFrame, chosen: DataFrame) -> DataFrame:
+    """One draft per shortlisted series; its highlights break every rule in turn, the first breaks none.
+
+    0 true, 1 a wrong value, an unknown fact and one outside the pack, 2 words and stray numerals, 3 another metric, 4 another segment, 5 another
+    unit, 6 nothing current, 7 facts without value, 8 a foreign date, 9 to 11 no highlights or claims; then three dismissals, of which one is fine.
+    """
     value = packed.where(F.col("id").endswith(f"{PLAN.week.label}/value") & F.col("value").isNotNull())
-    outside = F.concat_ws("/", "metric_id", "cut", F.lit(PLAN.week_baselines[-1].label), F.lit("value"))
-    claim = lambda i, v: F.struct(i.alias("fact_id"), v.alias("value"))
-    claims = F.array(claim(F.col("id"), F.col("value")), claim(F.col("id"), F.col("value") * 2 + 7), claim(F.lit("none/overall/x/value"), F.lit(1.0)), claim(outside, F.lit(0.0)))
-    head = F.struct("metric_id", "cut", F.lit("low").alias("severity"), F.lit("A title").alias("title"), F.concat(F.lit("It stands at "), "display", F.lit(" because of 12 things on 1997-10-18.")).alias("narrative"), claims.alias("claims"))
-    return value.select(F.concat_ws("/", "metric_id", "cut").alias("draft_id"), F.to_json(F.struct(F.array(head).alias("highlights"))).alias("text"))
+    claim = lambda i, v: F.struct(i.alias("fact_id"), v.cast("double").alias("value"))
+    empty = packed.where(F.col("value").isNull()).groupBy("metric_id", "cut").agg(F.sort_array(F.collect_list(claim(F.col("id"), F.lit(0)))).alias("empty"))
+    rows = value.join(empty, ["metric_id", "cut"], "left").join(chosen.select("metric_id", "cut", F.col("rank").alias("own_rank")), ["metric_id", "cut"])
+    at = lambda span: F.concat_ws("/", "metric_id", "cut", F.lit(span.label), F.lit("value"))
+    own, none = claim(F.col("id"), F.col("value")), F.array().cast("array<struct<fact_id:string,value:double>>")
+    claims = [
+        F.array(own), F.array(own, claim(F.col("id"), F.col("value") * 2 + 7), claim(F.lit("none/overall/x/value"), F.lit(1)), claim(at(PLAN.earlier_weeks[-1]), F.lit(0))), none,
+        F.array(own), F.array(own), F.array(own), None, F.coalesce("empty", none), F.array(own),
+    ]
+    prior = packed.where(F.col("id").endswith(f"{PLAN.earlier_weeks[0].label}/value")).select("metric_id", "cut", claim(F.col("id"), F.col("value")).alias("prior"))
+    rows = rows.join(prior, ["metric_id", "cut"])
+    claims[6] = F.array("prior")
+    said = lambda text: F.replace(F.replace(F.lit(text), F.lit("{}"), F.col("display")), F.lit("[]"), N.normalized_digits(F.col("display")))
+    heads = [
+        F.to_json(F.struct(F.lit("nope").alias("metric_id") if i == 3 else F.col("metric_id"), F.lit("region=NOWHERE").alias("cut") if i == 4 else F.col("cut"),
+                           F.lit(severity).alias("severity"), F.lit(title).alias("title"), said(text).alias("narrative"), claims[i].alias("claims")))
+        for i, (severity, title, text) in enumerate(PLANTED)
+    ]
+    odd = '"words",{"title":"only"},{"metric_id":"gmv","cut":"overall","severity":"low","title":"t","narrative":"n","claims":[{"fact_id":"x"}]}'
+    passed = F.concat(F.lit('{"shortlist_rank":999999,"reason_code":"data-quality"},{"shortlist_rank":1,"reason_code":"whatever"},{"shortlist_rank":'), "own_rank", F.lit(',"reason_code":"small-absolute-impact"}'))
+    text = F.concat(F.lit('{"highlights":['), F.concat_ws(",", *heads), F.lit(f',{odd}],"dismissals":['), passed, F.lit("]}"))
+    return rows.select(F.concat_ws("/", "metric_id", "cut").alias("draft_id"), text.alias("text"))
 
 
 def _validated(spark, sf_dir):
@@ -235,17 +302,17 @@ def _validated(spark, sf_dir):
     facts = written(FA.facts(wide, PLAN), "facts")
     chosen = written(SL.shortlist(wide, REGISTRY, PLAN), "shortlist")
     packed = written(SL.pack(facts, chosen), "pack")
-    return binding.validate(_planted_drafts(packed, facts), facts, packed, chosen, REGISTRY, PLAN)
+    return binding.validate(_planted_drafts(packed, chosen), facts, packed, chosen, REGISTRY, PLAN)
 
 
 def claim_binding(spark, sf_dir):
     _, bindings = _validated(spark, sf_dir)
-    return bindings.select("draft_id", "claim", "fact_id", "status", _six(F.col("claimed"), "claimed"), _six(F.col("computed"), "computed"))
+    return bindings.select("draft_id", "highlight", "claim", "fact_id", "status", _six(F.col("claimed"), "claimed"), _six(F.col("computed"), "computed"))
 
 
 def draft_violations(spark, sf_dir):
     violations, _ = _validated(spark, sf_dir)
-    return violations.groupBy("draft_id", "code").agg(F.count("*").alias("n"))
+    return violations.groupBy("draft_id", "highlight", "code").agg(F.count("*").alias("n"))
 
 
 def provenance_closure(spark, sf_dir):
@@ -259,7 +326,7 @@ def unresolved_inputs(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    flagship, daily_cells, source_dq, source_summary, calendar_columns, week_totals, segment_universe, period_grid, coverage, coverage_days_missing, wow,
-    baseline_compare, rate_adequacy, rate_z, contribution, daily_robust, partial_slice, appeared_disappeared, facts_long, fact_ids, display_format, shortlist,
+    flagship, daily_cells, source_dq, source_dq_planted, source_summary, calendar_columns, week_totals, segment_universe, period_grid, coverage, coverage_cases, coverage_days_missing, wow,
+    baseline_compare, rate_adequacy, rate_z, contribution, daily_robust, partial_slice, appeared_disappeared, facts_long, all_facts, fact_ids, display_format, shortlist,
     pack, severity, dismissal_reasons, trailing_windows, weekly_history, prose_numbers, prose_dates, prose_lexicons, claim_binding, draft_violations, provenance_closure, unresolved_inputs,
 )}

@@ -9,30 +9,30 @@ from factweave.plans.spec import RegistryError, SourceSpec, load_registry, parse
 
 
 def test_weeks_open_on_sunday():
-    w = cal.week_of(date(2026, 8, 5))
-    assert (w.start, w.end) == (date(2026, 8, 2), date(2026, 8, 8)) and w.n_days == 7
-    assert cal.week_of(date(2026, 8, 2)) == w and cal.week_of(date(2026, 8, 8)) == w
+    for day in range(2, 9):  # Sunday to Saturday are days of one week
+        assert cal.number(date(2026, 8, day)) // 7 == cal.number(date(2026, 8, 2)) // 7
+    week = cal.build_plan(date(2026, 8, 13)).week
+    assert (week.start, week.end, week.days) == (date(2026, 8, 2), date(2026, 8, 8), 7)
 
 
-@pytest.mark.parametrize("as_of,week_end,partial", [
+@pytest.mark.parametrize("as_of,week_end,running", [
     (date(2026, 8, 13), date(2026, 8, 8), (date(2026, 8, 9), date(2026, 8, 12))),
     (date(2026, 8, 9), date(2026, 8, 8), None),
     (date(2026, 8, 10), date(2026, 8, 8), (date(2026, 8, 9), date(2026, 8, 9))),
 ])
-def test_plan(as_of, week_end, partial):
+def test_plan(as_of, week_end, running):
     plan = cal.build_plan(as_of)
     assert plan.week.end == week_end
-    assert (plan.partial and (plan.partial.start, plan.partial.end)) == partial
-    assert len(plan.all_periods()) == (73 if partial else 68)
+    assert (plan.running and (plan.running.start, plan.running.end)) == running
+    assert len(plan.spans()) == (73 if running else 68)
 
 
 def test_plan_spans_its_days():
     plan = cal.build_plan(date(2026, 8, 13))
-    assert plan.coverage_span() == (date(2026, 6, 7), date(2026, 8, 12)) and len(plan.expected_days()) == 67
+    assert plan.reach == (date(2026, 6, 7), date(2026, 8, 12)) and len(plan.numbers()) == 67
+    assert [s.phrase for s in (plan.week, plan.days[0], plan.running)] == ["week ending 2026-08-08", "day 2026-08-02", "partial week 2026-08-09..2026-08-12"]
     with pytest.raises(ValueError):
-        cal.Period("daily", date(2026, 1, 2), date(2026, 1, 1))
-    with pytest.raises(ValueError):
-        cal.prior_weeks(plan.week, -1)
+        cal.build_plan(date(2026, 1, 2), -1)
 
 
 def test_columns_agree_with_plan(spark):
@@ -41,8 +41,8 @@ def test_columns_agree_with_plan(spark):
         "d", D.week_start(F.col("d")).alias("s"), D.review_week_start(F.col("d")).alias("r"), D.partial_week_start(F.col("d")).alias("p"),
         D.prior_week_starts(D.week_start(F.col("d")), 2).alias("b")).collect()
     for r in rows:
-        part = cal.partial_week(r.d)
-        assert r.s == cal.week_start(r.d) and r.r == cal.week_in_review(r.d).start and r.p == (part.start if part else None)
+        plan = cal.build_plan(r.d)
+        assert cal.number(r.s) == cal.number(r.d) // 7 * 7 and r.r == plan.week.start and r.p == (plan.running.start if plan.running else None)
         assert r.b == [r.s - timedelta(days=7), r.s - timedelta(days=14)]
 
 

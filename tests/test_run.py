@@ -78,7 +78,7 @@ def test_bad_stories(spark, book, fact, change, codes):
 
 
 def test_bad_claims(spark, book, fact):
-    old = f"gmv/overall/{book.plan.week_baselines[2].label}/value"
+    old = f"gmv/overall/{book.plan.earlier_weeks[2].label}/value"
     claims = [{"fact_id": "x/y/z/w", "value": 1}, {"fact_id": old, "value": 1}, {"fact_id": fact.id, "value": -fact.value}, {"fact_id": fact.id, "value": "n"}, {"value": 1}]
     assert check(spark, book, story(fact, narrative="-", claims=claims)) == (["E001", "E010", "E011", "E012", "E012"], ["dangling", "not_in_pack", "mismatch", "mismatch"])
 
@@ -90,7 +90,7 @@ def test_wrong_unit_and_dismissals(spark, book, fact):
 
 
 def test_prior_week_alone_is_no_anchor(spark, book):
-    prior = book.pack.where(f"id = 'gmv/overall/{book.plan.week_baselines[0].label}/value'").first()
+    prior = book.pack.where(f"id = 'gmv/overall/{book.plan.earlier_weeks[0].label}/value'").first()
     assert check(spark, book, story(prior))[0] == ["E015"]
 
 
