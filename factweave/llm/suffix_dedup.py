@@ -2,24 +2,29 @@ r"""Removal of repeated 50-byte strings with a logarithmic family of sparse suff
 
 Every window of ``length`` bytes has an anchor: its leftmost least-hashed
 ``gram`` bytes.  Equal windows have equal anchors at equal places, so a sparse
-suffix array that lists anchors only (about 7 % of all suffixes) misses no
-match of ``length`` bytes or more.  Windows that share an anchor follow each
-other; the bytes they cover are its context.
-
-1. Documents are copied to a table bucketed by shard (one input partition),
-   so that later passes join answers to texts without moving texts.
-2. Shards arrive in batches.  A batch's arrays are sorted by anchor key, then
-   merge-scanned against each existing level for keys that two shards hold;
-   a batch becomes a level, and levels of equal size merge, so there are at
-   most log2(batches) levels.
-3. Shards ask for the smallest id of each context of such keys, and whether a
-   key has more than one context.  An occurrence is repeated as a whole if a
-   smaller id has its context.
-4. Only first owners of contexts whose key has several ask window by window.
+suffix array that lists the suffixes at anchors only (about 7 % of all) misses
+no match of ``length`` bytes or more.  Windows that share an anchor follow
+each other; the bytes they cover are its context.
+
+1. Texts are copied to a table of shards of about ``shard_bytes``, bucketed by
+   shard, so that later passes join answers to texts without moving texts.
+2. Shards arrive in batches, more of them the more shards there are.  A
+   batch's suffix arrays (the first ``gram`` bytes of each suffix, shard and
+   position, in the order of the bytes, split by a hash of these bytes) are
+   merge-scanned against each existing level: where neighbours of different
+   shards have a longest common prefix of ``gram`` bytes, both shards hear of
+   it.  Then the batch becomes a level, and levels of equal size merge, so
+   there are at most log2(batches) levels.
+3. Shards ask for the smallest id of each context of such anchors, and whether
+   an anchor has more than one context.  An occurrence is repeated as a whole
+   if a smaller id has its context.
+4. Only first owners of contexts whose anchor has several ask window by window.
 
 A question is asked once per shard and distinct key, so a passage that a
 third of all documents share costs each bucket no more than a row a shard.
-Keys are 64-bit hashes.
+Contexts and windows are known by 64 bits of one hash and confirmed by 64 bits
+of another, which the owner sends along: where only the first agree, nothing
+is removed.
 
 Defined results: a null text is empty; texts under ``length`` bytes lose
 nothing; equal ids never remove from each other; a null id counts as larger
@@ -31,18 +36,25 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factweave.llm.common import written
 from factweave.llm.shingles import mixed
 
+#: ``gram`` is three words of eight bytes, so that suffixes compare as numbers.
 LENGTH, GRAM = 50, 24
+SHARD_BYTES = 16 << 20
+#: Shards in a batch; few shards are four batches.
+BATCH_SHARDS = 64
 LAST = np.iinfo(np.int64).max
 PLACE_BITS = np.uint64(20)
 PLACES = np.uint64((1 << 20) - 1)
@@ -67,15 +79,15 @@ class Runs:
     """Anchors of a shard's texts and the window starts that belong to each.
 
     Arrays, one entry a run: place of the document, key, context, first and
-    last start.  Texts are read in buffers of about STEP bytes, whatever their
+    last start, place of the anchor.  Texts are read in buffers of about STEP bytes, whatever their
     lengths; windows don't cross texts.
     """
 
-    def __init__(self, texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
-        self.length, self.gram = length, gram
+    def __init__(self, texts: list[bytes], length: int = LENGTH, gram: int = GRAM, bits: int = 64):
+        self.length, self.gram, self.bits = length, gram, bits
         found = [self._buffer(b) for b in self._buffers(texts)]
-        empty = (np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
-        self.doc, self.key, self.context, self.first, self.last = (np.concatenate(x) for x in zip(empty, *found))
+        empty = (np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 3)
+        self.doc, self.key, self.context, self.first, self.last, self.anchor = (np.concatenate(x) for x in zip(empty, *found))
 
     def _buffers(self, texts: list[bytes]):
         """Lists of (document, start in it, bytes) of STEP bytes or little more; long texts come in overlapping parts."""
@@ -119,11 +131,51 @@ class Runs:
         piece = np.searchsorted(offsets, first, side="right") - 1
         shift = np.array([p[1] for p in pieces]) - offsets[:-1]
         return (
-            np.array([p[0] for p in pieces])[piece], grams[own], mixed(covered + shape * np.uint64(0xD6E8FEB86659FD93)),
-            first + shift[piece], last + shift[piece],
+            np.array([p[0] for p in pieces])[piece], _cut(grams[own], self.bits), _cut(mixed(covered + shape * np.uint64(0xD6E8FEB86659FD93)), self.bits),
+            first + shift[piece], last + shift[piece], own + shift[piece],
         )
 
 
+def _cut(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """The upper ``bits``; all of them but in tests."""
+    return hashes if bits == 64 else hashes & ~np.uint64((1 << (64 - bits)) - 1)
+
+
+def _confirming(data: list[bytes], docs: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """An independent hash of the bytes of each stretch."""
+    return np.fromiter((xxhash.xxh64_intdigest(data[d][a:b]) for d, a, b in zip(docs.tolist(), first.tolist(), end.tolist())), np.uint64, len(docs))
+
+
+def _prefixes(whole: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """[3, n]: the GRAM bytes of each suffix as numbers in the order of the bytes."""
+    return whole[at[:, None] + np.arange(GRAM)].view(">u8").astype(np.uint64).T
+
+
+def _prefix_keys(words: np.ndarray) -> np.ndarray:
+    """The keys of anchors from their bytes."""
+    values, grow, shrink = _powers()
+    data = np.ascontiguousarray(words.T.astype(">u8")).view(np.uint8)
+    return mixed((values[data] * (grow[:GRAM] * shrink[0])).sum(axis=1, dtype=np.uint64))
+
+
+def _suffix_order(words: np.ndarray) -> np.ndarray:
+    return np.lexsort((words[2], words[1], words[0]))
+
+
+def _common_prefixes(words: np.ndarray) -> np.ndarray:
+    """Bytes that each suffix of a sorted array shares with the one before it; 0 for the first."""
+    out = np.zeros(words.shape[1], np.int64)
+    if words.shape[1] > 1:
+        differ = words[:, 1:] ^ words[:, :-1]
+        for w in differ[::-1]:
+            # A word that differs has its highest set bit in the first byte that does.
+            leading = np.full(len(w), 8, np.int64)
+            for byte in range(8):
+                leading[(w >> np.uint64(8 * byte)) != 0] = 7 - byte
+            out[1:] = np.where(w == 0, 8 + out[1:], leading)
+    return out
+
+
 def _sums(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Running sums of byte values times powers; a stretch's hash is its difference times the inverse power."""
     values, grow, shrink = _powers()
@@ -132,7 +184,7 @@ def _sums(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return sums, shrink
 
 
-def window_hashes(data: bytes, starts: np.ndarray, length: int) -> np.ndarray:
+def window_hashes(data: bytes, starts: np.ndarray, length: int, bits: int = 64) -> np.ndarray:
     """Hashes of the windows at the given ascending starts."""
     out = []
     for at in range(0, len(data), STEP):
@@ -140,7 +192,7 @@ def window_hashes(data: bytes, starts: np.ndarray, length: int) -> np.ndarray:
         if len(own):
             sums, shrink = _sums(data[at : at + STEP + length - 1])
             out.append(mixed((sums[own + length] - sums[own]) * shrink[own]))
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+    return _cut(np.concatenate(out), bits) if out else np.empty(0, np.uint64)
 
 
 def _texts(table: pa.Table) -> list[tuple[int, bytes]]:
@@ -188,23 +240,23 @@ def _among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
     return out
 
 
-def _looked_up(keys: np.ndarray, known: np.ndarray, values: np.ndarray, other: int) -> np.ndarray:
-    """Values of keys by the sorted ``known``."""
-    out = np.full(len(keys), other, np.int64)
+def _places(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Where each key stands in the sorted ``known``; -1 if nowhere."""
+    out = np.full(len(keys), -1, np.int64)
     if len(known):
         maybe = _sieved(keys, known)
         own = keys[maybe]
         at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-        out[maybe] = np.where(known[at] == own, values[at], other)
+        out[maybe] = np.where(known[at] == own, at, -1)
     return out
 
 
-def _asked(kind: str, shard: int, buckets: int, keys: np.ndarray, *columns: np.ndarray) -> list[tuple]:
+def _asked(kind: str, shard: int, buckets: int, keys: np.ndarray, *columns: np.ndarray, keep_keys: bool = True) -> list[tuple]:
     """Rows of _QUESTION: sorted keys split by bucket, each column as eight bytes a value."""
     bucket = (keys >> np.uint64(32)) % np.uint64(buckets)
     order = np.argsort(bucket)
     cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-    sorted_columns = [c[order].view(np.uint64) for c in (keys, *columns)]
+    sorted_columns = [c[order].view(np.uint64) for c in ((keys, *columns) if keep_keys else columns)]
     return [
         (kind, b, shard, np.concatenate([c[cuts[b] : cuts[b + 1]] for c in sorted_columns]).tobytes())
         for b in range(buckets) if cuts[b] < cuts[b + 1]
@@ -226,32 +278,43 @@ def _of_kind(answers: pa.Table, kind: str, n: int) -> np.ndarray:
     return whole[:, np.argsort(whole[0])]
 
 
-# Levels: rows (bucket, keys, shards), keys sorted and stored as differences, which compress.
+# Levels: rows (bucket, prefixes, shards, places) are suffix arrays.  First words of prefixes are stored as differences, which compress.
 
-LEVEL = "bucket int, keys binary, shards binary"
-_LEVEL = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("shards", pa.binary())])
+LEVEL = "bucket int, prefixes binary, shards binary, places binary"
+_LEVEL = pa.schema([("bucket", pa.int32()), ("prefixes", pa.binary()), ("shards", pa.binary()), ("places", pa.binary())])
+Suffixes = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
-def _level_row(bucket: int, keys: np.ndarray, shards: np.ndarray) -> pa.Table:
-    order = np.argsort(keys)
-    keys, shards = keys[order], shards[order].astype(np.uint32)
-    return _table([(bucket, np.diff(keys, prepend=np.uint64(0)).tobytes(), shards.tobytes())], _LEVEL)
+def _level_row(bucket: int, words: np.ndarray, shards: np.ndarray, places: np.ndarray) -> pa.Table:
+    """Sort suffixes to one row."""
+    order = _suffix_order(words)
+    words = words[:, order]
+    words[0] = np.diff(words[0], prepend=np.uint64(0))
+    return _table([(bucket, words.tobytes(), shards[order].astype(np.uint32).tobytes(), places[order].astype(np.uint32).tobytes())], _LEVEL)
 
 
-def _level_arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    keys = [np.cumsum(np.frombuffer(x, np.uint64), dtype=np.uint64) for x in table.column("keys").to_pylist()]
-    shards = [np.frombuffer(x, np.uint32) for x in table.column("shards").to_pylist()]
-    return (np.concatenate(keys), np.concatenate(shards)) if keys else (np.empty(0, np.uint64), np.empty(0, np.uint32))
+def _level_arrays(table: pa.Table) -> Suffixes:
+    words = [np.frombuffer(x, np.uint64).reshape(3, -1).copy() for x in table.column("prefixes").to_pylist()]
+    if not words:
+        return np.empty((3, 0), np.uint64), np.empty(0, np.uint32), np.empty(0, np.uint32)
+    for w in words:
+        np.cumsum(w[0], out=w[0])
+    return np.concatenate(words, axis=1), *(np.concatenate([np.frombuffer(x, np.uint32) for x in table.column(c).to_pylist()]) for c in ("shards", "places"))
 
 
-def _seeds(keys: np.ndarray, shards: np.ndarray) -> pa.Table:
-    """Answers 'seed': for each shard, its keys that another shard of the two arrays holds."""
-    order = np.argsort(keys)
-    keys, shards = keys[order], shards[order]
-    same = keys[1:] == keys[:-1]
-    twin = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-    keys, shards = keys[twin], shards[twin]
-    order = np.argsort(shards)
+def _both(a: Suffixes, b: Suffixes) -> Suffixes:
+    return np.concatenate([a[0], b[0]], axis=1), np.concatenate([a[1], b[1]]), np.concatenate([a[2], b[2]])
+
+
+def _seeds(suffixes: Suffixes) -> pa.Table:
+    """Answers 'seed': for each shard, the keys of its anchors that share GRAM bytes with another shard's."""
+    words, shards, _ = suffixes
+    order = _suffix_order(words)
+    words, shards = words[:, order], shards[order]
+    same = np.append(_common_prefixes(words) >= GRAM, False)
+    twin = same[:-1] | same[1:]
+    keys, shards = _prefix_keys(words[:, twin]), shards[twin]
+    order = np.argsort(shards, kind="stable")
     keys, shards = keys[order], shards[order]
     own, starts = np.unique(shards, return_index=True)
     ends = [*starts[1:], len(keys)]
@@ -276,21 +339,19 @@ class LogIndex:
         """Insert a batch's arrays (rows of _QUESTION); written answers 'seed' for all shards concerned."""
 
         def sort_batch(key: tuple, table: pa.Table) -> pa.Table:
-            bodies = [np.frombuffer(b, np.uint64) for b in table.column("body").to_pylist()]
-            shards = np.repeat(np.array(table.column("shard").to_pylist(), np.uint32), [len(b) for b in bodies])
-            return _level_row(key[0].as_py(), np.concatenate(bodies), shards)
+            columns = [_columns(b, 4) for b in table.column("body").to_pylist()]
+            shards = np.repeat(np.array(table.column("shard").to_pylist(), np.uint32), [c.shape[1] for c in columns])
+            whole = np.concatenate(columns, axis=1)
+            return _level_row(key[0].as_py(), whole[:3], shards, whole[3])
 
         def within(table: pa.Table) -> pa.Table:
-            return _seeds(*_level_arrays(table))
+            return _seeds(_level_arrays(table))
 
         def scan(key: tuple, new: pa.Table, old: pa.Table) -> pa.Table:
-            (a, s), (b, t) = _level_arrays(new), _level_arrays(old)
-            held = _among(b, a)
-            return _seeds(np.concatenate([a, b[held]]), np.concatenate([s, t[held]]))
+            return _seeds(_both(_level_arrays(new), _level_arrays(old)))
 
         def merge(key: tuple, new: pa.Table, old: pa.Table) -> pa.Table:
-            (a, s), (b, t) = _level_arrays(new), _level_arrays(old)
-            return _level_row(key[0].as_py(), np.concatenate([a, b]), np.concatenate([s, t]))
+            return _level_row(key[0].as_py(), *_both(_level_arrays(new), _level_arrays(old)))
 
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (size, new), (_, old) = self.levels.pop(), self.levels.pop()
@@ -326,25 +387,34 @@ def _least_answers(kinds: dict[str, Callable]) -> Callable:
 
 
 def _least_owner(kind: str) -> Callable:
-    """For each shard, the keys that it has under a larger id than the smallest anywhere, with the smallest.
+    """For each shard, the keys that it has under a larger id than the smallest anywhere, with the smallest and its confirming hash.
 
     A shard that has its keys under several ids asks as -1 - shard.
     """
 
     def of(shards: list[int], bodies: list[bytes]) -> pa.Table:
-        columns = [_columns(b, 2) for b in bodies]
-        keys, ids = _least(np.concatenate([c[0] for c in columns]), np.concatenate([c[1] for c in columns]).view(np.int64))
+        columns = [_columns(b, 3) for b in bodies]
+        keys, ids, confirm = _first_owners(*(np.concatenate([c[i] for c in columns]) for i in range(3)))
         rows = []
-        for shard, (own, least) in zip(shards, columns):
-            best = _looked_up(own, keys, ids, LAST)
-            less = (best < least.view(np.int64)) | (shard < 0)
+        for shard, (own, least, _) in zip(shards, columns):
+            place = np.searchsorted(keys, own)
+            less = (ids[place].view(np.int64) < least.view(np.int64)) | (shard < 0)
             if less.any():
-                rows.append((max(shard, -1 - shard), kind, np.concatenate([own[less], best[less].view(np.uint64)]).tobytes()))
+                rows.append((max(shard, -1 - shard), kind, np.concatenate([own[less], ids[place][less], confirm[place][less]]).tobytes()))
         return _table(rows, _ANSWER)
 
     return of
 
 
+def _first_owners(keys: np.ndarray, ids: np.ndarray, confirm: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, the least id of each and that id's confirming hash."""
+    order = np.lexsort((ids.view(np.int64), keys))
+    keys, ids, confirm = keys[order], ids[order], confirm[order]
+    first = np.ones(len(keys), bool)
+    first[1:] = keys[1:] != keys[:-1]
+    return keys[first], ids[first], confirm[first]
+
+
 def _several_contexts(shards: list[int], bodies: list[bytes]) -> pa.Table:
     """For each shard, its keys that have more than one context anywhere."""
     columns = [_columns(b, 3) for b in bodies]
@@ -359,77 +429,113 @@ def _several_contexts(shards: list[int], bodies: list[bytes]) -> pa.Table:
     return _table(rows, _ANSWER)
 
 
-def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, batches: int = 4) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (array of start and end)."""
+def sharded(docs: DataFrame, shard_bytes: int) -> DataFrame:
+    """doc_id, text, shard: each partition cut where about ``shard_bytes`` are full; a longer text is a shard."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, base = 0, TaskContext.get().partitionId() << 8
+        for batch in batches:
+            texts = batch.column(1).cast(pa.string())
+            ends = seen + np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            # Beyond 256 shards a partition would take numbers of the next one.
+            shard = base + np.minimum(np.maximum(ends - 1, 0) // shard_bytes, 255)
+            seen = int(ends[-1]) if len(ends) else seen
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts, pa.array(shard, pa.int32())], names=["doc_id", "text", "shard"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, text string, shard int")
+
+
+def repeated_spans(
+    docs: DataFrame, *, length: int = LENGTH, batches: int | None = None, shard_bytes: int = SHARD_BYTES, bits: int = 64
+) -> DataFrame:
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (array of start and end).
+
+    ``batches`` follows from the number of shards; fewer ``bits`` of the
+    first hash make collisions, for tests.
+    """
     spark = docs.sparkSession
     name = f"suffix_{uuid.uuid4().hex}"
-    shards = max(1, docs.rdd.getNumPartitions())
-    wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 2 * max(wide, min(shards, 50_000))
-    docs.select(F.col("doc_id").cast("long"), "text", F.spark_partition_id().alias("shard")).write.bucketBy(
-        max(wide, 2 * shards), "shard"
-    ).option("compression", "zstd").saveAsTable(f"{name}_texts")
-    texts = spark.table(f"{name}_texts")
+    index = LogIndex(spark, name, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    try:
+        return _repeated(docs, index, f"{name}_texts", length, batches, shard_bytes, bits)
+    finally:
+        index.clear()
+        index.drop(f"{name}_texts")
+
+
+def _repeated(docs: DataFrame, index: LogIndex, table: str, length: int, batches: int | None, shard_bytes: int, bits: int) -> DataFrame:
+    spark, gram, wide = docs.sparkSession, GRAM, index.table_buckets
+    sharded(docs, shard_bytes).write.bucketBy(max(wide, 2 * docs.rdd.getNumPartitions()), "shard").option("compression", "zstd").saveAsTable(table)
+    texts = spark.table(table)
+    shards = max(1, texts.select("shard").distinct().count())
+    batches = min(shards, batches or max(4, -(-shards // BATCH_SHARDS)))
+    buckets = max(wide, shards)
 
     def read(table: pa.Table) -> tuple[np.ndarray, list[bytes], Runs]:
         """Ids, bytes and runs of a shard."""
         ids, data = zip(*_texts(table))
-        return np.array(ids, np.int64), list(data), Runs(list(data), length, gram)
+        return np.array(ids, np.int64), list(data), Runs(list(data), length, gram, bits)
 
     def arrays(key: tuple, table: pa.Table) -> pa.Table:
-        return _table(_asked("array", key[0].as_py(), buckets, _distinct(read(table)[2].key)), _QUESTION)
-
-    def bounds(kind: str, shard: int, keys: np.ndarray, ids: np.ndarray) -> list[tuple]:
+        """The suffixes at a shard's distinct anchors: keys to split them, then prefixes and places."""
+        _, data, r = read(table)
+        keys, one = np.unique(r.key, return_index=True)
+        at = np.cumsum([0, *map(len, data)])[r.doc[one]] + r.anchor[one]
+        words = _prefixes(np.frombuffer(b"".join(data), np.uint8), at)
+        return _table(_asked("array", key[0].as_py(), buckets, keys, *words, at.astype(np.uint64), keep_keys=False), _QUESTION)
+
+    def bounds(kind: str, shard: int, keys: np.ndarray, ids: np.ndarray, confirm: np.ndarray) -> list[tuple]:
         """Questions for the smallest id of each key, with the shard's own; apart for keys of several ids."""
-        distinct, least, most = _least(keys, ids, -1 - ids)
-        one = least == -1 - most
-        return _asked(kind, shard, buckets, distinct[one], least[one]) + _asked(kind, -1 - shard, buckets, distinct[~one], least[~one])
+        distinct, least, confirmed = _first_owners(keys, ids.view(np.uint64), confirm)
+        one = least.view(np.int64) == -1 - _least(keys, -1 - ids)[1]
+        return _asked(kind, shard, buckets, distinct[one], least[one], confirmed[one]) + _asked(
+            kind, -1 - shard, buckets, distinct[~one], least[~one], confirmed[~one])
 
     def contexts(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
-        ids, _, r = read(table)
-        ids = ids[r.doc]
-        distinct, least, most = _least(r.key, ids, -1 - ids)
+        ids, data, r = read(table)
+        distinct, least, most = _least(r.key, ids[r.doc], -1 - ids[r.doc])
         shared = distinct[least != -1 - most]  # by several ids of this shard
-        wanted = _among(r.key, _distinct(np.concatenate([shared, _of_kind(answers, "seed", 1)[0]])))
-        keys, own, ids = r.key[wanted], r.context[wanted], ids[wanted]
+        seeds = _cut(_of_kind(answers, "seed", 1)[0], bits)
+        wanted = np.flatnonzero(_among(r.key, _distinct(np.concatenate([shared, seeds]))))
+        keys, own = r.key[wanted], r.context[wanted]
+        confirm = _confirming(data, r.doc[wanted], r.first[wanted], r.last[wanted] + length)
         low = _least(keys, own, ~own)
         shard = key[0].as_py()
-        return _table(bounds("owner", shard, own, ids) + _asked("several", shard, buckets, low[0], low[1], ~low[2]), _QUESTION)
+        return _table(bounds("owner", shard, own, ids[r.doc[wanted]], confirm) + _asked("several", shard, buckets, low[0], low[1], ~low[2]), _QUESTION)
+
+    def confirmed(data: list[bytes], hashes: np.ndarray, docs: np.ndarray, first: np.ndarray, last: np.ndarray, ids: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """Which stretches a smaller id holds, by both hashes."""
+        at = _places(hashes, known[0])
+        maybe = np.flatnonzero((at >= 0) & (known[1].view(np.int64)[at] < ids[docs])) if len(known[0]) else np.empty(0, np.int64)
+        out = np.zeros(len(hashes), bool)
+        out[maybe] = _confirming(data, docs[maybe], first[maybe], last[maybe] + length) == known[2][at[maybe]]
+        return out
 
     def judged(table: pa.Table, answers: pa.Table):
-        """Ids, bytes, runs, which runs are repeated whole, and (document, starts) that must be asked window by window."""
+        """Ids, bytes, runs, which runs are repeated whole, and (documents, starts) that must be asked window by window."""
         ids, data, r = read(table)
-        owners = _of_kind(answers, "owner", 2)
-        whole = _looked_up(r.context, owners[0], owners[1].view(np.int64), LAST) < ids[r.doc]
+        whole = confirmed(data, r.context, r.doc, r.first, r.last, ids, _of_kind(answers, "owner", 3))
         ask = np.flatnonzero(~whole & _among(r.key, _of_kind(answers, "several", 1)[0]))
-        asked = []
-        for part in np.split(ask, np.flatnonzero(np.diff(r.doc[ask])) + 1) if len(ask) else ():
-            sizes = r.last[part] - r.first[part] + 1
-            within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            asked.append((int(r.doc[part[0]]), np.repeat(r.first[part], sizes) + within))
-        return ids, data, r, whole, asked
+        sizes = r.last[ask] - r.first[ask] + 1
+        within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        docs, starts = np.repeat(r.doc[ask], sizes), np.repeat(r.first[ask], sizes) + within
+        cuts = [0, *(np.flatnonzero(np.diff(docs)) + 1).tolist(), len(docs)] if len(docs) else []
+        hashes = [window_hashes(data[docs[a]], starts[a:b], length, bits) for a, b in zip(cuts, cuts[1:])]
+        return ids, data, r, whole, docs, starts, np.concatenate([np.empty(0, np.uint64), *hashes])
 
     def windows(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
-        ids, data, _, _, asked = judged(table, answers)
-        hashes = np.concatenate([np.empty(0, np.uint64), *(window_hashes(data[j], s, length) for j, s in asked)])
-        owners = np.concatenate([np.empty(0, np.int64), *(np.full(len(s), ids[j], np.int64) for j, s in asked)])
-        return _table(bounds("window", key[0].as_py(), hashes, owners), _QUESTION)
+        ids, data, _, _, docs, starts, hashes = judged(table, answers)
+        return _table(bounds("window", key[0].as_py(), hashes, ids[docs], _confirming(data, docs, starts, starts + length)), _QUESTION)
 
     def removed(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
-        ids, data, r, whole, asked = judged(table, answers)
-        known = _of_kind(answers, "window", 2)
-        runs_at = np.searchsorted(r.doc, np.arange(len(data) + 1))
-        hashes = [window_hashes(data[j], s, length) for j, s in asked]
-        least = _looked_up(np.concatenate([np.empty(0, np.uint64), *hashes]), known[0], known[1].view(np.int64), LAST)
-        cuts = np.cumsum([len(h) for h in hashes])[:-1] if hashes else []
-        single = {j: s[own < ids[j]] for (j, s), own in zip(asked, np.split(least, cuts))}
+        ids, data, r, whole, docs, starts, hashes = judged(table, answers)
+        hit = confirmed(data, hashes, docs, starts, starts, ids, _of_kind(answers, "window", 3))
+        runs_at, windows_at = (np.searchsorted(x, np.arange(len(data) + 1)) for x in (r.doc, docs))
         out = []
         for j, text in enumerate(data):
-            own = slice(runs_at[j], runs_at[j + 1])
-            hit = whole[own]
-            begins, ends = r.first[own][hit], r.last[own][hit] + length
-            if j in single:
-                begins, ends = np.concatenate([begins, single[j]]), np.concatenate([ends, single[j] + length])
+            own, single = slice(runs_at[j], runs_at[j + 1]), slice(windows_at[j], windows_at[j + 1])
+            begins = np.concatenate([r.first[own][whole[own]], starts[single][hit[single]]])
+            ends = np.concatenate([r.last[own][whole[own]], starts[single][hit[single]]]) + length
             spans: list[tuple[int, int]] = []
             if len(begins):
                 change = np.bincount(begins, minlength=len(text) + 1) - np.bincount(ends, minlength=len(text) + 1)
@@ -446,10 +552,9 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, b
         return _table(out, _RESULT)
 
     questions = "kind string, bucket int, shard int, body binary"
-    index = LogIndex(spark, name, max(wide, 1))
     seeds = []
-    for b in range(min(batches, shards)):
-        part = texts.where(F.col("shard").between(b * shards // min(batches, shards), (b + 1) * shards // min(batches, shards) - 1))
+    for b in range(batches):
+        part = texts.where(F.pmod(F.xxhash64("shard"), F.lit(batches)) == b)
         seeds += index.add(part.groupBy("shard").applyInArrow(arrays, questions))
     index.clear()
 
@@ -464,9 +569,7 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, b
     first = written(asked.groupBy("kind", "bucket").applyInArrow(kinds, ANSWER), "answers")
     asked = joined([first]).applyInArrow(windows, questions)
     second = written(asked.groupBy("kind", "bucket").applyInArrow(_least_answers({"window": _least_owner("window")}), ANSWER), "answers")
-    out = written(joined([first, second]).applyInArrow(removed, RESULT), "removed")
-    index.drop(f"{name}_texts")
-    return out
+    return written(joined([first, second]).applyInArrow(removed, RESULT), "removed")
 
 
 RESULT = (

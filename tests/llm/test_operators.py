@@ -370,11 +370,37 @@ def brute_removed(rows, length=50):
     return collections.Counter(out)
 
 
-@pytest.mark.parametrize("batches", [1, 4])
-def test_repeated_spans(docs, rows, none, batches):
-    got = suffix_dedup.repeated_spans(docs, batches=batches).drop("removed").collect()
+@pytest.mark.parametrize("batches,shard_bytes", [(1, 1 << 24), (4, 1 << 24), (7, 5000)])
+def test_repeated_spans(spark, docs, rows, none, batches, shard_bytes):
+    before = {t.name for t in spark.catalog.listTables()}
+    got = suffix_dedup.repeated_spans(docs, batches=batches, shard_bytes=shard_bytes).drop("removed").collect()
     assert collections.Counter(map(tuple, got)) == brute_removed(rows)
     assert suffix_dedup.repeated_spans(none).count() == 0
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_colliding_hashes_remove_nothing_innocent(docs, rows):
+    want = {(d, n): (removed, digest) for d, n, removed, _, digest in brute_removed(rows)}
+    got = suffix_dedup.repeated_spans(docs, bits=9, shard_bytes=5000).collect()
+    assert len(got) == len(rows) and all(r.n_removed <= want[r.doc_id, r.n_bytes][0] for r in got)
+    assert any(r.n_removed for r in got)
+
+
+def test_suffix_arrays():
+    rng = random.Random(2)
+    data = [bytes(rng.choices(b"ab\xff\x00", k=rng.randint(24, 60))) for _ in range(300)] + [b"a" * 24, b"a" * 30]
+    words = suffix_dedup._prefixes(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)])[:-1])
+    order = suffix_dedup._suffix_order(words)
+    first = [data[i][:24] for i in order]
+    assert first == sorted(d[:24] for d in data)
+    common = [0] + [next((i for i in range(24) if a[i] != b[i]), 24) for a, b in zip(first, first[1:])]
+    assert suffix_dedup._common_prefixes(words[:, order]).tolist() == common
+    row = suffix_dedup._level_row(3, words.copy(), np.arange(len(data)), np.arange(len(data)))
+    again = suffix_dedup._level_arrays(row)
+    assert (again[0] == words[:, order]).all() and again[1].tolist() == order.tolist()
+    r = suffix_dedup.Runs([b"".join(data)])
+    whole = np.frombuffer(b"".join(data), np.uint8)
+    assert (suffix_dedup._prefix_keys(suffix_dedup._prefixes(whole, r.anchor)) == r.key).all()
 
 
 def test_runs_over_buffers(monkeypatch):
