@@ -125,11 +125,11 @@ def test_em_tells_reliable_labelers():
     for _ in range(5000):
         y = rng.random() < 0.4
         vote = lambda p: "+" if (y if rng.random() < p else not y) else "-"  # noqa: E731, B023
-        counts[7, vote(0.95) + vote(0.9) + vote(0.5) + vote(0.85) + vote(0.6) + "1"] += 1
-    model = pii.train([(k, key, n) for (k, key), n in counts.items()])
-    r = model.reliability["secret"]
+        counts[7, vote(0.95) + vote(0.9) + vote(0.5) + vote(0.85) + vote(0.6)] += 1
+    reliability, label = pii.posteriors([(k, key, n) for (k, key), n in counts.items()])
+    r = reliability["secret"]
     assert r["pattern"] > r["shape"] > 0.5 > r["context"] - 0.1
-    assert model.accepts(7, "+++++1") and not model.accepts(7, "-----1")
+    assert label[7, "+++++"] > 0.9 and label[7, "---+-"] < 0.1 and label[7, "-----"] == 0
 
 
 # 3. Fingerprints
