@@ -10,7 +10,8 @@ whole files by Content-Length and checks every response's digest.
 
 Defined results: a null payload is empty and takes part; rows of a null id
 revisit the largest id of their payload, or are responses if there is none;
-rows that repeat the largest id are responses each; a null or odd URL is
+rows that repeat the largest id are responses each, and rows of one id and
+payload, which are one capture, have one record id; a null or odd URL is
 written as ``urn:page:<id>`` or with its white space and control characters
 percent-encoded; no rows give an archive without records.  Only id, url and
 payload are read.
@@ -54,22 +55,29 @@ def _record_id(page_id: Column, digest: Column) -> Column:
 
 
 def plan(pages: DataFrame, *, min_bytes: int = 0) -> DataFrame:
-    """Per (page_id, payload_digest): payload_bytes, record_type, refers_to."""
+    """Per (page_id, payload_digest): payload_bytes, record_type, refers_to and its URL."""
     payload = F.coalesce(F.col("html"), F.lit(""))
     headers = written(
-        pages.select(F.col("page_id").cast("long"), F.octet_length(payload).cast("long").alias("payload_bytes"), base32_sha1(payload).alias("payload_digest")),
+        pages.select(F.col("page_id").cast("long"), _target(F.col("page_id")).alias("target"), F.octet_length(payload).cast("long").alias("payload_bytes"), base32_sha1(payload).alias("payload_digest")),
         "headers",
     )
-    origins = headers.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.max("page_id").alias("origin"))
+    origins = headers.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.max(F.struct("page_id", "target")).alias("o")).select(
+        "payload_digest", F.col("o.page_id").alias("origin"), F.col("o.target").alias("origin_target"))
     joined = headers.join(origins, "payload_digest", "left")
     revisit = F.col("origin").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("origin"))
     return joined.select(
         "page_id", "payload_digest", "payload_bytes",
         F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")).alias("record_type"),
-        F.when(revisit, F.col("origin")).alias("refers_to"),
+        F.when(revisit, F.col("origin")).alias("refers_to"), F.when(revisit, F.col("origin_target")).alias("refers_to_target"),
     ).distinct()
 
 
+def _target(page_id: Column) -> Column:
+    """The URL of a page as a header can hold it."""
+    named = F.coalesce(F.col("url"), F.concat(F.lit("urn:page:"), F.coalesce(page_id.cast("string"), F.lit("none"))))
+    return F.regexp_replace(named, r"[\x00-\x20\x7F]", "%20")
+
+
 def write_archives(
     pages: DataFrame, path: str, *, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", file_bytes: int = 16 << 20
 ) -> None:
@@ -80,7 +88,6 @@ def write_archives(
     joined = rows.join(planned, rows["id"].eqNullSafe(planned["page_id"]) & (rows["digest"] == planned["payload_digest"]))
     size = planned.agg(F.avg("payload_bytes")).first()[0] or 0
     response = F.col("record_type") == "response"
-    safe = F.regexp_replace(F.coalesce("url", F.concat(F.lit("urn:page:"), F.coalesce(F.col("id").cast("string"), F.lit("none")))), r"[\x00-\x20\x7F]", "%20")
     http = F.concat(F.lit(HTTP), F.col("payload_bytes"), F.lit(RECORD_END))
     block = F.when(response, F.concat(http, F.col("payload"))).otherwise(http)
     lines = [
@@ -88,10 +95,12 @@ def write_archives(
         F.concat(F.lit("WARC-Type: "), F.col("record_type")),
         F.concat(F.lit("WARC-Record-ID: <"), _record_id(F.col("id"), F.col("digest")), F.lit(">")),
         F.lit(f"WARC-Date: {date}"),
-        F.concat(F.lit("WARC-Target-URI: "), safe),
+        F.concat(F.lit("WARC-Target-URI: "), _target(F.col("id"))),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("digest")),
         F.when(~response, F.lit(f"WARC-Profile: {PROFILE}")),
         F.when(~response, F.concat(F.lit("WARC-Refers-To: <"), _record_id(F.col("refers_to"), F.col("digest")), F.lit(">"))),
+        F.when(~response, F.concat(F.lit("WARC-Refers-To-Target-URI: "), F.col("refers_to_target"))),
+        F.when(~response, F.lit(f"WARC-Refers-To-Date: {date}")),
         F.when(~response, F.concat(F.lit("X-Refers-To-Page: "), F.col("refers_to"))),
         F.concat(F.lit("X-Page: "), F.col("id")),
         F.concat(F.lit("X-Payload-Length: "), F.col("payload_bytes")),
