@@ -21,13 +21,15 @@ taken; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factweave.llm.common import n_words, written
 
-#: First two hex digits of the hash: 256 slices of each source.
-SLICE_DIGITS = 2
+#: Rows of a slice, about; a slice is what the first hex digits of the hash name, two at least.
+SLICE_ROWS = 100_000
 
 
 def source_targets(
@@ -69,7 +71,9 @@ def _draw(seed: int):
 def _drawn(docs: DataFrame, seed: int, **options) -> DataFrame:
     """Per row: its size and draw, its source's whole repeats, and whether it is taken once more."""
     sizes = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), _draw(seed).alias("draw"))
-    sizes = written(sizes.withColumn("slice", F.substring("draw", 1, SLICE_DIGITS)), "sizes")
+    sizes = written(sizes, "sizes")
+    digits = max(2, math.ceil(math.log(max(1, sizes.count() / SLICE_ROWS), 16)))
+    sizes = sizes.withColumn("slice", F.substring("draw", 1, digits))
     targets = source_targets(sizes, **options)
     per_slice = sizes.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
     running = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
