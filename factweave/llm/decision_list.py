@@ -291,13 +291,9 @@ def quality_report(docs: DataFrame, labels: DataFrame, **options) -> tuple[DataF
 def quality_filter(docs: DataFrame, labels: DataFrame, **options) -> tuple[DataFrame, DecisionList]:
     """The rows of ``docs`` that are kept, with their own columns.
 
-    Texts are measured in a pass that writes numbers only; rejected rows then
-    leave by id and hash of the text, which together fix the verdict.
+    One pass writes numbers to learn from; the rules then are one condition on
+    the text, so a second pass filters where the texts lie and none is shuffled.
     """
-    keyed = with_stats(docs.select("doc_id", "text")).select("doc_id", F.xxhash64("text").alias("__text"), "__stats.*")
-    measured = written(keyed, "measured")
+    measured = written(with_stats(docs.select("doc_id", "text")).select("doc_id", "__stats.*"), "measured")
     rules = learn(labels_joined(measured, labels), bad=F.col("__quality") == 0, **options)
-    gone = measured.where(base_failed(F.col) | ~rules.verdict(F.col)).select(F.col("doc_id").alias("__id"), F.col("__text").alias("__gone")).distinct()
-    rows = docs.withColumn("__text", F.xxhash64("text"))
-    same = rows["doc_id"].eqNullSafe(gone["__id"]) & (rows["__text"] == gone["__gone"])
-    return rows.join(gone, same, "left_anti").select(*docs.columns), rules
+    return docs.where(let(text_stats(F.col("text")), lambda m: ~base_failed(lambda s: m[s]) & rules.verdict(lambda s: m[s]))), rules
