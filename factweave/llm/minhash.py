@@ -242,14 +242,12 @@ def near_duplicates(
     placed = placed.join(first, "root").join(degrees, "node", "left").select(
         "digest", F.col("first_id").alias("class_id"), "component_id", F.coalesce("d", F.lit(0)).alias("n_links")
     )
-    out = signed.select("doc_id", "n_shingles", "digest").join(placed, "digest", "left")
-    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select(
-        "doc_id", "n_shingles", "digest",
-        F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"),
-        F.col("doc_id").eqNullSafe(component).alias("kept"),
-    )
+    columns = ("doc_id", "n_shingles", "digest", "class_id", "n_links", "component_id")
+    out = signed.where(F.col("digest").isNotNull()).join(placed, "digest").select(*columns)
+    # Documents without a set are no join's business: their null digests would meet in one task.
+    alone = signed.where(F.col("digest").isNull()).select(
+        "doc_id", "n_shingles", "digest", F.col("doc_id").alias("class_id"), F.lit(0).alias("n_links"), F.col("doc_id").alias("component_id"))
+    return out.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:

@@ -1,5 +1,6 @@
 """The pipeline's near-duplicate stage against a brute-force 0.8."""
 
+import collections
 import random
 
 import pytest
@@ -48,6 +49,14 @@ def test_stage_on_documents(spark):
     assert got == wanted(rows, 80)
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_components_on_a_thousand_documents(spark, percent):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs, percent=percent).collect())
+    assert got == brute_components(rows, percent)
+
+
 @pytest.mark.parametrize("percent", [50, 70, 80, 85, 90, 95])
 def test_tables_miss_few_pairs_at_the_threshold(percent):
     s, side, (tables, rows) = percent / 100, minhash.first_tables(percent), minhash.last_tables(percent)
