@@ -324,15 +324,15 @@ def _seeds(suffixes: Suffixes) -> pa.Table:
 class LogIndex:
     """Levels of merged batches, each a bucketed table; sizes double from level to level."""
 
-    def __init__(self, spark, name: str, table_buckets: int):
-        self.spark, self.name, self.table_buckets = spark, name, table_buckets
+    def __init__(self, spark, name: str):
+        self.spark, self.name, self.buckets = spark, name, 1
         self.levels: list[tuple[int, str]] = []
         self.made = 0
 
     def _save(self, rows: DataFrame) -> str:
         self.made += 1
         table = f"{self.name}_level{self.made}"
-        rows.write.bucketBy(self.table_buckets, "bucket").option("compression", "zstd").saveAsTable(table)
+        rows.write.bucketBy(self.buckets, "bucket").option("compression", "zstd").saveAsTable(table)
         return table
 
     def add(self, questions: DataFrame) -> list[DataFrame]:
@@ -358,7 +358,7 @@ class LogIndex:
             joined = self.spark.table(new).groupBy("bucket").cogroup(self.spark.table(old).groupBy("bucket"))
             self.levels.append((2 * size, self._save(joined.applyInArrow(merge, LEVEL))))
             self.drop(new, old)
-        batch = self._save(questions.groupBy("bucket").applyInArrow(sort_batch, LEVEL))
+        batch = self._save(questions.repartition(self.buckets, "bucket").groupBy("bucket").applyInArrow(sort_batch, LEVEL))
         new = self.spark.table(batch).groupBy("bucket")
         if not self.levels:
             found = [new.applyInArrow(within, ANSWER)]
@@ -455,7 +455,7 @@ def repeated_spans(
     """
     spark = docs.sparkSession
     name = f"suffix_{uuid.uuid4().hex}"
-    index = LogIndex(spark, name, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    index = LogIndex(spark, name)
     try:
         return _repeated(docs, index, f"{name}_texts", length, batches, shard_bytes, bits)
     finally:
@@ -464,12 +464,13 @@ def repeated_spans(
 
 
 def _repeated(docs: DataFrame, index: LogIndex, table: str, length: int, batches: int | None, shard_bytes: int, bits: int) -> DataFrame:
-    spark, gram, wide = docs.sparkSession, GRAM, index.table_buckets
+    spark, gram = docs.sparkSession, GRAM
+    wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sharded(docs, shard_bytes).write.bucketBy(max(wide, 2 * docs.rdd.getNumPartitions()), "shard").option("compression", "zstd").saveAsTable(table)
     texts = spark.table(table)
     shards = max(1, texts.select("shard").distinct().count())
     batches = min(shards, batches or max(4, -(-shards // BATCH_SHARDS)))
-    buckets = max(wide, shards)
+    buckets = index.buckets = max(wide, shards)  # tasks grow in number with the data, not in size
 
     def read(table: pa.Table) -> tuple[np.ndarray, list[bytes], Runs]:
         """Ids, bytes and runs of a shard."""
@@ -566,9 +567,9 @@ def _repeated(docs: DataFrame, index: LogIndex, table: str, length: int, batches
 
     asked = joined(seeds).applyInArrow(contexts, questions)
     kinds = _least_answers({"owner": _least_owner("owner"), "several": _several_contexts})
-    first = written(asked.groupBy("kind", "bucket").applyInArrow(kinds, ANSWER), "answers")
+    first = written(asked.repartition(buckets, "kind", "bucket").groupBy("kind", "bucket").applyInArrow(kinds, ANSWER), "answers")
     asked = joined([first]).applyInArrow(windows, questions)
-    second = written(asked.groupBy("kind", "bucket").applyInArrow(_least_answers({"window": _least_owner("window")}), ANSWER), "answers")
+    second = written(asked.repartition(buckets, "kind", "bucket").groupBy("kind", "bucket").applyInArrow(_least_answers({"window": _least_owner("window")}), ANSWER), "answers")
     return written(joined([first, second]).applyInArrow(removed, RESULT), "removed")
 
 
