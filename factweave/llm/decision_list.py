@@ -291,9 +291,9 @@ def quality_report(docs: DataFrame, labels: DataFrame, **options) -> tuple[DataF
 def quality_filter(docs: DataFrame, labels: DataFrame, **options) -> tuple[DataFrame, DecisionList]:
     """The rows of ``docs`` that are kept, with their own columns.
 
-    One pass writes numbers to learn from; the rules then are one condition on
-    the text, so a second pass filters where the texts lie and none is shuffled.
+    One pass writes each row beside its numbers; learning reads the numbers of
+    that table, and the filter its rows, so texts are measured once and never shuffled.
     """
-    measured = written(with_stats(docs.select("doc_id", "text")).select("doc_id", "__stats.*"), "measured")
-    rules = learn(labels_joined(measured, labels), bad=F.col("__quality") == 0, **options)
-    return docs.where(let(text_stats(F.col("text")), lambda m: ~base_failed(lambda s: m[s]) & rules.verdict(lambda s: m[s]))), rules
+    measured = written(docs.select(F.struct(*docs.columns).alias("row"), text_stats(F.col("text")).alias("stats")), "measured")
+    rules = learn(labels_joined(measured.select(F.col("row.doc_id").alias("doc_id"), "stats.*"), labels), bad=F.col("__quality") == 0, **options)
+    return measured.where(~base_failed(stat_of("stats")) & rules.verdict(stat_of("stats"))).select("row.*"), rules
