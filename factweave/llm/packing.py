@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from factweave.llm.common import written
 
 #: Chunks in each of the two generations that a Python worker remembers.
-CHUNKS_KEPT = 1 << 19
+CHUNKS_KEPT = 3 << 17
 PIECE = np.dtype([("doc", "<i8"), ("none", "?"), ("piece", "<i4"), ("start", "<i8"), ("length", "<i4"), ("crc", "<u4")])
 BINS = "bin long, size int, members binary"
 #: A space or line end that is not between two visible characters.
