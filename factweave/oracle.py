@@ -247,7 +247,7 @@ def _planted() -> str:
     own = f"draft_id || '/{PLAN.week.label}/value'"
     claims = [(h, 0, own, "v", "drafts") for h in (0, 1, 3, 4, 5, 8)] + [
         (1, 1, own, "v * 2 + 7", "drafts"), (1, 2, "'none/overall/x/value'", "1", "drafts"), (1, 3, f"draft_id || '/{PLAN.earlier_weeks[-1].label}/value'", "0", "drafts"),
-        (6, 0, "p.id", "p.v", f"drafts d JOIN packed p USING (metric_id, cut) WHERE p.k = 'value' AND p.label = '{PLAN.earlier_weeks[0].label}'"),
+        (6, 0, "p.id", "coalesce(p.v, 0)", f"drafts d JOIN packed p USING (metric_id, cut) WHERE p.k = 'value' AND p.label = '{PLAN.earlier_weeks[0].label}'"),
         (7, "row_number() OVER (PARTITION BY draft_id ORDER BY p.id) - 1", "p.id", "0", "drafts d JOIN packed p USING (metric_id, cut) WHERE p.v IS NULL"),
     ]
     kinds = "CASE WHEN unit IN ('usd', 'percent', 'pp') THEN unit ELSE 'bare' END"

@@ -282,7 +282,7 @@ def _planted_drafts(packed: DataFrame, chosen: DataFrame) -> DataFrame:
         F.array(own), F.array(own, claim(F.col("id"), F.col("value") * 2 + 7), claim(F.lit("none/overall/x/value"), F.lit(1)), claim(at(PLAN.earlier_weeks[-1]), F.lit(0))), none,
         F.array(own), F.array(own), F.array(own), None, F.coalesce("empty", none), F.array(own),
     ]
-    prior = packed.where(F.col("id").endswith(f"{PLAN.earlier_weeks[0].label}/value")).select("metric_id", "cut", claim(F.col("id"), F.col("value")).alias("prior"))
+    prior = packed.where(F.col("id").endswith(f"{PLAN.earlier_weeks[0].label}/value")).select("metric_id", "cut", claim(F.col("id"), F.coalesce("value", F.lit(0.0))).alias("prior"))
     rows = rows.join(prior, ["metric_id", "cut"])
     claims[6] = F.array("prior")
     said = lambda text: F.replace(F.replace(F.lit(text), F.lit("{}"), F.col("display")), F.lit("[]"), N.normalized_digits(F.col("display")))
