@@ -30,6 +30,15 @@ def test_ids_of_letters_and_marks(monkeypatch):
         assert np.frombuffer(own.ids(t), "<u4").tolist() == bpe.encode(t, add_special_tokens=False).ids, t
 
 
+def test_single_spaces_agree_with_the_pattern():
+    rng = random.Random(7)
+    bits = ["a", "bc", ".", " ", " ", "\n", "\t", "\xa0", "\x1c", "\u2028", "\r"]
+    for _ in range(30000):
+        t = "".join(rng.choices(bits, k=rng.randint(0, 9)))
+        assert not (packing._single_spaces(t) and packing._ODD_SPACE.search(t)), t
+    assert packing._single_spaces("a b\nc") and not packing._single_spaces("a\tb  c") and not packing._single_spaces("a\t b")
+
+
 def test_pieces_with_the_added_token(spark):
     bpe = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     texts = ["a <|endoftext|> b", "no token", "<|endoftext|>" * 3, None]
