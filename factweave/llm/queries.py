@@ -112,6 +112,24 @@ def op10_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op11_crc_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factweave.llm.crc_ring import importance_draw
+
+    return importance_draw(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_variable_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factweave.llm.block_max import build_index, search
+
+    return search(build_index(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factweave.llm.string_kernel import identify
+
+    return identify(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_tool_calls": op1_tool_calls,
     "op2_weak_supervision": op2_weak_supervision,
@@ -123,6 +141,9 @@ QUERIES = {
     "op8_water_filling": op8_water_filling,
     "op9_log_suffix_index": op9_log_suffix_index,
     "op10_tensored_minhash": op10_tensored_minhash,
+    "op11_crc_ring": op11_crc_ring,
+    "op12_variable_blocks": op12_variable_blocks,
+    "op13_string_kernel": op13_string_kernel,
 }
 
 ORACLE_SQL = {
@@ -162,5 +183,70 @@ WITH sizes AS (
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
        CAST(size * (whole + CASE WHEN size > 0 AND ended * 2 - size <= (target - whole * source_size) * 2 THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM rated
+""",
+    "op11_crc_ring": r"""
+WITH poly AS (
+  SELECT list(c ORDER BY i) AS steps FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c
+    FROM (SELECT unnest(range(256)) AS i))
+), texts AS (
+  SELECT 'd' AS side, doc_id, row_number() OVER () AS row_id, text FROM documents
+  UNION ALL SELECT 'b', NULL, -1, text FROM benchmark
+), words AS (
+  SELECT side, doc_id, row_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM texts
+), runs AS (
+  SELECT side, row_id, unnest(w) AS f FROM words
+  UNION ALL SELECT side, row_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM words
+  UNION ALL SELECT side, row_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM words
+), counted AS (
+  SELECT side, row_id, f, count(*) AS n FROM runs GROUP BY ALL
+), hashed AS (
+  SELECT f, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(strlen(f)), lambda i: (instr('0123456789ABCDEF', hex(f)[2 * i + 1]) - 1) * 16 + instr('0123456789ABCDEF', hex(f)[2 * i + 2]) - 1)),
+         lambda c, b: xor(c // 256, steps[xor(c % 256, b) + 1])), 4294967295::BIGINT) % 10000 AS bucket
+  FROM (SELECT DISTINCT f FROM counted), poly
+), gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE))) AS BIGINT) AS gain
+  FROM (SELECT bucket, coalesce(sum(n) FILTER (side = 'd'), 0) AS s, coalesce(sum(n) FILTER (side = 'b'), 0) AS t FROM counted JOIN hashed USING (f) GROUP BY bucket)
+), weights AS (
+  SELECT row_id, sum(n) AS n_features, sum(n * gain) AS weight FROM counted JOIN hashed USING (f) JOIN gains USING (bucket) WHERE side = 'd' GROUP BY row_id
+), scored AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || left(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM words LEFT JOIN weights USING (row_id) WHERE side = 'd'
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place, count(*) FILTER (n_words >= 20) OVER () AS n FROM scored
+)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score,
+       CASE WHEN n_words >= 20 AND place <= 5 * n // 100 THEN place END AS rank
+FROM placed
+""",
+    "op12_variable_blocks": r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row_id, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), sums AS (
+  SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM docs WHERE len(w) > 0
+), postings AS (
+  SELECT row_id, doc_id, term, count(*) AS tf, CAST(any_value(n) AS BIGINT) AS n
+  FROM (SELECT row_id, doc_id, len(w) AS n, unnest(w) AS term FROM docs) GROUP BY row_id, doc_id, term
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w
+  FROM postings, sums GROUP BY term
+), asked AS (
+  SELECT DISTINCT query_id, item_id, term FROM (
+    SELECT row_number() OVER () AS query_id, item_id,
+           unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark)
+), scored AS (
+  SELECT query_id, item_id, row_id, doc_id,
+         CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM asked JOIN postings USING (term) JOIN weights USING (term), sums GROUP BY query_id, item_id, row_id, doc_id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0
+QUALIFY rank <= 10
 """,
 }
