@@ -3,8 +3,8 @@ r"""Importance resampling towards a target distribution, over hashed n-grams of
 One scan of a document keeps a ring with the running zlib state of its last
 ``n`` starts.  A word begins one start and extends each of the others by a
 space and itself, and every state that this gives is a feature's crc32, whose
-bucket is the crc32 modulo ``buckets``.  The scan leaves one sparse row of bucket
-counts per document, which is written once; corpus counts, gains and
+bucket is the crc32 modulo ``buckets``.  The scan leaves one bounded row of packed
+buckets per document, which is written once; corpus counts, gains and
 weights come from these rows, so no text is read twice.
 
 A bucket's gain is the floored logarithm of its smoothed share in the target
@@ -55,36 +55,58 @@ class CrcRing:
         return runs
 
 
-def bucket_counts(text: bytes | None, n: int = 3, buckets: int = 10_000) -> tuple[int, np.ndarray]:
-    """Number of words, and how many features fall into each bucket."""
-    ring, n_words, counts = CrcRing(n), 0, np.zeros(buckets, np.int64)
+def _kind(buckets: int) -> np.dtype:
+    return np.dtype("<u2" if buckets <= 1 << 16 else "<u4")
+
+
+def scan_text(text: bytes | None, n: int = 3, buckets: int = 10_000) -> tuple[int, int, np.ndarray | None, np.ndarray | None]:
+    """Words, features, and the bucket of each feature in any order; of more features than buckets, counts per bucket in their place."""
+    ring, n_words, n_features, listed, counts = CrcRing(n), 0, 0, [], None
     for words in word_blocks(text):
         n_words += len(words)
-        states = np.fromiter(chain.from_iterable(ring.extend(words)), np.uint32)
-        counts += np.bincount(states % np.uint32(buckets), minlength=buckets)
-    return n_words, counts
+        hits = (np.fromiter(chain.from_iterable(ring.extend(words)), np.uint32) % np.uint32(buckets)).astype(_kind(buckets))
+        n_features += len(hits)
+        listed.append(hits)
+        if counts is not None or n_features > buckets:
+            counts = sum((np.bincount(h, minlength=buckets) for h in listed), np.zeros(buckets, np.int64) if counts is None else counts)
+            listed = []
+    if counts is not None:
+        return n_words, n_features, None, counts.astype("<i8")
+    return n_words, n_features, np.concatenate(listed) if listed else np.empty(0, _kind(buckets)), None
+
+
+FEATURES = "doc_id long, n_words long, n_features long, hits binary, counts binary"
+#: Rows that a task hands on at a time.
+ROWS = 1000
 
 
 def hashed_features(docs: DataFrame, *, n: int = 3, buckets: int = 10_000) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_words, n_features, and its buckets with their counts (sparse, at most ``buckets``)."""
+    """Per row of ``docs``: doc_id, n_words, n_features, and its features' buckets as packed integers.
+
+    ``hits`` names the bucket of each feature; texts with more features than
+    buckets have ``counts`` per bucket instead, so a row is bounded.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, found, counted = [], [], []
-            for text in batch.column(1).cast(pa.binary()):
-                n_words, counts = bucket_counts(text.as_py(), n, buckets)
-                places = np.flatnonzero(counts)
-                words.append(n_words)
-                found.append(places.astype(np.int32))
-                counted.append(counts[places])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(words, pa.int64()), pa.array([int(c.sum()) for c in counted], pa.int64()),
-                 pa.array(found, pa.list_(pa.int32())), pa.array(counted, pa.list_(pa.int64()))],
-                names=["doc_id", "n_words", "n_features", "buckets", "counts"],
-            )
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                found = [scan_text(text.as_py(), n, buckets) for text in part.column(1).cast(pa.binary())]
+                words, features, hits, counts = zip(*found, strict=True)
+                packed = lambda arrays: pa.array([None if a is None else a.tobytes() for a in arrays], pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(words, pa.int64()), pa.array(features, pa.int64()), packed(hits), packed(counts)],
+                    names=["doc_id", "n_words", "n_features", "hits", "counts"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scan, FEATURES)
+
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        scan, "doc_id long, n_words long, n_features long, buckets array<int>, counts array<long>")
+def _rows_of(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The packed integers of a column in a row, and where each row's start (one more for the end)."""
+    column = column.fill_null(b"")
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].view(kind)
+    return data, (ends - ends[0]) // kind.itemsize
 
 
 def bucket_totals(features: DataFrame, buckets: int = 10_000) -> np.ndarray:
@@ -93,11 +115,12 @@ def bucket_totals(features: DataFrame, buckets: int = 10_000) -> np.ndarray:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
         for batch in batches:
-            np.add.at(total, batch.column(0).flatten().to_numpy(), batch.column(1).flatten().to_numpy())
+            total += np.bincount(_rows_of(batch.column(0), _kind(buckets))[0], minlength=buckets)
+            total += _rows_of(batch.column(1), np.dtype("<i8"))[0].reshape(-1, buckets).sum(axis=0)
         places = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(places.astype(np.int32)), pa.array(total[places])], names=["bucket", "n"])
 
-    sums = features.select("buckets", "counts").mapInArrow(add, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    sums = features.select("hits", "counts").mapInArrow(add, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     out = np.zeros(buckets, np.int64)
     for row in sums.collect():  # at most ``buckets`` rows
         out[row["bucket"]] = row["n"]
@@ -116,14 +139,12 @@ def weighed(features: DataFrame, gain: np.ndarray) -> DataFrame:
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, counted = batch.column(3), batch.column(4)
-            each = gain[found.flatten().to_numpy()] * counted.flatten().to_numpy()
-            ends = np.cumsum(found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-            sums = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], ends])]
+            hits, ends = _rows_of(batch.column(3), _kind(len(gain)))
+            weights = np.diff(np.concatenate([[0], np.cumsum(gain[hits])])[ends])
+            counts, ends = _rows_of(batch.column(4), np.dtype("<i8"))
+            weights[np.diff(ends) > 0] = counts.reshape(-1, len(gain)) @ gain
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(np.diff(sums).astype(np.int64))],
-                names=["doc_id", "n_words", "n_features", "weight"],
-            )
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(weights.astype(np.int64))], names=["doc_id", "n_words", "n_features", "weight"])
 
     return features.mapInArrow(weigh, "doc_id long, n_words long, n_features long, weight long")
 
