@@ -8,7 +8,7 @@ from datetime import timedelta
 from factweave.operators.binding import CAUSAL, MAGNITUDE, MARKUP, REASONS, SEVERITIES
 from factweave.operators.facts import LABELS
 from factweave.plans.calendar import SUNDAY, ReportPlan
-from factweave.queries import BROKEN, EVENT_PLAN, GAPS, LONG_PLAN, PLAN, PLANTED, REGISTRY
+from factweave.queries import BROKEN, EVENT_PLAN, FILE_ROWS, GAPS, LONG_PLAN, PLAN, PLANTED, REGISTRY
 
 
 def _day(d) -> str:
@@ -311,6 +311,25 @@ _BINDING: dict[str, str] = {
   UNION ALL SELECT 'negative', 'sessions', count(*) FROM rows WHERE {_NUMERIC} AND starts_with(sessions, '-') AND coalesce(try_cast(sessions AS DOUBLE), -1) <> 0
   UNION ALL SELECT 'duplicate_cell', '*', count(*) FROM (SELECT 1 FROM rows GROUP BY date, bucket, part HAVING count(*) > 1)
 ) SELECT * FROM found WHERE n > 0""",
+    "source_first_offence": f"""WITH placed AS (
+  SELECT {_broken_rows()}, 'h' || event_id % 40 AS part, event_id, event_id // {FILE_ROWS} AS file, event_id % 1000 = 23 AS head,
+         row_number() OVER (PARTITION BY event_id // {FILE_ROWS} ORDER BY event_id) + 1 AS line FROM events
+), rows AS (
+  SELECT *, row_number() OVER (PARTITION BY date, coalesce(bucket, ''), part ORDER BY file, line) AS turn FROM placed WHERE NOT head AND event_id % 40 <> 21
+), heads AS (
+  SELECT file, line, row_number() OVER (PARTITION BY file ORDER BY line) AS turn FROM placed WHERE head
+), broken AS (
+  SELECT 'date' AS rule, 'date' AS "column", file, line FROM rows WHERE date IS NULL OR NOT regexp_full_match(date, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') OR try_cast(date AS DATE) IS NULL
+  UNION ALL SELECT 'empty_label', 'bucket', file, line FROM rows WHERE coalesce(bucket, '') = ''
+  UNION ALL SELECT 'reserved_label', 'bucket', file, line FROM rows WHERE starts_with(bucket, '__')
+  UNION ALL SELECT 'label_vocabulary', 'bucket', file, line FROM rows WHERE bucket <> '' AND NOT starts_with(bucket, '__') AND NOT regexp_full_match(bucket, '[A-Za-z0-9][A-Za-z0-9 ._:&+/-]{{0,63}}')
+  UNION ALL SELECT 'not_numeric', 'sessions', file, line FROM rows WHERE NOT {_NUMERIC} AND NOT {_ODD}
+  UNION ALL SELECT 'not_finite', 'sessions', file, line FROM rows WHERE {_ODD} OR ({_NUMERIC} AND NOT coalesce(isfinite(try_cast(sessions AS DOUBLE)), FALSE))
+  UNION ALL SELECT 'negative', 'sessions', file, line FROM rows WHERE {_NUMERIC} AND starts_with(sessions, '-') AND coalesce(try_cast(sessions AS DOUBLE), -1) <> 0
+  UNION ALL SELECT 'field_count', '*', file, line FROM rows WHERE event_id % 40 = 22
+  UNION ALL SELECT 'duplicate_cell', '*', file, line FROM rows WHERE turn = 2
+  UNION ALL SELECT 'repeated_header', '*', file, line FROM heads WHERE turn = 1
+) SELECT rule, "column", count(*) AS n, CAST(min(file * 1000000 + line) // 1000000 AS BIGINT) AS file, CAST(min(file * 1000000 + line) % 1000000 AS BIGINT) AS line FROM broken GROUP BY ALL""",
     "coverage_cases": " UNION ALL ".join(f"""SELECT metric_id, CASE WHEN {_STALE} THEN 'stale' WHEN n > 0 THEN 'incomplete' ELSE 'ok' END AS status, required,
        CASE WHEN {_STALE} THEN 'newest day is ' || coalesce(CAST(newest AS VARCHAR), 'missing') WHEN n > 0 THEN n || ' days missing, first ' || first ELSE '' END AS detail, '{case}' AS "case"
 FROM {_values([f"'{m.id}', {m.required}" for m in REGISTRY.metrics])} AS t(metric_id, required), (
@@ -390,5 +409,4 @@ SELECT day, sessions, n, {_six('m', 'weekday_median')}, CASE WHEN n > 0 AND NOT
        CASE WHEN n > 0 AND NOT (m = 0 AND mad = 0) THEN round((sessions - m) / s, 6) + 0.0 END AS robust_score FROM scaled""",
     "prose_dates": "SELECT event_id, strftime(ts, '%Y-%m-%d') AS date FROM events",
     "prose_lexicons": f"SELECT doc_id, regexp_matches(coalesce(text, ''), '(?i)\\b({CAUSAL})\\b') AS causal, regexp_matches(coalesce(text, ''), '(?i)\\b({MAGNITUDE})\\b') AS magnitude FROM documents",
-    "unresolved_inputs": "SELECT CAST(NULL AS VARCHAR) AS input, CAST(NULL AS VARCHAR) AS id WHERE FALSE",
 }

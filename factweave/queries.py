@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import uuid
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,7 +13,7 @@ from factweave.functions import dates as D
 from factweave.functions import numbers as N
 from factweave.functions import stats as S
 from factweave.operators import audit, binding, facts as FA, records as R, shortlist as SL
-from factweave.operators.tables import written
+from factweave.operators.tables import shared_folder, written
 from factweave.plans.calendar import build_plan
 from factweave.plans.run import build_factbook
 from factweave.plans.spec import shop_registry
@@ -71,14 +72,35 @@ BROKEN = {
 
 def source_dq_planted(spark, sf_dir):
     """Cells that break each rule of the source in turn."""
+    return C.source_violations(_planted_rows(spark, sf_dir), C.EVENTS)
+
+
+def _planted_rows(spark, sf_dir):
+    """Events as rows of strings, rules broken as in BROKEN."""
     k = F.col("event_id") % 40
     columns = {"date": F.substring(F.col("ts").cast("string"), 1, 10), "bucket": F.col("event_type"), "sessions": F.col("value").cast("string")}
     for name, texts in BROKEN.items():
         for place, text in texts.items():
             columns[name] = F.when(k == place, F.lit(text)).otherwise(columns[name])
-    rows = _read(spark, sf_dir, "events").select(
-        *[c.alias(n) for n, c in columns.items()], F.concat(F.lit("h"), k.cast("string")).alias("part"), F.col("user_id").cast("string").alias("orders"), F.lit("1").alias("gmv"))
-    return C.source_violations(rows, C.EVENTS)
+    return _read(spark, sf_dir, "events").select(
+        "event_id", *[c.alias(n) for n, c in columns.items()], F.concat(F.lit("h"), k.cast("string")).alias("part"), F.col("user_id").cast("string").alias("orders"), F.lit("1").alias("gmv"))
+
+
+#: Events of a written file, in their order.
+FILE_ROWS = 4000
+
+
+def source_first_offence(spark, sf_dir):
+    """Where files of events first break each rule: one file per FILE_ROWS events, some lines blank, with a field too many, or the header again."""
+    k = F.col("event_id") % 40
+    own = F.concat_ws(",", *[F.coalesce(c, F.lit("")) for c in C.EVENTS.columns])
+    line = F.when(F.col("event_id") % 1000 == 23, ",".join(C.EVENTS.columns)).when(k == 21, "").when(k == 22, F.concat(own, F.lit(",7"))).otherwise(own)
+    rows = _planted_rows(spark, sf_dir).select(F.floor(F.col("event_id") / FILE_ROWS).alias("file"), "event_id", line.alias("line"))
+    tops = rows.select("file").distinct().select("file", F.lit(-1).cast("long"), F.lit(",".join(C.EVENTS.columns)))
+    path = f"{shared_folder(spark)}/events-csv-{uuid.uuid4().hex}"
+    rows.union(tops).repartition("file").sortWithinPartitions("file", "event_id").drop("event_id").write.partitionBy("file").text(path)
+    found = C.first_offences(*C.read_cells_csv(spark, path, C.EVENTS), C.EVENTS)
+    return found.select("rule", "column", "n", F.regexp_extract("file", r"file=(\d+)/", 1).cast("long").alias("file"), "line")
 
 
 def calendar_columns(spark, sf_dir):
@@ -326,7 +348,7 @@ def unresolved_inputs(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    flagship, daily_cells, source_dq, source_dq_planted, source_summary, calendar_columns, week_totals, segment_universe, period_grid, coverage, coverage_cases, coverage_days_missing, wow,
+    flagship, daily_cells, source_dq, source_dq_planted, source_first_offence, source_summary, calendar_columns, week_totals, segment_universe, period_grid, coverage, coverage_cases, coverage_days_missing, wow,
     baseline_compare, rate_adequacy, rate_z, contribution, daily_robust, partial_slice, appeared_disappeared, facts_long, all_facts, fact_ids, display_format, shortlist,
     pack, severity, dismissal_reasons, trailing_windows, weekly_history, prose_numbers, prose_dates, prose_lexicons, claim_binding, draft_violations, provenance_closure, unresolved_inputs,
 )}

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factweave.operators.tables import written
 from factweave.plans.spec import SourceSpec
+from factweave.sources import lines
 
 #: What a label may hold, and the prefix of labels that are ours.
 LABEL = r"\A[A-Za-z0-9][A-Za-z0-9 ._:&+/-]{0,63}\z"
@@ -26,18 +28,36 @@ def stripped(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
-def read_cells_csv(spark: SparkSession, path: str, spec: SourceSpec) -> DataFrame:
-    """All columns as strings, with ``_extra`` true where a line has too many or too few fields."""
+def _named(file: str, path: str) -> str:
+    """A file as it is called below ``path``."""
+    return file.split(path.rstrip("/"), 1)[-1].lstrip("/") or file.rsplit("/", 1)[-1]
+
+
+def read_cells_csv(spark: SparkSession, path: str, spec: SourceSpec) -> tuple[DataFrame, DataFrame]:
+    """Lines of the files below ``path`` as rows, and the files' splits.
+
+    Rows hold all columns as strings, ``_extra`` (too many or too few fields),
+    ``_head`` (a header line) and the place of the line.  All files must have
+    the same columns in the same order, quoted or not; a file that has not is
+    named.  Blank lines are no rows, but count as lines.
+    """
     try:
-        head = spark.read.text(path).limit(1).collect()
+        pieces = written(lines.splits(lines.read_lines(spark, path)), "splits")
     except Exception as e:
         raise SourceError(f"{path} can't be read") from e
-    header = [h.strip() for h in head[0][0].split(",")] if head else []
+    tops = lines.headers(pieces)
+    file, header = (tops[0][0], lines.header_names(tops[0][1])) if tops else ("", ())
     if sorted(header) != sorted(spec.columns):
-        raise SourceError(f"columns must be {', '.join(spec.columns)}; found {', '.join(header) or 'none'}")
-    schema = T.StructType([T.StructField(h, T.StringType()) for h in header] + [T.StructField("_corrupt", T.StringType())])
-    rows = spark.read.schema(schema).options(header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", enforceSchema=True).csv(path)
-    return rows.withColumn("_extra", F.col("_corrupt").isNotNull()).drop("_corrupt")
+        raise SourceError(f"{_named(file, path)}: columns must be {', '.join(spec.columns)}; found {', '.join(header) or 'none'}")
+    odd = [_named(f, path) for f, line in tops if lines.header_names(line) != header]
+    if odd or len(tops) == lines.MOST_HEADERS:
+        raise SourceError(f"{', '.join(odd) or path}: columns must be {', '.join(header)}, in this order, as in {_named(file, path)}")
+    schema = ", ".join(f"`{h}` STRING" for h in (*header, "_corrupt"))
+    row = F.from_csv("value", F.lit(schema), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    head = F.col("value").isin([line for _, line in tops])
+    read = lines.read_lines(spark, path).select(row.alias("r"), head.alias("_head"), (F.trim("value") == "").alias("_blank"), *lines.PLACE)
+    rows = read.where("NOT _blank").select("r.*", "_head", *lines.PLACE)
+    return rows.withColumn("_extra", F.col("_corrupt").isNotNull()).drop("_corrupt"), pieces
 
 
 def rule_checks(spec: SourceSpec) -> list[tuple[str, str, Column]]:
@@ -67,21 +87,48 @@ def _quoted(name: str) -> str:
     return f"regexp_replace(`{name}`, '(?U)^\\\\s+|\\\\s+$', '')"
 
 
-def source_violations(rows: DataFrame, spec: SourceSpec) -> DataFrame:
-    """rule, column, n: how often each rule is broken; offending values are withheld."""
-    checks = [(r, c, cond) for r, c, cond in rule_checks(spec)]
+def _broken(rows: DataFrame, spec: SourceSpec) -> DataFrame:
+    """rule, column, n, at: how often each rule is broken and the first place (null where rows have none)."""
+    placed = set(lines.PLACE) <= set(rows.columns)
+    place = lines.place() if placed else F.lit(None).cast("string")
+    head = F.col("_head") if "_head" in rows.columns else F.lit(False)
+    checks = [(r, c, cond & ~head) for r, c, cond in rule_checks(spec)]
     if "_extra" in rows.columns:
-        checks.append(("field_count", "*", F.col("_extra")))
-    counted = rows.agg(*[F.count_if(cond).alias(f"c{i}") for i, (_, _, cond) in enumerate(checks)], F.count("*").alias("rows"))
-    cells = [F.struct(F.lit(r).alias("rule"), F.lit(c).alias("column"), F.col(f"c{i}").alias("n")) for i, (r, c, _) in enumerate(checks)]
-    cells.append(F.struct(F.lit("no_rows").alias("rule"), F.lit("*").alias("column"), (F.col("rows") == 0).cast("long").alias("n")))
+        checks.append(("field_count", "*", F.col("_extra") & ~head))
+    counted = rows.agg(
+        *[F.count_if(cond).alias(f"c{i}") for i, (_, _, cond) in enumerate(checks)], *[F.min(F.when(cond, place)).alias(f"p{i}") for i, (_, _, cond) in enumerate(checks)],
+        F.count_if(~head).alias("rows"), F.min(F.when(F.lit(False), place)).alias("nowhere"))
+    cell = lambda r, c, n, at: F.struct(F.lit(r).alias("rule"), F.lit(c).alias("column"), n.alias("n"), at.alias("at"))
+    cells = [cell(r, c, F.col(f"c{i}"), F.col(f"p{i}")) for i, (r, c, _) in enumerate(checks)]
+    cells.append(cell("no_rows", "*", (F.col("rows") == 0).cast("long"), F.col("nowhere")))
     single = counted.select(F.explode(F.array(*cells)).alias("v")).select("v.*")
-    keys = [stripped(F.col(c)) for c in (spec.date, *spec.dims)]
-    repeated = rows.groupBy(*[k.alias(f"k{i}") for i, k in enumerate(keys)]).count().where("count > 1")
-    repeated = repeated.agg(F.count("*").alias("n")).select(F.lit("duplicate_cell").alias("rule"), F.lit("*").alias("column"), "n")
+    keys = [stripped(F.col(c)).alias(f"k{i}") for i, c in enumerate((spec.date, *spec.dims))]
+    keyed, names = rows.where(~head).select(*keys, place.alias("at")), [f"k{i}" for i in range(len(keys))]
+    if placed:  # of each key the second row; each task passes on two rows a key at most
+        order = Window.partitionBy(*names).orderBy("at")
+        repeated = keyed.withColumn("turn", F.row_number().over(order)).where("turn = 2")
+    else:
+        repeated = keyed.groupBy(*names).agg(F.count("*").alias("n"), F.min("at").alias("at")).where("n > 1")
+    repeated = repeated.agg(F.count("*").alias("n"), F.min("at").alias("at")).select(F.lit("duplicate_cell").alias("rule"), F.lit("*").alias("column"), "n", "at")
     return single.unionByName(repeated).where("n > 0")
 
 
+def source_violations(rows: DataFrame, spec: SourceSpec) -> DataFrame:
+    """rule, column, n: how often each rule is broken; offending values are withheld."""
+    return _broken(rows, spec).drop("at")
+
+
+def first_offences(rows: DataFrame, pieces: DataFrame, spec: SourceSpec) -> DataFrame:
+    """rule, column, n, file, line: how often each rule is broken in files, and where first (a duplicate at its second row).
+
+    A header line that comes again in its file is an offence of its own, counted once a file.
+    """
+    again = rows.where("_head").withColumn("turn", F.row_number().over(Window.partitionBy("_file").orderBy("_block", "_at"))).where("turn = 2")
+    again = again.agg(F.count("*").alias("n"), F.min(lines.place()).alias("at")).select(F.lit("repeated_header").alias("rule"), F.lit("*").alias("column"), "n", "at")
+    found = _broken(rows, spec).unionByName(again.where("n > 0"))
+    return lines.located(found, pieces)
+
+
 def typed_cells(rows: DataFrame, spec: SourceSpec) -> DataFrame:
     """Strings that passed the rules, as day, labels and doubles."""
     return rows.select(
@@ -92,12 +139,13 @@ def typed_cells(rows: DataFrame, spec: SourceSpec) -> DataFrame:
 
 
 def load_cells(spark: SparkSession, path: str, spec: SourceSpec) -> DataFrame:
-    """Checked cells of a CSV file; raises SourceError with the rules that are broken."""
-    rows = read_cells_csv(spark, path, spec)
-    broken = source_violations(rows, spec).orderBy("rule", "column").collect()
+    """Checked cells of a CSV file or folder; raises SourceError with the rules that are broken and where first."""
+    rows, pieces = read_cells_csv(spark, path, spec)
+    broken = first_offences(rows, pieces, spec).orderBy("rule", "column").collect()
     if broken:
-        raise SourceError("; ".join(f"{v['rule']} in {v['column']}: {v['n']} rows" for v in broken))
-    return typed_cells(rows, spec)
+        where = lambda v: f", first in {_named(v['file'], path)} line {v['line']}" if v["file"] else ""
+        raise SourceError("; ".join(f"{v['rule']} in {v['column']}: {v['n']} rows{where(v)}" for v in broken))
+    return typed_cells(rows.where("NOT _head"), spec)
 
 
 def write_cells_csv(cells: DataFrame, path: str, spec: SourceSpec, *, money: str = "gmv") -> None:
