@@ -57,7 +57,7 @@ def grid_sums(sums: DataFrame, universe: DataFrame, spec: SourceSpec, plan: Repo
     )
 
 
-def _record(metric: Metric, place: int):
+def metric_record(metric: Metric, place: int):
     """Struct of one metric's record from a row of sums: null without exposure, never zero."""
     top = F.col(metric.numerator_field)
     bottom = F.col(metric.denominator_field) if metric.is_ratio else F.lit(None).cast("double")
@@ -76,7 +76,7 @@ def records(cells: DataFrame, registry: Registry, spec: SourceSpec, plan: Report
     registry.check(spec)
     segments = day_segments(cells, spec, plan)
     grid = grid_sums(period_sums(segments, spec, plan), segment_universe(segments), spec, plan)
-    each = F.explode(F.array(*[_record(m, i) for i, m in enumerate(registry.metrics)]))
+    each = F.explode(F.array(*[metric_record(m, i) for i, m in enumerate(registry.metrics)]))
     keep = F.array_contains("m.cuts", F.coalesce("cut_dim", F.lit("")))
     return grid.select("*", each.alias("m")).where(keep).select(
         "m.metric_ord", "m.metric_id", "m.metric_type", "m.statistic", F.when(F.col("cut_dim").isNull(), OVERALL).otherwise("cut").alias("grain"),
