@@ -10,8 +10,8 @@ moments of this map over the training rows only: each task sums them.
 Scoring is two matrix products a batch: presence (sparse) by landmarks, and that by weights.
 
 What is bounded, by documented parameters: ``landmarks`` in all, shared evenly by
-the languages (one each at least), and the training rows (``rows_each`` per
-language, those of the least seeded hashes among all).  Every text is read
+the languages (one each at least), and the training rows (about ``rows_each``
+per language, drawn among all by a seeded hash).  Every text is read
 whole, in buffers of bounded size.
 
 Defined results: null texts, and texts without a letter, are ``und`` with score
@@ -117,21 +117,21 @@ def _texts(batch: pa.RecordBatch, column: int) -> list[str | None]:
 
 
 def training_rows(docs: DataFrame, rows_each: int, seed: int) -> DataFrame:
-    """Of each language the ``rows_each`` training rows of least hashes: language, draw, text; written.
+    """Of each language about ``rows_each`` training rows, those whose seeded hash lies in its share: language, draw, text; written.
 
-    The cutoffs come from a group limit on (language, hash) that each task
-    applies before the shuffle; one row a language reaches the driver, and no
-    text is shuffled but the sample's.  Rows of one id count as one.
+    The share is ``rows_each`` over the language's exact number of training
+    rows, so a language of no more gives all of them.  One count a language
+    reaches the driver, and no text is shuffled but the sample's.  Rows of one id count as one.
     """
-    draw = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    draw = F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 40))
     usable = ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull()
     rows = docs.where(usable).select(F.col("lang").alias("language"), draw.alias("draw"), F.col("text").cast("string").alias("text"))
-    ranked = rows.select("language", "draw").withColumn("place", F.row_number().over(Window.partitionBy("language").orderBy("draw")))
-    last = ranked.where(F.col("place") <= rows_each).groupBy("language").agg(F.max("draw").alias("last")).collect()
-    if not last:
+    counts = rows.groupBy("language").count().collect()
+    if not counts:
         return rows.limit(0)
-    cutoffs = F.broadcast(docs.sparkSession.createDataFrame(last, "language string, last long"))  # a row per language
-    return written(rows.join(cutoffs, "language").where(F.col("draw") <= F.col("last")).drop("last").dropDuplicates(["language", "draw"]), "training")
+    shares = [(r["language"], -(-(rows_each << 40) // max(rows_each, r["count"]))) for r in counts]
+    cutoffs = F.broadcast(docs.sparkSession.createDataFrame(shares, "language string, cutoff long"))  # a row per language
+    return written(rows.join(cutoffs, "language").where(F.col("draw") < F.col("cutoff")).drop("cutoff").dropDuplicates(["language", "draw"]), "training")
 
 
 def learn(
