@@ -8,7 +8,7 @@ from datetime import timedelta
 from factweave.operators.binding import CAUSAL, MAGNITUDE, MARKUP, REASONS, SEVERITIES
 from factweave.operators.facts import LABELS
 from factweave.plans.calendar import SUNDAY, ReportPlan
-from factweave.queries import BROKEN, EVENT_PLAN, FILE_ROWS, GAPS, LONG_PLAN, PLAN, PLANTED, REGISTRY
+from factweave.queries import BROKEN, EVENT_PLAN, FILE_ROWS, GAPS, HALF, HISTORY, LONG_PLAN, PLAN, PLANTED, REGISTRY
 
 
 def _day(d) -> str:
@@ -410,3 +410,82 @@ SELECT day, sessions, n, {_six('m', 'weekday_median')}, CASE WHEN n > 0 AND NOT
     "prose_dates": "SELECT event_id, strftime(ts, '%Y-%m-%d') AS date FROM events",
     "prose_lexicons": f"SELECT doc_id, regexp_matches(coalesce(text, ''), '(?i)\\b({CAUSAL})\\b') AS causal, regexp_matches(coalesce(text, ''), '(?i)\\b({MAGNITUDE})\\b') AS magnitude FROM documents",
 }
+
+
+_BASELINE = """count(value) OVER w AS n, avg(value) OVER w AS mean,
+  CASE WHEN count(value) OVER w > 1 THEN CASE WHEN max(value) OVER w = min(value) OVER w THEN 0 ELSE stddev_samp(value) OVER w END END AS sd"""
+_SUMS = ", ".join(f"CAST(sum({m}) AS DOUBLE) AS {m}" for m in ("sessions", "orders", "gmv"))
+_RECORDS = lambda table: " UNION ALL ".join(_metric(i, m).replace("FROM grid", f"FROM {table}") for i, m in enumerate(REGISTRY.metrics))
+
+_GRID = f"""WITH {_CELLS}, sums AS (
+  SELECT day, region, priority, grouping(region) AS g1, grouping(priority) AS g2, sum(CAST(sessions AS DECIMAL(30,6))) AS sessions, sum(CAST(orders AS DECIMAL(30,6))) AS orders, sum(CAST(gmv AS DECIMAL(30,6))) AS gmv
+  FROM cells WHERE day BETWEEN {_day(HISTORY.reach[0])} AND {_day(HISTORY.reach[1])} GROUP BY GROUPING SETS ((day), (day, region), (day, priority))
+), seg AS (
+  SELECT day, CASE WHEN g1 = 0 THEN 'region' WHEN g2 = 0 THEN 'priority' END AS cut_dim, CASE WHEN g1 = 0 THEN region WHEN g2 = 0 THEN priority END AS cut_value,
+         CASE WHEN g1 = 0 THEN 'region=' || region WHEN g2 = 0 THEN 'priority=' || priority ELSE 'overall' END AS cut, sessions, orders, gmv FROM sums
+), dense AS (
+  SELECT u.cut, u.cut_dim, u.cut_value, d.day, d.day - CAST(dayofweek(d.day) AS INT) AS week, s.cut IS NULL AS filled, coalesce(s.sessions, 0) AS sessions, coalesce(s.orders, 0) AS orders, coalesce(s.gmv, 0) AS gmv
+  FROM (SELECT DISTINCT cut, cut_dim, cut_value FROM seg) u
+  CROSS JOIN (SELECT CAST(unnest(generate_series({_day(HISTORY.reach[0])}, {_day(HISTORY.reach[1])}, INTERVAL 1 DAY)) AS DATE) AS day) d LEFT JOIN seg s ON s.cut = u.cut AND s.day = d.day
+), seen AS (
+  SELECT *, max(CASE WHEN NOT filled THEN day END) OVER (PARTITION BY cut ORDER BY day) AS last_seen FROM dense
+), planned AS (
+  SELECT cut, week FROM seen GROUP BY ALL HAVING max(last_seen) >= week - {HISTORY.back} AND week + 7 BETWEEN {_day(HISTORY.first)} AND {_day(HISTORY.last)}
+)"""
+
+_HISTORY_WEEKS = f"""{_GRID}, week_grid AS (
+  SELECT cut, cut_dim, cut_value, week AS label, bool_and(filled) AS filled, {_SUMS} FROM dense GROUP BY ALL
+), rec AS ({_RECORDS("week_grid")}), based AS (
+  SELECT *, lag(value) OVER s AS prior, lag(numerator) OVER s AS prior_num, lag(denominator) OVER s AS prior_den, {_BASELINE} FROM rec
+  WINDOW s AS (PARTITION BY metric_id, cut ORDER BY label), w AS (PARTITION BY metric_id, cut ORDER BY label ROWS BETWEEN {HISTORY.weeks_back} PRECEDING AND 1 PRECEDING)
+), week AS (
+  SELECT b.*, label + 7 AS as_of, value - prior AS wow_delta, (value - prior) / nullif(abs(prior), 0) * 100 AS wow_pct, (value - mean) / nullif(abs(mean), 0) * 100 AS pct, (value - mean) / nullif(sd, 0) AS z,
+         {_BASE_FLAGS.format(value="value")} AS base_flags, (numerator + prior_num) / nullif(denominator + prior_den, 0) AS pooled,
+         CASE WHEN statistic = 'rate' THEN CASE WHEN denominator <= 0 THEN 'no_exposure' ELSE concat_ws(',', CASE WHEN denominator < 30 THEN 'small_denominator' END,
+              CASE WHEN least(numerator, denominator - numerator) < 5 THEN 'small_cell' END) END ELSE '' END AS adequacy
+  FROM based b JOIN planned p ON p.cut = b.cut AND p.week = b.label
+), weeks AS (
+  SELECT w.*, CASE WHEN w.cut_dim IS NOT NULL AND w.statistic IN ('count', 'sum') THEN w.wow_delta / nullif(o.wow_delta, 0) * 100 END AS share,
+         CASE WHEN w.statistic = 'rate' AND w.denominator > 0 AND w.prior_den > 0 AND w.pooled > 0 AND w.pooled < 1
+              THEN (w.numerator / w.denominator - w.prior_num / w.prior_den) / sqrt(w.pooled * (1 - w.pooled) * (1 / w.denominator + 1 / w.prior_den)) END AS rate_z
+  FROM week w LEFT JOIN week o ON o.metric_id = w.metric_id AND o.label = w.label AND o.cut = 'overall'
+)"""
+_SCALED = _SHOP.days[_SHOP.days.index("scaled AS (") :]
+_HISTORY_DAYS = f"""day_grid AS (
+  SELECT cut, cut_dim, cut_value, day AS label, filled, {_SUMS.replace("sum(", "(")} FROM dense
+), day_rec AS ({_RECORDS("day_grid")}), day_base AS (
+  SELECT *, count(value) OVER w AS n, median(value) OVER w AS m, mad(value) OVER w AS mad FROM day_rec
+  WINDOW w AS (PARTITION BY metric_id, cut, dayofweek(label) ORDER BY label ROWS BETWEEN {HISTORY.days_back} PRECEDING AND 1 PRECEDING)
+), sized_days AS (
+  SELECT d.*, week + 7 AS as_of, m = 0 AND mad = 0 AS zero, mad * 1.4826 AS wide, CASE WHEN metric_type = 'count' THEN sqrt(greatest(m, 1)) ELSE abs(m) * 0.01 END AS floor
+  FROM day_base d JOIN planned p ON p.cut = d.cut AND p.week = label - CAST(dayofweek(label) AS INT)
+), {_SCALED}"""
+_HISTORY_RUNNING = f"""part_grid AS (
+  SELECT cut, cut_dim, cut_value, day AS label, bool_and(filled) OVER w AS filled, {", ".join(f"CAST(sum({m}) OVER w AS DOUBLE) AS {m}" for m in ("sessions", "orders", "gmv"))}
+  FROM dense WINDOW w AS (PARTITION BY cut, week ORDER BY day)
+), part_rec AS ({_RECORDS("part_grid")}), part_base AS (
+  SELECT *, {_BASELINE} FROM part_rec WINDOW w AS (PARTITION BY metric_id, cut, dayofweek(label) ORDER BY label ROWS BETWEEN {HISTORY.weeks_back} PRECEDING AND 1 PRECEDING)
+), running AS (
+  SELECT b.*, label + 1 AS as_of, (value - mean) / nullif(abs(mean), 0) * 100 AS pct, {_BASE_FLAGS.format(value="value")} AS base_flags FROM part_base b JOIN seen s ON s.cut = b.cut AND s.day = b.label
+  WHERE dayofweek(label) < 6 AND last_seen >= week - {7 + HISTORY.back} AND label + 1 BETWEEN {_day(HISTORY.first)} AND {_day(HISTORY.last)}
+)"""
+_POINTS = "CASE unit WHEN 'percent' THEN 'pp' ELSE unit END"
+_TOLD = " UNION ALL ".join(
+    [f"SELECT as_of, '{k}' AS k, {u} AS unit, metric_id || cut || label AS id, {v} AS v FROM weeks WHERE {c}" for k, u, v, c in (
+        ("value", "unit", "value", "TRUE"), ("n_obs", "'count'", "n_obs", "TRUE"), ("wow_delta", _POINTS, "wow_delta", "TRUE"), ("wow_pct", "'percent'", "wow_pct", "TRUE"), ("baseline_mean", "unit", "mean", "TRUE"),
+        ("vs_baseline_pct", "'percent'", "pct", "TRUE"), ("screening_z", "'score'", "z", "TRUE"), ("numerator", "'count'", "numerator", "statistic IN ('rate', 'mean')"),
+        ("denominator", "'count'", "denominator", "statistic IN ('rate', 'mean')"), ("rate_z", "'score'", "rate_z", "statistic = 'rate'"),
+        ("contribution_share_pct", "'percent'", "share", "cut_dim IS NOT NULL AND statistic NOT IN ('rate', 'mean')"))]
+    + [f"SELECT as_of, '{k}', {u}, metric_id || cut || label || 'd', {v} FROM scaled" for k, u, v in (
+        ("value", "unit", "value"), ("weekday_median", "unit", "m"), ("robust_scale", "unit", "scale"), ("robust_score", "'score'", "score"))]
+    + [f"SELECT as_of, '{k}', {u}, metric_id || cut || label || 'p', {v} FROM running" for k, u, v in (("value", "unit", "value"), ("slice_baseline_mean", "unit", "mean"), ("vs_slice_pct", "'percent'", "pct"))])
+
+ORACLE_SQL |= {
+    "history_weeks": f"""{_HISTORY_WEEKS} SELECT as_of, metric_id, cut, {_six('value', 'value')}, {_six('wow_delta', 'wow_delta')}, {_six('wow_pct', 'wow_pct')}, {_six('mean', 'baseline_mean')},
+ {_six('pct', 'vs_baseline_pct')}, {_six('z', 'screening_z')}, {_six('rate_z', 'rate_z')}, {_six('share', 'contribution_share_pct')}, flags, base_flags, adequacy FROM weeks""",
+    "history_days": f"""{_GRID}, {_HISTORY_DAYS} SELECT as_of, metric_id, cut, label AS day, {_six('value', 'value')}, {_six('m', 'weekday_median')}, round(scale, 1) + 0.0 AS robust_scale, {_six('score', 'robust_score')},
+ flags, day_flags AS score_flags FROM scaled""",
+    "history_running": f"{_GRID}, {_HISTORY_RUNNING} SELECT as_of, metric_id, cut, {_six('value', 'value')}, {_six('mean', 'slice_baseline_mean')}, {_six('pct', 'vs_slice_pct')}, base_flags FROM running",
+    "history_facts": f"""{_HISTORY_WEEKS}, {_HISTORY_DAYS}, {_HISTORY_RUNNING}, told AS ({_TOLD})
+SELECT as_of, k AS statistic_key, unit, count(*) AS n, count(v) AS n_value, count(DISTINCT id) AS n_ids, round(CAST(sum(CAST(round(v, 8) AS DECIMAL(38,8))) AS DOUBLE) + {HALF}, 2) + 0.0 AS total FROM told GROUP BY ALL""",
+}

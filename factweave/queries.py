@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from factweave.functions import dates as D
 from factweave.functions import numbers as N
 from factweave.functions import stats as S
-from factweave.operators import audit, binding, facts as FA, records as R, shortlist as SL
+from factweave.operators import audit, binding, facts as FA, history as H, records as R, shortlist as SL
 from factweave.operators.tables import shared_folder, written
 from factweave.plans.calendar import build_plan
 from factweave.plans.run import build_factbook
@@ -263,6 +263,47 @@ def weekly_history(spark, sf_dir):
     return weeks.select("week", "sessions", "orders", S.delta(F.col("sessions"), prior).alias("wow_delta"), _six(S.pct_change(F.col("sessions"), prior), "wow_pct"), _six(base, "baseline_mean"))
 
 
+#: Reports of every day that the orders' dates allow.
+HISTORY = H.Stretch(date(1992, 5, 3), date(1998, 8, 9))
+#: Keeps totals off the halves at which rounding hangs on the last bit.
+HALF = 0.0012345
+
+
+def _history(spark, sf_dir):
+    return H.history(C.cells_from_orders(spark, sf_dir), REGISTRY, C.ORDERS, HISTORY)
+
+
+def history_weeks(spark, sf_dir):
+    """Every Sunday's weekly statistics of all series."""
+    b = F.col("base")
+    return _history(spark, sf_dir).weeks.select(
+        "as_of", "metric_id", "cut", _six(F.col("value"), "value"), _six(F.col("wow_delta"), "wow_delta"), _six(F.col("wow_pct"), "wow_pct"), _six(b["mean"], "baseline_mean"),
+        _six(b["pct"], "vs_baseline_pct"), _six(b["z"], "screening_z"), _six(F.col("rate_z"), "rate_z"), _six(F.col("share"), "contribution_share_pct"),
+        F.concat_ws(",", "flags").alias("flags"), F.concat_ws(",", b["flags"]).alias("base_flags"), F.concat_ws(",", "adequacy").alias("adequacy"))
+
+
+def history_days(spark, sf_dir):
+    """Every day of every reviewed week against its eight prior same weekdays."""
+    r = F.col("robust")
+    return _history(spark, sf_dir).days.select(
+        "as_of", "metric_id", "cut", "day", _six(F.col("value"), "value"), _six(r["median"], "weekday_median"), F.round(r["scale"], 1).alias("robust_scale"), _six(r["score"], "robust_score"),
+        F.concat_ws(",", "flags").alias("flags"), F.concat_ws(",", r["flags"]).alias("score_flags"))
+
+
+def history_running(spark, sf_dir):
+    """The running week of every day that is no Sunday, against the same slice of four prior weeks."""
+    b = F.col("base")
+    return _history(spark, sf_dir).running.select(
+        "as_of", "metric_id", "cut", _six(F.col("value"), "value"), _six(b["mean"], "slice_baseline_mean"), _six(b["pct"], "vs_slice_pct"), F.concat_ws(",", b["flags"]).alias("base_flags"))
+
+
+def history_facts(spark, sf_dir):
+    """All facts of all reports, by report and statistic."""
+    f = H.history_facts(_history(spark, sf_dir), REGISTRY).withColumn("statistic_key", F.element_at(F.split("id", "/"), -1))
+    return f.groupBy("as_of", "statistic_key", "unit").agg(
+        F.count("*").alias("n"), F.count("value").alias("n_value"), F.countDistinct("id").alias("n_ids"), (F.round(F.sum(F.round("value", 8).cast("decimal(38,8)")).cast("double") + HALF, 2) + F.lit(0.0)).alias("total"))
+
+
 def prose_numbers(spark, sf_dir):
     """Figures in documents."""
     tokens = _read(spark, sf_dir, "documents").select("doc_id", F.explode(N.figures(F.col("text"))).alias("t"))
@@ -350,5 +391,5 @@ def unresolved_inputs(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     flagship, daily_cells, source_dq, source_dq_planted, source_first_offence, source_summary, calendar_columns, week_totals, segment_universe, period_grid, coverage, coverage_cases, coverage_days_missing, wow,
     baseline_compare, rate_adequacy, rate_z, contribution, daily_robust, partial_slice, appeared_disappeared, facts_long, all_facts, fact_ids, display_format, shortlist,
-    pack, severity, dismissal_reasons, trailing_windows, weekly_history, prose_numbers, prose_dates, prose_lexicons, claim_binding, draft_violations, provenance_closure, unresolved_inputs,
+    pack, severity, dismissal_reasons, trailing_windows, weekly_history, history_weeks, history_days, history_running, history_facts, prose_numbers, prose_dates, prose_lexicons, claim_binding, draft_violations, provenance_closure, unresolved_inputs,
 )}
