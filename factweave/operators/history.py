@@ -25,6 +25,8 @@ from factweave.functions import numbers as N
 from factweave.functions import stats as S
 from factweave.operators.facts import PCT_PRECISION, SCORE_PRECISION
 from factweave.operators.records import day_segments, metric_record
+from factweave.operators.shortlist import listed, size_of
+from factweave.operators.stories import DAY_NEWS
 from factweave.operators.tables import written
 from factweave.plans.calendar import COMPLETE, DAILY, PARTIAL
 from factweave.plans.spec import Registry, SourceSpec
@@ -103,13 +105,14 @@ def history(cells: DataFrame, registry: Registry, spec: SourceSpec, stretch: Str
         F.min("filled").alias("filled"), F.max("last_seen").alias("last_seen"), *[F.sum(m).cast("double").alias(m) for m in measures])
     series = Window.partitionBy("cut", "metric_id").orderBy("week")
     rows = _by_metric(weekly, registry, ("week", "last_seen", "filled")).withColumn("prior", F.lag(F.struct("value", "numerator", "denominator")).over(series))
-    rows = rows.withColumn("before", _before(series.rowsBetween(-stretch.weeks_back, -1)))
+    frame = series.rowsBetween(-stretch.weeks_back, -1)
+    rows = rows.withColumn("before", _before(frame)).withColumn("fresh", ~F.col("filled") & F.coalesce(F.min("filled").over(frame), F.lit(False)))
     value, prior, rate = F.col("value"), F.col("prior"), F.col("statistic") == "rate"
     as_of = F.date_add("week", 7)
     planned = (F.col("last_seen") >= F.date_sub("week", stretch.back)) & as_of.between(first, last)
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     weeks = rows.where(planned).select(
-        as_of.alias("as_of"), "metric_id", "statistic", "cut", "cut_dim", "week", "value", "n_obs", "numerator", "denominator", "flags", "before",
+        as_of.alias("as_of"), "metric_id", "statistic", "cut", "cut_dim", "cut_value", "week", "value", "n_obs", "numerator", "denominator", "flags", F.col("filled").alias("disappeared"), F.col("fresh").alias("newly_appeared"),
         S.delta(value, prior["value"]).alias("wow_delta"), S.pct_change(value, prior["value"]).alias("wow_pct"), S.compare_to_baseline(value, F.col("before")).alias("base"),
         F.when(rate, S.rate_adequacy_flags(F.col("numerator"), zero(F.col("denominator")))).otherwise(F.array().cast(S.NO_FLAGS)).alias("adequacy"),
         F.when(rate, S.two_proportion_z(F.col("numerator"), zero(F.col("denominator")), prior["numerator"], zero(prior["denominator"]))).alias("rate_z"))
@@ -136,6 +139,21 @@ def history(cells: DataFrame, registry: Registry, spec: SourceSpec, stretch: Str
     return History(joined.withColumn("share", share).drop("overall_delta"), days, running)
 
 
+def history_shortlist(found: History, registry: Registry) -> DataFrame:
+    """The shortlist of every Sunday's report: as_of, rank, metric_id, cut, channels, and what ``stories`` asks of a series."""
+    ratio = F.col("statistic").isin("rate", "mean")
+    places = F.create_map(*[x for i, m in enumerate(registry.metrics) for x in (F.lit(m.id), F.lit(i))])
+    rows = found.weeks.select(
+        "as_of", F.element_at(places, F.col("metric_id")).alias("metric_ord"), "metric_id", "cut", "cut_dim", "cut_value", ratio.alias("is_ratio"), size_of(F.col("base.z")).alias("z"),
+        size_of(F.when(ratio, F.col("wow_pct")).otherwise(F.col("share"))).alias("impact"), "disappeared", "newly_appeared",
+        "value", "wow_pct", F.col("base.z").alias("week_z"), "flags")
+    chosen = listed(written(rows, "sizes"), registry, ("as_of",))
+    day = F.when(F.abs("robust.score") >= DAY_NEWS, F.struct(F.abs("robust.score").alias("size"), "day", "robust.score"))
+    days = found.days.groupBy("as_of", "metric_id", "cut").agg(F.max(day).alias("extreme"))
+    return chosen.join(days, ["as_of", "metric_id", "cut"], "left").select(
+        "as_of", "rank", "metric_id", "cut", "channels", "value", "wow_pct", F.col("week_z").alias("z"), "flags", "extreme.day", "extreme.score")
+
+
 def history_facts(found: History, registry: Registry) -> DataFrame:
     """The facts of each report's own periods: as_of, id, value, unit, display_precision, display, flags.
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factweave.operators.facts import fact_id
+from factweave.operators.tables import written
 from factweave.plans.calendar import ReportPlan
 from factweave.plans.spec import Registry
 
@@ -35,38 +36,47 @@ def pack_ids(plan: ReportPlan):
     return F.array_distinct(F.concat(F.array_compact(F.array(*ids)), daily))
 
 
-def shortlist(wide: DataFrame, registry: Registry, plan: ReportPlan) -> DataFrame:
-    """rank, metric_id, cut, channels, fact_ids: totals, and of each dimension up to four series by several channels.
+def listed(rows: DataFrame, registry: Registry, by: tuple[str, ...] = ()) -> DataFrame:
+    """Of each report (columns ``by``): totals, and of each dimension up to four series by several channels, ranked.
 
-    Windows rank within (metric, dimension); the last one numbers the at most
-    (1 + 4 * dimensions) rows a metric has.
+    ``rows`` has metric_ord, metric_id, cut, cut_dim, cut_value, is_ratio, z and
+    impact (sizes, 0 if unknown), disappeared, newly_appeared; other columns
+    travel along.  Each channel takes its best by a filter of its own, so
+    tasks hand on two rows of a dimension, not all of its segments.
     """
-    zero = lambda c: F.coalesce(F.abs(c), F.lit(0.0))
-    rows = wide.select(
-        "*", zero(F.col("week.base.z")).alias("z"), zero(F.when(F.col("is_ratio"), F.col("week.wow_pct")).otherwise(F.col("share"))).alias("impact"),
-        pack_ids(plan).alias("fact_ids"),
-    ).select("metric_ord", "metric_id", "cut", "cut_dim", "cut_value", "is_ratio", "z", "impact", "week.disappeared", "week.newly_appeared", "fact_ids")
-    within = Window.partitionBy("metric_id", "cut_dim")
-    cuts = rows.where(F.col("cut_dim").isNotNull()).select(
-        "*", F.row_number().over(within.orderBy(F.desc("z"), "cut_value")).alias("z_place"),
-        F.row_number().over(within.orderBy(F.desc("impact"), "cut_value")).alias("impact_place"),
-    )
-    channel = lambda cond, name: F.when(cond, name)
-    chosen = F.array_sort(F.array_compact(F.array(
-        channel((F.col("z_place") <= PER_CHANNEL) & (F.col("z") > 0), F.lit("screening_z")),
-        channel((F.col("impact_place") <= PER_CHANNEL) & (F.col("impact") > 0), F.when(F.col("is_ratio"), "wow_pct").otherwise("contribution_share_pct")),
-        channel(F.col("disappeared"), F.lit("disappeared")), channel(~F.col("disappeared") & F.col("newly_appeared"), F.lit("newly_appeared")),
-    )))
-    cuts = cuts.withColumn("channels", chosen).where(F.size("channels") > 0)
-    cuts = cuts.withColumn("place", F.row_number().over(within.orderBy(F.desc(F.size("channels")), F.desc("z"), "cut_value"))).where(F.col("place") <= PER_DIMENSION)
+    own = [c for c in rows.columns]
+    keys = (*by, "metric_id", "cut")
+    cuts = rows.where(F.col("cut_dim").isNotNull())
+    within = Window.partitionBy(*by, "metric_id", "cut_dim")
+
+    def best(size: str, channel) -> DataFrame:
+        placed = cuts.where(F.col(size) > 0).withColumn("turn", F.row_number().over(within.orderBy(F.desc(size), "cut_value")))
+        return placed.where(F.col("turn") <= PER_CHANNEL).select(*own, channel.alias("channel"))
+
+    moved = F.when(F.col("disappeared"), "disappeared").when(F.col("newly_appeared"), "newly_appeared")
+    branches = best("z", F.lit("screening_z")).unionAll(best("impact", F.when(F.col("is_ratio"), "wow_pct").otherwise("contribution_share_pct")))
+    branches = branches.unionAll(cuts.where("disappeared OR newly_appeared").select(*own, moved.alias("channel")))
+    merged = branches.groupBy(*keys).agg(F.array_sort(F.collect_list("channel")).alias("channels"), F.first(F.struct(*[c for c in own if c not in keys])).alias("own")).select(*keys, "own.*", "channels")
+    placed = merged.withColumn("place", F.row_number().over(within.orderBy(F.desc(F.size("channels")), F.desc("z"), "cut_value"))).where(F.col("place") <= PER_DIMENSION)
     totals = rows.where(F.col("cut_dim").isNull()).withColumn("channels", F.array(F.lit("overall"))).withColumn("place", F.lit(0))
-    columns = ("metric_ord", "metric_id", "cut", "cut_dim", "cut_value", "channels", "place", "fact_ids")
-    both = totals.select(*columns).unionByName(cuts.select(*columns))
+    both = totals.unionByName(placed)
     dims = F.create_map(*[x for m in registry.metrics for i, d in enumerate(m.cuts) for x in (F.lit(f"{m.id}/{d}"), F.lit(i + 1))]) if any(m.cuts for m in registry.metrics) else None
     dim_ord = F.coalesce(F.try_element_at(dims, F.concat_ws("/", "metric_id", "cut_dim")), F.lit(0)) if dims is not None else F.lit(0)
-    both = both.withColumn("dim_ord", F.when(F.col("cut_dim").isNull(), 0).otherwise(dim_ord))
-    rank = F.row_number().over(Window.orderBy("metric_ord", "dim_ord", "place"))
-    return both.select(rank.alias("rank"), "metric_id", "cut", "cut_dim", "cut_value", "channels", "fact_ids")
+    order = Window.partitionBy(*by).orderBy("metric_ord", F.when(F.col("cut_dim").isNull(), 0).otherwise(dim_ord), "place")
+    return both.withColumn("rank", F.row_number().over(order)).drop("place")
+
+
+def size_of(c):
+    return F.coalesce(F.abs(c), F.lit(0.0))
+
+
+def shortlist(wide: DataFrame, registry: Registry, plan: ReportPlan) -> DataFrame:
+    """rank, metric_id, cut, channels, fact_ids of one report; see ``listed``."""
+    rows = written(wide.select(
+        "metric_ord", "metric_id", "cut", "cut_dim", "cut_value", "is_ratio", size_of(F.col("week.base.z")).alias("z"),
+        size_of(F.when(F.col("is_ratio"), F.col("week.wow_pct")).otherwise(F.col("share"))).alias("impact"), "week.disappeared", "week.newly_appeared", pack_ids(plan).alias("fact_ids"),
+    ), "sizes")
+    return listed(rows, registry).select("rank", "metric_id", "cut", "cut_dim", "cut_value", "channels", "fact_ids")
 
 
 def pack(facts: DataFrame, chosen: DataFrame) -> DataFrame:

@@ -436,7 +436,7 @@ _GRID = f"""WITH {_CELLS}, sums AS (
 _HISTORY_WEEKS = f"""{_GRID}, week_grid AS (
   SELECT cut, cut_dim, cut_value, week AS label, bool_and(filled) AS filled, {_SUMS} FROM dense GROUP BY ALL
 ), rec AS ({_RECORDS("week_grid")}), based AS (
-  SELECT *, lag(value) OVER s AS prior, lag(numerator) OVER s AS prior_num, lag(denominator) OVER s AS prior_den, {_BASELINE} FROM rec
+  SELECT *, lag(value) OVER s AS prior, lag(numerator) OVER s AS prior_num, lag(denominator) OVER s AS prior_den, bool_and(filled) OVER w AS all_filled, {_BASELINE} FROM rec
   WINDOW s AS (PARTITION BY metric_id, cut ORDER BY label), w AS (PARTITION BY metric_id, cut ORDER BY label ROWS BETWEEN {HISTORY.weeks_back} PRECEDING AND 1 PRECEDING)
 ), week AS (
   SELECT b.*, label + 7 AS as_of, value - prior AS wow_delta, (value - prior) / nullif(abs(prior), 0) * 100 AS wow_pct, (value - mean) / nullif(abs(mean), 0) * 100 AS pct, (value - mean) / nullif(sd, 0) AS z,
@@ -488,4 +488,43 @@ ORACLE_SQL |= {
     "history_running": f"{_GRID}, {_HISTORY_RUNNING} SELECT as_of, metric_id, cut, {_six('value', 'value')}, {_six('mean', 'slice_baseline_mean')}, {_six('pct', 'vs_slice_pct')}, base_flags FROM running",
     "history_facts": f"""{_HISTORY_WEEKS}, {_HISTORY_DAYS}, {_HISTORY_RUNNING}, told AS ({_TOLD})
 SELECT as_of, k AS statistic_key, unit, count(*) AS n, count(v) AS n_value, count(DISTINCT id) AS n_ids, round(CAST(sum(CAST(round(v, 8) AS DECIMAL(38,8))) AS DOUBLE) + {HALF}, 2) + 0.0 AS total FROM told GROUP BY ALL""",
+    "story_selection": f"""{_HISTORY_WEEKS.replace("WITH", "WITH RECURSIVE", 1)}, {_HISTORY_DAYS}, sized AS (
+  SELECT w.*, coalesce(abs(z), 0) AS az, coalesce(abs(CASE WHEN statistic IN ('rate', 'mean') THEN wow_pct ELSE share END), 0) AS impact, filled AS gone,
+         NOT filled AND all_filled AS fresh FROM weeks w
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY as_of, metric_id, cut_dim ORDER BY az DESC, cut) AS zp, row_number() OVER (PARTITION BY as_of, metric_id, cut_dim ORDER BY impact DESC, cut) AS ip FROM sized WHERE cut_dim IS NOT NULL
+), chosen AS (
+  SELECT *, concat_ws(',', CASE WHEN ip <= 2 AND impact > 0 AND statistic IN ('count', 'sum') THEN 'contribution_share_pct' END, CASE WHEN gone THEN 'disappeared' END,
+            CASE WHEN fresh AND NOT gone THEN 'newly_appeared' END, CASE WHEN zp <= 2 AND az > 0 THEN 'screening_z' END,
+            CASE WHEN ip <= 2 AND impact > 0 AND statistic IN ('rate', 'mean') THEN 'wow_pct' END) AS channels FROM placed
+), kept AS (
+  SELECT *, row_number() OVER (PARTITION BY as_of, metric_id, cut_dim ORDER BY length(channels) - length(replace(channels, ',', '')) DESC, az DESC, cut) AS place FROM chosen WHERE channels <> ''
+), in_order AS (
+  SELECT as_of, metric_ord, 0 AS dim_ord, 0 AS place, metric_id, cut, 'overall' AS channels, value, wow_pct, z, flags FROM sized WHERE cut = 'overall'
+  UNION ALL SELECT as_of, metric_ord, CASE cut_dim WHEN 'region' THEN 1 ELSE 2 END, place, metric_id, cut, channels, value, wow_pct, z, flags FROM kept WHERE place <= 4
+), extreme AS (
+  SELECT as_of, metric_id, cut, arg_max(label, abs(score)) AS day, max(abs(score)) AS size FROM scaled WHERE abs(score) >= 6 GROUP BY ALL
+), listed AS (
+  SELECT o.*, e.day AS news_day, e.size, CAST(row_number() OVER (PARTITION BY as_of ORDER BY metric_ord, dim_ord, place) AS INT) AS rank FROM in_order o LEFT JOIN extreme e USING (as_of, metric_id, cut)
+), told_as AS (
+  SELECT *, CASE WHEN channels LIKE '%disappeared%' AND value IS NOT NULL THEN 'disappeared' WHEN channels LIKE '%newly_appeared%' AND value IS NOT NULL THEN 'newly_appeared' WHEN size IS NOT NULL THEN 'daily'
+                 WHEN abs(wow_pct) >= 3 AND (coalesce(abs(z), 0) >= 2.5 OR abs(wow_pct) >= 8) THEN 'weekly' END AS kind FROM listed
+), weighed AS (
+  SELECT *, CASE kind WHEN 'daily' THEN news_day END AS day, CASE kind WHEN 'disappeared' THEN 1000 WHEN 'newly_appeared' THEN 900 WHEN 'daily' THEN size ELSE 20 + greatest(coalesce(abs(z), 0), abs(wow_pct) / 2) END AS weight,
+         CASE WHEN kind IN ('disappeared', 'daily') THEN 'high' WHEN kind = 'newly_appeared' THEN 'medium' WHEN kind = 'weekly' THEN
+           CASE WHEN abs(wow_pct) >= 20 OR coalesce(abs(z) >= 3, FALSE) THEN 'high' WHEN abs(wow_pct) >= 8 OR coalesce(abs(z) >= 2, FALSE) THEN 'medium' ELSE 'low' END END AS severity,
+         CASE WHEN flags LIKE '%no_exposure%' THEN 'data-quality' WHEN abs(wow_pct) < 8 THEN 'within-baseline-variation' ELSE 'small-absolute-impact' END AS reason FROM told_as
+), queue AS (
+  SELECT *, row_number() OVER (PARTITION BY as_of ORDER BY weight DESC, rank) AS turn FROM weighed WHERE kind IS NOT NULL
+), walk(as_of, turn, metrics, cuts, dates, n, outcome, place) AS (
+  SELECT DISTINCT as_of, CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), CAST([] AS DATE[]), 0, '', 0 FROM queue
+  UNION ALL
+  SELECT as_of, turn, CASE WHEN ok = 'told' THEN list_append(metrics, metric_id) ELSE metrics END, CASE WHEN ok = 'told' THEN list_append(cuts, cut) ELSE cuts END,
+         CASE WHEN ok = 'told' AND day IS NOT NULL THEN list_append(dates, day) ELSE dates END, n + CASE WHEN ok = 'told' THEN 1 ELSE 0 END, ok, n
+  FROM (SELECT w.as_of, q.turn, metrics, cuts, dates, n, q.metric_id, q.cut, q.day,
+               CASE WHEN len(list_filter(metrics, lambda m: m = q.metric_id)) >= 3 OR list_contains(cuts, q.cut) OR coalesce(list_contains(dates, q.day), FALSE) THEN 'duplicate-of-highlight' WHEN n >= 6 THEN 'small-absolute-impact' ELSE 'told' END AS ok
+        FROM walk w JOIN queue q ON q.as_of = w.as_of AND q.turn = w.turn + 1)
+)
+SELECT w.as_of, w.rank, w.metric_id, w.cut, w.channels, w.kind, w.severity, w.day, coalesce(k.outcome, w.reason) AS outcome, CASE WHEN k.outcome = 'told' THEN CAST(k.place AS INT) END AS place
+FROM weighed w LEFT JOIN queue q USING (as_of, rank) LEFT JOIN walk k ON k.as_of = w.as_of AND k.turn = q.turn""",
 }

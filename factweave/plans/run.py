@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweave.operators import audit, binding, facts as facts_op, narrate, records as records_op, render, shortlist as shortlist_op
+from factweave.operators import audit, binding, facts as facts_op, narrate, records as records_op, render, shortlist as shortlist_op, stories
 from factweave.plans.calendar import ReportPlan, build_plan
 from factweave.plans.spec import Registry, SourceSpec
 
@@ -37,6 +37,7 @@ class FactBook:
     facts: DataFrame
     shortlist: DataFrame
     pack: DataFrame
+    stories: DataFrame
 
     @property
     def incomplete(self) -> bool:
@@ -45,7 +46,8 @@ class FactBook:
     def pack_document(self) -> dict:
         """What a writer gets: bounded by the shortlist."""
         rows = self.pack.orderBy("rank", "pos").select("id", "label", "value", "display", "unit", "flags").collect()
-        items = self.shortlist.orderBy("rank").select("rank", "metric_id", "cut", "channels", "fact_ids").collect()
+        told = self.stories.select("rank", "kind", "severity", F.col("day").cast("string").alias("day"), "outcome", "place")
+        items = self.shortlist.select("rank", "metric_id", "cut", "channels", "fact_ids").join(told, "rank").orderBy("rank").collect()
         return {
             "week_start": self.plan.week.start.isoformat(), "week_end": self.plan.week.end.isoformat(),
             "shortlist": [r.asDict() for r in items], "facts": [r.asDict() for r in rows],
@@ -71,7 +73,8 @@ def build_factbook(cells: DataFrame, registry: Registry, spec: SourceSpec, plan:
     if folder is not None:
         found.write.mode("overwrite").json(f"{folder}/facts_json")
     chosen = kept(shortlist_op.shortlist(wide, registry, plan), "shortlist")
-    return FactBook(plan, status, found, chosen, kept(shortlist_op.pack(found, chosen), "pack"))
+    told = kept(stories.select_stories(stories.of_report(wide, chosen, plan)), "stories")
+    return FactBook(plan, status, found, chosen, kept(shortlist_op.pack(found, chosen), "pack"), told)
 
 
 def run_id(as_of: date, source_sha256: str, registry_sha256: str) -> str:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from factweave.functions import dates as D
 from factweave.functions import numbers as N
 from factweave.functions import stats as S
-from factweave.operators import audit, binding, facts as FA, history as H, records as R, shortlist as SL
+from factweave.operators import audit, binding, facts as FA, history as H, records as R, shortlist as SL, stories as ST
 from factweave.operators.tables import shared_folder, written
 from factweave.plans.calendar import build_plan
 from factweave.plans.run import build_factbook
@@ -304,6 +304,12 @@ def history_facts(spark, sf_dir):
         F.count("*").alias("n"), F.count("value").alias("n_value"), F.countDistinct("id").alias("n_ids"), (F.round(F.sum(F.round("value", 8).cast("decimal(38,8)")).cast("double") + HALF, 2) + F.lit(0.0)).alias("total"))
 
 
+def story_selection(spark, sf_dir):
+    """Which shortlisted series each Sunday's report tells, and why it passes over the others."""
+    found = ST.select_stories(H.history_shortlist(_history(spark, sf_dir), REGISTRY), ("as_of",))
+    return found.select("as_of", "rank", "metric_id", "cut", F.concat_ws(",", "channels").alias("channels"), "kind", "severity", "day", "outcome", "place")
+
+
 def prose_numbers(spark, sf_dir):
     """Figures in documents."""
     tokens = _read(spark, sf_dir, "documents").select("doc_id", F.explode(N.figures(F.col("text"))).alias("t"))
@@ -391,5 +397,5 @@ def unresolved_inputs(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     flagship, daily_cells, source_dq, source_dq_planted, source_first_offence, source_summary, calendar_columns, week_totals, segment_universe, period_grid, coverage, coverage_cases, coverage_days_missing, wow,
     baseline_compare, rate_adequacy, rate_z, contribution, daily_robust, partial_slice, appeared_disappeared, facts_long, all_facts, fact_ids, display_format, shortlist,
-    pack, severity, dismissal_reasons, trailing_windows, weekly_history, history_weeks, history_days, history_running, history_facts, prose_numbers, prose_dates, prose_lexicons, claim_binding, draft_violations, provenance_closure, unresolved_inputs,
+    pack, severity, dismissal_reasons, trailing_windows, weekly_history, history_weeks, history_days, history_running, history_facts, story_selection, prose_numbers, prose_dates, prose_lexicons, claim_binding, draft_violations, provenance_closure, unresolved_inputs,
 )}
