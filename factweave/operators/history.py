@@ -26,7 +26,7 @@ from factweave.functions import stats as S
 from factweave.operators.facts import PCT_PRECISION, SCORE_PRECISION
 from factweave.operators.records import day_segments, metric_record
 from factweave.operators.shortlist import listed, size_of
-from factweave.operators.stories import DAY_NEWS
+from factweave.operators.stories import DAY_NEWS, PLACES
 from factweave.operators.tables import written
 from factweave.plans.calendar import COMPLETE, DAILY, PARTIAL
 from factweave.plans.spec import Registry, SourceSpec
@@ -148,7 +148,7 @@ def history_shortlist(found: History, registry: Registry) -> DataFrame:
         size_of(F.when(ratio, F.col("wow_pct")).otherwise(F.col("share"))).alias("impact"), "disappeared", "newly_appeared",
         "value", "wow_pct", F.col("base.z").alias("week_z"), "flags")
     chosen = listed(written(rows, "sizes"), registry, ("as_of",))
-    day = F.when(F.abs("robust.score") >= DAY_NEWS, F.struct(F.abs("robust.score").alias("size"), "day", "robust.score"))
+    day = F.when(F.abs("robust.score") >= DAY_NEWS, F.struct(F.round(F.abs("robust.score"), PLACES).alias("size"), "day", "robust.score"))
     days = found.days.groupBy("as_of", "metric_id", "cut").agg(F.max(day).alias("extreme"))
     return chosen.join(days, ["as_of", "metric_id", "cut"], "left").select(
         "as_of", "rank", "metric_id", "cut", "channels", "value", "wow_pct", F.col("week_z").alias("z"), "flags", "extreme.day", "extreme.score")

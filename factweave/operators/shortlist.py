@@ -67,7 +67,8 @@ def listed(rows: DataFrame, registry: Registry, by: tuple[str, ...] = ()) -> Dat
 
 
 def size_of(c):
-    return F.coalesce(F.abs(c), F.lit(0.0))
+    """How large a number is, 0 if unknown; to six decimals, so that ties are ties whatever the last bit."""
+    return F.round(F.coalesce(F.abs(c), F.lit(0.0)), 6)
 
 
 def shortlist(wide: DataFrame, registry: Registry, plan: ReportPlan) -> DataFrame:

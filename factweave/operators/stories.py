@@ -18,6 +18,8 @@ from factweave.plans.calendar import ReportPlan
 DAY_NEWS, WEEK_Z, WEEK_PCT, MATERIAL_PCT = 6.0, 2.5, 8.0, 3.0
 MOST, MOST_PER_METRIC, MOST_PER_CUT, MOST_PER_DAY = 6, 3, 1, 1
 GONE_WEIGHT, NEW_WEIGHT, WEEK_WEIGHT = 1000.0, 900.0, 20.0
+#: Decimals to which weights are compared, so that no last bit decides; equal ones go by rank, equal days by date.
+PLACES = 6
 TOLD, CROWDED, TOO_MANY = "told", "duplicate-of-highlight", "small-absolute-impact"
 
 
@@ -37,14 +39,14 @@ def candidates(series: DataFrame) -> DataFrame:
     by_kind = lambda gone, new, day, week: F.when(F.col("kind") == "disappeared", gone).when(F.col("kind") == "newly_appeared", new).when(F.col("kind") == "daily", day).when(F.col("kind") == "weekly", week)
     return series.withColumn("kind", kind).select(
         *[c for c in series.columns if c != "day"], F.when(F.col("kind") == "daily", F.col("day")).alias("day"), "kind",
-        by_kind(F.lit(GONE_WEIGHT), F.lit(NEW_WEIGHT), F.abs("score"), F.lit(WEEK_WEIGHT) + strength).alias("weight"),
+        F.round(by_kind(F.lit(GONE_WEIGHT), F.lit(NEW_WEIGHT), F.abs("score"), F.lit(WEEK_WEIGHT) + strength), PLACES).alias("weight"),
         by_kind(F.lit("high"), F.lit("medium"), F.lit("high"), severity(pct, z)).alias("severity"), dismissal_reason(F.col("flags"), pct).alias("reason"))
 
 
 def of_report(wide: DataFrame, chosen: DataFrame, plan: ReportPlan) -> DataFrame:
     """What ``candidates`` reads, for the shortlisted series of one report."""
     notable = F.filter("days", lambda d: F.coalesce(F.abs(d["robust"]["score"]) >= DAY_NEWS, F.lit(False)))
-    extreme = F.array_max(F.transform(notable, lambda d: F.struct(F.abs(d["robust"]["score"]).alias("size"), d["day"].alias("day"), d["robust"]["score"].alias("score"))))
+    extreme = F.array_max(F.transform(notable, lambda d: F.struct(F.round(F.abs(d["robust"]["score"]), PLACES).alias("size"), d["day"].alias("day"), d["robust"]["score"].alias("score"))))
     week = F.col("week")
     series = wide.select("metric_id", "cut", week["value"].alias("value"), week["wow_pct"].alias("wow_pct"), week["base"]["z"].alias("z"),
                          F.try_element_at("at", F.lit(plan.week.label))["flags"].alias("flags"), extreme["day"].alias("day"), extreme["score"].alias("score"))

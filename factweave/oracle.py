@@ -161,7 +161,7 @@ class Source:
     @property
     def listed(self) -> str:
         return f"""sized AS (
-  SELECT *, coalesce(abs(z), 0) AS az, coalesce(abs(CASE WHEN statistic IN ('rate', 'mean') THEN wow_pct ELSE share END), 0) AS impact FROM shared
+  SELECT *, round(coalesce(abs(z), 0), 6) AS az, round(coalesce(abs(CASE WHEN statistic IN ('rate', 'mean') THEN wow_pct ELSE share END), 0), 6) AS impact FROM shared
 ), placed AS (
   SELECT *, row_number() OVER (PARTITION BY metric_id, cut_dim ORDER BY az DESC, cut) AS zp, row_number() OVER (PARTITION BY metric_id, cut_dim ORDER BY impact DESC, cut) AS ip FROM sized WHERE cut_dim IS NOT NULL
 ), chosen AS (
@@ -489,7 +489,7 @@ ORACLE_SQL |= {
     "history_facts": f"""{_HISTORY_WEEKS}, {_HISTORY_DAYS}, {_HISTORY_RUNNING}, told AS ({_TOLD})
 SELECT as_of, k AS statistic_key, unit, count(*) AS n, count(v) AS n_value, count(DISTINCT id) AS n_ids, round(CAST(sum(CAST(round(v, 8) AS DECIMAL(38,8))) AS DOUBLE) + {HALF}, 2) + 0.0 AS total FROM told GROUP BY ALL""",
     "story_selection": f"""{_HISTORY_WEEKS.replace("WITH", "WITH RECURSIVE", 1)}, {_HISTORY_DAYS}, sized AS (
-  SELECT w.*, coalesce(abs(z), 0) AS az, coalesce(abs(CASE WHEN statistic IN ('rate', 'mean') THEN wow_pct ELSE share END), 0) AS impact, filled AS gone,
+  SELECT w.*, round(coalesce(abs(z), 0), 6) AS az, round(coalesce(abs(CASE WHEN statistic IN ('rate', 'mean') THEN wow_pct ELSE share END), 0), 6) AS impact, filled AS gone,
          NOT filled AND all_filled AS fresh FROM weeks w
 ), placed AS (
   SELECT *, row_number() OVER (PARTITION BY as_of, metric_id, cut_dim ORDER BY az DESC, cut) AS zp, row_number() OVER (PARTITION BY as_of, metric_id, cut_dim ORDER BY impact DESC, cut) AS ip FROM sized WHERE cut_dim IS NOT NULL
@@ -503,14 +503,14 @@ SELECT as_of, k AS statistic_key, unit, count(*) AS n, count(v) AS n_value, coun
   SELECT as_of, metric_ord, 0 AS dim_ord, 0 AS place, metric_id, cut, 'overall' AS channels, value, wow_pct, z, flags FROM sized WHERE cut = 'overall'
   UNION ALL SELECT as_of, metric_ord, CASE cut_dim WHEN 'region' THEN 1 ELSE 2 END, place, metric_id, cut, channels, value, wow_pct, z, flags FROM kept WHERE place <= 4
 ), extreme AS (
-  SELECT as_of, metric_id, cut, arg_max(label, abs(score)) AS day, max(abs(score)) AS size FROM scaled WHERE abs(score) >= 6 GROUP BY ALL
+  SELECT as_of, metric_id, cut, max({{'s': round(abs(score), 6), 'd': label}})['d'] AS day, max(round(abs(score), 6)) AS size FROM scaled WHERE abs(score) >= 6 GROUP BY ALL
 ), listed AS (
   SELECT o.*, e.day AS news_day, e.size, CAST(row_number() OVER (PARTITION BY as_of ORDER BY metric_ord, dim_ord, place) AS INT) AS rank FROM in_order o LEFT JOIN extreme e USING (as_of, metric_id, cut)
 ), told_as AS (
   SELECT *, CASE WHEN channels LIKE '%disappeared%' AND value IS NOT NULL THEN 'disappeared' WHEN channels LIKE '%newly_appeared%' AND value IS NOT NULL THEN 'newly_appeared' WHEN size IS NOT NULL THEN 'daily'
                  WHEN abs(wow_pct) >= 3 AND (coalesce(abs(z), 0) >= 2.5 OR abs(wow_pct) >= 8) THEN 'weekly' END AS kind FROM listed
 ), weighed AS (
-  SELECT *, CASE kind WHEN 'daily' THEN news_day END AS day, CASE kind WHEN 'disappeared' THEN 1000 WHEN 'newly_appeared' THEN 900 WHEN 'daily' THEN size ELSE 20 + greatest(coalesce(abs(z), 0), abs(wow_pct) / 2) END AS weight,
+  SELECT *, CASE kind WHEN 'daily' THEN news_day END AS day, CASE kind WHEN 'disappeared' THEN 1000 WHEN 'newly_appeared' THEN 900 WHEN 'daily' THEN size ELSE round(20 + greatest(coalesce(abs(z), 0), abs(wow_pct) / 2), 6) END AS weight,
          CASE WHEN kind IN ('disappeared', 'daily') THEN 'high' WHEN kind = 'newly_appeared' THEN 'medium' WHEN kind = 'weekly' THEN
            CASE WHEN abs(wow_pct) >= 20 OR coalesce(abs(z) >= 3, FALSE) THEN 'high' WHEN abs(wow_pct) >= 8 OR coalesce(abs(z) >= 2, FALSE) THEN 'medium' ELSE 'low' END END AS severity,
          CASE WHEN flags LIKE '%no_exposure%' THEN 'data-quality' WHEN abs(wow_pct) < 8 THEN 'within-baseline-variation' ELSE 'small-absolute-impact' END AS reason FROM told_as

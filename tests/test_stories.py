@@ -27,7 +27,7 @@ def plain(rows):
             small = "within-baseline-variation" if pct is not None and move < 8 else "small-absolute-impact"
             out[rank] = (None, None, "insufficient-baseline" if thin else "data-quality" if doubtful else small, None)
             continue
-        queue.append((-weight, rank, kind, level, metric, cut, day if kind == "daily" else None))
+        queue.append((-round(weight, 6), rank, kind, level, metric, cut, day if kind == "daily" else None))
     told = []
     for _, rank, kind, level, metric, cut, day in sorted(queue, key=lambda q: q[:2]):
         crowded = sum(t[0] == metric for t in told) >= 3 or any(t[1] == cut for t in told) or (day and any(t[2] == day for t in told))
