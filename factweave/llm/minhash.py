@@ -255,6 +255,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
 
     Rows of one id and one text count as one; an id is expected to name one text.
     """
-    kept = near_duplicates(docs, **options).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept_id"]), "left_semi")
-    return out.withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).select(*docs.columns)
+    kept = near_duplicates(docs, **options).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    # The row travels whole in one column, so its own columns meet no name of ours.
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("digest"))
+    return rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["id", "digest"]).select("row.*")

@@ -117,12 +117,13 @@ def resample(docs: DataFrame, *, seed: int = 8, **options) -> DataFrame:
     """
     place = F.struct("draw", "doc_id", "size")
     cutoffs = written(
-        _drawn(docs, seed, **options).groupBy("source").agg(F.max("whole").alias("__whole"), F.max(F.when(F.col("extra"), place)).alias("__last"))
-        .withColumnRenamed("source", "__source"),
+        _drawn(docs, seed, **options).groupBy("source").agg(F.max("whole").alias("whole"), F.max(F.when(F.col("extra"), place)).alias("last"))
+        .withColumnRenamed("source", "cut_source"),
         "cutoffs",
     )
-    own = docs.withColumn("__place", F.struct(_draw(seed).alias("draw"), F.col("doc_id"), n_words(F.col("text")).alias("size")))
-    joined = own.join(cutoffs, own["source"].eqNullSafe(cutoffs["__source"]))
-    extra = (F.col("__place.size") > 0) & F.coalesce(F.col("__place") <= F.col("__last"), F.lit(False))
-    repeats = F.when(F.col("__place.size") > 0, F.col("__whole") + extra.cast("long")).otherwise(0).cast("int")
-    return joined.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), repeats)).alias("__copy")).select(*docs.columns)
+    # The row travels whole in one column, so its own columns meet no name of ours.
+    place = F.struct(_draw(seed).alias("draw"), F.col("doc_id"), n_words(F.col("text")).alias("size"))
+    joined = docs.select(F.struct("*").alias("row"), F.col("source").alias("own_source"), place.alias("place")).join(cutoffs, F.col("own_source").eqNullSafe(F.col("cut_source")))
+    extra = (F.col("place.size") > 0) & F.coalesce(F.col("place") <= F.col("last"), F.lit(False))
+    repeats = F.when(F.col("place.size") > 0, F.col("whole") + extra.cast("long")).otherwise(0).cast("int")
+    return joined.select("row", F.explode(F.array_repeat(F.lit(0), repeats)).alias("copy")).select("row.*")
