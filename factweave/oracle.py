@@ -5,10 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import timedelta
 
+from factweave.functions.numbers import characters
 from factweave.operators.binding import CAUSAL, MAGNITUDE, MARKUP, REASONS, SEVERITIES
 from factweave.operators.facts import LABELS
 from factweave.plans.calendar import SUNDAY, ReportPlan
-from factweave.queries import BROKEN, EVENT_PLAN, FILE_ROWS, GAPS, HALF, HISTORY, LONG_PLAN, PLAN, PLANTED, REGISTRY
+from factweave.queries import BROKEN, EVENT_PLAN, FILE_ROWS, GAPS, HALF, HISTORY, LONG_PLAN, PLAN, PLANTED, REGISTRY, STRAYS
 
 
 def _day(d) -> str:
@@ -469,6 +470,7 @@ _HISTORY_RUNNING = f"""part_grid AS (
   SELECT b.*, label + 1 AS as_of, (value - mean) / nullif(abs(mean), 0) * 100 AS pct, {_BASE_FLAGS.format(value="value")} AS base_flags FROM part_base b JOIN seen s ON s.cut = b.cut AND s.day = b.label
   WHERE dayofweek(label) < 6 AND last_seen >= week - {7 + HISTORY.back} AND label + 1 BETWEEN {_day(HISTORY.first)} AND {_day(HISTORY.last)}
 )"""
+_DECIMAL, _NUMERAL = characters("decimal"), characters("numeral")
 _POINTS = "CASE unit WHEN 'percent' THEN 'pp' ELSE unit END"
 _TOLD = " UNION ALL ".join(
     [f"SELECT as_of, '{k}' AS k, {u} AS unit, metric_id || cut || label AS id, {v} AS v FROM weeks WHERE {c}" for k, u, v, c in (
@@ -527,4 +529,20 @@ SELECT as_of, k AS statistic_key, unit, count(*) AS n, count(v) AS n_value, coun
 )
 SELECT w.as_of, w.rank, w.metric_id, w.cut, w.channels, w.kind, w.severity, w.day, coalesce(k.outcome, w.reason) AS outcome, CASE WHEN k.outcome = 'told' THEN CAST(k.place AS INT) END AS place
 FROM weighed w LEFT JOIN queue q USING (as_of, rank) LEFT JOIN walk k ON k.as_of = w.as_of AND k.turn = q.turn""",
+    "draft_attempts": f"""{_planted()}, ranks AS (SELECT metric_id || '/' || cut AS draft_id, rank % 3 AS turn FROM listed),
+ shown(attempt, turn, most) AS (VALUES (0, 0, 99), (0, 1, 99), (0, 2, 99), (1, 0, 0), (1, 1, 2), (1, 2, 2), (2, 0, 2), (2, 1, 0), (2, 2, 2)),
+ tried AS (
+  SELECT r.draft_id, s.attempt, count(b.code) AS n_violations, coalesce(string_agg(DISTINCT b.code, ',' ORDER BY b.code), '') AS codes
+  FROM (SELECT DISTINCT draft_id FROM broken) d JOIN ranks r USING (draft_id) JOIN shown s USING (turn) LEFT JOIN broken b ON b.draft_id = r.draft_id AND (s.most = 99 OR b.h <= s.most) GROUP BY ALL
+ )
+SELECT draft_id, CAST(attempt AS INT) AS attempt, n_violations, codes, CASE WHEN n_violations = 0 THEN 'passed' WHEN attempt < 2 THEN 'open' ELSE 'refused' END AS state
+FROM tried t WHERE NOT EXISTS (SELECT 1 FROM tried e WHERE e.draft_id = t.draft_id AND e.attempt < t.attempt AND e.n_violations = 0)""",
+    "stray_numerals": rf"""WITH added AS (
+  SELECT doc_id, coalesce(text, '') || CASE doc_id % {len(STRAYS)} {" ".join(f"WHEN {i} THEN {_text(t)}" for i, t in enumerate(STRAYS))} END AS t FROM documents
+), apart AS (
+  SELECT doc_id, replace(regexp_replace(t, '[{_DECIMAL}]{{4}}-[{_DECIMAL}]{{2}}-[{_DECIMAL}]{{2}}', chr(10), 'g'), '%', '% ') AS t FROM added
+), without AS (
+  SELECT doc_id, regexp_replace(t, '(^|[^\p{{L}}_.,{_NUMERAL}])[-+−]?\$?(?:[{_DECIMAL}]{{1,3}}(?:,[{_DECIMAL}]{{3}})+|[{_DECIMAL}]+)(?:\.[{_DECIMAL}]+)?(?:%|pp)?', '\1', 'g') AS t FROM apart
+)
+SELECT doc_id, regexp_replace(t, '[^{_NUMERAL}]+', '', 'g') AS strays FROM without""",
 }

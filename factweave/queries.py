@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from factweave.functions import dates as D
 from factweave.functions import numbers as N
 from factweave.functions import stats as S
-from factweave.operators import audit, binding, facts as FA, history as H, records as R, shortlist as SL, stories as ST
+from factweave.operators import attempts as AT, audit, binding, facts as FA, history as H, records as R, shortlist as SL, stories as ST
 from factweave.operators.tables import shared_folder, written
 from factweave.plans.calendar import build_plan
 from factweave.plans.run import build_factbook
@@ -316,6 +316,16 @@ def prose_numbers(spark, sf_dir):
     return tokens.select("doc_id", "t.raw", "t.digits", "t.kind")
 
 
+#: Numerals that no figure holds, by doc_id modulo 9; the last three are figures and dates, with nothing left over.
+STRAYS = (" 三百", " ½", " x² 2x", " Ⅷ.", " 12½", " 3,14 week32", " ५ 7.5", " -1,234.5% $7pp", " 2024-05-06 at 7")
+
+
+def stray_numerals(spark, sf_dir):
+    """Numerals of any script in documents that are part of no figure or date."""
+    added = F.element_at(F.array(*map(F.lit, STRAYS)), (F.pmod("doc_id", F.lit(len(STRAYS))) + 1).cast("int"))
+    return _read(spark, sf_dir, "documents").select("doc_id", N.stray_numerals(F.concat(F.coalesce("text", F.lit("")), added)).alias("strays"))
+
+
 def prose_dates(spark, sf_dir):
     found = F.explode(F.regexp_extract_all("text", F.lit(r"[0-9]{4}-[0-9]{2}-[0-9]{2}"), F.lit(0)))
     rows = _read(spark, sf_dir, "events").select("event_id", F.concat(F.lit("at "), F.col("ts").cast("string"), F.lit(" of "), "event_type").alias("text"))
@@ -363,15 +373,31 @@ def _planted_drafts(packed: DataFrame, chosen: DataFrame) -> DataFrame:
     odd = '"words",{"title":"only"},{"metric_id":"gmv","cut":"overall","severity":"low","title":"t","narrative":"n","claims":[{"fact_id":"x"}]}'
     passed = F.concat(F.lit('{"shortlist_rank":999999,"reason_code":"data-quality"},{"shortlist_rank":1,"reason_code":"whatever"},{"shortlist_rank":'), "own_rank", F.lit(',"reason_code":"small-absolute-impact"}'))
     text = F.concat(F.lit('{"highlights":['), F.concat_ws(",", *heads), F.lit(f',{odd}],"dismissals":['), passed, F.lit("]}"))
-    return rows.select(F.concat_ws("/", "metric_id", "cut").alias("draft_id"), text.alias("text"))
+    few = lambda n: F.concat(F.lit('{"highlights":['), F.concat_ws(",", *heads[:n]), F.lit("]}"))
+    return rows.select(F.concat_ws("/", "metric_id", "cut").alias("draft_id"), text.alias("text"), few(1).alias("first"), few(3).alias("three"), (F.col("own_rank") % 3).alias("turn"))
 
 
-def _validated(spark, sf_dir):
+def _book(spark, sf_dir):
     wide = written(_wide(spark, sf_dir), "series")
     facts = written(FA.facts(wide, PLAN), "facts")
     chosen = written(SL.shortlist(wide, REGISTRY, PLAN), "shortlist")
-    packed = written(SL.pack(facts, chosen), "pack")
-    return binding.validate(_planted_drafts(packed, chosen), facts, packed, chosen, REGISTRY, PLAN)
+    return facts, chosen, written(SL.pack(facts, chosen), "pack")
+
+
+def _validated(spark, sf_dir):
+    facts, chosen, packed = _book(spark, sf_dir)
+    return binding.validate(_planted_drafts(packed, chosen).select("draft_id", "text"), facts, packed, chosen, REGISTRY, PLAN)
+
+
+def draft_attempts(spark, sf_dir):
+    """Planted drafts tried again: by its rank, a series' writer mends its draft at the first retry, at the second, or never."""
+    facts, chosen, packed = _book(spark, sf_dir)
+    drafts = written(_planted_drafts(packed, chosen), "planted")
+    at = lambda n, text: drafts.select("draft_id", F.lit(n).alias("attempt"), text.alias("text"))
+    script = at(0, F.col("text")).union(at(1, F.when(F.col("turn") == 0, F.col("first")).otherwise(F.col("three")))).union(at(2, F.when(F.col("turn") == 1, F.col("first")).otherwise(F.col("three"))))
+    check = lambda replies: binding.validate(replies, facts, packed, chosen, REGISTRY, PLAN)[0]
+    tried = AT.draft_until_valid(drafts, AT.scripted(script), check)
+    return tried.select("draft_id", "attempt", "n_violations", F.concat_ws(",", "codes").alias("codes"), "state")
 
 
 def claim_binding(spark, sf_dir):
@@ -397,5 +423,5 @@ def unresolved_inputs(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     flagship, daily_cells, source_dq, source_dq_planted, source_first_offence, source_summary, calendar_columns, week_totals, segment_universe, period_grid, coverage, coverage_cases, coverage_days_missing, wow,
     baseline_compare, rate_adequacy, rate_z, contribution, daily_robust, partial_slice, appeared_disappeared, facts_long, all_facts, fact_ids, display_format, shortlist,
-    pack, severity, dismissal_reasons, trailing_windows, weekly_history, history_weeks, history_days, history_running, history_facts, story_selection, prose_numbers, prose_dates, prose_lexicons, claim_binding, draft_violations, provenance_closure, unresolved_inputs,
+    pack, severity, dismissal_reasons, trailing_windows, weekly_history, history_weeks, history_days, history_running, history_facts, story_selection, prose_numbers, stray_numerals, prose_dates, prose_lexicons, claim_binding, draft_violations, draft_attempts, provenance_closure, unresolved_inputs,
 )}
