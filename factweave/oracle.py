@@ -545,4 +545,7 @@ FROM tried t WHERE NOT EXISTS (SELECT 1 FROM tried e WHERE e.draft_id = t.draft_
   SELECT doc_id, regexp_replace(t, '(^|[^\p{{L}}_.,{_NUMERAL}])[-+−]?\$?(?:[{_DECIMAL}]{{1,3}}(?:,[{_DECIMAL}]{{3}})+|[{_DECIMAL}]+)(?:\.[{_DECIMAL}]+)?(?:%|pp)?', '\1', 'g') AS t FROM apart
 )
 SELECT doc_id, regexp_replace(t, '[^{_NUMERAL}]+', '', 'g') AS strays FROM without""",
+    "late_cells": f"WITH {_EVENT_CELLS} SELECT day, bucket, part, sessions, orders, {_six('gmv', 'gmv')} FROM cells",
+    "late_weeks": f"""WITH {_EVENT_CELLS} SELECT day - CAST(dayofweek(day) AS INT) AS week, bucket, sum(sessions) AS sessions, sum(orders) AS orders,
+ round(CAST(sum(CAST(gmv AS DECIMAL(28,2))) AS DOUBLE), 6) + 0.0 AS gmv FROM cells GROUP BY ALL""",
 }

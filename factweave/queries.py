@@ -18,6 +18,7 @@ from factweave.plans.calendar import build_plan
 from factweave.plans.run import build_factbook
 from factweave.plans.spec import shop_registry
 from factweave.sources import cells as C
+from factweave.streaming import late as LT
 
 AS_OF = date(1997, 10, 23)
 PLAN = build_plan(AS_OF)
@@ -316,6 +317,26 @@ def prose_numbers(spark, sf_dir):
     return tokens.select("doc_id", "t.raw", "t.digits", "t.kind")
 
 
+def _late_folder(spark, sf_dir):
+    """Events told again by a stream of five batches in which days are mixed."""
+    folder = f"{shared_folder(spark)}/late-{uuid.uuid4().hex}"
+    events = _read(spark, sf_dir, "events")
+    events.repartition(5, F.pmod(F.xxhash64("event_id"), F.lit(5))).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    LT.fold_events(stream, f"{folder}/out", f"{folder}/offsets").awaitTermination()
+    return f"{folder}/out"
+
+
+def late_cells(spark, sf_dir):
+    """Cells of events that came in any order: those of the whole table."""
+    return LT.current_cells(spark, _late_folder(spark, sf_dir)).select("day", "bucket", "part", "sessions", "orders", _six(F.col("gmv"), "gmv"))
+
+
+def late_weeks(spark, sf_dir):
+    """Weekly totals of which each batch computed only those that it changed."""
+    return LT.current_weeks(spark, _late_folder(spark, sf_dir)).select("week", "bucket", "sessions", "orders", _six(F.col("gmv"), "gmv"))
+
+
 #: Numerals that no figure holds, by doc_id modulo 9; the last three are figures and dates, with nothing left over.
 STRAYS = (" 三百", " ½", " x² 2x", " Ⅷ.", " 12½", " 3,14 week32", " ५ 7.5", " -1,234.5% $7pp", " 2024-05-06 at 7")
 
@@ -423,5 +444,5 @@ def unresolved_inputs(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     flagship, daily_cells, source_dq, source_dq_planted, source_first_offence, source_summary, calendar_columns, week_totals, segment_universe, period_grid, coverage, coverage_cases, coverage_days_missing, wow,
     baseline_compare, rate_adequacy, rate_z, contribution, daily_robust, partial_slice, appeared_disappeared, facts_long, all_facts, fact_ids, display_format, shortlist,
-    pack, severity, dismissal_reasons, trailing_windows, weekly_history, history_weeks, history_days, history_running, history_facts, story_selection, prose_numbers, stray_numerals, prose_dates, prose_lexicons, claim_binding, draft_violations, draft_attempts, provenance_closure, unresolved_inputs,
+    pack, severity, dismissal_reasons, trailing_windows, weekly_history, history_weeks, history_days, history_running, history_facts, story_selection, late_cells, late_weeks, prose_numbers, stray_numerals, prose_dates, prose_lexicons, claim_binding, draft_violations, draft_attempts, provenance_closure, unresolved_inputs,
 )}

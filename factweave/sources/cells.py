@@ -173,17 +173,22 @@ def cells_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def cells_from_events(events: DataFrame) -> DataFrame:
-    """Per day, user bucket and part of the day: events, purchases and their value."""
+def event_sums(events: DataFrame) -> DataFrame:
+    """Per day, user bucket and part of the day: events, purchases and their value, as exact sums that add up."""
     bought = F.col("event_type") == "purchase"
     return events.groupBy(
         F.to_date("ts").alias("day"), F.concat(F.lit("u"), (F.col("user_id") % 4).cast("string")).alias("bucket"),
         F.concat(F.lit("h"), F.floor(F.hour("ts") / 6).cast("string")).alias("part"),
     ).agg(
-        F.count("*").cast("double").alias("sessions"), F.count_if(bought).cast("double").alias("orders"),
-        F.coalesce(F.sum(F.when(bought, F.col("value").cast("decimal(18,2)"))), F.lit(0)).cast("double").alias("gmv"),
+        F.count("*").alias("sessions"), F.count_if(bought).alias("orders"),
+        F.coalesce(F.sum(F.when(bought, F.col("value").cast("decimal(18,2)"))), F.lit(0)).cast("decimal(28,2)").alias("gmv"),
     )
 
 
+def cells_from_events(events: DataFrame) -> DataFrame:
+    """``event_sums`` as cells."""
+    return event_sums(events).select("day", "bucket", "part", *[F.col(m).cast("double").alias(m) for m in ("sessions", "orders", "gmv")])
+
+
 def source_summary(cells: DataFrame) -> DataFrame:
     return cells.agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count("*").alias("n_rows"))
