@@ -1,17 +1,14 @@
 """Binding drafts to facts: every figure, date and claim of a narrative must lead to a published fact.
 
-Any number of drafts is checked at once.  One Arrow pass parses each draft
-and reads its prose (Unicode classes and offsets that the JVM's regexes
-lack); everything that compares with facts is a join.
+Any number of drafts is checked at once: expressions parse each draft and
+read its prose, and everything that compares with facts is a join.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,9 +38,6 @@ MARKUP = (
     r"<\s*[a-zA-Z/!]|javascript:|https?://|!\[|\]\(|\]\[|\b[\w-]+\.(?:com|net|org|io|dev|ai|co|app|xyz|example)\b|"
     r"^\s{0,3}#{1,6}\s|^\s{0,3}[-*+>]\s|^\s{0,3}\d+\.\s"
 )
-_CAUSAL = re.compile(rf"\b(?:{CAUSAL})\b", re.IGNORECASE)
-_MAGNITUDE = re.compile(rf"\b(?:{MAGNITUDE})\b", re.IGNORECASE)
-_MARKUP = re.compile(MARKUP, re.IGNORECASE | re.MULTILINE)
 _FENCED = re.compile(r"\A\s*```(?:json)?\s*|\s*```\s*\Z")
 
 
@@ -57,7 +51,7 @@ def magnitude_word(text: Column) -> Column:
 
 
 def has_markup(text: Column) -> Column:
-    return text.rlike(rf"(?imU){MARKUP}")
+    return text.rlike(rf"(?imUd){MARKUP}")
 
 
 class DraftError(ValueError):
@@ -78,106 +72,112 @@ def parse_draft(text: str) -> dict:
     return body
 
 
-_FINDING = pa.struct([("code", pa.string()), ("message", pa.string()), ("claim", pa.int32())])
-_CLAIM = pa.struct([("claim", pa.int32()), ("fact_id", pa.string()), ("value", pa.float64())])
-_TOKEN = pa.struct([("field", pa.string()), ("raw", pa.string()), ("digits", pa.string()), ("kind", pa.string())])
-_DATE = pa.struct([("field", pa.string()), ("date", pa.string())])
-_PARSED = pa.schema([
-    ("draft_id", pa.string()), ("highlight", pa.int32()), ("metric_id", pa.string()), ("cut", pa.string()), ("findings", pa.list_(_FINDING)),
-    ("claims", pa.list_(_CLAIM)), ("tokens", pa.list_(_TOKEN)), ("dates", pa.list_(_DATE)), ("rank", pa.string()),
-])
-PARSED = (
-    "draft_id string, highlight int, metric_id string, cut string, findings array<struct<code:string,message:string,claim:int>>, "
-    "claims array<struct<claim:int,fact_id:string,value:double>>, tokens array<struct<field:string,raw:string,digits:string,kind:string>>, "
-    "dates array<struct<field:string,date:string>>, rank string"
-)
+FINDINGS = "array<struct<code:string,message:string,claim:int>>"
+#: One row per highlight, dismissal or unreadable draft.
+PARSED = {
+    "draft_id": "string", "highlight": "int", "metric_id": "string", "cut": "string", "findings": FINDINGS, "claims": "array<struct<claim:int,fact_id:string,value:double>>",
+    "tokens": "array<struct<field:string,raw:string,digits:string,kind:string>>", "dates": "array<struct<field:string,date:string>>", "rank": "string",
+}
 
 
-def _number(value) -> float | None:
-    try:
-        return float(value)
-    except (TypeError, ValueError, OverflowError):
-        return None
-
-
-def _finding(code: str, message: str, claim: int | None = None) -> dict:
-    return {"code": code, "message": message, "claim": claim}
-
-
-def _read_prose(highlight: dict, row: dict) -> None:
-    for field in PROSE:
-        text = highlight.get(field)
-        if text is None:
-            continue
-        if not isinstance(text, str):
-            row["findings"].append(_finding("E001", f"{field} must be a string"))
-            continue
-        if _MARKUP.search(text):
-            row["findings"].append(_finding("E040", f"{field} holds markup, a link or a list marker"))
-        prose = N.read_prose(text)
-        row["tokens"] += [{"field": field, "raw": f.raw, "digits": f.digits, "kind": f.kind} for f in prose.figures]
-        if m := _MAGNITUDE.search(text):
-            row["findings"].append(_finding("E024", f"{field} gives a quantity in words: {m.group()}"))
-        if prose.strays:
-            row["findings"].append(_finding("E022", f"{field} holds numerals outside any figure: {prose.strays}"))
-        row["dates"] += [{"field": field, "date": d} for d in prose.dates]
-        if field != "hypothesis" and (m := _CAUSAL.search(text)):
-            row["findings"].append(_finding("E030", f"{field} tells why: {m.group()}"))
-
-
-def _read_highlight(draft: str, place: int, highlight) -> dict:
-    row = {"draft_id": draft, "highlight": place, "metric_id": None, "cut": None, "findings": [], "claims": [], "tokens": [], "dates": [], "rank": None}
-    if not isinstance(highlight, dict):
-        row["findings"].append(_finding("E001", "a highlight must be an object"))
-        return row
-    if missing := [k for k in REQUIRED if k not in highlight]:
-        row["findings"].append(_finding("E001", f"missing {', '.join(missing)}"))
-        return row
-    row["metric_id"], row["cut"] = str(highlight["metric_id"]), str(highlight["cut"])
-    if highlight["severity"] not in SEVERITIES:
-        row["findings"].append(_finding("E003", "severity is none of high, medium, low"))
-    claims = highlight["claims"]
-    if not isinstance(claims, list):
-        row["findings"].append(_finding("E001", "claims must be a list"))
-        claims = []
-    for i, claim in enumerate(claims):
-        if not isinstance(claim, dict) or "fact_id" not in claim or "value" not in claim:
-            row["findings"].append(_finding("E001", "a claim needs fact_id and value", i))
-        else:
-            row["claims"].append({"claim": i, "fact_id": str(claim["fact_id"]), "value": _number(claim["value"])})
-    _read_prose(highlight, row)
-    return row
-
-
-def _read_draft(draft: str, text: str) -> Iterator[dict]:
-    empty = {"draft_id": draft, "highlight": None, "metric_id": None, "cut": None, "claims": [], "tokens": [], "dates": [], "rank": None}
-    try:
-        body = parse_draft(text)
-    except DraftError as e:
-        yield empty | {"findings": [_finding("E001", str(e))]}
-        return
-    for i, highlight in enumerate(body["highlights"]):
-        yield _read_highlight(draft, i, highlight)
-    for entry in body["dismissals"]:
-        if not isinstance(entry, dict) or "reason_code" not in entry:
-            yield empty | {"findings": [_finding("E001", "a dismissal needs a reason_code")]}
-            continue
-        known = isinstance(entry["reason_code"], str) and entry["reason_code"] in REASONS
-        found = [] if known else [_finding("E050", "reason_code is outside the vocabulary")]
-        rank = entry.get("shortlist_rank")
-        whole = isinstance(rank, (int, float)) and not isinstance(rank, bool) and float(rank).is_integer()
-        yield empty | {"findings": found, "rank": str(int(rank)) if whole else json.dumps(rank, sort_keys=True, default=str)}
+def _part(v: Column, name: str, kind: str = "variant") -> Column:
+    """A member of a parsed object: null where it is absent (a JSON null is none of SQL's), or is no ``kind``."""
+    return F.try_variant_get(v, f"$.{name}", kind)
 
 
-def read_drafts(drafts: DataFrame) -> DataFrame:
-    """Rows of PARSED, one per highlight, dismissal or unreadable draft, from (draft_id, text)."""
+def _is(v: Column, kind: str) -> Column:
+    return F.coalesce(F.schema_of_variant(v).startswith(kind), F.lit(False))
+
+
+def _said(v: Column) -> Column:
+    """A string as it is, anything else as JSON."""
+    return F.when(_is(v, "STRING"), F.try_variant_get(v, "$", "string")).otherwise(F.to_json(v))
+
+
+def _finding(when: Column, code: str, message: Column | str, claim: Column | None = None) -> Column:
+    message = F.lit(message) if isinstance(message, str) else message
+    return F.when(when, F.struct(F.lit(code).alias("code"), message.alias("message"), (F.lit(None) if claim is None else claim).cast("int").alias("claim")))
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [r for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for r in _read_draft(d, t)]
-            yield pa.RecordBatch.from_pylist(rows, schema=_PARSED)
 
-    return drafts.select(F.col("draft_id").cast("string"), "text").mapInArrow(read, PARSED)
+def _prose(highlight: Column, name: str) -> tuple[Column, Column, Column]:
+    """(findings, tokens, dates) of one field of a highlight."""
+    value, text = _part(highlight, name), F.when(_is(_part(highlight, name), "STRING"), _part(highlight, name, "string"))
+    strays, magnitude, causal = N.stray_numerals(text), magnitude_word(text), causal_word(text)
+    findings = [
+        _finding(value.isNotNull() & ~F.is_variant_null(value) & text.isNull(), "E001", f"{name} must be a string"),
+        _finding(has_markup(text), "E040", f"{name} holds markup, a link or a list marker"),
+        _finding(magnitude != "", "E024", F.concat(F.lit(f"{name} gives a quantity in words: "), magnitude)),
+        _finding(strays != "", "E022", F.concat(F.lit(f"{name} holds numerals outside any figure: "), strays)),
+    ]
+    if name != "hypothesis":
+        findings.append(_finding(causal != "", "E030", F.concat(F.lit(f"{name} tells why: "), causal)))
+    tokens = F.transform(N.quoted_figures(text), lambda t: F.struct(F.lit(name).alias("field"), t["raw"].alias("raw"), t["digits"].alias("digits"), t["kind"].alias("kind")))
+    dates = F.transform(N.quoted_dates(text), lambda d: F.struct(F.lit(name).alias("field"), d.alias("date")))
+    return F.array(*findings), F.coalesce(tokens, F.array().cast(PARSED["tokens"])), F.coalesce(dates, F.array().cast(PARSED["dates"]))
+
+
+def _highlights(parsed: DataFrame) -> DataFrame:
+    rows = parsed.select("draft_id", F.posexplode(_part(F.col("v"), "highlights", "array<variant>")).alias("highlight", "h"))
+    h, none = F.col("h"), F.array().cast(FINDINGS)
+    missing = F.array_compact(F.array(*[F.when(_part(h, k).isNull(), k) for k in REQUIRED]))
+    shape = F.when(~_is(h, "OBJECT"), "a highlight must be an object").when(F.size(missing) > 0, F.concat(F.lit("missing "), F.array_join(missing, ", ")))
+    rows = rows.select("draft_id", "highlight", "h", shape.alias("shape"))
+    listed = F.coalesce(_part(h, "claims", "array<variant>"), F.array().cast("array<variant>"))
+    fine = lambda c: _is(c, "OBJECT") & _part(c, "fact_id").isNotNull() & _part(c, "value").isNotNull()
+    claims = F.transform(listed, lambda c, i: F.when(fine(c), F.struct(i.cast("int").alias("claim"), _said(_part(c, "fact_id")).alias("fact_id"), _part(c, "value", "double").alias("value"))))
+    broken = F.transform(listed, lambda c, i: _finding(~fine(c), "E001", "a claim needs fact_id and value", i))
+    severity = _part(h, "severity")
+    own = F.array(
+        _finding(~F.coalesce(_is(severity, "STRING") & _part(h, "severity", "string").isin(*SEVERITIES), F.lit(False)), "E003", "severity is none of high, medium, low"),
+        _finding(~_is(_part(h, "claims"), "ARRAY"), "E001", "claims must be a list"))
+    prose = [_prose(h, name) for name in PROSE]
+    whole = F.col("shape").isNull()
+    kept = lambda c: F.array_compact(F.when(whole, c).otherwise(F.array()))
+    findings = F.when(whole, F.array_compact(F.concat(own, broken, *[f for f, _, _ in prose]))).otherwise(F.array(_finding(F.lit(True), "E001", F.col("shape"))))
+    return rows.select(
+        "draft_id", "highlight", F.when(whole, _said(_part(h, "metric_id"))).alias("metric_id"), F.when(whole, _said(_part(h, "cut"))).alias("cut"), F.coalesce(findings, none).alias("findings"),
+        kept(claims).alias("claims"), kept(F.concat(*[t for _, t, _ in prose])).alias("tokens"), kept(F.concat(*[d for _, _, d in prose])).alias("dates"), F.lit(None).cast("string").alias("rank"))
+
+
+def _dismissals(parsed: DataFrame) -> DataFrame:
+    rows = parsed.select("draft_id", F.explode(_part(F.col("v"), "dismissals", "array<variant>")).alias("d"))
+    d, reason, rank = F.col("d"), _part(F.col("d"), "reason_code"), _part(F.col("d"), "shortlist_rank")
+    fine = _is(d, "OBJECT") & reason.isNotNull()
+    known = F.coalesce(_is(reason, "STRING") & _part(d, "reason_code", "string").isin(*REASONS), F.lit(False))
+    number = F.when(_is(rank, "BIGINT") | _is(rank, "DECIMAL") | _is(rank, "DOUBLE"), F.try_variant_get(rank, "$", "double"))
+    whole = F.when(number == F.floor(number), F.floor(number).cast("string"))
+    findings = F.array_compact(F.array(_finding(~fine, "E001", "a dismissal needs a reason_code"), _finding(fine & ~known, "E050", "reason_code is outside the vocabulary")))
+    return rows.select("draft_id", findings.alias("findings"), F.when(fine, F.coalesce(whole, F.to_json(rank), F.lit("null"))).alias("rank"))
+
+
+def _whole(body: Column) -> Column:
+    """The one JSON value that is all of a text, else null.
+
+    The parser stops behind a first value, so the text is set between a name and
+    its own digest: the object has just these two members, with that digest, only if the text is one value.
+    """
+    digest = F.sha2(body, 256)
+    framed = F.try_parse_json(F.concat(F.lit('{"d":'), body, F.lit(',"end":"'), digest, F.lit('"}')))
+    sealed = (F.size(F.try_variant_get(framed, "$", "map<string,variant>")) == 2) & (_part(framed, "end", "string") == digest)
+    return F.when(sealed, _part(framed, "d"))
+
+
+def read_drafts(drafts: DataFrame) -> DataFrame:
+    """Rows of PARSED, one per highlight, dismissal or unreadable draft, from (draft_id, text).
+
+    Drafts are parsed as VARIANT inside the JVM.  Stricter than ``parse_draft``:
+    NaN, Infinity and an object's repeated names are no JSON.
+    """
+    body = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)\A\s+|\s+\z", ""), r"(?U)\A\s*```(?:json)?\s*|\s*```\s*\z", "")
+    v = F.col("v")
+    bad = lambda name: _part(v, name).isNotNull() & ~_is(_part(v, name), "ARRAY")
+    problem = F.when(v.isNull(), "not valid JSON").when(~_is(v, "OBJECT"), "not a JSON object").when(bad("highlights"), "highlights is no list").when(bad("dismissals"), "dismissals is no list")
+    parsed = drafts.select(F.col("draft_id").cast("string"), _whole(body).alias("v")).withColumn("problem", problem)
+    fine = parsed.where("problem IS NULL")
+    unread = parsed.where("problem IS NOT NULL").select("draft_id", F.array(_finding(F.lit(True), "E001", F.col("problem"))).alias("findings"))
+    filled = lambda df, kind, name: F.col(name) if name in df.columns else (F.array() if kind.startswith("array") else F.lit(None)).cast(kind).alias(name)
+    empty = lambda df: df.select(*[filled(df, kind, name) for name, kind in PARSED.items()])
+    return empty(unread).unionByName(empty(_highlights(fine))).unionByName(empty(_dismissals(fine)))
 
 
 def bind_claims(parsed: DataFrame, facts: DataFrame, packed: DataFrame) -> DataFrame:
