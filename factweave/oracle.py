@@ -6,10 +6,10 @@ from dataclasses import dataclass
 from datetime import timedelta
 
 from factweave.functions.numbers import characters
-from factweave.operators.binding import CAUSAL, MAGNITUDE, MARKUP, REASONS, SEVERITIES
+from factweave.operators.binding import CAUSAL, MAGNITUDE, MARKUP, PROSE, REASONS, REQUIRED, SEVERITIES
 from factweave.operators.facts import LABELS
 from factweave.plans.calendar import SUNDAY, ReportPlan
-from factweave.queries import BROKEN, EVENT_PLAN, FILE_ROWS, GAPS, HALF, HISTORY, LONG_PLAN, PLAN, PLANTED, REGISTRY, STRAYS
+from factweave.queries import BROKEN, EVENT_PLAN, FILE_ROWS, GAPS, HALF, HISTORY, LONG_PLAN, PLAN, PLANTED, REGISTRY, SHAPES, STRAYS
 
 
 def _day(d) -> str:
@@ -548,4 +548,28 @@ SELECT doc_id, regexp_replace(t, '[^{_NUMERAL}]+', '', 'g') AS strays FROM witho
     "late_cells": f"WITH {_EVENT_CELLS} SELECT day, bucket, part, sessions, orders, {_six('gmv', 'gmv')} FROM cells",
     "late_weeks": f"""WITH {_EVENT_CELLS} SELECT day - CAST(dayofweek(day) AS INT) AS week, bucket, sum(sessions) AS sessions, sum(orders) AS orders,
  round(CAST(sum(CAST(gmv AS DECIMAL(28,2))) AS DOUBLE), 6) + 0.0 AS gmv FROM cells GROUP BY ALL""",
+    "draft_shapes": f"""WITH texts AS (
+  SELECT c_custkey AS id, replace(replace(CASE c_custkey % {len(SHAPES)} {" ".join(f"WHEN {i} THEN {_text(t)}" for i, t in enumerate(SHAPES))} END, '{{n}}', c_name), '{{k}}', CAST(c_custkey AS VARCHAR)) AS t FROM customer
+), parsed AS (SELECT id, CASE WHEN json_valid(t) THEN CAST(t AS JSON) END AS j FROM texts
+), fine AS (
+  SELECT id, j FROM parsed WHERE j IS NOT NULL AND json_type(j) = 'OBJECT' AND coalesce(json_type(j, '$.highlights'), 'ARRAY') = 'ARRAY' AND coalesce(json_type(j, '$.dismissals'), 'ARRAY') = 'ARRAY'
+), heads AS (
+  SELECT id, h, json_extract(j, '$.highlights[' || h || ']') AS x FROM (SELECT id, j, unnest(range(CAST(coalesce(json_array_length(j, '$.highlights'), 0) AS BIGINT))) AS h FROM fine)
+), shaped AS (
+  SELECT *, json_type(x) = 'OBJECT' AND len(list_intersect(CASE WHEN json_type(x) = 'OBJECT' THEN json_keys(x) ELSE [] END, [{", ".join(map(_text, REQUIRED))}])) = {len(REQUIRED)} AS whole FROM heads
+), claims AS (
+  SELECT id, h, k, json_extract(x, '$.claims[' || k || ']') AS c FROM (SELECT id, h, x, unnest(range(CAST(json_array_length(x, '$.claims') AS BIGINT))) AS k FROM shaped WHERE whole AND json_type(x, '$.claims') = 'ARRAY')
+), passed_over AS (
+  SELECT id, json_extract(j, '$.dismissals[' || i || ']') AS d FROM (SELECT id, j, unnest(range(CAST(coalesce(json_array_length(j, '$.dismissals'), 0) AS BIGINT))) AS i FROM fine)
+), found(id, h, code, k) AS (
+  SELECT id, NULL, 'E001', NULL FROM parsed WHERE id NOT IN (SELECT id FROM fine)
+  UNION ALL SELECT id, h, 'E001', NULL FROM shaped WHERE NOT whole
+  UNION ALL SELECT id, h, 'E001', NULL FROM shaped WHERE whole AND json_type(x, '$.claims') <> 'ARRAY'
+  UNION ALL SELECT id, h, 'E003', NULL FROM shaped WHERE whole AND (json_type(x, '$.severity') <> 'VARCHAR' OR (x ->> '$.severity') NOT IN ({", ".join(map(_text, SEVERITIES))}))
+  {" ".join(f"UNION ALL SELECT id, h, 'E001', NULL FROM shaped WHERE whole AND json_type(x, '$.{p}') NOT IN ('VARCHAR', 'NULL')" for p in PROSE)}
+  UNION ALL SELECT id, h, 'E001', k FROM claims WHERE json_type(c) <> 'OBJECT' OR json_type(c, '$.fact_id') IS NULL OR json_type(c, '$.value') IS NULL
+  UNION ALL SELECT id, NULL, 'E001', NULL FROM passed_over WHERE json_type(d) <> 'OBJECT' OR json_type(d, '$.reason_code') IS NULL
+  UNION ALL SELECT id, NULL, 'E050', NULL FROM passed_over WHERE json_type(d, '$.reason_code') IS NOT NULL AND (d ->> '$.reason_code') NOT IN ({", ".join(map(_text, REASONS))})
+)
+SELECT CAST(id AS VARCHAR) AS draft_id, CAST(h AS INT) AS highlight, code, CAST(k AS INT) AS claim, count(*) AS n FROM found GROUP BY ALL""",
 }

@@ -410,6 +410,26 @@ def _validated(spark, sf_dir):
     return binding.validate(_planted_drafts(packed, chosen).select("draft_id", "text"), facts, packed, chosen, REGISTRY, PLAN)
 
 
+#: Drafts by c_custkey modulo their number; {n} is the customer's name, {k} the key.
+SHAPES = (
+    '{"highlights":[{"title":"t","metric_id":"gmv","cut":"{n}","severity":"low","narrative":"n","claims":[{"fact_id":"f{k}","value":{k}}]}]}', '{"highlights":[', '[{"title":"{n}"}]', '{"highlights":{"a":{k}}}',
+    '{"highlights":["{n}",{k},null]}', '{"highlights":[{"title":"t","metric_id":"gmv"}]}', '{"highlights":[{"title":"t","metric_id":"gmv","cut":"c","severity":"low","narrative":"n","claims":{"fact_id":"x"}}]}',
+    '{"highlights":[{"title":"t","metric_id":"gmv","cut":"c","severity":"low","narrative":"n","claims":[{"fact_id":"f"},{"fact_id":"f","value":1},{k},{"value":2}]}]}',
+    '{"highlights":[{"title":"t","metric_id":"gmv","cut":"c","severity":"huge","narrative":"n","claims":[]},{"title":null,"metric_id":{k},"cut":"c","severity":{k},"narrative":"n","claims":[]}]}',
+    '{"dismissals":[{"shortlist_rank":{k}},{"reason_code":"{n}"},{"reason_code":"data-quality"},"x"]}', '{"highlights":[{"title":{k},"metric_id":"gmv","cut":"c","severity":"low","narrative":["n"],"hypothesis":{},"claims":[]}]}',
+    '{"highlights":[]} {n}', '{"highlights":[],"dismissals":"{n}"}', '', '{"highlights":[]},"x":{k}', '"{n}"',
+)
+
+
+def draft_shapes(spark, sf_dir):
+    """What is wrong with the shape of drafts, one draft per customer."""
+    shape = F.element_at(F.array(*map(F.lit, SHAPES)), (F.pmod("c_custkey", F.lit(len(SHAPES))) + 1).cast("int"))
+    text = F.replace(F.replace(shape, F.lit("{n}"), F.col("c_name")), F.lit("{k}"), F.col("c_custkey").cast("string"))
+    read = binding.read_drafts(_read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("draft_id"), text.alias("text")))
+    found = read.select("draft_id", "highlight", F.explode("findings").alias("f"))
+    return found.groupBy("draft_id", "highlight", "f.code", "f.claim").agg(F.count("*").alias("n"))
+
+
 def draft_attempts(spark, sf_dir):
     """Planted drafts tried again: by its rank, a series' writer mends its draft at the first retry, at the second, or never."""
     facts, chosen, packed = _book(spark, sf_dir)
@@ -444,5 +464,5 @@ def unresolved_inputs(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     flagship, daily_cells, source_dq, source_dq_planted, source_first_offence, source_summary, calendar_columns, week_totals, segment_universe, period_grid, coverage, coverage_cases, coverage_days_missing, wow,
     baseline_compare, rate_adequacy, rate_z, contribution, daily_robust, partial_slice, appeared_disappeared, facts_long, all_facts, fact_ids, display_format, shortlist,
-    pack, severity, dismissal_reasons, trailing_windows, weekly_history, history_weeks, history_days, history_running, history_facts, story_selection, late_cells, late_weeks, prose_numbers, stray_numerals, prose_dates, prose_lexicons, claim_binding, draft_violations, draft_attempts, provenance_closure, unresolved_inputs,
+    pack, severity, dismissal_reasons, trailing_windows, weekly_history, history_weeks, history_days, history_running, history_facts, story_selection, late_cells, late_weeks, prose_numbers, stray_numerals, prose_dates, prose_lexicons, claim_binding, draft_violations, draft_shapes, draft_attempts, provenance_closure, unresolved_inputs,
 )}

@@ -1,4 +1,7 @@
+import ast
 import math
+import re
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -31,3 +34,18 @@ def test_spark_agrees_with_sql(spark, name):
 
 def test_entry_has_rows(spark):
     assert entry.entry(spark).limit(1).count() == 1
+
+
+def test_no_statement_is_given_twice_and_each_reads_a_table():
+    """Keys of one dictionary, and of all that are merged into ORACLE_SQL; a later key would hide an earlier statement."""
+    tree = ast.parse(Path(oracle.__file__).read_text())
+    merged = []
+    for node in tree.body:
+        value = getattr(node, "value", None)
+        if isinstance(value, ast.Dict):
+            keys = [k.value for k in value.keys if isinstance(k, ast.Constant)]
+            assert len(keys) == len(set(keys))
+            merged += keys
+    assert len(merged) == len(set(merged)) and set(merged) == set(oracle.ORACLE_SQL)
+    for name, sql in oracle.ORACLE_SQL.items():
+        assert any(re.search(rf"\b{t}\b", sql) for t in TABLES), name
