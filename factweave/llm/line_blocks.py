@@ -76,15 +76,16 @@ DOUBTFUL = frozenset(
     "promo promotion banner menu header notice overlay subscription share sharing social related recommended comment "
     "respond reply replies widget toolbar search hidden".split()
 )
+#: Words of layout: beside one that tells boilerplate they leave it alone; any other word makes the name doubtful.
+LAYOUT = frozenset(
+    "box bar slot unit block wrap wrapper container inner outer area panel section list links item items row col column left right top bottom main site page global "
+    "primary secondary mobile desktop sticky fixed content text body form button icon image img card head title link module zone region group set holder frame js u c l".split()
+)
 #: Words that stay shut where an article begins in them or most text lies in them: comments hold articles of their own in some pages.
 _CLOSED = frozenset("comment comments respond disqus reply replies related recommended".split())
 
-# Quoted values are taken whole, but no attempt runs on: pieces and lengths are bounded, and what is odder ends at the next bracket.
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^<>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)"
-    r"((?>(?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+'|\"[^\"]{0,2000}+\"|'[^']{0,2000}+'|[\"']){0,400}+(?=>)|[^<>]*+))>",
-    re.DOTALL,
-)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^<>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)", re.DOTALL)
+_TO_VALUE = re.compile(r"[^=>]*+(?:=\s*+)?+")
 _ATTRIBUTE = re.compile(r"([^\s=\"'<>/]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'<>]++)))?")
 _PARTS = re.compile(r"[a-z]+")
 #: Class names that tell what a page has or lacks, not what the element is.
@@ -124,14 +125,71 @@ def judged(name: str, attributes: str, in_main: bool) -> tuple[str | None, bool]
             parts = _PARTS.findall(token)
             for word in parts:
                 if word in BOILERPLATE:
-                    return word, False
+                    if all(p in BOILERPLATE or p in DOUBTFUL or p in LAYOUT for p in parts):
+                        return word, False
+                    doubtful = word
                 if word in DOUBTFUL and not (word in ("header", "banner") and (in_main or _TITLED.intersection(parts))):
-                    if token == word:
+                    if token == word and (not in_main or word in _CLOSED):
                         return word, False
                     doubtful = word
     return doubtful, True
 
 
+class Tag(NamedTuple):
+    start: int
+    end: int
+    closing: bool
+    name: str
+    attributes: str
+
+
+class _Tags:
+    """The tags of a page, each found in one walk over its attributes: of any number, with quoted values of any length."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.none_from = {'"': len(page), "'": len(page), ">": len(page)}  # behind these places there is no such character
+
+    def find(self, mark: str, at: int) -> int:
+        """The next ``mark``, or -1; what once was searched in vain is not searched again."""
+        if at >= self.none_from[mark]:
+            return -1
+        found = self.page.find(mark, at)
+        if found < 0:
+            self.none_from[mark] = at
+        return found
+
+    def close_of(self, at: int) -> int:
+        """The bracket that ends a tag whose name ends at ``at``: none within a quoted value, which follows an equals sign; -1 if there is none.
+
+        A quote that is never closed begins no value.
+        """
+        while True:
+            at = _TO_VALUE.match(self.page, at).end()
+            if at >= len(self.page):
+                return -1
+            mark = self.page[at]
+            if mark == ">" and self.page[at - 1] != "=":
+                return at
+            if mark in "\"'" and (ended := self.find(mark, at + 1)) >= 0:
+                at = ended + 1
+            elif mark == ">":
+                return at
+            else:
+                at += mark in "\"'"
+
+    def next(self, at: int) -> Tag | None:
+        """The first tag, comment or declaration from ``at`` on; the last two have no name."""
+        while m := _TAG.search(self.page, at):
+            if not m.group(2):
+                return Tag(m.start(), m.end(), False, "", "")
+            end = self.close_of(m.end()) if self.find(">", m.end()) >= 0 else -1
+            if end >= 0:
+                return Tag(m.start(), end + 1, bool(m.group(1)), m.group(2).lower(), self.page[m.end() : end])
+            at = m.end()
+        return None
+
+
 class _Page:
     """The lines of a page, and of each element taken out its place, its characters of text and whether it may be opened."""
 
@@ -171,9 +229,10 @@ class _Page:
 
     def read(self, page: str, opened: set[int], by_name: bool) -> None:
         skip, depth, reason, at, end = "", 0, "", 0, len(page)
+        tags = _Tags(page)
         while at < end:
-            m = _TAG.search(page, at)
-            text = page[at : m.start() if m else end]
+            m = tags.next(at)
+            text = page[at : m.start if m else end]
             if skip:
                 place, held, may_open = self.out[-1]
                 self.out[-1] = place, held + len(" ".join(text.split())), may_open
@@ -183,11 +242,9 @@ class _Page:
                     self.linked += len(text)
             if not m:
                 break
-            at = m.end()
-            name = (m.group(2) or "").lower()
+            at, closing, name, attributes = m.end, m.closing, m.name, m.attributes
             if not name:
                 continue
-            closing, attributes = bool(m.group(1)), m.group(3)
             whole = name in VOID or attributes.endswith("/")
             if skip:
                 if name == skip and not whole:
@@ -202,7 +259,7 @@ class _Page:
                     at = self.after_raw(page, name, at) or at
                 if skip or name not in MAIN or closing:
                     continue
-            if not closing and not whole and m.start() not in opened:
+            if not closing and not whole and m.start not in opened:
                 word, doubtful = judged(name, attributes, self.mains > 0)
                 if word and not by_name and name not in DROPPED and word != "hidden" and word not in _CLOSED:
                     word = None
@@ -215,7 +272,7 @@ class _Page:
                     self.gap()
                     skip, depth, reason = name, 1, word
                     may_open = name == "form" or (name not in DROPPED and word not in _CLOSED and word != "hidden")
-                    self.out.append((m.start(), 0, may_open))
+                    self.out.append((m.start, 0, may_open))
                     if name in RAW:
                         at, skip = self.after_raw(page, name, at) or end, ""
                     continue
@@ -293,6 +350,16 @@ def regions(weights: list[int], window: int = WINDOW) -> list[tuple[int, int, in
     return found
 
 
+def outside(lines: list[Line]) -> list[bool]:
+    """Menus within main elements that lie before the first surge of plain text or behind the last dive; where nothing surges, none does."""
+    menu = menus(lines)
+    plain = [0 if m or not line.inside else len(line.text) - min(line.linked, len(line.text)) for line, m in zip(lines, menu)]
+    body = [(a, b) for a, b, peak in regions(plain) if peak >= SURGE]
+    if not body:
+        return [False] * len(lines)
+    return [m and not body[0][0] <= i < body[-1][1] for i, m in enumerate(menu)]
+
+
 def _settled(lines: list[Line]) -> list[Line]:
     """Doubtful elements by their own distribution: those whose windows reach SURGE stay, of others one empty line is left."""
     out: list[Line] = []
@@ -315,8 +382,9 @@ def _settled(lines: list[Line]) -> list[Line]:
 def main_text(page: str | None) -> str:
     lines = _settled(lines_of(page or ""))
     if any(line.inside for line in lines):
-        text = [line.inside for line in lines]
-        weights = [len(line.text) if line.inside else 0 for line in lines]
+        text, around = [line.inside for line in lines], outside(lines)
+        text = [inside and not beyond for inside, beyond in zip(text, around)]
+        weights = [len(line.text) if inside else 0 for line, inside in zip(lines, text)]
         prose = text
     else:
         menu = menus(lines)

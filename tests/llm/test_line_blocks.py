@@ -111,3 +111,39 @@ def test_sums_and_regions():
         inside = {i for a, b, _ in line_blocks.regions(weights) for i in range(a, b)}
         assert {i for i, w in enumerate(weights) if w} <= inside and all(weights[a] for a, _, _ in line_blocks.regions(weights))
         assert all(any(weights[max(0, i - 2) : i + 3]) for i in inside)
+
+
+def test_attributes_of_any_number_and_length():
+    many = " ".join(f'data-{i}="<b>no {i}</b>"' for i in range(3000))
+    long = "x <i>no</i> " * 2000
+    page = f"<article><p {many}>First paragraph.</p><p title='{long}'>Second > first.</p><p a=\">\" b=x\"y>Third.</p><p \"odd>Fourth.</p><p a=\"open>Fifth.</p></article>"
+    assert line_blocks.main_text(page) == "First paragraph.\nSecond > first.\nThird.\nFourth.\nFifth."
+
+
+@pytest.mark.parametrize("part", ["<a ", '<a b="', "<a b='", "<a href=", "<a x=\"y' ", "=\"'", "<p a=>x"])
+def test_hostile_attributes(part):
+    began = time.perf_counter()
+    line_blocks.main_text("<article><p>" + part * 60_000)
+    assert time.perf_counter() - began < 5
+
+
+LONG = "A sentence of the article that goes on for a good while, with commas, and comes to an end at last with a stop."
+
+
+@pytest.mark.parametrize("name", ["ad-free", "login-tutorial", "cookie-recipe", "related-work", "social", "newsletter-history", "promo"])
+def test_names_do_not_overrule_text_that_surges(name):
+    page = f"<article><p>{LONG}</p><div class='{name}'><p>Another. {LONG}</p></div><p>{LONG}</p></article>"
+    assert "Another." in line_blocks.main_text(page)
+
+
+@pytest.mark.parametrize("name", ["ad-slot", "cookie-banner", "site-nav", "sidebar-left", "comments", "newsletter-box"])
+def test_names_of_boilerplate_alone_still_decide(name):
+    assert "Another." not in line_blocks.main_text(f"<article><p>{LONG}</p><div class='{name}'><p>Another. {LONG}</p></div><p>{LONG}</p></article>")
+
+
+def test_unnamed_link_lists_around_an_article_go_by_the_sums():
+    links = "".join(f"<li><a href='/{i}'>Read this other story {i}</a></li>" for i in range(6))
+    share = "<div><a href='#'>Post</a> <a href='#'>Mail</a> <a href='#'>Print</a></div>"
+    text = line_blocks.main_text(f"<main><ul>{links}</ul><h1>Title</h1><p>{LONG}</p><ul>{links}</ul><p>{LONG}</p>{share}<ul>{links}</ul></main>")
+    assert text.split("\n") == ["Title", LONG, *[f"Read this other story {i}" for i in range(6)], LONG]
+    assert "other story 3" in line_blocks.main_text(f"<main><h1>Links</h1><ul>{links}</ul></main>")  # nothing surges, so nothing is around it
