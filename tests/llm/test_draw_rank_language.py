@@ -8,14 +8,12 @@ import re
 from collections import Counter
 from zlib import crc32
 
-import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from factweave.llm import block_max, crc_ring, string_kernel
 from factweave.llm.alnum import word_blocks
-from factweave.llm.queries import ORACLE_SQL, QUERIES
 
 SCHEMA = "doc_id long, text string, lang string, item_id long, rank string, part int, score string, draw int, language string, shard string, term int"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -108,17 +106,6 @@ def test_draw_of_nothing(spark, docs, none):
     assert len(empty_target) == docs.count() and sorted(r["rank"] for r in empty_target if r["rank"]) == list(range(1, sum(r["n_words"] >= 20 for r in empty_target) // 20 + 1))
 
 
-@pytest.mark.parametrize("name", ["op11_crc_ring", "op12_variable_blocks"])
-def test_sql(spark, name):
-    con = duckdb.connect()
-    for t in ("documents", "benchmark"):
-        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    want, got = con.sql(ORACLE_SQL[name]), QUERIES[name](spark, SF)
-    order = sorted(got.columns)
-    assert order == sorted(want.columns)
-    assert sorted(str([r[c] for c in order]) for r in got.collect()) == sorted(str([r[want.columns.index(c)] for c in order]) for r in want.fetchall())
-
-
 def test_block_starts_are_optimal():
     rng = random.Random(3)
     for _ in range(150):

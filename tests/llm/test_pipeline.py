@@ -38,7 +38,7 @@ def test_stages(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels", "conversations"):
+    for t in ("documents", "pages", "benchmark", "labels", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = entry.queries()[name](spark, SF)
     want = con.sql(queries.ORACLE_SQL[name])
@@ -49,4 +49,4 @@ def test_sql(spark, name):
 
 def test_every_operator_is_registered():
     known = entry.queries()
-    assert "pipeline" in known and all(any(q.startswith(f"op{n}_") for q in known) for n in range(1, 11))
+    assert "pipeline" in known and all(any(q.startswith(f"op{n}_") for q in known) for n in range(1, 14))
