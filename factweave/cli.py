@@ -13,6 +13,7 @@ from factweave.operators.narrate import ProviderError
 from factweave.plans.run import BAD_INPUT, RunConfig, run
 from factweave.plans.spec import RegistryError, SourceSpec, load_registry, shop_registry
 from factweave.sources.cells import SourceError, load_cells, write_cells_csv
+from factweave.sources.digest import source_digest
 from factweave.sources.synthetic import SHOP, generate_cells
 
 
@@ -49,7 +50,7 @@ def main(argv: list[str] | None = None) -> int:
         spec = SourceSpec(dims=tuple(args.dims.split(",")))
         registry = load_registry(args.registry) if args.registry else shop_registry(*spec.dims)
         brief = Path(args.brief).read_text(encoding="utf-8") if args.brief else ""
-        return run(load_cells(spark, args.source, spec), registry, spec, RunConfig(args.as_of, args.out, brief, args.max_retries))
+        return run(load_cells(spark, args.source, spec), registry, spec, RunConfig(args.as_of, args.out, brief, args.max_retries), source_sha256=source_digest(spark, args.source))
     except (SourceError, RegistryError, ProviderError, OSError, UnicodeDecodeError) as e:
         print(f"factweave: {e}", file=sys.stderr)
         return BAD_INPUT

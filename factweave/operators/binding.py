@@ -162,17 +162,28 @@ def _whole(body: Column) -> Column:
     return F.when(sealed, _part(framed, "d"))
 
 
+def _body() -> Column:
+    """A draft's text without the white space and the fence around it."""
+    return F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)\A\s+|\s+\z", ""), r"(?U)\A\s*```(?:json)?\s*|\s*```\s*\z", "")
+
+
+def highlights(drafts: DataFrame) -> DataFrame:
+    """draft_id, highlight and what it says, as text: title, narrative, hypothesis, severity, metric_id, cut; null where it says nothing."""
+    listed = drafts.select(F.col("draft_id").cast("string"), F.posexplode(_part(_whole(_body()), "highlights", "array<variant>")).alias("highlight", "h"))
+    said = lambda name: F.when(~F.is_variant_null(_part(F.col("h"), name)), _said(_part(F.col("h"), name))).alias(name)
+    return listed.select("draft_id", "highlight", *map(said, (*PROSE, "severity", "metric_id", "cut")))
+
+
 def read_drafts(drafts: DataFrame) -> DataFrame:
     """Rows of PARSED, one per highlight, dismissal or unreadable draft, from (draft_id, text).
 
     Drafts are parsed as VARIANT inside the JVM.  Stricter than ``parse_draft``:
     NaN, Infinity and an object's repeated names are no JSON.
     """
-    body = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)\A\s+|\s+\z", ""), r"(?U)\A\s*```(?:json)?\s*|\s*```\s*\z", "")
     v = F.col("v")
     bad = lambda name: _part(v, name).isNotNull() & ~_is(_part(v, name), "ARRAY")
     problem = F.when(v.isNull(), "not valid JSON").when(~_is(v, "OBJECT"), "not a JSON object").when(bad("highlights"), "highlights is no list").when(bad("dismissals"), "dismissals is no list")
-    parsed = drafts.select(F.col("draft_id").cast("string"), _whole(body).alias("v")).withColumn("problem", problem)
+    parsed = drafts.select(F.col("draft_id").cast("string"), _whole(_body()).alias("v")).withColumn("problem", problem)
     fine = parsed.where("problem IS NULL")
     unread = parsed.where("problem IS NOT NULL").select("draft_id", F.array(_finding(F.lit(True), "E001", F.col("problem"))).alias("findings"))
     filled = lambda df, kind, name: F.col(name) if name in df.columns else (F.array() if kind.startswith("array") else F.lit(None)).cast(kind).alias(name)

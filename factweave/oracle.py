@@ -9,7 +9,7 @@ from factweave.functions.numbers import characters
 from factweave.operators.binding import CAUSAL, MAGNITUDE, MARKUP, PROSE, REASONS, REQUIRED, SEVERITIES
 from factweave.operators.facts import LABELS
 from factweave.plans.calendar import SUNDAY, ReportPlan
-from factweave.queries import BROKEN, EVENT_PLAN, FILE_ROWS, GAPS, HALF, HISTORY, LONG_PLAN, PLAN, PLANTED, REGISTRY, SHAPES, STRAYS
+from factweave.queries import BROKEN, EVENT_PLAN, FILE_ROWS, GAPS, HALF, HISTORY, LONG_PLAN, PLAN, PIECE, PLANTED, REGISTRY, SHAPES, STRAYS, UNTRUSTED
 
 
 def _day(d) -> str:
@@ -482,6 +482,10 @@ _TOLD = " UNION ALL ".join(
         ("value", "unit", "value"), ("weekday_median", "unit", "m"), ("robust_scale", "unit", "scale"), ("robust_score", "'score'", "score"))]
     + [f"SELECT as_of, '{k}', {u}, metric_id || cut || label || 'p', {v} FROM running" for k, u, v in (("value", "unit", "value"), ("slice_baseline_mean", "unit", "mean"), ("vs_slice_pct", "'percent'", "pct"))])
 
+#: The names of published JSON, in order.
+_FACT_KEYS = "cut,cut_dim,cut_value,display,display_precision,flags,id,label,metric_id,period_end,period_label,period_start,period_type,provenance,statistic_key,unit,value"
+_AUDIT_KEYS = "claim,claimed_value,computed_value,derivation,display,fact_id,fact_label,highlight,highlight_title,metric_id,period,status,tolerance,unit"
+
 ORACLE_SQL |= {
     "history_weeks": f"""{_HISTORY_WEEKS} SELECT as_of, metric_id, cut, {_six('value', 'value')}, {_six('wow_delta', 'wow_delta')}, {_six('wow_pct', 'wow_pct')}, {_six('mean', 'baseline_mean')},
  {_six('pct', 'vs_baseline_pct')}, {_six('z', 'screening_z')}, {_six('rate_z', 'rate_z')}, {_six('share', 'contribution_share_pct')}, flags, base_flags, adequacy FROM weeks""",
@@ -572,4 +576,35 @@ SELECT doc_id, regexp_replace(t, '[^{_NUMERAL}]+', '', 'g') AS strays FROM witho
   UNION ALL SELECT id, NULL, 'E050', NULL FROM passed_over WHERE json_type(d, '$.reason_code') IS NOT NULL AND (d ->> '$.reason_code') NOT IN ({", ".join(map(_text, REASONS))})
 )
 SELECT CAST(id AS VARCHAR) AS draft_id, CAST(h AS INT) AS highlight, code, CAST(k AS INT) AS claim, count(*) AS n FROM found GROUP BY ALL""",
+    "source_digests": f"""WITH lines AS (
+  SELECT event_id, event_id // {FILE_ROWS} AS file, concat_ws(',', event_id, user_id, event_type, props, CASE WHEN event_id % 50 = 7 THEN 'é' || repeat('三', 300) END, CASE WHEN event_id % 3 = 0 THEN chr(13) END) || chr(10) AS line FROM events
+), placed AS (SELECT *, sum(strlen(line)) OVER (PARTITION BY file ORDER BY event_id) - strlen(line) AS start FROM lines
+), pieces AS (SELECT file, start // {PIECE} AS piece, sha256(string_agg(line, '' ORDER BY event_id)) AS digest FROM placed GROUP BY ALL
+), nodes AS (SELECT file, piece // 4096 AS node, sha256(string_agg(digest, '' ORDER BY piece)) AS digest FROM pieces GROUP BY ALL
+), trees AS (SELECT file, sha256(string_agg(digest, '' ORDER BY node)) AS tree_sha256 FROM nodes GROUP BY ALL)
+SELECT file, CAST(sum(strlen(line)) AS BIGINT) AS n_bytes, sha256(string_agg(line, '' ORDER BY event_id)) AS sha256, any_value(tree_sha256) AS tree_sha256 FROM lines JOIN trees USING (file) GROUP BY file""",
+    "facts_json": f"""{_FACTS} SELECT row_number() OVER (ORDER BY id) + 2 AS line, '{_FACT_KEYS}' AS keys, id, metric_id, k AS statistic_key, unit, CAST(decimals AS INT) AS display_precision, display, {_six('v', 'value')}, flags,
+ array_to_string(list_sort(list_filter(inputs, lambda i: NOT starts_with(i, 'source_rows:'))), ' ') AS inputs FROM facts""",
+    "audit_rows": f"""{_planted().replace('WITH', 'WITH RECURSIVE', 1)}, edges AS (SELECT id, unnest(inputs) AS input FROM facts), reached(root, id, depth) AS (
+  SELECT DISTINCT fact_id, fact_id, 0 FROM judged JOIN facts f ON f.id = fact_id
+  UNION SELECT root, input, depth + 1 FROM reached JOIN edges USING (id) WHERE depth < 2 AND NOT starts_with(input, 'source_rows:')
+), chains AS (SELECT root, string_agg(id, ' ' ORDER BY depth, id) AS chain FROM (SELECT root, id, min(depth) AS depth FROM reached GROUP BY ALL) GROUP BY root)
+SELECT j.draft_id, j.h AS highlight, j.claim, '{_AUDIT_KEYS}' AS keys, j.fact_id, CASE code WHEN 'E010' THEN 'dangling' WHEN 'E011' THEN 'not_in_pack' WHEN 'E012' THEN 'mismatch' WHEN 'E013' THEN 'mismatch' WHEN 'E014' THEN 'off_subject' ELSE 'bound' END AS status,
+ h.title AS highlight_title, h.metric_id, f.display, f.unit, {_six('claimed', 'claimed')}, {_six('computed', 'computed')}, {_six('0.5 * pow(10, -f.decimals)', 'tolerance')},
+ CAST(first_day AS VARCHAR) AS first_day, CAST(last_day AS VARCHAR) AS last_day, coalesce(chain, '') AS derivation
+FROM judged j JOIN heads h USING (draft_id, h) LEFT JOIN facts f ON f.id = j.fact_id LEFT JOIN periods p ON p.label = f.label LEFT JOIN chains ON root = j.fact_id""",
+    "rendered_rows": rf"""WITH kinds(kind, severity, title, narrative) AS (VALUES {", ".join(f"({i}, {', '.join(map(_text, k))})" for i, k in enumerate(UNTRUSTED))}
+), heads AS (
+  SELECT c_custkey, h, severity, 'gmv' AS metric_id, 'seg|' || c_mktsegment AS cut, replace(title, '{{n}}', c_name) AS title, replace(narrative, '{{n}}', c_name) AS narrative, '' AS hypothesis
+  FROM customer, (VALUES (0), (1), (2)) AS t(h) JOIN kinds ON kind = (c_custkey * (h + 1) + h) % {len(UNTRUSTED)}
+), texts AS (
+  UNPIVOT (SELECT c_custkey, h, severity AS s, CAST(severity AS VARCHAR) AS severity, metric_id, cut, title, narrative, hypothesis FROM heads) ON severity, metric_id, cut, title, narrative, hypothesis INTO NAME field VALUE t
+), clean AS (
+  SELECT *, length(t) - length(replace(replace(t, '<', ''), '>', '')) AS taken, regexp_replace(regexp_replace(replace(t, chr(10), ' '), '[\x00-\x08\x0b\x0c\x0e-\x1f<>]', '', 'g'), '^\s+|\s+$', '', 'g') AS c FROM texts
+), judged AS (SELECT *, regexp_matches(c, '^([-*+>|]|#{{1,6}}|[0-9]+\.) ') AS opens FROM clean
+), shown AS (SELECT c_custkey, h, s, field, taken + CAST(opens AS INT) AS n, CASE WHEN opens THEN '\' ELSE '' END || c AS p FROM judged)
+SELECT CAST(c_custkey AS VARCHAR) AS draft_id, h AS highlight, CAST(row_number() OVER (PARTITION BY c_custkey ORDER BY CASE s WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 3 END, h) AS INT) AS place,
+ {", ".join(f"max(CASE WHEN field = '{c}' THEN replace(p, '|', chr(92) || '|') END) AS {c}" for c in ("severity", "metric_id", "cut", "title"))},
+ {", ".join(f"max(CASE WHEN field = '{c}' THEN p END) AS {c}" for c in ("narrative", "hypothesis"))}, CAST(sum(n) AS INT) AS redactions
+FROM shown GROUP BY c_custkey, h, s""",
 }

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from factweave.operators import audit, binding, facts as facts_op, narrate, records as records_op, render, shortlist as shortlist_op, stories
 from factweave.plans.calendar import ReportPlan, build_plan
 from factweave.plans.spec import Registry, SourceSpec
+from factweave.sources.json_file import write_json
 
 OK, BAD_INPUT, REFUSED, INCOMPLETE = 0, 1, 2, 3
 
@@ -70,8 +71,6 @@ def build_factbook(cells: DataFrame, registry: Registry, spec: SourceSpec, plan:
     rows = kept(records_op.records(cells, usable if usable.metrics else registry, spec, plan).where(F.lit(bool(fine))), "records")
     wide = facts_op.compared(rows, registry, plan)
     found = kept(facts_op.facts(wide, plan), "facts")
-    if folder is not None:
-        found.write.mode("overwrite").json(f"{folder}/facts_json")
     chosen = kept(shortlist_op.shortlist(wide, registry, plan), "shortlist")
     told = kept(stories.select_stories(stories.of_report(wide, chosen, plan)), "stories")
     return FactBook(plan, status, found, chosen, kept(shortlist_op.pack(found, chosen), "pack"), told)
@@ -105,34 +104,46 @@ def draft_until_valid(book: FactBook, provider: narrate.Provider, registry: Regi
         violations = [{k: v for k, v in r.asDict().items() if v is not None and k != "draft_id"} for r in broken.orderBy("highlight", "claim", "code").collect()]
         attempts.append({
             "text": reply.text, "provider": reply.provider, "model": reply.model, "response_sha256": hashlib.sha256(reply.text.encode()).hexdigest(),
-            "violations": violations, "bindings": [r.asDict() for r in audit.evidence(bindings, book.facts).orderBy("highlight", "claim").collect()],
+            "violations": violations, "claims": [json.loads(r["audit"]) for r in audit.claim_trail(drafts, bindings, book.facts).orderBy("highlight", "claim").collect()],
         })
         if not violations:
             break
     return attempts
 
 
-def run(cells: DataFrame, registry: Registry, spec: SourceSpec, config: RunConfig, provider: narrate.Provider | None = None) -> int:
-    """Write facts, pack, audit and report under ``config.out``; the exit code tells how it went."""
+def facts_head(book: FactBook, name: str) -> dict:
+    """What the file of facts says besides facts; bounded by the registry and the shortlist."""
+    plan, days = book.plan, lambda span: {"start": span.start.isoformat(), "end": span.end.isoformat()}
+    listed = book.shortlist.select("rank", "metric_id", "cut", "channels", "fact_ids").orderBy("rank").collect()
+    return {
+        "run_id": name, "as_of": plan.as_of.isoformat(), "week_in_review": days(plan.week), "partial_week": days(plan.running) if plan.running else None,
+        "incomplete": book.incomplete, "coverage": book.coverage, "shortlist": [r.asDict() for r in listed],
+    }
+
+
+def run(cells: DataFrame, registry: Registry, spec: SourceSpec, config: RunConfig, provider: narrate.Provider | None = None, source_sha256: str | None = None) -> int:
+    """Write facts, pack, audit and report under ``config.out``; the exit code tells how it went.
+
+    ``source_sha256`` is the digest of the source's bytes; cells that come from no file are known by a digest of their rows.
+    """
     registry.check(spec)
     provider = provider or narrate.DeterministicWriter()
     plan = build_plan(config.as_of, config.weeks_back, config.days_back)
     out = Path(config.out)
     out.mkdir(parents=True, exist_ok=True)
-    name = run_id(config.as_of, fingerprint(cells), registry.sha256)
+    source_sha256 = source_sha256 or fingerprint(cells)
+    name = run_id(config.as_of, source_sha256, registry.sha256)
     book = build_factbook(cells, registry, spec, plan, folder=str(out))
+    write_json(book.facts.drop("metric_ord"), "id", "facts", facts_head(book, name), str(out / "facts.json"))
     _write_json(out / "pack.json", book.pack_document())
     attempts = draft_until_valid(book, provider, registry, config.brief, config.max_retries)
     last = attempts[-1]
-    cited = cells.sparkSession.createDataFrame([(b["fact_id"],) for b in last["bindings"]], "id string").distinct()
-    chain = audit.provenance_closure(book.facts, cited.join(book.facts.select("id"), "id")).join(book.facts.select("id", "provenance"), "id")
     _write_json(out / "audit.json", {
-        "run_id": name, "attempts": [{k: v for k, v in a.items() if k != "text"} for a in attempts], "coverage": book.coverage,
-        "provenance": [r.asDict(recursive=True) for r in chain.orderBy("root", "depth", "id").collect()],
+        "run_id": name, "source_sha256": source_sha256, "registry_sha256": registry.sha256, "attempts": [{k: v for k, v in a.items() if k != "text"} for a in attempts], "coverage": book.coverage,
     })
     if last["violations"]:
         return REFUSED
-    bound = {(b["highlight"], b["claim"]): {"fact_id": b["fact_id"], "display": b["display"], "formula": b["provenance"]["formula"]} for b in last["bindings"]}
+    bound = {(c["highlight"], c["claim"]): {"fact_id": c["fact_id"], "display": c["display"], "formula": c["derivation"][0]["formula"]} for c in last["claims"]}
     items = {r["rank"]: r.asDict() for r in book.shortlist.select("rank", "metric_id", "cut").collect()}
     head = {"week_start": plan.week.start, "week_end": plan.week.end, "as_of": config.as_of, "run_id": name, "incomplete": book.incomplete,
             "coverage": book.coverage, "writer": last["model"], "attempts": len(attempts)}

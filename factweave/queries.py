@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 from factweave.functions import dates as D
 from factweave.functions import numbers as N
 from factweave.functions import stats as S
-from factweave.operators import attempts as AT, audit, binding, facts as FA, history as H, records as R, shortlist as SL, stories as ST
+from factweave.operators import attempts as AT, audit, binding, facts as FA, history as H, records as R, render, shortlist as SL, stories as ST
 from factweave.operators.tables import shared_folder, written
 from factweave.plans.calendar import build_plan
 from factweave.plans.run import build_factbook
 from factweave.plans.spec import shop_registry
-from factweave.sources import cells as C
+from factweave.sources import cells as C, digest, json_file, lines
 from factweave.streaming import late as LT
 
 AS_OF = date(1997, 10, 23)
@@ -104,6 +104,21 @@ def source_first_offence(spark, sf_dir):
     return found.select("rule", "column", "n", F.regexp_extract("file", r"file=(\d+)/", 1).cast("long").alias("file"), "line")
 
 
+#: Bytes of a piece, and pieces of a node, are small here, so that small tables have many.
+PIECE = 20000
+
+
+def source_digests(spark, sf_dir):
+    """SHA-256 of files of events, one per FILE_ROWS events: of their bytes, and as trees of pieces."""
+    line = F.concat_ws(",", "event_id", "user_id", "event_type", "props", F.when(F.col("event_id") % 50 == 7, F.concat(F.lit("é"), F.repeat(F.lit("三"), F.lit(300)))), F.when(F.col("event_id") % 3 == 0, "\r"))
+    rows = _read(spark, sf_dir, "events").select(F.floor(F.col("event_id") / FILE_ROWS).alias("file"), "event_id", line.alias("line"))
+    path = f"{shared_folder(spark)}/events-bytes-{uuid.uuid4().hex}"
+    rows.repartition("file").sortWithinPartitions("file", "event_id").drop("event_id").write.partitionBy("file").text(path)
+    plain = digest.file_digests(spark, path)
+    tree = digest.file_digests(spark, path, PIECE).select("file", F.col("sha256").alias("tree_sha256"))
+    return plain.join(tree, "file").select(F.regexp_extract("file", r"file=(\d+)/", 1).cast("long").alias("file"), "n_bytes", "sha256", "tree_sha256")
+
+
 def calendar_columns(spark, sf_dir):
     d = F.to_date("o_orderdate")
     days = _read(spark, sf_dir, "orders").select(d.alias("day")).distinct()
@@ -219,6 +234,20 @@ def fact_ids(spark, sf_dir):
     return FA.facts(_wide(spark, sf_dir), PLAN).where("statistic_key = 'value'").select("id", "period_start", "period_end", "unit", "display_precision")
 
 
+def facts_json(spark, sf_dir):
+    """The file of all facts, read again line by line: where each fact stands, its keys in their order, and what it says."""
+    facts = written(FA.facts(_wide(spark, sf_dir), PLAN), "facts").drop("metric_ord")
+    path = f"{shared_folder(spark)}/facts-{uuid.uuid4().hex}.json"
+    json_file.write_json(facts, "id", "facts", {"as_of": PLAN.as_of.isoformat(), "notes": []}, path)
+    text = lines.read_lines(spark, path)
+    placed = lines.located(text.select("value", lines.place().alias("at")), lines.splits(text))
+    body = F.regexp_extract("value", r'\A,?"[^"]*":(\{.*\})\z', 1)
+    f = placed.where(body != "").select("line", F.from_json(body, facts.schema).alias("f"), F.array_join(F.json_object_keys(body), ",").alias("keys"))
+    inputs = F.array_sort(F.filter("f.provenance.inputs", lambda i: ~i.startswith("source_rows:")))
+    return f.select("line", "keys", *[F.col(f"f.{c}").alias(c) for c in ("id", "metric_id", "statistic_key", "unit", "display_precision", "display")], _six(F.col("f.value"), "value"),
+                    F.concat_ws(",", "f.flags").alias("flags"), F.array_join(inputs, " ").alias("inputs"))
+
+
 def display_format(spark, sf_dir):
     rows = _read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("v")).unionByName(
         _read(spark, sf_dir, "customer").select((-F.col("c_custkey")).alias("o_orderkey"), F.col("c_acctbal").alias("v")))
@@ -451,6 +480,39 @@ def draft_violations(spark, sf_dir):
     return violations.groupBy("draft_id", "highlight", "code").agg(F.count("*").alias("n"))
 
 
+def audit_rows(spark, sf_dir):
+    """The trail of every claim of the planted drafts, read from its JSON: keys in their order, the fact, and the facts behind it."""
+    facts, chosen, packed = _book(spark, sf_dir)
+    drafts = written(_planted_drafts(packed, chosen).select("draft_id", "text"), "planted")
+    _, bindings = binding.validate(drafts, facts, packed, chosen, REGISTRY, PLAN)
+    trail = audit.claim_trail(drafts, bindings, facts)
+    step = "struct<fact_id:string,computation:string,formula:string,inputs:array<string>,note:string,flags:array<string>>"
+    a = F.from_json("audit", f"struct<fact_id:string,status:string,claimed_value:double,computed_value:double,tolerance:double,highlight_title:string,metric_id:string,display:string,unit:string,"
+                             f"period:struct<type:string,start:string,end:string>,derivation:array<{step}>>")
+    rows = trail.select("draft_id", "highlight", "claim", F.array_join(F.json_object_keys("audit"), ",").alias("keys"), a.alias("a"))
+    ids = F.transform("a.derivation", lambda d: d["fact_id"])
+    return rows.select("draft_id", "highlight", "claim", "keys", *[F.col(f"a.{c}").alias(c) for c in ("fact_id", "status", "highlight_title", "metric_id", "display", "unit")],
+                       _six(F.col("a.claimed_value"), "claimed"), _six(F.col("a.computed_value"), "computed"), _six(F.col("a.tolerance"), "tolerance"),
+                       F.col("a.period.start").alias("first_day"), F.col("a.period.end").alias("last_day"), F.array_join(ids, " ").alias("derivation"))
+
+
+#: What highlights of planted drafts say, by c_custkey modulo their number; {n} is the customer's name.
+UNTRUSTED = (
+    ("low", "{n} moved", "It stands at 5."), ("high", "# {n}", "<b>{n}</b> moved > 5"), ("medium", "a | b", "| {n} | {n}"), ("low", "  3. {n}", "a\nb\n# c"), ("none", "- <i>", "* {n}"), ("high", "#{n}", "{n}\u0007\u001f."),
+    ("medium", "####### {n}", "12.5 {n}"), ("low", "<", "+ "), ("high", "\u000b- {n}", "<> - {n}"),
+)
+
+
+def rendered_rows(spark, sf_dir):
+    """What a report shows of highlights that try to be markup: one draft per customer, with highlights of three kinds."""
+    kinds = F.array(*[F.struct(*[F.lit(x).alias(k) for k, x in zip(("severity", "title", "narrative"), kind)]) for kind in UNTRUSTED])
+    own = lambda i: F.element_at(kinds, (F.pmod(F.col("c_custkey") * (i + 1) + i, F.lit(len(UNTRUSTED))) + 1).cast("int"))
+    named = lambda c: F.replace(c, F.lit("{n}"), F.col("c_name"))
+    heads = [F.struct(F.lit("gmv").alias("metric_id"), F.concat(F.lit("seg|"), "c_mktsegment").alias("cut"), own(i)["severity"].alias("severity"), named(own(i)["title"]).alias("title"), named(own(i)["narrative"]).alias("narrative")) for i in range(3)]
+    drafts = _read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("draft_id"), F.to_json(F.struct(F.array(*heads).alias("highlights"))).alias("text"))
+    return render.rendered(drafts)
+
+
 def provenance_closure(spark, sf_dir):
     facts = written(FA.facts(_wide(spark, sf_dir), PLAN), "facts")
     roots = facts.where("statistic_key IN ('contribution_share_pct', 'vs_slice_pct')").select("id")
@@ -462,7 +524,7 @@ def unresolved_inputs(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    flagship, daily_cells, source_dq, source_dq_planted, source_first_offence, source_summary, calendar_columns, week_totals, segment_universe, period_grid, coverage, coverage_cases, coverage_days_missing, wow,
-    baseline_compare, rate_adequacy, rate_z, contribution, daily_robust, partial_slice, appeared_disappeared, facts_long, all_facts, fact_ids, display_format, shortlist,
-    pack, severity, dismissal_reasons, trailing_windows, weekly_history, history_weeks, history_days, history_running, history_facts, story_selection, late_cells, late_weeks, prose_numbers, stray_numerals, prose_dates, prose_lexicons, claim_binding, draft_violations, draft_shapes, draft_attempts, provenance_closure, unresolved_inputs,
+    flagship, daily_cells, source_dq, source_dq_planted, source_first_offence, source_digests, source_summary, calendar_columns, week_totals, segment_universe, period_grid, coverage, coverage_cases, coverage_days_missing, wow,
+    baseline_compare, rate_adequacy, rate_z, contribution, daily_robust, partial_slice, appeared_disappeared, facts_long, all_facts, facts_json, fact_ids, display_format, shortlist,
+    pack, severity, dismissal_reasons, trailing_windows, weekly_history, history_weeks, history_days, history_running, history_facts, story_selection, late_cells, late_weeks, prose_numbers, stray_numerals, prose_dates, prose_lexicons, claim_binding, draft_violations, draft_shapes, draft_attempts, audit_rows, rendered_rows, provenance_closure, unresolved_inputs,
 )}

@@ -74,8 +74,8 @@ def piece_digests(spark: SparkSession, path: str, piece_bytes: int | None) -> Da
 
 def _joined(parts: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Parts of the same keys as one: the digest of their digests in hex, one after the other by ``order``."""
-    listed = F.sort_array(F.collect_list(F.struct(order, "sha256")))
-    return parts.groupBy(*keys).agg(F.sum("n_bytes").alias("n_bytes"), F.sha2(F.array_join(listed["sha256"], ""), 256).alias("sha256"))
+    listed = F.sort_array(F.collect_list(F.struct(F.col(order).alias("place"), F.col("sha256").alias("digest"))))
+    return parts.groupBy(*keys).agg(F.sum("n_bytes").alias("n_bytes"), F.sha2(F.array_join(listed["digest"], ""), 256).alias("sha256"))
 
 
 def file_digests(spark: SparkSession, path: str, piece_bytes: int | None = None) -> DataFrame:
@@ -88,17 +88,14 @@ def file_digests(spark: SparkSession, path: str, piece_bytes: int | None = None)
 
 
 def source_digest(spark: SparkSession, path: str, piece_bytes: int = PIECE_BYTES) -> str:
-    """The plain SHA-256 of a single file; of a folder a tree over its files by their names below it, each a tree itself.
+    """The plain SHA-256 of a single file; of a folder a tree over the digests of its files, each a tree itself, whatever their names.
 
-    Files are first joined by the first three hex digits of their names' digest.
+    Files are first joined by the first three hex digits of their digests.
     """
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    if system.getFileStatus(target).isFile():
+    if target.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(target).isFile():
         row = file_digests(spark, path).first()
-        return row["sha256"] if row else EMPTY
-    root = system.makeQualified(target).toUri().getPath().rstrip("/") + "/"
-    name = F.substring_index("file", root, -1)
-    named = file_digests(spark, path, piece_bytes).select(name.alias("name"), F.substring(F.sha2(name, 256), 1, 3).alias("bin"), "n_bytes", F.sha2(F.concat_ws(":", name, "sha256"), 256).alias("sha256"))
-    row = _joined(_joined(named, ["bin"], "name").withColumn("all", F.lit(0)), ["all"], "bin").first()
+    else:
+        files = file_digests(spark, path, piece_bytes).select(F.substring("sha256", 1, 3).alias("bin"), F.lit(0).alias("all"), "n_bytes", "sha256")
+        row = _joined(_joined(files, ["all", "bin"], "sha256"), ["all"], "bin").first()
     return row["sha256"] if row else EMPTY
