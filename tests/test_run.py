@@ -1,3 +1,4 @@
+import hashlib
 import json
 from datetime import date, timedelta
 
@@ -9,6 +10,7 @@ from factweave.plans.calendar import build_plan
 from factweave.plans.run import INCOMPLETE, OK, REFUSED, RunConfig, build_factbook, run
 from factweave.plans.spec import shop_registry
 from factweave.sources.cells import cells_from_events
+from factweave.sources.digest import source_digest
 from factweave.sources.synthetic import SHOP, generate_cells
 from factweave.streaming.cells import daily_cells, read_events, write_cells
 
@@ -104,7 +106,13 @@ def test_unreadable_drafts(spark, book, text):
 def test_run_writes_a_checked_report(cells, tmp_path):
     assert run(cells, REGISTRY, SHOP, RunConfig(AS_OF, str(tmp_path))) == OK
     audit_file = json.loads((tmp_path / "audit.json").read_text())
-    assert not audit_file["attempts"][-1]["violations"] and audit_file["attempts"][-1]["bindings"]
+    claims = audit_file["attempts"][-1]["claims"]
+    assert not audit_file["attempts"][-1]["violations"] and claims and all(c["derivation"][0]["fact_id"] == c["fact_id"] for c in claims)
+    facts = json.loads((tmp_path / "facts.json").read_text(encoding="utf-8"))
+    assert facts["run_id"] == audit_file["run_id"] and list(facts["facts"]) == sorted(facts["facts"]) and list(facts) == sorted(facts)
+    inputs = {i for c in claims for d in c["derivation"] for i in d["inputs"] if not i.startswith("source_rows:")}
+    assert inputs <= set(facts["facts"]) and all(facts["facts"][c["fact_id"]]["display"] == c["display"] for c in claims)
+    assert len(facts["shortlist"]) == len(json.loads((tmp_path / "pack.json").read_text())["shortlist"])
     assert "# Weekly highlights" in (tmp_path / "report.md").read_text()
 
 
@@ -136,3 +144,7 @@ def test_command_line(spark, tmp_path):
     registry = str(__import__("pathlib").Path(__file__).parent.parent / "examples" / "shop.toml")
     assert main(["run", "--source", cells, "--out", str(tmp_path / "o"), "--as-of", "2024-08-15", "--registry", registry]) == OK
     assert main(["run", "--source", str(tmp_path / "none"), "--out", str(tmp_path / "p")]) == 1
+    audit_file = json.loads((tmp_path / "o" / "audit.json").read_text())
+    assert audit_file["source_sha256"] == source_digest(spark, cells)
+    key = f"{audit_file['source_sha256']}:{audit_file['registry_sha256']}:2024-08-15"
+    assert audit_file["run_id"] == f"2024-08-15-{hashlib.sha256(key.encode()).hexdigest()[:10]}"
