@@ -486,6 +486,22 @@ _TOLD = " UNION ALL ".join(
 _FACT_KEYS = "cut,cut_dim,cut_value,display,display_precision,flags,id,label,metric_id,period_end,period_label,period_start,period_type,provenance,statistic_key,unit,value"
 _AUDIT_KEYS = "claim,claimed_value,computed_value,derivation,display,fact_id,fact_label,highlight,highlight_title,metric_id,period,status,tolerance,unit"
 
+#: How statistics are said to be computed; {field} is what is filled in.
+_DERIVED = (
+    ("n_obs", "aggregate", "'SUM(' || n_obs_field || ') over the period'", ""), ("numerator", "aggregate", "'SUM(' || numerator_field || ')'", ""), ("denominator", "aggregate", "'SUM(' || denominator_field || ')'", ""),
+    ("wow_delta", "wow_delta", "'current - prior_week'", ""), ("wow_pct", "wow_pct", "'100 * (current - prior_week) / |prior_week|'", ""), ("baseline_mean", "baseline_mean", "'mean of 4 prior complete weeks'", ""),
+    ("vs_baseline_pct", "vs_baseline_pct", "'100 * (current - baseline_mean) / |baseline_mean|'", ""), ("screening_z", "screening_z", "'(current - baseline_mean) / sample sd of the baseline'", "ranks series; no p-value"),
+    ("rate_z", "two_proportion_z", "'(p1 - p2) / sqrt(p (1 - p) (1/n1 + 1/n2)), p pooled'", "visitors return, so this only screens"),
+    ("contribution_share_pct", "contribution_share_pct", "'100 * segment change / overall change'", "sums only: means don't decompose"), ("weekday_median", "weekday_median", "'median of the prior same weekdays'", ""),
+    ("robust_scale", "robust_scale", "'max(1.4826 * MAD, floor); floor = sqrt(max(median, 1)) for counts, 0.01 * |median| else'", "a floor only widens"),
+    ("robust_score", "robust_score", "'(value - weekday_median) / robust_scale'", "no score where all of the baseline is zero"), ("slice_baseline_mean", "slice_baseline_mean", "'mean of the same days of prior weeks'", "never against a whole week"),
+    ("vs_slice_pct", "vs_slice_pct", "'100 * (current - slice_baseline_mean) / |slice_baseline_mean|'", ""),
+)
+#: By the kind of period; a complete week has another note if it is the one under review.
+_VALUE_NOTE = f"""CASE WHEN label = '{PLAN.week.label}' THEN 'sum of the source rows of the period' WHEN label = '{PLAN.running.label}' THEN 'the running week up to its last complete day'
+ WHEN starts_with(label, 'complete_week') THEN 'an earlier week' WHEN starts_with(label, 'daily') THEN '' ELSE 'the same days of an earlier week' END"""
+_FORMULA = "CASE statistic WHEN 'rate' THEN '100 * ' ELSE '' END || 'SUM(' || numerator_field || ')' || CASE WHEN denominator_field IS NULL THEN '' ELSE ' / SUM(' || denominator_field || ')' END || ' over the period'"
+
 ORACLE_SQL |= {
     "history_weeks": f"""{_HISTORY_WEEKS} SELECT as_of, metric_id, cut, {_six('value', 'value')}, {_six('wow_delta', 'wow_delta')}, {_six('wow_pct', 'wow_pct')}, {_six('mean', 'baseline_mean')},
  {_six('pct', 'vs_baseline_pct')}, {_six('z', 'screening_z')}, {_six('rate_z', 'rate_z')}, {_six('share', 'contribution_share_pct')}, flags, base_flags, adequacy FROM weeks""",
@@ -607,4 +623,10 @@ SELECT CAST(c_custkey AS VARCHAR) AS draft_id, h AS highlight, CAST(row_number()
  {", ".join(f"max(CASE WHEN field = '{c}' THEN replace(p, '|', chr(92) || '|') END) AS {c}" for c in ("severity", "metric_id", "cut", "title"))},
  {", ".join(f"max(CASE WHEN field = '{c}' THEN p END) AS {c}" for c in ("narrative", "hypothesis"))}, CAST(sum(n) AS INT) AS redactions
 FROM shown GROUP BY c_custkey, h, s""",
+    "cells_csv": f"""WITH {_CELLS} SELECT 1 AS line, 'date,region,priority,sessions,orders,gmv' AS value
+UNION ALL SELECT row_number() OVER (ORDER BY day, region, priority) + 1, concat_ws(',', strftime(day, '%Y-%m-%d'), region, priority, CAST(sessions AS BIGINT), CAST(orders AS BIGINT), CAST(gmv AS DECIMAL(18,2))) FROM cells""",
+    "fact_provenance": f"""{_FACTS}, fields(metric_id, statistic, n_obs_field, numerator_field, denominator_field) AS (
+  VALUES ('gmv', 'sum', 'orders', 'gmv', NULL), ('orders', 'count', 'orders', 'orders', NULL), ('sessions', 'count', 'sessions', 'sessions', NULL), ('conversion_rate', 'rate', 'sessions', 'orders', 'sessions'), ('aov', 'mean', 'orders', 'gmv', 'orders')
+) SELECT id, CASE k {" ".join(f"WHEN '{k}' THEN '{c}'" for k, c, _, _ in _DERIVED)} ELSE 'aggregate' END AS computation, CASE k {" ".join(f"WHEN '{k}' THEN {f}" for k, _, f, _ in _DERIVED)} ELSE {_FORMULA} END AS formula,
+ CASE k {" ".join(f"WHEN '{k}' THEN {_text(n)}" for k, _, _, n in _DERIVED)} ELSE {_VALUE_NOTE} END AS note FROM facts JOIN fields USING (metric_id)""",
 }

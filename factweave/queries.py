@@ -119,6 +119,14 @@ def source_digests(spark, sf_dir):
     return plain.join(tree, "file").select(F.regexp_extract("file", r"file=(\d+)/", 1).cast("long").alias("file"), "n_bytes", "sha256", "tree_sha256")
 
 
+def cells_csv(spark, sf_dir):
+    """The lines of the CSV file of all cells, by their numbers."""
+    path = f"{shared_folder(spark)}/cells-{uuid.uuid4().hex}.csv"
+    C.write_cells_csv(C.cells_from_orders(spark, sf_dir), path, C.ORDERS)
+    text = lines.read_lines(spark, path)
+    return lines.located(text.select("value", lines.place().alias("at")), lines.splits(text)).select("line", "value")
+
+
 def calendar_columns(spark, sf_dir):
     d = F.to_date("o_orderdate")
     days = _read(spark, sf_dir, "orders").select(d.alias("day")).distinct()
@@ -234,6 +242,12 @@ def fact_ids(spark, sf_dir):
     return FA.facts(_wide(spark, sf_dir), PLAN).where("statistic_key = 'value'").select("id", "period_start", "period_end", "unit", "display_precision")
 
 
+def fact_provenance(spark, sf_dir):
+    """How each published number of the shop's report is computed, in words."""
+    p = F.col("provenance")
+    return FA.facts(_wide(spark, sf_dir), PLAN).select("id", p["computation"].alias("computation"), p["formula"].alias("formula"), p["note"].alias("note"))
+
+
 def facts_json(spark, sf_dir):
     """The file of all facts, read again line by line: where each fact stands, its keys in their order, and what it says."""
     facts = written(FA.facts(_wide(spark, sf_dir), PLAN), "facts").drop("metric_ord")
@@ -524,7 +538,7 @@ def unresolved_inputs(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    flagship, daily_cells, source_dq, source_dq_planted, source_first_offence, source_digests, source_summary, calendar_columns, week_totals, segment_universe, period_grid, coverage, coverage_cases, coverage_days_missing, wow,
-    baseline_compare, rate_adequacy, rate_z, contribution, daily_robust, partial_slice, appeared_disappeared, facts_long, all_facts, facts_json, fact_ids, display_format, shortlist,
+    flagship, daily_cells, source_dq, source_dq_planted, source_first_offence, source_digests, cells_csv, source_summary, calendar_columns, week_totals, segment_universe, period_grid, coverage, coverage_cases, coverage_days_missing, wow,
+    baseline_compare, rate_adequacy, rate_z, contribution, daily_robust, partial_slice, appeared_disappeared, facts_long, all_facts, fact_provenance, facts_json, fact_ids, display_format, shortlist,
     pack, severity, dismissal_reasons, trailing_windows, weekly_history, history_weeks, history_days, history_running, history_facts, story_selection, late_cells, late_weeks, prose_numbers, stray_numerals, prose_dates, prose_lexicons, claim_binding, draft_violations, draft_shapes, draft_attempts, audit_rows, rendered_rows, provenance_closure, unresolved_inputs,
 )}

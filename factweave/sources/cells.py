@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from factweave.operators.tables import written
 from factweave.plans.spec import SourceSpec
 from factweave.sources import lines
+from factweave.sources.json_file import write_lines
 
 #: What a label may hold, and the prefix of labels that are ours.
 LABEL = r"\A[A-Za-z0-9][A-Za-z0-9 ._:&+/-]{0,63}\z"
@@ -149,10 +150,11 @@ def load_cells(spark: SparkSession, path: str, spec: SourceSpec) -> DataFrame:
 
 
 def write_cells_csv(cells: DataFrame, path: str, spec: SourceSpec, *, money: str = "gmv") -> None:
-    """One CSV folder with a header; money with two decimals."""
+    """One CSV file with a header, its lines in the order of days and labels; money with two decimals."""
     columns = [F.date_format("day", "yyyy-MM-dd").alias(spec.date), *spec.dims]
     columns += [F.col(m).cast("decimal(18,2)" if m == money else "decimal(18,0)").alias(m) for m in spec.measures]
-    cells.select(*columns).orderBy(*spec.columns[: 1 + len(spec.dims)]).coalesce(1).write.csv(path, header=True, lineSep="\n")
+    keys = [spec.date, *spec.dims]
+    write_lines(cells.select(*columns).select(*keys, F.to_csv(F.struct(*keys, *spec.measures)).alias("value")), keys, path, ",".join([*keys, *spec.measures]) + "\n")
 
 
 ORDERS = SourceSpec(dims=("region", "priority"))

@@ -1,4 +1,4 @@
-"""One JSON file with members in total order, put together from sorted parts.
+"""One file with lines in total order, put together from sorted parts; JSON of that kind.
 
 Rows are sorted by ranges of their keys, so each task writes a part of the file
 and the parts follow each other.  The file system joins them: by its own
@@ -89,23 +89,28 @@ class Folder:
         self.system.delete(self.path, True)
 
 
+def write_lines(rows: DataFrame, order: list[str], path: str, before: str, after: str = "") -> None:
+    """The column ``value`` of ``rows`` as lines of one file, in the order of columns, between two texts."""
+    spark = rows.sparkSession
+    work = f"{path}.parts-{uuid.uuid4().hex}"
+    rows.orderBy(*order).select("value").write.text(f"{work}/rows")
+    start, end = Folder(spark, f"{work}/start"), Folder(spark, f"{work}/end")
+    start.write(before)
+    end.write(after)
+    Folder(spark, path).join([start.path, *Folder(spark, f"{work}/rows").parts(), end.path])
+    Folder(spark, work).delete()
+
+
 def write_json(rows: DataFrame, key: str, name: str, head: dict, path: str) -> None:
     """``{**head, name: {key: row, ...}}`` as one file: keys in order at every depth, a row a line.
 
     ``key`` must be unique and not null.  Members of ``head`` are few; those
     whose names come after ``name`` follow the rows.  No rows give an empty object.
     """
-    spark = rows.sparkSession
     first = rows.agg(F.min(key)).first()[0]
     comma = F.when(F.col(key) == F.lit(first), F.lit("")).otherwise(F.lit(","))
     text = rows.select(key, F.concat(comma, member(F.col(key), canonical_json(rows, *rows.columns))).alias("value"))
-    work = f"{path}.parts-{uuid.uuid4().hex}"
-    text.orderBy(key).select("value").write.text(f"{work}/rows")
     said = lambda names: "".join(f"{json.dumps(n)}:{json.dumps(head[n], sort_keys=True, ensure_ascii=False, default=str)},\n" for n in names)
     before = said(n for n in sorted(head) if n < name)
     after = said(n for n in sorted(head) if n > name).rstrip(",\n")
-    start, end = Folder(spark, f"{work}/start"), Folder(spark, f"{work}/end")
-    start.write(f"{{{before}{json.dumps(name)}:{{\n")
-    end.write(f"}}{',' if after else ''}\n{after}}}\n")
-    Folder(spark, path).join([start.path, *Folder(spark, f"{work}/rows").parts(), end.path])
-    Folder(spark, work).delete()
+    write_lines(text, [key], path, f"{{{before}{json.dumps(name)}:{{\n", f"}}{',' if after else ''}\n{after}}}\n")
