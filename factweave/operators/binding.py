@@ -150,28 +150,35 @@ def _dismissals(parsed: DataFrame) -> DataFrame:
     return rows.select("draft_id", findings.alias("findings"), F.when(fine, F.coalesce(whole, F.to_json(rank), F.lit("null"))).alias("rank"))
 
 
-def _whole(body: Column) -> Column:
-    """The one JSON value that is all of a text, else null.
+def _spread(drafts: DataFrame) -> DataFrame:
+    """draft_id and text over all tasks: a file of many drafts may be one small split, and reading drafts is work."""
+    spark = drafts.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return drafts.select(F.col("draft_id").cast("string").alias("draft_id"), "text").repartition(tasks, "draft_id")
 
-    The parser stops behind a first value, so the text is set between a name and
-    its own digest: the object has just these two members, with that digest, only if the text is one value.
-    """
-    digest = F.sha2(body, 256)
-    framed = F.try_parse_json(F.concat(F.lit('{"d":'), body, F.lit(',"end":"'), digest, F.lit('"}')))
-    sealed = (F.size(F.try_variant_get(framed, "$", "map<string,variant>")) == 2) & (_part(framed, "end", "string") == digest)
-    return F.when(sealed, _part(framed, "d"))
 
+def _whole(drafts: DataFrame) -> DataFrame:
+    """draft_id and ``v``, the one JSON value that is all of a draft's text, else null.
 
-def _body() -> Column:
-    """A draft's text without the white space and the fence around it."""
-    return F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)\A\s+|\s+\z", ""), r"(?U)\A\s*```(?:json)?\s*|\s*```\s*\z", "")
+    White space and a fence around it are taken off.  The parser stops behind a first value, so the text is set
+    between a name and its own digest: the object has just these two members, with that digest, only if the text
+    is one value.  Each step is a selection of its own, as its result is read more than once.
+    """
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)\A\s+|\s+\z", "")
+    rows = _spread(drafts).select("draft_id", F.regexp_replace(text, r"(?U)\A\s*```(?:json)?\s*|\s*```\s*\z", "").alias("body"))
+    rows = rows.select("draft_id", "body", F.sha2("body", 256).alias("digest"))
+    rows = rows.select("draft_id", "digest", F.try_parse_json(F.concat(F.lit('{"d":'), "body", F.lit(',"end":"'), "digest", F.lit('"}'))).alias("framed"))
+    framed = F.col("framed")
+    sealed = (F.size(F.try_variant_get(framed, "$", "map<string,variant>")) == 2) & (_part(framed, "end", "string") == F.col("digest"))
+    return rows.select("draft_id", F.when(sealed, _part(framed, "d")).alias("v"))
 
 
 def highlights(drafts: DataFrame) -> DataFrame:
     """draft_id, highlight and what it says, as text: title, narrative, hypothesis, severity, metric_id, cut; null where it says nothing."""
-    listed = drafts.select(F.col("draft_id").cast("string"), F.posexplode(_part(_whole(_body()), "highlights", "array<variant>")).alias("highlight", "h"))
-    said = lambda name: F.when(~F.is_variant_null(_part(F.col("h"), name)), _said(_part(F.col("h"), name))).alias(name)
-    return listed.select("draft_id", "highlight", *map(said, (*PROSE, "severity", "metric_id", "cut")))
+    names = (*PROSE, "severity", "metric_id", "cut")
+    listed = _whole(drafts).select("draft_id", F.posexplode(_part(F.col("v"), "highlights", "array<variant>")).alias("highlight", "h"))
+    parts = listed.select("draft_id", "highlight", *[_part(F.col("h"), name).alias(name) for name in names])
+    return parts.select("draft_id", "highlight", *[F.when(~F.is_variant_null(name), _said(F.col(name))).alias(name) for name in names])
 
 
 def read_drafts(drafts: DataFrame) -> DataFrame:
@@ -183,7 +190,7 @@ def read_drafts(drafts: DataFrame) -> DataFrame:
     v = F.col("v")
     bad = lambda name: _part(v, name).isNotNull() & ~_is(_part(v, name), "ARRAY")
     problem = F.when(v.isNull(), "not valid JSON").when(~_is(v, "OBJECT"), "not a JSON object").when(bad("highlights"), "highlights is no list").when(bad("dismissals"), "dismissals is no list")
-    parsed = drafts.select(F.col("draft_id").cast("string"), _whole(_body()).alias("v")).withColumn("problem", problem)
+    parsed = _whole(drafts).withColumn("problem", problem)
     fine = parsed.where("problem IS NULL")
     unread = parsed.where("problem IS NOT NULL").select("draft_id", F.array(_finding(F.lit(True), "E001", F.col("problem"))).alias("findings"))
     filled = lambda df, kind, name: F.col(name) if name in df.columns else (F.array() if kind.startswith("array") else F.lit(None)).cast(kind).alias(name)
