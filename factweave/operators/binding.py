@@ -184,13 +184,13 @@ def highlights(drafts: DataFrame) -> DataFrame:
 def read_drafts(drafts: DataFrame) -> DataFrame:
     """Rows of PARSED, one per highlight, dismissal or unreadable draft, from (draft_id, text).
 
-    Drafts are parsed as VARIANT inside the JVM.  Stricter than ``parse_draft``:
+    Drafts are parsed as VARIANT inside the JVM, once: what was parsed is written, as several rules read it.  Stricter than ``parse_draft``:
     NaN, Infinity and an object's repeated names are no JSON.
     """
     v = F.col("v")
     bad = lambda name: _part(v, name).isNotNull() & ~_is(_part(v, name), "ARRAY")
     problem = F.when(v.isNull(), "not valid JSON").when(~_is(v, "OBJECT"), "not a JSON object").when(bad("highlights"), "highlights is no list").when(bad("dismissals"), "dismissals is no list")
-    parsed = _whole(drafts).withColumn("problem", problem)
+    parsed = written(_whole(drafts).withColumn("problem", problem), "parsed")
     fine = parsed.where("problem IS NULL")
     unread = parsed.where("problem IS NOT NULL").select("draft_id", F.array(_finding(F.lit(True), "E001", F.col("problem"))).alias("findings"))
     filled = lambda df, kind, name: F.col(name) if name in df.columns else (F.array() if kind.startswith("array") else F.lit(None)).cast(kind).alias(name)
