@@ -51,13 +51,17 @@ _tables: list[np.ndarray] = []
 def gamma_quantile(share: np.ndarray) -> np.ndarray:
     """Gamma(2, 1) below which ``share`` (0 <= share < 1) lies."""
     m = -np.log1p(-share)
-    s = np.sqrt(2 * share)
     x = np.sqrt(2 * m) + m * (2 / 3)
     near_zero = share < 1e-6
-    x[near_zero] = 1.0
+    some = near_zero.any()
+    if some:
+        x[near_zero] = 1.0
     for _ in range(5):  # Newton on x - ln(1 + x) = m
         x += (np.log1p(x) - x + m) * (1 + x) / x
-    return np.where(near_zero, s + s * s / 3 + s**3 * (11 / 72), x)
+    if some:
+        s = np.sqrt(2 * share[near_zero])
+        x[near_zero] = s + s * s / 3 + s**3 * (11 / 72)
+    return x
 
 
 def bounds() -> list[np.ndarray]:
@@ -91,8 +95,10 @@ class Sampler:
         """ln a and t of each term in one sample each."""
         more = mixed(terms * self.fine[sample])
         last = mixed(more + GOLDEN)
-        c = gamma_quantile(((draws >> np.uint32(16)) + ((more >> np.uint64(32)) + 0.5) / 2**32) / C_LEVELS)
-        r = gamma_quantile(((draws >> np.uint32(8) & np.uint32(0xFF)) + ((more & np.uint64(0xFFFFFFFF)) + 0.5) / 2**32) / R_LEVELS)
+        share = np.empty((2, len(more)))
+        share[0] = ((draws >> np.uint32(16)) + ((more >> np.uint64(32)) + 0.5) / 2**32) / C_LEVELS
+        share[1] = ((draws >> np.uint32(8) & np.uint32(0xFF)) + ((more & np.uint64(0xFFFFFFFF)) + 0.5) / 2**32) / R_LEVELS
+        c, r = gamma_quantile(share)
         b = ((draws & np.uint32(0xFF)) + (last >> np.uint64(20)) / 2**44) / B_LEVELS
         t = np.floor(ln_w / r + b)
         return np.log(c) - r * (t - b + 1), t
@@ -105,11 +111,16 @@ class Sampler:
         best = np.full(self.samples, np.inf)
         chosen = np.zeros(self.samples, np.uint64)
 
-        def try_terms(sample: np.ndarray, at: np.ndarray) -> None:
+        def try_terms(sample: np.ndarray, at: np.ndarray, alone: bool) -> None:
+            """Samples come in order; ``alone``: each has one term."""
             value, t = self.exact(sample, x[at], z[sample, at], ln_w[at])
-            order = np.lexsort((value, sample))
-            order = order[np.flatnonzero(np.diff(sample[order], prepend=-1))]  # the least of each sample
-            order = order[value[order] < best[sample[order]]]
+            order = np.flatnonzero(value < best[sample])
+            if not alone and len(order):
+                order = order[np.lexsort((value[order], sample[order]))]
+                own = sample[order]
+                first = np.ones(len(order), bool)
+                np.not_equal(own[1:], own[:-1], out=first[1:])
+                order = order[first]  # the least of each sample
             best[sample[order]] = value[order]
             chosen[sample[order]] = x[at[order]] + t[order].astype(np.int64).astype(np.uint64) * GOLDEN
 
@@ -126,9 +137,14 @@ class Sampler:
                     least -= r_rest.take(low, mode="clip")
                 else:  # r (t - b + 1) is at most ln w + r
                     least -= r.take(low, mode="clip") + ln_w.astype(np.float32)
-                try_terms(self.rows, least.argmin(axis=1))
+                lowest = least.argmin(axis=1)
+                try_terms(self.rows, lowest, True)
                 # Nothing bounds r in its last interval, so terms there are all tried.
-                try_terms(*np.nonzero((least <= best[:, None].astype(np.float32)) | (low >= np.uint32(0xFF00))))
+                left = (least <= best[:, None].astype(np.float32)) | (low >= np.uint32(0xFF00))
+                left[self.rows, lowest] = False
+                at = np.flatnonzero(left)
+                if len(at):
+                    try_terms(*np.divmod(at, len(x)), False)
         return (mixed(chosen) >> np.uint64(48)).astype(np.uint16)
 
     def of_text(self, text: str, width: int = 5) -> np.ndarray:
