@@ -10,9 +10,9 @@ roots where underfull bins are too many for one task.  Only numbers travel
 Token ids are those of ``tokenizers`` as it comes, from a public byte-level
 BPE whose file is a parameter.  Splits of its pattern always fall before a
 single space and around a single line end between two visible characters, so
-the chunks between them are given to the library apart and remembered.  A chunk of Latin letters, with a comma or full
-stop or without, is what the pattern leaves whole, so the library's model gets
-it without the passes that split and align.
+the chunks between them are given to the library apart and remembered.  Latin letters are
+what the pattern leaves whole, and a few marks behind them what it splits off whole, so the
+library's model gets the letters without the passes that split and align.
 
 Defined results: a null text is empty, so its document is id 0 alone; null
 ids and repeated rows are packed like others; equal lengths are ordered by
@@ -21,11 +21,13 @@ id; an empty table gives an empty table.  Only id and text are read.
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,22 +38,22 @@ from pyspark.sql import functions as F
 from factweave.llm.common import written
 
 #: Chunks in each of the two generations that a Python worker remembers.
-CHUNKS_KEPT = 1 << 18
+CHUNKS_KEPT = 1 << 19
 PIECE = np.dtype([("doc", "<i8"), ("none", "?"), ("piece", "<i4"), ("start", "<i8"), ("length", "<i4"), ("crc", "<u4")])
 BINS = "bin long, size int, members binary"
 #: A space or line end that is not between two visible characters.
 _ODD_SPACE = re.compile(r"\s[ \n]|[ \n]\s|\A[ \n]|[ \n]\Z")
 
-#: Letters of Latin-1, which every version of Unicode has, and a mark that ends them.
-_LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([,.]?)\Z")
+#: Letters of Latin-1, which every version of Unicode has, and a few marks that end them; an apostrophe may belong to letters.
+_LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]{0,3})\Z")
 
 _encoders: dict[str, "_Encoder"] = {}
 
 
-def _single_spaces(text: str) -> bool:
-    """Whether all white space of a text is single spaces and line ends between visible characters; quicker than the pattern, which decides on the rest."""
+def _single_spaces(text: str) -> list[str]:
+    """The words of a text whose white space is all single spaces and line ends between visible characters, else none; quicker than the pattern, which decides on the rest."""
     words, spaces = text.split(), text.count(" ") + text.count("\n")
-    return len(words) == spaces + 1 and sum(map(len, words)) + spaces == len(text)
+    return words if len(words) == spaces + 1 and sum(map(len, words)) + spaces == len(text) else []
 
 
 class _Memory(dict):
@@ -82,11 +84,15 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self._bpe = Tokenizer.from_file(path)
-        # Letters and the space as the vocabulary writes their bytes.
-        self._latin = str.maketrans({c: self._mapped(c) for c in map(chr, range(0xC0, 0x100))})
+        # Letters' bytes and the space as the vocabulary writes them.
+        latin = list(map(chr, range(256)))
+        for c in map(chr, range(0xC0, 0x100)):
+            for byte, written_as in zip(c.encode(), self._mapped(c), strict=True):
+                latin[byte] = written_as
+        self._latin = "".join(latin)
         self._space = self._mapped(" a")[0]
         self._model = self._bpe.model
-        self._marks = {"": b"", **{c: self.plain(c) for c in ",."}}
+        self._marks = _Memory(lambda marks, before: self.plain(before + marks), "")
         self._line_end = self.plain("\n")
         self._first, self._after = _Memory(self._chunk, ""), _Memory(self._chunk, " ")
 
@@ -102,19 +108,23 @@ class _Encoder:
             return self.plain(before + chunk)
         if m.group(2):
             return (self._after if before else self._first)[m.group(1)] + self._marks[m.group(2)]
-        letters = chunk.translate(self._latin)
+        letters = codecs.charmap_decode(chunk.encode(), "strict", self._latin)[0]
         return array("I", [t.id for t in self._model.tokenize(self._space + letters if before else letters)]).tobytes()
 
     def ids(self, text: str) -> bytes:
         self._first.forget()
         self._after.forget()
-        if not _single_spaces(text) and _ODD_SPACE.search(text):
+        words = _single_spaces(text)
+        if words:
+            chunks = iter(words)
+        elif _ODD_SPACE.search(text):
             return self.plain(text)
-        return self._line_end.join(map(self._line, text.split("\n")))
-
-    def _line(self, line: str) -> bytes:
-        first, *rest = line.split(" ")
-        return self._first[first] + b"".join(map(self._after.__getitem__, rest))
+        else:
+            chunks = iter(re.split("[ \n]", text))
+        after = self._after.__getitem__
+        return self._line_end.join([
+            self._first[next(chunks)] + b"".join(map(after, islice(chunks, line.count(" ")))) for line in text.split("\n")
+        ])
 
 
 def encoder(path: str) -> _Encoder:

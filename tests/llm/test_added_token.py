@@ -30,6 +30,18 @@ def test_ids_of_letters_and_marks(monkeypatch):
         assert np.frombuffer(own.ids(t), "<u4").tolist() == bpe.encode(t, add_special_tokens=False).ids, t
 
 
+def test_marks_behind_letters_need_no_passes_of_their_own(monkeypatch):
+    bpe, own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing._Encoder(packing.default_vocabulary())
+    letters = [a + b + c for a in "aßñT" for b in ("he", "ón", "zz") for c in ("", "q", "é")]
+    marks = ["", ",", ".", "%%%", ".%%", "$$", "!!", "(<", "_", '"?', "~`]", "....", "'s", ".'", "1"]
+    text = "\n".join(" ".join(w + m for w in letters) for m in marks)
+    plain, calls = own.plain, []
+    monkeypatch.setattr(own, "plain", lambda t: calls.append(t) or plain(t))
+    assert np.frombuffer(own.ids(text), "<u4").tolist() == bpe.encode(text, add_special_tokens=False).ids
+    # The last four marks go to the whole tokenizer with each of their words, the others once.
+    assert len(calls) <= 4 * len(letters) + len(marks)
+
+
 def test_single_spaces_agree_with_the_pattern():
     rng = random.Random(7)
     bits = ["a", "bc", ".", " ", " ", "\n", "\t", "\xa0", "\x1c", "\u2028", "\r"]
