@@ -42,7 +42,6 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,13 +64,17 @@ _ANSWER = pa.schema([("shard", pa.int32()), ("kind", pa.string()), ("body", pa.b
 _QUESTION = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("shard", pa.int32()), ("body", pa.binary())])
 
 
+#: Odd bases of the first hash and of the confirming one.
+BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+
+
 @cache
-def _powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _powers(which: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Random values of bytes; powers of an odd base and of its inverse."""
-    base = 0x9E3779B97F4A7C15
-    values = np.random.default_rng(9).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    grow = np.multiply.accumulate(np.full(STEP + 4 * LENGTH, base, np.uint64))
-    shrink = np.multiply.accumulate(np.full(STEP + 4 * LENGTH, pow(base, -1, 1 << 64), np.uint64))
+    base = BASES[which]
+    values = np.random.default_rng(9 + which).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    grow = np.multiply.accumulate(np.full(STEP + 8 * LENGTH, base, np.uint64))
+    shrink = np.multiply.accumulate(np.full(STEP + 8 * LENGTH, pow(base, -1, 1 << 64), np.uint64))
     return values, grow, shrink
 
 
@@ -118,14 +121,18 @@ class Runs:
             have *= 2
         if have < need:
             least = np.minimum(least[: have - need], least[need - have :])
-        inside = np.ones(len(least), bool)
-        for end in offsets[1:-1]:
-            inside[end - self.length + 1 : end] = False
-        starts = np.flatnonzero(inside)
-        place = (least[starts] & PLACES).astype(np.int64)
-        edges = np.flatnonzero(place[1:] != place[:-1]) + 1
-        begins, ends = np.concatenate([[0], edges]), np.concatenate([edges, [len(place)]]) - 1
-        own, first, last = place[begins], starts[begins], starts[ends]
+        # Starts whose windows cross from one text to the next are runs apart, which are left out.
+        crossing = offsets[1:-1] - self.length + 1
+        edge = np.ones(len(least), bool)
+        np.not_equal(least[1:], least[:-1], out=edge[1:])
+        for a in crossing:
+            edge[a : a + self.length] = False
+        edge[crossing] = edge[offsets[1:-1]] = True
+        begins = np.flatnonzero(edge)
+        within = np.ones(len(begins), bool)
+        within[np.searchsorted(begins, crossing)] = False
+        first, last = begins[within], (np.append(begins[1:], len(least)) - 1)[within]
+        own = (least[first] & PLACES).astype(np.int64)
         covered = (sums[last + self.length] - sums[first]) * shrink[first]
         shape = ((own - first) * 256 + (last - first)).astype(np.uint64)
         piece = np.searchsorted(offsets, first, side="right") - 1
@@ -141,14 +148,22 @@ def _cut(hashes: np.ndarray, bits: int) -> np.ndarray:
     return hashes if bits == 64 else hashes & ~np.uint64((1 << (64 - bits)) - 1)
 
 
+def _joined(data: list[bytes], docs: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Where places in documents stand in the documents joined."""
+    return np.cumsum([0, *map(len, data)])[docs] + places
+
+
 def _confirming(data: list[bytes], docs: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """An independent hash of the bytes of each stretch."""
-    return np.fromiter((xxhash.xxh64_intdigest(data[d][a:b]) for d, a, b in zip(docs.tolist(), first.tolist(), end.tolist())), np.uint64, len(docs))
+    """A hash by other values and another base of the bytes of each stretch; stretches in the order of the texts."""
+    return _stretches(b"".join(data), _joined(data, docs, first), _joined(data, docs, end), 1)
 
 
 def _prefixes(whole: np.ndarray, at: np.ndarray) -> np.ndarray:
     """[3, n]: the GRAM bytes of each suffix as numbers in the order of the bytes."""
-    return whole[at[:, None] + np.arange(GRAM)].view(">u8").astype(np.uint64).T
+    if not len(at):
+        return np.empty((3, 0), np.uint64)
+    grams = np.ndarray(len(whole) - GRAM + 1, f"V{GRAM}", whole, strides=(1,))
+    return grams[at].view(">u8").reshape(-1, 3).astype(np.uint64).T
 
 
 def _prefix_keys(words: np.ndarray) -> np.ndarray:
@@ -159,7 +174,8 @@ def _prefix_keys(words: np.ndarray) -> np.ndarray:
 
 
 def _suffix_order(words: np.ndarray) -> np.ndarray:
-    return np.lexsort((words[2], words[1], words[0]))
+    """Stable, and linear where a few sorted arrays follow each other."""
+    return np.argsort(np.ascontiguousarray(words.T.astype(">u8")).view(f"S{GRAM}").ravel(), kind="stable")
 
 
 def _common_prefixes(words: np.ndarray) -> np.ndarray:
@@ -176,23 +192,29 @@ def _common_prefixes(words: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sums(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _sums(data: bytes, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Running sums of byte values times powers; a stretch's hash is its difference times the inverse power."""
-    values, grow, shrink = _powers()
+    values, grow, shrink = _powers(which)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(values[np.frombuffer(data, np.uint8)] * grow[: len(data)], out=sums[1:])
     return sums, shrink
 
 
+def _stretches(data: bytes, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """Hashes of stretches of at most 8 * LENGTH bytes; their starts ascend."""
+    out = [np.empty(0, np.uint64)]
+    most = int((ends - starts).max(initial=0))
+    for at in range(0, len(data), STEP):
+        own = slice(*np.searchsorted(starts, (at, at + STEP)))
+        if own.start < own.stop:
+            sums, shrink = _sums(data[at : at + STEP + most], which)
+            out.append((sums[ends[own] - at] - sums[starts[own] - at]) * shrink[starts[own] - at])
+    return np.concatenate(out)
+
+
 def window_hashes(data: bytes, starts: np.ndarray, length: int, bits: int = 64) -> np.ndarray:
     """Hashes of the windows at the given ascending starts."""
-    out = []
-    for at in range(0, len(data), STEP):
-        own = starts[np.searchsorted(starts, at) : np.searchsorted(starts, at + STEP)] - at
-        if len(own):
-            sums, shrink = _sums(data[at : at + STEP + length - 1])
-            out.append(mixed((sums[own + length] - sums[own]) * shrink[own]))
-    return _cut(np.concatenate(out), bits) if out else np.empty(0, np.uint64)
+    return _cut(mixed(_stretches(data, starts, starts + length)), bits)
 
 
 def _texts(table: pa.Table) -> list[tuple[int, bytes]]:
@@ -311,6 +333,10 @@ def _seeds(suffixes: Suffixes) -> pa.Table:
     words, shards, _ = suffixes
     order = _suffix_order(words)
     words, shards = words[:, order], shards[order]
+    # Neighbours that differ in the first two words share less.
+    alike = (words[:2, 1:] == words[:2, :-1]).all(axis=0)
+    near = np.flatnonzero(np.append(alike, False) | np.append(False, alike)) if len(shards) else []
+    words, shards = words[:, near], shards[near]
     same = np.append(_common_prefixes(words) >= GRAM, False)
     twin = same[:-1] | same[1:]
     keys, shards = _prefix_keys(words[:, twin]), shards[twin]
@@ -480,8 +506,8 @@ def _repeated(docs: DataFrame, index: LogIndex, table: str, length: int, batches
     def arrays(key: tuple, table: pa.Table) -> pa.Table:
         """The suffixes at a shard's distinct anchors: keys to split them, then prefixes and places."""
         _, data, r = read(table)
-        keys, one = np.unique(r.key, return_index=True)
-        at = np.cumsum([0, *map(len, data)])[r.doc[one]] + r.anchor[one]
+        keys, one = _least(r.key, np.arange(len(r.key)))
+        at = _joined(data, r.doc[one], r.anchor[one])
         words = _prefixes(np.frombuffer(b"".join(data), np.uint8), at)
         return _table(_asked("array", key[0].as_py(), buckets, keys, *words, at.astype(np.uint64), keep_keys=False), _QUESTION)
 
@@ -520,9 +546,7 @@ def _repeated(docs: DataFrame, index: LogIndex, table: str, length: int, batches
         sizes = r.last[ask] - r.first[ask] + 1
         within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         docs, starts = np.repeat(r.doc[ask], sizes), np.repeat(r.first[ask], sizes) + within
-        cuts = [0, *(np.flatnonzero(np.diff(docs)) + 1).tolist(), len(docs)] if len(docs) else []
-        hashes = [window_hashes(data[docs[a]], starts[a:b], length, bits) for a, b in zip(cuts, cuts[1:])]
-        return ids, data, r, whole, docs, starts, np.concatenate([np.empty(0, np.uint64), *hashes])
+        return ids, data, r, whole, docs, starts, window_hashes(b"".join(data), _joined(data, docs, starts), length, bits)
 
     def windows(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         ids, data, _, _, docs, starts, hashes = judged(table, answers)
@@ -539,10 +563,10 @@ def _repeated(docs: DataFrame, index: LogIndex, table: str, length: int, batches
             ends = np.concatenate([r.last[own][whole[own]], starts[single][hit[single]]]) + length
             spans: list[tuple[int, int]] = []
             if len(begins):
-                change = np.bincount(begins, minlength=len(text) + 1) - np.bincount(ends, minlength=len(text) + 1)
-                covered = np.concatenate([[False], np.cumsum(change[:-1]) > 0, [False]])
-                edges = np.flatnonzero(covered[1:] != covered[:-1])
-                spans = list(zip(edges[::2].tolist(), edges[1::2].tolist()))
+                order = np.argsort(begins)
+                begins, ends = begins[order], np.maximum.accumulate(ends[order])
+                gaps = np.flatnonzero(begins[1:] > ends[:-1])
+                spans = list(zip(begins[np.append(0, gaps + 1)].tolist(), ends[np.append(gaps, -1)].tolist()))
             digest, at = hashlib.sha256(), 0
             for a, b in spans:
                 digest.update(text[at:a])
