@@ -51,9 +51,9 @@ from factweave.llm.shingles import mixed
 
 #: ``gram`` is three words of eight bytes, so that suffixes compare as numbers.
 LENGTH, GRAM = 50, 24
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 12 << 20
 #: Shards in a batch; few shards are four batches.
-BATCH_SHARDS = 64
+BATCH_SHARDS = 85
 LAST = np.iinfo(np.int64).max
 PLACE_BITS = np.uint64(20)
 PLACES = np.uint64((1 << 20) - 1)
@@ -88,9 +88,10 @@ class Runs:
 
     def __init__(self, texts: list[bytes], length: int = LENGTH, gram: int = GRAM, bits: int = 64):
         self.length, self.gram, self.bits = length, gram, bits
-        found = [self._buffer(b) for b in self._buffers(texts)]
-        empty = (np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 3)
-        self.doc, self.key, self.context, self.first, self.last, self.anchor = (np.concatenate(x) for x in zip(empty, *found))
+        empty = (np.empty(0, np.int32), np.empty(0, np.uint64), np.empty(0, np.uint64), *[np.empty(0, np.int32)] * 3)
+        parts = list(zip(empty, *map(self._buffer, self._buffers(texts))))[::-1]
+        # Each column's parts go when it is whole.
+        self.doc, self.key, self.context, self.first, self.last, self.anchor = (np.concatenate(parts.pop()) for _ in empty)
 
     def _buffers(self, texts: list[bytes]):
         """Lists of (document, start in it, bytes) of STEP bytes or little more; long texts come in overlapping parts."""
@@ -136,10 +137,10 @@ class Runs:
         covered = (sums[last + self.length] - sums[first]) * shrink[first]
         shape = ((own - first) * 256 + (last - first)).astype(np.uint64)
         piece = np.searchsorted(offsets, first, side="right") - 1
-        shift = np.array([p[1] for p in pieces]) - offsets[:-1]
+        shift = (np.array([p[1] for p in pieces]) - offsets[:-1])[piece]
         return (
-            np.array([p[0] for p in pieces])[piece], _cut(grams[own], self.bits), _cut(mixed(covered + shape * np.uint64(0xD6E8FEB86659FD93)), self.bits),
-            first + shift[piece], last + shift[piece], own + shift[piece],
+            np.array([p[0] for p in pieces], np.int32)[piece], _cut(grams[own], self.bits), _cut(mixed(covered + shape * np.uint64(0xD6E8FEB86659FD93)), self.bits),
+            *((x + shift).astype(np.int32) for x in (first, last, own)),  # Arrow's texts have under 2^31 bytes
         )
 
 
