@@ -46,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factweave.llm.common import written
+from factweave.llm.common import drop_path, scratch_path, shuffles_dropped, written
 from factweave.llm.shingles import mixed
 
 #: ``gram`` is three words of eight bytes, so that suffixes compare as numbers.
@@ -329,17 +329,21 @@ def _both(a: Suffixes, b: Suffixes) -> Suffixes:
     return np.concatenate([a[0], b[0]], axis=1), np.concatenate([a[1], b[1]]), np.concatenate([a[2], b[2]])
 
 
-def _seeds(suffixes: Suffixes) -> pa.Table:
-    """Answers 'seed': for each shard, the keys of its anchors that share GRAM bytes with another shard's."""
+def _seeds(suffixes: Suffixes, new: int | None = None) -> pa.Table:
+    """Answers 'seed': for each shard, the keys of its anchors that share GRAM bytes with another shard's.
+
+    Of anchors that none of the first ``new`` suffixes has, earlier scans told.
+    """
     words, shards, _ = suffixes
     order = _suffix_order(words)
-    words, shards = words[:, order], shards[order]
+    words, shards, fresh = words[:, order], shards[order], order < (len(order) if new is None else new)
     # Neighbours that differ in the first two words share less.
     alike = (words[:2, 1:] == words[:2, :-1]).all(axis=0)
     near = np.flatnonzero(np.append(alike, False) | np.append(False, alike)) if len(shards) else []
     words, shards = words[:, near], shards[near]
     same = np.append(_common_prefixes(words) >= GRAM, False)
-    twin = same[:-1] | same[1:]
+    group = np.cumsum(~same[:-1])
+    twin = (same[:-1] | same[1:]) & (np.bincount(group, fresh[near]) > 0)[group]
     keys, shards = _prefix_keys(words[:, twin]), shards[twin]
     order = np.argsort(shards, kind="stable")
     keys, shards = keys[order], shards[order]
@@ -355,6 +359,7 @@ class LogIndex:
         self.spark, self.name, self.buckets = spark, name, 1
         self.levels: list[tuple[int, str]] = []
         self.made = 0
+        self.seeds = scratch_path(spark, "seeds")
 
     def _save(self, rows: DataFrame) -> str:
         self.made += 1
@@ -375,7 +380,8 @@ class LogIndex:
             return _seeds(_level_arrays(table))
 
         def scan(key: tuple, new: pa.Table, old: pa.Table) -> pa.Table:
-            return _seeds(_both(_level_arrays(new), _level_arrays(old)))
+            fresh = _level_arrays(new)
+            return _seeds(_both(fresh, _level_arrays(old)), len(fresh[1]))
 
         def merge(key: tuple, new: pa.Table, old: pa.Table) -> pa.Table:
             return _level_row(key[0].as_py(), *_both(_level_arrays(new), _level_arrays(old)))
@@ -391,7 +397,7 @@ class LogIndex:
             found = [new.applyInArrow(within, ANSWER)]
         else:
             found = [new.cogroup(self.spark.table(t).groupBy("bucket")).applyInArrow(scan, ANSWER) for _, t in self.levels]
-        out = [written(f, "seeds") for f in found]
+        out = [written(f, "seeds", f"{self.seeds}/{self.made}_{i}") for i, f in enumerate(found)]
         self.levels.append((1, batch))
         return out
 
@@ -403,6 +409,9 @@ class LogIndex:
         self.drop(*(t for _, t in self.levels))
         self.levels.clear()
 
+    def drop_seeds(self) -> None:
+        drop_path(self.spark, self.seeds)
+
 
 def _least_answers(kinds: dict[str, Callable]) -> Callable:
     """Answer the questions of one (kind, bucket)."""
@@ -484,9 +493,11 @@ def repeated_spans(
     name = f"suffix_{uuid.uuid4().hex}"
     index = LogIndex(spark, name)
     try:
-        return _repeated(docs, index, f"{name}_texts", length, batches, shard_bytes, bits)
+        with shuffles_dropped(spark):
+            return _repeated(docs, index, f"{name}_texts", length, batches, shard_bytes, bits)
     finally:
         index.clear()
+        index.drop_seeds()
         index.drop(f"{name}_texts")
 
 
@@ -593,6 +604,7 @@ def _repeated(docs: DataFrame, index: LogIndex, table: str, length: int, batches
     asked = joined(seeds).applyInArrow(contexts, questions)
     kinds = _least_answers({"owner": _least_owner("owner"), "several": _several_contexts})
     first = written(asked.repartition(buckets, "kind", "bucket").groupBy("kind", "bucket").applyInArrow(kinds, ANSWER), "answers")
+    index.drop_seeds()
     asked = joined([first]).applyInArrow(windows, questions)
     second = written(asked.repartition(buckets, "kind", "bucket").groupBy("kind", "bucket").applyInArrow(_least_answers({"window": _least_owner("window")}), ANSWER), "answers")
     return written(joined([first, second]).applyInArrow(removed, RESULT), "removed")
