@@ -34,10 +34,13 @@ def odd_factors(n: int, seed: int) -> np.ndarray:
 
 def word_hashes(text: str | None, lower: bool = True) -> np.ndarray:
     """Hashes of the words (runs of non-space ASCII-wise), A-Z lower-cased."""
+    data = (text or "").encode("utf-8", "surrogatepass")
+    return hashes_of((data.lower() if lower else data).split())
+
+
+def hashes_of(words: list[bytes]) -> np.ndarray:
     if len(_hashes) > WORDS_KEPT:
         _hashes.clear()
-    data = (text or "").encode("utf-8", "surrogatepass")
-    words = (data.lower() if lower else data).split()
     return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
 
 
